@@ -142,11 +142,10 @@ def _split(batch) -> tuple[list[bytes], np.ndarray]:
     return words, np.array(sizes, dtype=np.int64)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = 10, block_bytes: int = 1 << 20) -> DataFrame:
-    """One row per document: id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    spark = docs.sparkSession
+def _indexes(few: DataFrame, benchmark: DataFrame, item_col: str, window: int, block_bytes: int) -> list:
+    """Broadcasts of the benchmark's blocks, their windows' prefix tokens chosen by counts over all documents (column text)."""
+    spark = few.sparkSession
     bounded_batches(spark)
-    few = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     blocks = _blocks(benchmark, item_col, "text", window, block_bytes)
     n = len(blocks)
     raw = [spark.sparkContext.broadcast(b) for b in blocks]
@@ -172,7 +171,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         by[r.block][r.k, r.code] = r.n
     for i, b in enumerate(blocks):
         b.order(by[i])
-    shared = [spark.sparkContext.broadcast(b) for b in blocks]
+    return [spark.sparkContext.broadcast(b) for b in blocks]
+
+
+FOUND = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+
+
+def _found(few: DataFrame, shared: list) -> DataFrame:
+    """few with the columns FOUND."""
+    n = len(shared)
 
     def join(batches):
         for b in batches:
@@ -190,7 +197,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                         items[d].update(index.items[x])
             hits = np.bincount(doc, weights=np.cumsum(cover)[:-1] > 0, minlength=len(sizes)).astype(np.int64) if len(doc) else np.zeros(0, np.int64)
             digest = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), pa.array(hits), pa.array([len(x) for x in items], pa.int64()), pa.array(digest, pa.string()), pa.array(hits > 0)], names=["id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sizes), pa.array(hits), pa.array([len(x) for x in items], pa.int64()), pa.array(digest, pa.string()), pa.array(hits > 0)], names=[*b.schema.names, "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in few.schema)
+    return few.mapInArrow(join, f"{kind}, {FOUND}")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = 10, block_bytes: int = 1 << 20) -> DataFrame:
+    """One row per document: id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    few = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
+    return _found(few, _indexes(few.select("text"), benchmark, item_col, window, block_bytes)).drop("text").withColumnRenamed("id", id_col)
+
 
-    out = few.mapInArrow(join, f"id {docs.schema[id_col].dataType.simpleString()}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
-    return out.withColumnRenamed("id", id_col)
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", window: int = 10, block_bytes: int = 1 << 20) -> DataFrame:
+    """docs, all columns, without the contaminated documents."""
+    names = docs.columns
+    inner = docs.toDF(*["text" if c == text_col else f"c{i}" for i, c in enumerate(names)])
+    found = _found(inner, _indexes(inner.select("text"), benchmark, item_col, window, block_bytes))
+    return found.where("not contaminated").select(*inner.columns).toDF(*names)

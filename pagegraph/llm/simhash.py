@@ -239,3 +239,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = tagged.join(least, "part").select("fp", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     out = fps.join(names, "fp")
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4) -> DataFrame:
+    """docs, all columns, with one document of each component: the one of least id (of equal ids: of least text digest; null ids last)."""
+    names = docs.columns
+    inner = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    own, text = F.col(f"c{names.index(id_col)}"), F.coalesce(F.col(f"c{names.index(text_col)}"), F.lit(""))
+    key = F.struct(own.isNull().alias("last"), own.alias("id"), F.md5(text.cast("binary")).alias("digest"))
+    keyed = inner.withColumn("key", key)
+    kept = near_duplicates(keyed.select("key", text.alias("text")), "key", "text", size).where("key <=> component_id").select(F.col("key").alias("kept")).distinct()
+    return keyed.join(kept, F.col("key").eqNullSafe(F.col("kept")), "left_semi").dropDuplicates(["key"]).drop("key").toDF(*names)
