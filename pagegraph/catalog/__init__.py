@@ -1,11 +1,20 @@
-"""Query functions and their SQL, by theme."""
+"""Query functions and their SQL, side by side, by theme.
+
+Each module fills a Catalogue; `queries` and `oracle_sql` put them together.
+"""
 
 from __future__ import annotations
 
 
+def _all():
+    from . import activity, aggregates, geo, graph, merges, scalars, streams, text
+
+    return [m.catalogue for m in (graph, aggregates, merges, activity, geo, scalars, text, streams)]
+
+
 def queries() -> dict:
-    return {}
+    return {k: f for c in _all() for k, f in c.functions.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {k: s for c in _all() for k, s in c.sql.items()}
