@@ -50,16 +50,18 @@ def features(text: bytes) -> tuple[set[bytes], list[float]]:
     return kinds, text_stats(text, ws, kinds)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
-    """Weights (the last is the intercept, which is not shrunk) by Newton steps."""
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1.0, rounds: int = 25, center: float = 0.0) -> np.ndarray:
+    """Weights, shrunk towards a centre, and the intercept, which is not, by Newton steps."""
     x = np.hstack([x, np.ones((len(x), 1))])
     weight = np.ones(len(x)) if weight is None else weight
-    w = np.zeros(x.shape[1])
+    w = np.full(x.shape[1], float(center))
+    w[-1] = 0.0
+    to = w.copy()
     shrink = np.full(x.shape[1], ridge)
     shrink[-1] = 1e-3
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (weight * (p - y)) + shrink * w
+        g = x.T @ (weight * (p - y)) + shrink * (w - to)
         h = (x * (weight * np.maximum(p * (1 - p), 1e-4))[:, None]).T @ x + np.diag(shrink)
         step = np.linalg.solve(h, g)
         w -= step * min(1.0, 5 / max(1e-9, np.abs(step).max()))
@@ -174,9 +176,10 @@ def co_train(kinds: list[set[bytes]], stats: np.ndarray, meta: list[dict], y: np
             to.update({int(pool[i]): 0 for i in order[:give] if p[i] <= 1 - sure})
     a, b = x[held] @ text.w[:-1] + text.w[-1], m[held] @ page.w[:-1] + page.w[-1]
     t = y[held].astype(float)
-    ca, cb = logistic(a[:, None], t, ridge=0.1), logistic(b[:, None], t, ridge=0.1)
+    # Few held-out labels leave slopes near one; a view is never turned round.
+    ca, cb = (np.maximum(logistic(z[:, None], t, ridge=5.0, center=1.0), [0.0, -np.inf]) for z in (a, b))
     both = np.stack([a * ca[0] + ca[1], b * cb[0] + cb[1]], axis=1)
-    return Model(text, page, (ca, cb), logistic(both, t, ridge=0.1))
+    return Model(text, page, (ca, cb), np.maximum(logistic(both, t, ridge=5.0, center=1.0), [0.0, 0.0, -np.inf]))
 
 
 
