@@ -30,9 +30,9 @@ def wikilinks(t: Column) -> Column:
 
 
 def simplify_links(t: Column) -> Column:
-    """[[A|A]] to [[A]], [[A|Ab]] to [[A]]b, underscores in targets to spaces."""
+    """[[A|A]] to [[A]], [[A|AB]] to [[A]]B, underscores in targets to spaces."""
     t = F.regexp_replace(t, r"\[\[([^\[\]|\n]*?)_([^\[\]|\n]*?)([|\]])", "[[$1 $2$3")
-    t = F.regexp_replace(t, r"\[\[\s*([^\[\]|\n]+?)\s*\|\s*\1([a-z]*)\s*\]\]", "[[$1]]$2")
+    t = F.regexp_replace(t, r"\[\[\s*([^\[\]|\n]+?)\s*\|\s*\1(\p{Alpha}*)\s*\]\]", "[[$1]]$2")
     return t
 
 
@@ -124,7 +124,7 @@ def only_date(t: Column) -> Column:
 
 def byline(t: Column) -> Column:
     """The name after `by` at a line's start, at most four capitalised words; null for staff and agencies."""
-    name = F.regexp_extract(t, r"(?m)^\s*[Bb][Yy]:?\s+((?:\p{Lu}[\p{L}.'-]*\s?){2,4})", 1)
+    name = F.regexp_extract(t, r"(?m)^\s*[Bb][Yy]:?\s+((?:\p{Lu}[\p{L}.'-]* ?){2,4})", 1)
     return F.when((F.trim(name) != "") & ~name.rlike(r"(?i)\b(?:staff|reporter|editor|admin|press|news|agency|correspondent)\b"), F.trim(name))
 
 
@@ -164,7 +164,7 @@ def with_section(t: Column, heading: str, body: Column) -> Column:
     has = t.rlike(rf"(?m)^==\s*{heading}\s*==")
     split = F.regexp_replace(t, r"(?s)\[\[Category:.*$", "")
     tail = F.substring(t, F.length(split) + 1, F.lit(1 << 30))
-    return F.when(has, t).otherwise(F.concat(F.rtrim(split), F.lit("\n\n"), block, tail))
+    return F.when(has, t).otherwise(F.concat(F.regexp_replace(split, r"\s+$", ""), F.lit("\n\n"), block, tail))
 
 
 def summary_links(t: Column) -> Column:

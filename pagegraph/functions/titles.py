@@ -15,11 +15,9 @@ NAMESPACES = {
 def canonical_title(raw: Column, underscores: bool = False) -> Column:
     """Percent-decoded, entities decoded, direction marks dropped, cut at #, blanks collapsed, first letter upper.
 
-    A `%` escape that is no UTF-8 stays as it is; a plus sign is a plus sign.
+    A plus sign is a plus sign.
     """
-    safe = F.replace(raw, F.lit("+"), F.lit("%2B"))
-    t = F.coalesce(F.try_url_decode(safe), raw)
-    t = decode_entities(t)
+    t = decode_entities(percent_decoded(raw))
     t = F.regexp_replace(t, "[‎‏]", "")
     t = F.regexp_replace(t, "(?s)#.*$", "")
     t = F.regexp_replace(t, r"[_\s]+", " ")
@@ -28,6 +26,18 @@ def canonical_title(raw: Column, underscores: bool = False) -> Column:
     return F.replace(t, F.lit(" "), F.lit("_")) if underscores else t
 
 
+def percent_decoded(raw: Column) -> Column:
+    """Escapes as UTF-8, else as Latin-1; a text with a broken escape stays as it is."""
+    safe = F.replace(raw, F.lit("+"), F.lit("%2B"))
+    utf8 = F.try_url_decode(safe)
+    wide = F.regexp_replace(safe, "(?i)%([89AB][0-9A-F])", "#2%$1")
+    for high, low in (("C", "8"), ("D", "9"), ("E", "A"), ("F", "B")):
+        wide = F.regexp_replace(wide, f"(?i)%{high}([0-9A-F])", f"#3%{low}$1")
+    wide = F.regexp_replace(wide, "#([23])(?=%)", "%C$1")
+    broken = F.contains(utf8, F.lit("\ufffd")) & ~F.contains(raw, F.lit("\ufffd"))
+    return F.coalesce(F.when(broken, F.try_url_decode(wide)).otherwise(utf8), raw)
+
+
 def decode_entities(t: Column) -> Column:
     """The five markup entities and the no-break space."""
     for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#039;", "'"), ("&nbsp;", " "), ("&amp;", "&")):

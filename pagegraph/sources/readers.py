@@ -50,7 +50,7 @@ def read_link_cache(spark: SparkSession, path: str) -> DataFrame:
 
 def first_file_with(spark: SparkSession, path: str, needle: str) -> DataFrame:
     """The first file, by name, with a line that holds the needle."""
-    return spark.read.text(path).where(F.contains("value", F.lit(needle))).agg(F.min(F.input_file_name()).alias("file"))
+    return spark.read.text(path).where(F.contains("value", F.lit(needle))).agg(F.min("_metadata.file_path").alias("file"))
 
 
 def read_results_xml(spark: SparkSession, path: str) -> DataFrame:

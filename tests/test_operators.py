@@ -1,0 +1,116 @@
+"""Readers, sinks, merges, spatial and streaming operators on small fixtures."""
+
+import datetime
+import gzip
+
+from pyspark.sql import functions as F
+
+from pagegraph.operators import aggregates as A
+from pagegraph.operators import intervals as I
+from pagegraph.operators import merge as K
+from pagegraph.operators import spatial as S
+from pagegraph.sources import readers as R
+from pagegraph.sources import sinks as W
+from pagegraph.streaming import feeds
+
+
+def test_tsv_round_trip(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a b", None), (2, None, 1.5)], "k long, t string, x double")
+    W.write_tsv(df, f"{tmp_path}/t")
+    back = R.read_tsv(spark, f"{tmp_path}/t", "k long, t string, x double", sets={"y": "k * 2"})
+    assert sorted(map(tuple, back.collect())) == [(1, "a b", None, 2), (2, None, 1.5, 4)]
+
+
+def test_pagecounts(spark, tmp_path):
+    with gzip.open(tmp_path / "p.gz", "wt") as f:
+        f.write("en Foo 3 100\nen Bar x 1\nbroken\nde Foo 1 50\n")
+    rows, bad = R.read_pagecounts(spark, f"{tmp_path}/p.gz")
+    assert rows.count() == 2 and bad.count() == 2
+    ids = spark.createDataFrame([("Foo", 7)], "title string, page_id long")
+    assert {r.page_id for r in R.pagecounts_with_ids(rows, ids).collect()} == {7}
+
+
+def test_xml_and_logs(spark, tmp_path):
+    (tmp_path / "d.xml").write_text("<mediawiki><page><title>A</title><ns>0</ns><id>1</id><revision><text>x [[B]]</text></revision></page><page><title>C</title><ns>1</ns><id>2</id><revision><text>y</text></revision></page></mediawiki>")
+    assert [r.title for r in R.read_xml_dump(spark, f"{tmp_path}/d.xml", F.col("ns") == 0).collect()] == ["A"]
+    (tmp_path / "l.log").write_text("10:00 bob saved Foo\nnoise\n10:05 ann saved Bar\n")
+    log = R.read_log(spark, f"{tmp_path}/l.log", r"^(\d\d:\d\d) (\w+) saved (\w+)$", ["at", "who", "title"])
+    assert sorted(map(tuple, log.collect())) == [("10:00", "bob", "Foo"), ("10:05", "ann", "Bar")]
+    assert R.first_file_with(spark, f"{tmp_path}/*.log", "saved").first().file.endswith("l.log")
+
+
+def test_selectors(spark):
+    pages = spark.createDataFrame([(1, "A"), (2, "B"), (3, "AB")], "page_id long, page_title string")
+    links = spark.createDataFrame([(1, 2), (3, 2)], "pl_from long, pl_to long")
+    assert {r.page_id for r in R.select_pages("backlinks", pages, links, 2).collect()} == {1, 3}
+    assert {r.page_id for r in R.select_pages("prefixindex", pages, "A").collect()} == {1, 3}
+    assert {r.page_id for r in R.combined(R.titles(pages, ["A"]), R.links_of(pages, links, 1), R.titles(pages, ["A"])).collect()} == {1, 2}
+    assert R.random_pages(pages, 2, 5).collect() == R.random_pages(pages, 2, 5).collect()
+
+
+def test_sinks(spark, tmp_path):
+    df = spark.createDataFrame([(1, "x")], "k long, t string")
+    assert W.as_json(df, callback="f").first().json == 'f({"k":1,"t":"x"})'
+    assert "<t>x</t>" in W.as_xml(df).first().xml
+    assert "<caption>C</caption>" in W.html_table(df, "C")
+    W.write_json(df.withColumn("h", F.array(F.struct(F.lit(1).alias("a")))), f"{tmp_path}/j")
+    assert spark.read.json(f"{tmp_path}/j").first().h[0].a == 1
+
+
+def test_merges(spark):
+    rows = spark.createDataFrame([(1, 1, "a", None), (1, 2, None, "x"), (1, 3, "c", None), (2, 1, None, None)], "k long, seq long, v string, w string")
+    got = {r.k: (r.v, r.w) for r in K.upsert_last_non_null(rows, ["k"], "seq", ["v", "w"]).collect()}
+    assert got == {1: ("c", "x"), 2: (None, None)}
+    assert {(r.k, r.v) for r in K.insert_ignore(rows, ["k"], "seq").collect()} == {(1, "a"), (2, None)}
+    fresh = rows.where("k = 1 and seq = 3").withColumn("v", F.lit("new"))
+    assert sorted((r.k, r.v or "") for r in K.replace_changed(rows, fresh, fresh, "k").collect()) == [(1, "new"), (2, "")]
+    assert {r.v for r in K.update_case(rows, "seq", "v", {2: "two"}).collect()} == {"a", "two", "c", None}
+
+
+def test_medians_and_runs(spark):
+    df = spark.createDataFrame([("a", x) for x in (5, 1, 3, 3)] + [("b", None)], "g string, v long")
+    assert {r.g: r.median for r in A.upper_median(df, ["g"], "v").collect()} == {"a": 3}
+    assert {r.g: r["mode"] for r in A.mode_with_ties(df, ["g"], "v").collect()} == {"a": 3}
+    runs = spark.createDataFrame([(1, None), (2, None), (3, "x"), (4, None)], "t long, v string").withColumn("g", F.lit(1))
+    assert [r.run for r in sorted(A.breaks(runs, ["g"], ["t"], F.col("v")).collect(), key=lambda r: r.t)] == [1, 1, 2, 3]
+
+
+def test_intervals(spark):
+    t = datetime.datetime(2024, 1, 1)
+    hour = datetime.timedelta(hours=1)
+    a = spark.createDataFrame([(1, "u", t), (2, "v", t)], "a long, k string, s timestamp")
+    b = spark.createDataFrame([(1, "u", t + 32 * hour), (2, "u", t + 33 * hour), (3, "u", t - hour), (4, "u", t)], "b long, k string, e timestamp")
+    assert {r.b for r in I.interval_join(a, b, ["k"], "s", "e", 32).collect()} == {1, 4}
+    rows = a.select(F.col("a").alias("row_id"), "k", "s")
+    near = {r.row_id: r.nearest for r in I.nearest_in_time(rows, b.select("k", "e").where("b <> 4"), "k", "s", "e", 21, 2).collect()}
+    assert near == {1: t - hour, 2: None}
+
+
+def test_polygons(spark):
+    ring = [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (5.0, 5.0), (0.0, 10.0)]
+    polygons = spark.createDataFrame([("bent", [(x, y) for x, y in ring])], "region string, area array<struct<x: double, y: double>>")
+    points = spark.createDataFrame([(1, 2.0, 5.0), (2, 9.0, 5.0), (3, 12.0, 10.0), (4, 60.0, 60.0)], "gc_from long, gc_lat double, gc_lon double")
+    assert {r.gc_from for r in S.containing_regions(points, polygons).collect()} == {1}
+    near = {r.gc_from: r.distance for r in S.nearest_region(points, polygons).collect()}
+    assert near[1] == 0 and near[3] == 2 and 4 not in near and 0 < near[2] < 5
+
+
+def test_streams(spark, tmp_path):
+    base = datetime.datetime(2024, 1, 1)
+    rows = [(i, base + datetime.timedelta(minutes=i), i % 2, k, float(i), f'{{"k": {i}}}') for i, k in enumerate(["purchase", "purchase", "error", "purchase", "view", "purchase"])]
+    spark.createDataFrame(rows, feeds.EVENTS).coalesce(1).write.parquet(f"{tmp_path}/e")
+    stream = feeds.event_stream(spark, f"{tmp_path}/e")
+    got = {r.user_id: r.uploads for r in feeds.run_to_end(feeds.notify_list(stream), "notify", "update").collect()}
+    assert got == {0: 0, 1: 3}
+    routed = feeds.route(spark.createDataFrame(rows, feeds.EVENTS), [("low", '"k": 1'), ("all", "k")])
+    assert routed.where("channel = 'low'").count() == 1 and routed.where("channel = 'all'").count() == 6
+    q = feeds.sync(stream.select("event_id", "value"), f"{tmp_path}/out", "event_id", f"{tmp_path}/c")
+    q.awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/out/v0").count() == 6
+
+
+def test_entry(spark):
+    import __spark_entry__ as e
+
+    assert e.entry(spark).columns == ["norm", "dab_pages", "missing_cnt", "missing"]
+    assert set(e.oracle_sql()) <= set(e.queries())
