@@ -7,9 +7,9 @@ from __future__ import annotations
 
 
 def _all():
-    from . import activity, aggregates, geo, graph, merges, scalars, streams, text
+    from . import activity, aggregates, geo, graph, merges, more, scalars, streams, text
 
-    return [m.catalogue for m in (graph, aggregates, merges, activity, geo, scalars, text, streams)]
+    return [m.catalogue for m in (graph, aggregates, merges, activity, geo, scalars, text, more, streams)]
 
 
 def queries() -> dict:

@@ -112,8 +112,11 @@ def geolink(url: Column) -> Column:
 
 
 def emit(lat: Column, lon: Column, kind: Column, region: Column) -> Column:
-    """The params string of a place."""
-    return F.concat_ws(
-        "_", F.concat(F.format_number(F.abs(lat), "0.#####"), F.when(lat < 0, "_S").otherwise("_N")), F.concat(F.format_number(F.abs(lon), "0.#####"), F.when(lon < 0, "_W").otherwise("_E")),
-        F.when(kind.isNotNull(), F.concat(F.lit("type:"), kind)), F.when(region.isNotNull(), F.concat(F.lit("region:"), region)),
-    )
+    """The params string of a place, to five decimal places."""
+
+    def side(x, plus, minus):
+        digits_ = F.regexp_replace(F.format_string("%.5f", F.abs(x)), r"\.?0+$", "")
+        return F.concat(digits_, F.when(x < 0, minus).otherwise(plus))
+
+    parts = [side(lat, "_N", "_S"), side(lon, "_E", "_W"), F.when(kind.isNotNull(), F.concat(F.lit("type:"), kind)), F.when(region.isNotNull(), F.concat(F.lit("region:"), region))]
+    return F.concat_ws("_", *parts)

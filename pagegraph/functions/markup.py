@@ -322,8 +322,8 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 
 @F.pandas_udf(_TEXT)
 def text_diff(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Changed lines, those that went with - and those that came with +."""
-    return pd.Series(["\n".join(x for x in difflib.ndiff((s or "").splitlines(), (t or "").splitlines()) if x[:1] in "+-") for s, t in zip(a, b, strict=True)])
+    """A unified diff without context lines; empty where nothing changed."""
+    return pd.Series(["\n".join([*difflib.unified_diff((s or "").splitlines(), (t or "").splitlines(), n=0, lineterm="")][2:]) for s, t in zip(a, b, strict=True)])
 
 
 @F.pandas_udf(_TEXT)

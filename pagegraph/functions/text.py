@@ -207,3 +207,56 @@ def red_sentence(articles: Column, templates: Column, deletions: Column) -> Colu
 def member_action(exists: Column, renamed: Column, edits: Column, blocked: Column, idle_days: Column) -> Column:
     """What a member list should do about a user."""
     return F.when(~exists, "remove").when(renamed.isNotNull(), "rename").when(blocked, "mark blocked").when(edits == 0, "zero edits").when(edits == 1, "single edit").when(idle_days > 365, "mark inactive").otherwise("keep")
+
+
+def contains_phrase(t: Column, phrase: str) -> Column:
+    """Whether the words of a phrase stand consecutively, whatever their case."""
+    words = F.array_join(F.regexp_extract_all(F.lower(t), F.lit(r"([\p{L}\p{N}]+)"), 1), " ")
+    return F.contains(F.concat(F.lit(" "), words, F.lit(" ")), F.lit(f" {' '.join(phrase.lower().split())} "))
+
+
+def token_hits(docs: DataFrame, key: str, text: str, tokens: list[str]) -> DataFrame:
+    """(key, hits): how many of the tokens a text holds; texts without any have no row."""
+    wanted = F.array(*[F.lit(x.lower()) for x in tokens])
+    own = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), 1)
+    return docs.select(key, F.size(F.array_intersect(own, wanted)).cast("long").alias("hits")).where("hits > 0")
+
+
+def claim_years(json: Column) -> Column:
+    """struct(birth, death, description) of an item's JSON: the first claims of P569 and P570, in years."""
+    kind = "claims struct<P569: array<struct<time: string>>, P570: array<struct<time: string>>>, description string"
+    j = F.from_json(json, kind)
+
+    def year(claims):
+        return F.regexp_extract(F.try_element_at(claims, F.lit(1))["time"], r"^[+-]?(\d{4})", 1).try_cast("int")
+
+    return F.struct(year(j["claims"]["P569"]).alias("birth"), year(j["claims"]["P570"]).alias("death"), j["description"].alias("description"))
+
+
+def time_ago(then: Column, now: Column) -> Column:
+    """5 seconds, 3 minutes, 2 hours or 9 days, whole units, at least zero."""
+    s = F.greatest(F.lit(0), F.unix_timestamp(now) - F.unix_timestamp(then))
+    n = F.when(s < 60, s).when(s < 3600, F.floor(s / 60)).when(s < 86400, F.floor(s / 3600)).otherwise(F.floor(s / 86400)).cast("long")
+    unit = F.when(s < 60, "second").when(s < 3600, "minute").when(s < 86400, "hour").otherwise("day")
+    return F.concat(n.cast("string"), F.lit(" "), unit, F.when(n == 1, "").otherwise("s"))
+
+
+def gradient(share: Column) -> Column:
+    """A colour from red (0) over yellow to green (1)."""
+    red, green = F.round(255 * F.least(F.lit(1.0), 2 - 2 * share)).cast("int"), F.round(255 * F.least(F.lit(1.0), 2 * share)).cast("int")
+    return F.concat(F.lit("#"), F.lpad(F.lower(F.hex(red)), 2, "0"), F.lpad(F.lower(F.hex(green)), 2, "0"), F.lit("00"))
+
+
+def quoted(t: Column) -> Column:
+    """A string literal for SQL or scripts: backslashes, quotes and line ends escaped."""
+    return F.concat(F.lit("'"), chain(t, (r"\\", r"\\\\"), ("'", r"\\'"), ("\n", r"\\n")), F.lit("'"))
+
+
+def long_comments(t: Column) -> Column:
+    """Hidden comments of under 250 characters stay, longer ones go."""
+    return F.regexp_replace(t, r"(?s)<!--(?:(?!-->).){250,}?-->", "")
+
+
+def without_auto_sections(t: Column) -> Column:
+    """Edit summaries without their section mark."""
+    return F.trim(F.regexp_replace(t, r"/\*.*?\*/", ""))
