@@ -47,7 +47,7 @@ from .words import texts
 
 GRAM = 16
 HASH_BITS = np.uint64(40)
-SLICE = 1 << 23
+SLICE = 1 << 15  # places worked on at a time: arrays stay in the processor's cache
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -93,36 +93,42 @@ class Batch:
         self.ids, self.ends, self.length = np.frombuffer(ids, np.int64), np.frombuffer(ends, np.int64), length
         self.blob = zstandard.ZstdDecompressor().decompress(blob, max_output_size=max(1, int(self.ends[-1])))
         self.starts = np.concatenate(([0], self.ends[:-1]))
-        self.hash, self.place = anchors(self.blob, length)
-        n = len(self.hash)
-        self.doc = np.repeat(np.arange(len(self.ends)), self.ends - self.starts)[:n]
-        self.whole = np.arange(n) + length <= self.ends[self.doc]
+        hashes, place = anchors(self.blob, length)
+        new = np.ones(len(place), bool)
+        np.not_equal(place[1:], place[:-1], out=new[1:])
+        for edge in (self.starts, self.ends - length + 1):  # where windows begin or cease to lie in one document
+            new[edge[(edge >= 0) & (edge < len(new))]] = True
+        # Runs of windows with one anchor in one document: hash, document, first window, window after the last.
+        first = np.flatnonzero(new)
+        stop = np.append(first[1:], len(new))
+        doc = np.searchsorted(self.ends, first, side="right")
+        whole = first + length <= self.ends[np.minimum(doc, len(self.ends) - 1)]
+        self.first, self.stop, self.doc, self.hash = first[whole], stop[whole], doc[whole], hashes[first[whole]]
 
     def anchor_hashes(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct hashes, and whether documents of different ids have them here."""
-        first = self.whole.copy()
-        first[1:] &= (self.place[1:] != self.place[:-1]) | ~self.whole[:-1] | (self.doc[1:] != self.doc[:-1])
-        h, who = self.hash[first], self.ids[self.doc[first]]
-        by = np.lexsort((who, h))
-        h, who = h[by], who[by]
+        who = self.ids[self.doc]
+        by = np.argsort(self.hash, kind="stable")
+        h, who = self.hash[by], who[by]
         start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.empty(0, np.int64)
-        last = np.append(start[1:], len(h)) - 1 if len(h) else start
-        return h[start], who[start] != who[last]
+        if not len(start):
+            return h, np.zeros(0, bool)
+        return h[start], np.minimum.reduceat(who, start) != np.maximum.reduceat(who, start)
 
     def pieces(self, shared: np.ndarray, copies: np.ndarray) -> dict[tuple[int, bytes], list[tuple[int, int]]]:
-        """(anchor hash, bytes) -> (document, start) of each run of windows with an anchor in `shared`; copies send none."""
-        use = self.whole & np.isin(self.hash, shared)
-        use[use] = ~copies[self.doc[use]]
-        at = np.flatnonzero(use)
-        if not len(at):
+        """(anchor hash, bytes) -> (document, start) of each run of windows with an anchor in `shared` (sorted); copies send none."""
+        if not len(shared):
             return {}
-        new = np.concatenate(([True], (np.diff(at) > 1) | (self.place[at[1:]] != self.place[at[:-1]]) | (self.doc[at[1:]] != self.doc[at[:-1]])))
-        first = at[new]
-        last = at[np.append(np.flatnonzero(new)[1:], len(at)) - 1] + self.length
+        near = shared[np.minimum(np.searchsorted(shared, self.hash), len(shared) - 1)]
+        use = np.flatnonzero((near == self.hash) & ~copies[self.doc])
         out: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
-        blob = self.blob
-        for h, d, a, b in zip(self.hash[first].tolist(), self.doc[first].tolist(), first.tolist(), last.tolist(), strict=True):
-            out.setdefault((h, blob[a:b]), []).append((d, a))
+        blob, more = self.blob, self.length - 1
+        for h, d, a, b in zip(self.hash[use].tolist(), self.doc[use].tolist(), self.first[use].tolist(), self.stop[use].tolist(), strict=True):
+            key = (h, blob[a : b + more])
+            if key in out:
+                out[key].append((d, a))
+            else:
+                out[key] = [(d, a)]
         return out
 
 
@@ -174,13 +180,16 @@ class Suffixes:
         return (n < self.length) & (self.text[a + at] < self.text[b + at])
 
     def sort(self, at: np.ndarray) -> np.ndarray:
-        """The places in suffix order: by the leading eight bytes, then mergesort within equal ones, all runs of a level at once."""
-        lead = np.zeros(len(at), np.uint64)
-        for j in range(min(8, self.length)):
-            lead = (lead << np.uint64(8)) | self.text[at + j]
-        by = np.argsort(lead, kind="stable")
-        at, lead = at[by], lead[by]
-        first = np.flatnonzero(np.concatenate(([True], lead[1:] != lead[:-1]))) if len(at) else np.empty(0, np.int64)
+        """The places in suffix order: by the leading 24 bytes, then mergesort within equal ones, all runs of a level at once."""
+        if not len(at):
+            return at
+        word = np.zeros(len(self.text), np.uint64)  # the eight bytes from each place on
+        for j in range(min(8, len(self.text))):
+            word[: len(self.text) - j] |= self.text[j:].astype(np.uint64) << np.uint64(56 - 8 * j)
+        lead = [word[at + j] for j in range(0, max(1, min(24, self.length - 7)), 8)]
+        by = np.lexsort(lead[::-1])
+        at, lead = at[by], [k[by] for k in lead]
+        first = np.flatnonzero(np.concatenate(([True], np.logical_or.reduce([k[1:] != k[:-1] for k in lead]))))
         many = np.diff(np.append(first, len(at)))
         tied = np.repeat(many > 1, many)
         rows = np.flatnonzero(tied)
@@ -227,11 +236,11 @@ class CollisionError(Exception):
     """Two different windows had equal hashes."""
 
 
-def least_owner(text: bytes, starts: np.ndarray, owner: np.ndarray, length: int) -> np.ndarray:
+def least_owner(text: bytes, starts: np.ndarray, owner: np.ndarray, length: int, suffixes: Suffixes | None = None) -> np.ndarray:
     """For each window start the least owner of an equal window."""
     if not len(starts):
         return owner
-    s = Suffixes(np.frombuffer(text, np.uint8), length)
+    s = suffixes or Suffixes(np.frombuffer(text, np.uint8), length)
     try:
         order = np.arange(len(starts))
         back = np.empty(int(starts.max()) + 1, np.int64)
@@ -295,7 +304,8 @@ def _batches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
 def _copies(batches: DataFrame) -> DataFrame:
     """(batch, copies): numbers of a batch's documents whose text a smaller id has."""
     rows = batches.select("batch", F.posexplode(F.arrays_zip("id_list", "digests")).alias("at", "x")).select("batch", "at", F.col("x.id_list").alias("id"), F.col("x.digests").alias("digest"))
-    least = rows.groupBy("digest").agg(F.min("id").alias("least"))
+    # Cut off from the rows, so that the join can split a digest that many documents share.
+    least = rows.groupBy("digest").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("digest", "least").checkpoint()
     return rows.join(least, "digest").where("id > least").groupBy("batch").agg(F.collect_list(F.col("at").cast("int")).alias("copies"))  # at most a batch's documents
 
 
@@ -337,8 +347,8 @@ def _pieces(row: dict, length: int, buckets: int):
     h, _ = b.anchor_hashes()
     bits = {x["bucket"]: x["bits"] for x in row["shared"]}
     shared = [h[at][np.unpackbits(np.frombuffer(bits[k], np.uint8), count=len(at)).astype(bool)] for k, at in in_buckets(h, buckets)]
-    found = b.pieces(np.concatenate(shared), copies)
-    keys = sorted(found)
+    found = b.pieces(np.sort(np.concatenate(shared)), copies)
+    keys = list(found)  # in order of place
     part = in_buckets(np.array([k[0] for k in keys], dtype=np.uint64), buckets)
     return b, copies, [(k, [(keys[i][1], found[keys[i]]) for i in at.tolist()]) for k, at in part]
 
@@ -356,11 +366,12 @@ def _answers(joined: DataFrame, length: int, buckets: int) -> DataFrame:
         for b in batches:
             for row in _rows(b):
                 own, _, part = _pieces(row, length, buckets)
+                ids = own.ids.tolist()
                 pack = zstandard.ZstdCompressor(level=1)
                 yield pa.RecordBatch.from_arrays([
                     pa.array([k for k, _ in part], pa.int64()), pa.array([row["batch"]] * len(part), pa.int64()),
                     pa.array([np.array([len(t) for t, _ in ps], np.int32).tobytes() for _, ps in part], pa.binary()),
-                    pa.array([np.array([min(int(own.ids[d]) for d, _ in where) for _, where in ps], np.int64).tobytes() for _, ps in part], pa.binary()),
+                    pa.array([np.array([min(ids[d] for d, _ in where) for _, where in ps], np.int64).tobytes() for _, ps in part], pa.binary()),
                     pa.array([pack.compress(b"".join(t for t, _ in ps)) for _, ps in part], pa.binary()),
                 ], names=["bucket", "batch", "sizes", "owners", "text"])
 
@@ -370,10 +381,39 @@ def _answers(joined: DataFrame, length: int, buckets: int) -> DataFrame:
         every = np.concatenate(sizes)
         text = b"".join(unpack.decompress(x) for x in t.column("text").to_pylist())
         own = np.concatenate([np.frombuffer(x, np.int64) for x in t.column("owners").to_pylist()])
-        many = every - length + 1
-        starts = np.repeat(np.cumsum(every) - every, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        owner = np.repeat(own, many)
-        smaller = least_owner(text, starts, owner, length) < owner
+        # Batches send equal pieces: each is sorted once, for its least owner.
+        end = np.cumsum(every)
+        number: dict[bytes, int] = {}
+        which = np.array([number.setdefault(text[a:b], len(number)) for a, b in zip((end - every).tolist(), end.tolist(), strict=True)])
+        least = np.full(len(number), NO_ID)
+        np.minimum.at(least, which, own)
+        size = np.array([len(x) for x in number], np.int64)
+        many = size - length + 1
+        window = np.cumsum(many) - many
+        start = np.cumsum(size) - size
+        text = b"".join(number)
+        best = np.repeat(least, many)
+        suffixes = Suffixes(np.frombuffer(text, np.uint8), length)
+        # Equal windows have equal anchors, and with them equal bytes on the anchor's left or on its right:
+        # a window whose side no other piece has needs no comparison.
+        place = anchors(text, length)[1][start]
+        side = (length - GRAM) // 2
+        left, right = place - side >= start, place + GRAM + side <= start + size
+        keys = [np.where(ok, suffixes.hash(np.where(ok, at, 0), GRAM + side), 0) for ok, at in ((left, place - side), (right, place))]
+        met = []
+        for ok, key in zip((left, right), keys, strict=True):
+            _, of, pieces = np.unique(key, return_inverse=True, return_counts=True)
+            met.append(ok & (pieces[of] > 1))
+        mixed = np.flatnonzero(met[0] | met[1])
+        if len(mixed):
+            steps = np.arange(many[mixed].sum()) - np.repeat(np.cumsum(many[mixed]) - many[mixed], many[mixed])
+            rows, starts = np.repeat(window[mixed], many[mixed]) + steps, np.repeat(start[mixed], many[mixed]) + steps
+            use = np.where(np.repeat(place[mixed], many[mixed]) - starts >= side, np.repeat(met[0][mixed], many[mixed]), np.repeat(met[1][mixed], many[mixed]))
+            rows, starts = rows[use], starts[use]
+            best[rows] = least_owner(text, starts, best[rows], length, suffixes)
+        sent = every - length + 1
+        at = np.repeat(window[which], sent) + np.arange(sent.sum()) - np.repeat(np.cumsum(sent) - sent, sent)
+        smaller = best[at] < np.repeat(own, sent)
         cut = np.cumsum([int((s - length + 1).sum()) for s in sizes])[:-1]
         return pa.table({"batch": t.column("batch"), "bucket": t.column("bucket"), "bits": pa.array([np.packbits(x).tobytes() for x in np.split(smaller, cut)], pa.binary())})
 
@@ -384,20 +424,23 @@ def _answers(joined: DataFrame, length: int, buckets: int) -> DataFrame:
 def _removed(row: dict, length: int, buckets: int) -> tuple[Batch, np.ndarray]:
     """A batch and which of its bytes go."""
     b, copies, part = _pieces(row, length, buckets)
-    edge = np.zeros(len(b.blob) + 1, np.int64)
+    ids = b.ids.tolist()
+    window = np.zeros(len(b.blob) + 1, bool)
     bits = {x["bucket"]: x["bits"] for x in row["answers"] or []}
     for k, pieces in part:
-        many = [len(t) - length + 1 for t, _ in pieces]
-        smaller = np.split(np.unpackbits(np.frombuffer(bits[k], np.uint8), count=sum(many)).astype(bool), np.cumsum(many)[:-1])
-        for (_, where), flag in zip(pieces, smaller, strict=True):
-            least = min(int(b.ids[d]) for d, _ in where)
+        flags = np.unpackbits(np.frombuffer(bits[k], np.uint8)).view(bool)
+        at = 0
+        for t, where in pieces:
+            n = len(t) - length + 1
+            least = min(ids[d] for d, _ in where) if len(where) > 1 else ids[where[0][0]]
             for d, start in where:
-                gone = np.arange(start, start + len(flag)) if b.ids[d] > least else start + np.flatnonzero(flag)
-                if len(gone):
-                    cut = np.flatnonzero(np.diff(gone) > 1)
-                    edge[gone[np.concatenate(([0], cut + 1))]] += 1
-                    edge[gone[np.append(cut, len(gone) - 1)] + length] -= 1
-    gone = np.cumsum(edge)[:-1] > 0
+                window[start : start + n] = True if ids[d] > least else flags[at : at + n]
+            at += n
+    edge = np.diff(window.view(np.int8), prepend=0)
+    cover = np.zeros(len(b.blob) + length + 1, np.int32)
+    cover[np.flatnonzero(edge == 1)] += 1
+    cover[np.flatnonzero(edge == -1) + length - 1] -= 1
+    gone = np.cumsum(cover)[: len(b.blob)] > 0
     for d in np.flatnonzero(copies):
         if b.ends[d] - b.starts[d] >= length:
             gone[b.starts[d] : b.ends[d]] = True
