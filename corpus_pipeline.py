@@ -1,4 +1,10 @@
-"""From raw documents to packed sequences, in five stages over Parquet."""
+"""From raw documents to packed sequences, in five stages over Parquet.
+
+Each stage works on all that the one before kept, and all but the last return
+the columns of documents, whatever further columns these have. Defined results
+common to all stages: an empty table stays empty; null ids, repeated ids and
+other columns of any name pass through; null and empty texts are documents.
+"""
 
 from __future__ import annotations
 
@@ -16,27 +22,27 @@ from pagegraph.session import ready_checkpoints, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts."""
+    """Documents that the classifier accepts; repeated rows fare alike; without usable labels all stay."""
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component."""
+    """One document of each near-duplicate component, the least id's; repeated rows become one, empty texts are one component."""
     return keep_one(docs)
 
 
 def repeat_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 50 bytes or more that an earlier document has are cut."""
+    """Passages of 50 bytes or more that a document of smaller id has are cut; every document stays, if with an empty text; null texts stay null."""
     return cut_repeats(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark window."""
+    """Documents without a benchmark window; null and empty ones have none; an empty benchmark drops nothing."""
     return keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the remaining documents and their places in training sequences."""
+    """Pieces of the remaining documents and their places in training sequences; a null or empty text is its separator."""
     return pack_documents(docs, vocabulary())
 
 
