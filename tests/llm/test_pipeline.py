@@ -100,3 +100,26 @@ def test_packing(stages):
 def test_run_equals_stages(spark, stages):
     got = collections.Counter((r.doc_id, r.piece, r.ids_crc32) for r in corpus_pipeline.run(spark, DATA).collect())
     assert got == collections.Counter((r.doc_id, r.piece, r.ids_crc32) for r in stages["packing"][1])
+
+
+def test_edges(spark, tmp_path):
+    """Nulls, empty and repeated rows, clashing column names and empty tables go through every stage."""
+    kind = "doc_id long, text string, lang string, source string, n_chars long, keep boolean, score string, key int, kept int, digest string, id int, c0 int, c1 int"
+    rows = [(1, "plain words of a document that is long enough to hold a window of fifty bytes", None, "s", 5), (1, "plain words of a document that is long enough to hold a window of fifty bytes", None, "s", 5), (2, None, "en", None, None), (3, "", "en", "s", 0), (None, "some other text that no one has", "de", "s", 3), (9, "w " * 4000, "de", "s", 3)]
+    docs = spark.createDataFrame([(*r, True, "x", 1, 2, "d", 3, 4, 5) for r in rows], kind)
+    folder = f"{tmp_path}/d"
+    labels = spark.createDataFrame([(1, None, None)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, None), (2, "")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    counts = {"quality": 6, "near_dedup": 4, "repeat_dedup": 4, "decontamination": 4, "packing": 7}
+    empty = docs.limit(0)
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        for which, df in (("some", docs), ("none", empty)):
+            stage(spark, df, folder).write.parquet(f"{folder}/{which}{k}")
+        docs, empty = spark.read.parquet(f"{folder}/some{k}"), spark.read.parquet(f"{folder}/none{k}")
+        assert empty.count() == 0
+        assert name == "packing" or docs.count() == counts[name]
+        if name != "packing":
+            assert docs.columns == [c.split()[0] for c in kind.split(", ")]
+            assert {(r.doc_id, r.keep, r.key, r.c0) for r in docs.collect()} == {(i, True, 1, 4) for i in ([1, 2, 3, None, 9] if name == "quality" else [1, 2, None, 9])}
+    assert docs.where("doc_id is null").count() == 1
