@@ -61,8 +61,8 @@ def pagecounts_filter(spark, d):
 def large_uploads(spark, d):
     """Large uploads of the last two weeks by users who signed up: size heuristics, relative time, semi-join."""
     e = table(spark, d, "events")
-    last = e.agg(F.max("ts").alias("last"))
-    big = e.where("event_type = 'purchase' and (value > 90 or (value > 50 and user_id < 20))").crossJoin(F.broadcast(last)).where("ts > last - interval 14 days")
+    last = e.agg(F.max("ts")).scalar()
+    big = e.where("event_type = 'purchase' and (value > 90 or (value > 50 and user_id < 20))").where(F.col("ts") > last - F.expr("interval 14 days"))
     return big.join(e.where("event_type = 'signup'").select("user_id"), "user_id", "left_semi").select("event_id", "user_id", "value")
 
 
@@ -73,7 +73,7 @@ def user_activity(spark, d):
     """The activity report and what a member list should do."""
     o = table(spark, d, "orders")
     per = o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("edits"), F.max("o_orderdate").alias("last"))
-    c = table(spark, d, "customer").join(per, "c_custkey", "left").crossJoin(F.broadcast(o.agg(F.max("o_orderdate").alias("today"))))
+    c = table(spark, d, "customer").join(per, "c_custkey", "left").withColumn("today", o.agg(F.max("o_orderdate")).scalar())
     renamed = F.when(F.col("c_mktsegment") == "MACHINERY", F.concat("c_name", F.lit("_new")))
     edits = F.coalesce("edits", F.lit(0))
     action = T.member_action(F.lit(True), renamed, edits, F.col("c_acctbal") < 0, F.datediff("today", "last"))
@@ -92,8 +92,8 @@ select user_id, cast(sum(n) filter (day > last - interval 7 day) as bigint) as w
 def activity_windows(spark, d):
     """Edits of the last week and in all, per user."""
     w = table(spark, d, "events").groupBy("user_id", F.date_trunc("day", "ts").alias("day")).agg(F.count("*").alias("n"))
-    last = table(spark, d, "events").agg(F.date_trunc("day", F.max("ts")).alias("last"))
-    return w.crossJoin(F.broadcast(last)).groupBy("user_id").agg(F.sum(F.when(F.col("day") > F.col("last") - F.expr("interval 7 days"), F.col("n"))).alias("week"), F.sum("n").alias("total"))
+    last = table(spark, d, "events").agg(F.date_trunc("day", F.max("ts"))).scalar()
+    return w.withColumn("last", last).groupBy("user_id").agg(F.sum(F.when(F.col("day") > F.col("last") - F.expr("interval 7 days"), F.col("n"))).alias("week"), F.sum("n").alias("total"))
 
 
 @query("select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events")

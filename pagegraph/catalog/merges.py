@@ -86,7 +86,7 @@ def update_regexp(spark, d):
 
 @query("with m as (select max(o_orderdate) as last from orders) select o_orderkey, date_diff('day', cast(o_orderdate as date), cast(last as date)) as age_days from orders, m where o_orderdate > last - interval 30 day")
 def session_variable(spark, d):
-    """A scalar of one query as a literal bound of the next: here a one-row join."""
+    """A scalar of one query as a bound of the next."""
     o = table(spark, d, "orders")
-    last = o.agg(F.max("o_orderdate").alias("last"))
-    return o.crossJoin(F.broadcast(last)).where("o_orderdate > last - interval 30 days").select("o_orderkey", F.datediff("last", "o_orderdate").cast("long").alias("age_days"))
+    last = o.agg(F.max("o_orderdate")).scalar()
+    return o.where(F.col("o_orderdate") > last - F.expr("interval 30 days")).select("o_orderkey", F.datediff(last, "o_orderdate").cast("long").alias("age_days"))

@@ -9,7 +9,10 @@ from ..functions import geo as G
 from ..functions import markup as H
 from ..functions import text as T
 from ..functions import titles as N
+from ..functions import urls as U
 from ..operators import aggregates as A
+from ..operators import intervals as I
+from ..operators import predicates as P
 from ..session import table
 from ..sources import model as M
 from ..sources.model import with_model
@@ -198,8 +201,8 @@ def running_share(spark, d):
     per = c.groupBy("n").agg(F.count("*").alias("users"), F.sum("n").alias("edits"))  # one row for each count
     w = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
     steps = per.select("n", F.coalesce(F.sum("edits").over(w), F.lit(0)).alias("above"))
-    total = per.agg(F.sum("edits").alias("total"))
-    inside = c.join(F.broadcast(steps.crossJoin(F.broadcast(total))), "n").where("above < total div 10")
+    total = per.agg(F.sum("edits")).scalar()
+    inside = c.join(steps, "n").withColumn("total", total).where("above < total div 10")
     placed = inside.withColumn("place", F.row_number().over(Window.partitionBy("n").orderBy("o_custkey")))
     return placed.where("above + n * place <= total div 10").select("o_custkey", "n", F.round(100.0 * F.col("n") / F.col("total"), 6).alias("share"))
 
@@ -216,3 +219,57 @@ def rank_pivot(spark, d):
 def distinct_lists(spark, d):
     c = table(spark, d, "customer")
     return c.groupBy("c_nationkey").agg(F.countDistinct("c_mktsegment").alias("kinds"), A.concat_distinct(F.col("c_mktsegment"), ", ").alias("names"))
+
+
+@query("""select o_orderkey from orders where o_orderstatus = 'F' and not (o_totalprice < 50000) and o_orderpriority like '1-%' and list_contains(string_split(o_orderpriority || ',' || o_orderstatus, ','), 'F')""")
+def built_predicates(spark, d):
+    """Conditions added one by one, some negated, some left out."""
+    o = table(spark, d, "orders").withColumn("tags", F.concat("o_orderpriority", F.lit(","), "o_orderstatus"))
+    w = P.Where().option("F", lambda v: F.col("o_orderstatus") == v).add(F.col("o_totalprice") < 50000, negate=True).option(None, lambda v: F.col("o_custkey") == v)
+    w.add(F.col("o_orderpriority").startswith("1-")).add(P.tagged("tags", "F"))
+    return w.apply(o).select("o_orderkey")
+
+
+@query("""with w as (select event_id as window_id, ts as a, ts + interval 2 hour as b from events where event_type = 'signup' and value > 95) select window_id, event_id from w join events on ts between a and b""")
+def changes_in_windows(spark, d):
+    """Events in windows of time, by day."""
+    e = table(spark, d, "events")
+    w = e.where("event_type = 'signup' and value > 95").select(F.col("event_id").alias("window_id"), F.col("ts").alias("a"), (F.col("ts") + F.expr("interval 2 hours")).alias("b"))
+    return I.window_join(e.select("event_id", "ts"), w, "ts", "a", "b").select("window_id", "event_id")
+
+
+@query(with_model("page", then=r"""select page_id, true as by_case, contains(page_title, '_(') as by_qualifier from page"""))
+def redirect_bypass(spark, d):
+    """Redirects that differ from their targets in case or in a qualifier."""
+    t = F.col("page_title")
+    return M.page(spark, d).select("page_id", T.bypasses(F.lower(t), t).alias("by_case"), T.bypasses(N.without_qualifier(t), t).alias("by_qualifier"))
+
+
+@query("""select n_nationkey, 'see [http://x.org/' || n_nationkey || ' A] {{dead link|date=May 2001}}' as tagged, 'see A' as unlinked, 'see [http://a.org/z A]' as archived from nation""")
+def edit_actions(spark, d):
+    """Edits of a link: tagged, unlinked and archived."""
+    n = table(spark, d, "nation").withColumn("u", F.concat(F.lit("http://x.org/"), F.col("n_nationkey").cast("string"))).withColumn("t", F.concat(F.lit("see ["), "u", F.lit(" A]")))
+
+    def act(kind, value):
+        return H.apply_action(F.col("t"), F.lit(kind), F.col("u"), F.lit(value))
+
+    return n.select("n_nationkey", act("tag", "May 2001").alias("tagged"), act("unlink", "").alias("unlinked"), act("archive", "http://a.org/z").alias("archived"))
+
+
+@query("""select n_nationkey, 'B <nowiki>a</nowiki> [[a]] B' as replaced from nation""")
+def protected_replacement(spark, d):
+    """A replacement outside protected spans."""
+    n = table(spark, d, "nation")
+    return n.select("n_nationkey", H.replace_except("a", "B", ("nowiki", "link"))(F.concat(F.lit("a <nowiki>a</nowiki> [[a]] a"), F.substring("n_name", 1, 0))).alias("replaced"))
+
+
+@query(r"""select page_id, trim(regexp_replace(regexp_extract(html, '(?s)<div class="ad">(.*?)</div>', 1), '\s+', ' ', 'g')) as text from pages""")
+def class_texts(spark, d):
+    """The text of all elements of a class."""
+    return H.class_texts(table(spark, d, "pages"), "ad").select("page_id", "text")
+
+
+@query(with_model("page", then="""select 'https://x.org/wiki/' || replace(replace(page_title, '#', '%23'), '?', '%3F') as url from page where is_dab"""))
+def exported_urls(spark, d):
+    """Disambiguation pages as URLs."""
+    return M.page(spark, d).where("is_dab").select(F.concat(F.lit("https://x.org/wiki/"), U.encoded_title(F.col("page_title"))).alias("url"))

@@ -471,3 +471,26 @@ def apply_action(text: pd.Series, action: pd.Series, needle: pd.Series, value: p
         else:
             out.append(t)
     return pd.Series(out)
+
+
+def class_texts(pages: DataFrame, name: str, key: str = "page_id", source: str = "html") -> DataFrame:
+    """(key, node, text): all text below each element of a class, at any depth."""
+    nodes = node_rows(pages, key, source)
+    kind = pages.schema[key].dataType.simpleString()
+
+    def collect(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node")
+        inside: dict[int, int] = {}
+        parts: dict[int, list[str]] = {}
+        for node, parent, attributes, text in zip(pdf["node"], pdf["parent"], pdf["attributes"], pdf["text"], strict=True):
+            above = inside.get(parent)
+            own = name in dict(attributes).get("class", "").split()
+            if above is not None or own:
+                inside[node] = node if above is None else above
+                parts.setdefault(inside[node], [])
+                if text:
+                    parts[inside[node]].append(text)
+        rows = [(pdf[key].iloc[0], n, " ".join(" ".join(p).split())) for n, p in parts.items()]
+        return pd.DataFrame(rows, columns=[key, "node", "text"])
+
+    return nodes.groupBy(key).applyInPandas(collect, f"{key} {kind}, node int, text string")  # a group is one page

@@ -260,3 +260,14 @@ def long_comments(t: Column) -> Column:
 def without_auto_sections(t: Column) -> Column:
     """Edit summaries without their section mark."""
     return F.trim(F.regexp_replace(t, r"/\*.*?\*/", ""))
+
+
+def bypasses(link: Column, target: Column) -> Column:
+    """Whether a redirect may be replaced by its target: equal names but for case, marks, a qualifier or one middle name."""
+
+    def bare(t):
+        return F.lower(F.regexp_replace(F.regexp_replace(t, r"[_ ]\([^)]*\)$", ""), r"[^\p{L}\p{N} _]", ""))
+
+    a, b = F.replace(bare(link), F.lit("_"), F.lit(" ")), F.replace(bare(target), F.lit("_"), F.lit(" "))
+    middle = F.regexp_replace(b, r"^(\S+) \S+ (\S+)$", "$1 $2")
+    return (a == b) | ((a == middle) & (b != middle))

@@ -38,8 +38,10 @@ def first_k(value: Column, order: Column, k: int) -> Column:
 
 def share_of_total(rows: DataFrame, keys: list[str], value: str, name: str = "share") -> DataFrame:
     """Each row's percentage of its group's total, to six places."""
-    total = rows.groupBy(*keys).agg(F.sum(value).alias("_t")) if keys else rows.agg(F.sum(value).alias("_t"))
-    joined = rows.join(total, keys) if keys else rows.crossJoin(total)  # one row on the right
+    if keys:
+        joined = rows.join(rows.groupBy(*keys).agg(F.sum(value).alias("_t")), keys)
+    else:
+        joined = rows.withColumn("_t", rows.agg(F.sum(value)).scalar())
     return joined.withColumn(name, F.round(F.col(value) * 100.0 / F.col("_t"), 6)).drop("_t")
 
 
