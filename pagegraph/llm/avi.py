@@ -200,6 +200,134 @@ def decode_frames(frames: list[bytes]) -> np.ndarray:
     return np.ascontiguousarray(out.T)
 
 
+_ZIGZAG = np.array(sorted(range(64), key=lambda k: (k // 8 + k % 8, k // 8 if (k // 8 + k % 8) % 2 else k % 8)))
+_COSINE = np.array([[np.sqrt((1 if u else 0.5) / 4) * np.cos((2 * x + 1) * u * np.pi / 16) for x in range(8)] for u in range(8)])
+
+
+class _Bits:
+    """Bits of one restart interval, first bit first; past its end come ones."""
+
+    def __init__(self, data: bytes):
+        self.data, self.at, self.held, self.word = data, 0, 0, 0
+
+    def need(self, n: int) -> None:
+        while self.held < n:
+            self.word = ((self.word & ((1 << self.held) - 1)) << 8) | (self.data[self.at] if self.at < len(self.data) else 255)
+            self.at, self.held = self.at + 1, self.held + 8
+
+    def symbol(self, tree: dict[tuple[int, int], int]) -> int:
+        code = 0
+        for n in range(1, 17):
+            self.need(1)
+            self.held -= 1
+            code = (code << 1) | ((self.word >> self.held) & 1)
+            if (n, code) in tree:
+                return tree[n, code]
+        raise ValueError("no such code word")
+
+    def value(self, n: int) -> int:
+        if not n:
+            return 0
+        self.need(n)
+        self.held -= n
+        v = (self.word >> self.held) & ((1 << n) - 1)
+        return v if v >> (n - 1) else v - (1 << n) + 1
+
+
+def decode_luma(frame: bytes) -> np.ndarray:
+    """(height, width) luma of any baseline JPEG frame: grey or of three components, with or without restart markers."""
+    if frame[:2] != b"\xff\xd8":
+        raise ValueError("not a JPEG frame")
+    at, quant, trees, parts, every, high, wide = 2, {}, {}, [], 0, 0, 0
+    while True:
+        if at + 4 > len(frame) or frame[at] != 0xFF:
+            raise ValueError("broken markers")
+        marker, size = frame[at + 1], struct.unpack_from(">H", frame, at + 2)[0]
+        body = frame[at + 4 : at + 2 + size]
+        at += 2 + size
+        if marker == 0xDB:
+            k = 0
+            while k < len(body):
+                wide_numbers, n = body[k] >> 4, body[k] & 15
+                quant[n] = np.frombuffer(body, ">u2" if wide_numbers else "u1", 64, k + 1).astype(np.float64)
+                k += 1 + 64 * (2 if wide_numbers else 1)
+        elif marker in (0xC0, 0xC1):
+            bits, high, wide, n = struct.unpack_from(">BHHB", body)
+            if bits != 8:
+                raise ValueError("only samples of 8 bits can be read")
+            parts = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)]
+        elif 0xC2 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
+            raise ValueError("only baseline frames can be read")
+        elif marker == 0xC4:
+            k = 0
+            while k < len(body):
+                counts, tree, code, v = body[k + 1 : k + 17], {}, 0, k + 17
+                for n, many in enumerate(counts, 1):
+                    for _ in range(many):
+                        tree[n, code] = body[v]
+                        code, v = code + 1, v + 1
+                    code <<= 1
+                trees[body[k]], k = tree, v
+        elif marker == 0xDD:
+            every = struct.unpack(">H", body[:2])[0]
+        elif marker == 0xDA:
+            tables = {body[1 + 2 * i]: (body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15) for i in range(body[0])}
+            break
+    if not parts or not high or not wide:
+        raise ValueError("no frame header")
+    top_h, top_v = max(p[1] for p in parts), max(p[2] for p in parts)
+    if len(parts) == 1:
+        parts, top_h, top_v = [(parts[0][0], 1, 1, parts[0][3])], 1, 1
+    across, down = -(-wide // (8 * top_h)), -(-high // (8 * top_v))
+    scan = frame[at : len(frame) - 2 if frame.endswith(b"\xff\xd9") else len(frame)]
+    cuts, k = [0], 0
+    while (k := scan.find(b"\xff", k)) >= 0:
+        if k + 1 < len(scan) and 0xD0 <= scan[k + 1] <= 0xD7:
+            cuts += [k, k + 2]
+        k += 2
+    cuts.append(len(scan))
+    pieces = [scan[a:b].replace(b"\xff\0", b"\xff") for a, b in zip(cuts[::2], cuts[1::2], strict=True)]
+    _, h, v, q = parts[0]
+    luma = np.zeros((down * v, across * h, 64))
+    bits, before = _Bits(pieces[0]), [0] * len(parts)
+    for mcu in range(across * down):
+        if every and mcu and mcu % every == 0:
+            if mcu // every >= len(pieces):
+                raise ValueError("a frame ends early")
+            bits, before = _Bits(pieces[mcu // every]), [0] * len(parts)
+        for i, (name, ph, pv, _) in enumerate(parts):
+            dc, ac = trees[tables[name][0]], trees[16 + tables[name][1]]
+            for block in range(ph * pv):
+                before[i] += bits.value(bits.symbol(dc))
+                row, k = np.zeros(64), 1
+                row[0] = before[i]
+                while k < 64:
+                    s = bits.symbol(ac)
+                    if not s:
+                        break
+                    k += s >> 4
+                    if s & 15:
+                        if k > 63:
+                            raise ValueError("a block is too long")
+                        row[k] = bits.value(s & 15)
+                    k += 1
+                if i == 0:
+                    luma[mcu // across * v + block // h, mcu % across * h + block % h] = row
+    whole = np.zeros_like(luma)
+    whole[..., _ZIGZAG] = luma * quant[q]
+    pixels = np.einsum("ux,rcuv,vy->rcxy", _COSINE, whole.reshape(*whole.shape[:2], 8, 8), _COSINE)
+    flat = pixels.transpose(0, 2, 1, 3).reshape(luma.shape[0] * 8, luma.shape[1] * 8)
+    return np.clip(np.floor(flat + 128.5), 0, 255).astype(np.uint8)[:high, :wide]
+
+
+def decode_any(frames: list[bytes]) -> np.ndarray:
+    """(frames, samples) of any baseline motion-JPEG: flat frames of one writer side by side, others one by one."""
+    try:
+        return decode_frames(frames)
+    except (ValueError, KeyError, StopIteration):
+        return np.stack([decode_luma(f).ravel() for f in frames])
+
+
 def histogram_steps(samples: np.ndarray, bins: int = 32) -> np.ndarray:
     """Share of samples that change bins between each frame and the one before (0 for the first)."""
     n = len(samples)
@@ -250,6 +378,29 @@ _KIND = {
 }
 
 
+def clip_rows(files: DataFrame, id_col: str, media_col: str = "media") -> DataFrame:
+    """Timed clip rows of AVI files: id, shot, start_s, end_s, motion, error. A null or unreadable file has one row that says why."""
+    bounded_batches(files.sparkSession, 64)
+    names = ["id", "shot", "start_s", "end_s", "motion", "error"]
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for key, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                try:
+                    frames, second = read_avi(data or b"")
+                    steps = histogram_steps(decode_any(frames))
+                    cuts = shots(steps) if frames else []
+                    out += [(key, i, round(a * second, 6), round(e * second, 6), float(steps[a:e].mean()), None) for i, (a, e) in enumerate(zip(cuts, [*cuts[1:], len(frames)], strict=True))]
+                except (ValueError, KeyError, IndexError, struct.error) as e:
+                    out.append((key, None, None, None, None, str(e)))
+            kinds = [b.schema.field(0).type, pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
+
+    few = files.select(files[id_col].alias("id"), files[media_col].alias("media"))
+    return few.mapInArrow(run, f"id {files.schema[id_col].dataType.simpleString()}, shot long, start_s double, end_s double, motion double, error string").withColumnRenamed("id", id_col)
+
+
 def store_as_avi(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", media: bool = False, group: int = 128) -> DataFrame:
     """One row per document: sizes, digests, features and timed clips; with media=True also the file. No shuffle."""
     bounded_batches(docs.sparkSession)

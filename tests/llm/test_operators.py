@@ -336,6 +336,88 @@ def test_avi_without_index_and_shots():
         avi.read_avi(b"nothing")
 
 
+def small_jpeg(width, height, parts, blocks, every=0):
+    """A baseline JPEG of given coefficients. parts: (h, v) of each component; blocks: lists of 64 numbers in MCU order."""
+    ac = [0, 0xF0, *(r << 4 | n for r in range(16) for n in range(1, 9))]
+    out = bytearray(b"\xff\xd8" + avi._segment(0xDB, b"\0" + bytes([3] * 64)) + avi._segment(0xC0, bytes([8]) + height.to_bytes(2, "big") + width.to_bytes(2, "big") + bytes([len(parts)]) + b"".join(bytes([i + 1, h << 4 | v, 0]) for i, (h, v) in enumerate(parts))))
+    out += avi._segment(0xC4, b"\0" + bytes([0, 0, 0, 12] + [0] * 12) + bytes(range(12))) + avi._segment(0xC4, b"\x10" + bytes([0] * 7 + [len(ac)] + [0] * 8) + bytes(ac))
+    if every:
+        out += avi._segment(0xDD, every.to_bytes(2, "big"))
+    out += avi._segment(0xDA, bytes([len(parts)]) + b"".join(bytes([i + 1, 0]) for i in range(len(parts))) + b"\0\x3f\0")
+    order = [i for i, (h, v) in enumerate(parts) for _ in range(h * v)]
+    bits, before = "", [0] * len(parts)
+
+    def number(v):
+        n = abs(v).bit_length()
+        return n, format(v if v > 0 else v + (1 << n) - 1, f"0{n}b") if n else ""
+
+    def flush():
+        padded = bits + "1" * (-len(bits) % 8)
+        return int(padded, 2).to_bytes(len(padded) // 8, "big").replace(b"\xff", b"\xff\0") if padded else b""
+
+    for k, block in enumerate(blocks):
+        if every and k and k % (every * len(order)) == 0:
+            out += flush() + bytes([0xFF, 0xD0 + (k // (every * len(order)) - 1) % 8])
+            bits, before = "", [0] * len(parts)
+        i = order[k % len(order)]
+        n, extra = number(block[0] - before[i])
+        before[i] = block[0]
+        bits += format(n, "04b") + extra
+        run = 0
+        for c in block[1:]:
+            if not c:
+                run += 1
+                continue
+            while run > 15:
+                bits += format(ac.index(0xF0), "08b")
+                run -= 16
+            n, extra = number(c)
+            bits += format(ac.index(run << 4 | n), "08b") + extra
+            run = 0
+        if run:
+            bits += format(0, "08b")
+    return bytes(out + flush() + b"\xff\xd9")
+
+
+def plain_block(block):
+    """Pixels of one block by the sums of the standard."""
+    f = np.zeros((8, 8))
+    for k, c in enumerate(block):
+        f[divmod(int(avi._ZIGZAG[k]), 8)] = c * 3
+    x = np.arange(8)
+    out = np.zeros((8, 8))
+    for v in range(8):
+        for u in range(8):
+            scale = (0.5**0.5 if u == 0 else 1) * (0.5**0.5 if v == 0 else 1) / 4
+            out += scale * f[v, u] * np.outer(np.cos((2 * x + 1) * v * np.pi / 16), np.cos((2 * x + 1) * u * np.pi / 16))
+    return np.clip(np.floor(out + 128.5), 0, 255)
+
+
+@pytest.mark.parametrize(("parts", "every"), [([(1, 1)], 0), ([(2, 2), (1, 1), (1, 1)], 0), ([(2, 1), (1, 1), (1, 1)], 1), ([(1, 1)], 2)])
+def test_any_baseline_frame(parts, every):
+    rng = random.Random(4)
+    h, v = parts[0] if len(parts) > 1 else (1, 1)
+    across, down, per = 2, 2, sum(a * b for a, b in parts)
+    blocks = [[rng.randrange(-40, 41)] + [rng.choice([0] * 9 + [rng.randrange(-60, 61)]) for _ in range(63)] for _ in range(across * down * per)]
+    width, height = across * 8 * h - 3, down * 8 * v - 5
+    got = avi.decode_luma(small_jpeg(width, height, parts, blocks, every))
+    want = np.zeros((down * 8 * v, across * 8 * h))
+    for mcu in range(across * down):
+        for b in range(h * v):
+            y, x = (mcu // across * v + b // h) * 8, (mcu % across * h + b % h) * 8
+            want[y : y + 8, x : x + 8] = plain_block(blocks[mcu * per + b])
+    assert got.shape == (height, width) and (np.abs(got - want[:height, :width]) <= 1).all()
+
+
+def test_clip_rows(spark):
+    dark, light = [[-100] + [0] * 62 + [5]] * 4, [[100] + [0] * 62 + [5]] * 4
+    film = avi.write_avi([small_jpeg(16, 16, [(1, 1)], b) for b in [dark] * 3 + [light] * 3])
+    files = spark.createDataFrame([(1, film), (2, b"junk"), (3, None), (4, avi.write_avi([]))], "id long, media binary").withColumn("shot", F.lit("x"))
+    got = [tuple(r) for r in avi.clip_rows(files, "id").collect()]
+    assert [r[:4] for r in got if r[0] == 1] == [(1, 0, 0.0, 0.12), (1, 1, 0.12, 0.24)]
+    assert all(r[5] for r in got if r[0] in (2, 3)) and not [r for r in got if r[0] == 4 and r[5] is None and r[1] is not None]
+
+
 def test_avi_query(corpus):
     rows = avi.store_as_avi(corpus).collect()
     assert len(rows) == corpus.count()
