@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import bounded_batches
+from ..session import bounded_batches, ready_checkpoints
 from .words import FOLD, texts
 
 SHINGLE = 3
@@ -116,13 +116,14 @@ class Index:
         return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_bytes: int) -> list[Index]:
-    """One index a block. A block's text is bounded by block_bytes, give or take the hash's spread and one item."""
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_bytes: int) -> list:
+    """A broadcast index of each block. A block's text is bounded by block_bytes, give or take the hash's spread and one item; the driver holds one block at a time."""
+    sc = benchmark.sparkSession.sparkContext
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where("item is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // block_bytes) or 1
     part = items.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(n)))
-    return [Index([(r.item, r.text.encode()) for r in part.where(F.col("block") == i).collect()], window) for i in range(n)]
+    return [sc.broadcast(Index([(r.item, r.text.encode()) for r in part.where(F.col("block") == i).collect()], window)) for i in range(n)]
 
 
 def _load(shared, n: int, i: int):
@@ -146,9 +147,9 @@ def _indexes(few: DataFrame, benchmark: DataFrame, item_col: str, window: int, b
     """Broadcasts of the benchmark's blocks, their windows' prefix tokens chosen by counts over all documents (column text)."""
     spark = few.sparkSession
     bounded_batches(spark)
-    blocks = _blocks(benchmark, item_col, "text", window, block_bytes)
-    n = len(blocks)
-    raw = [spark.sparkContext.broadcast(b) for b in blocks]
+    ready_checkpoints(spark)
+    raw = _blocks(benchmark, item_col, "text", window, block_bytes)
+    n = len(raw)
 
     def count(batches):
         totals: dict[tuple[int, int], np.ndarray] = {}
@@ -165,13 +166,13 @@ def _indexes(few: DataFrame, benchmark: DataFrame, item_col: str, window: int, b
             at = np.flatnonzero(got)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i)), pa.array(np.full(len(at), k)), pa.array(at), pa.array(got[at])], names=["block", "k", "code", "n"])
 
-    counts = few.select("text").mapInArrow(count, "block long, k long, code long, n long").groupBy("block", "k", "code").agg(F.sum("n").alias("n"))
-    by: dict[int, dict[tuple[int, int], int]] = defaultdict(dict)
-    for r in counts.toLocalIterator():  # at most one row for each shingle of the benchmark
-        by[r.block][r.k, r.code] = r.n
-    for i, b in enumerate(blocks):
-        b.order(by[i])
-    return [spark.sparkContext.broadcast(b) for b in blocks]
+    counts = few.select("text").mapInArrow(count, "block long, k long, code long, n long").groupBy("block", "k", "code").agg(F.sum("n").alias("n")).checkpoint()
+    shared = []
+    for i in range(n):
+        index = raw[i].load_from_path(raw[i]._path)
+        index.order({(r.k, r.code): r.n for r in counts.where(F.col("block") == i).toLocalIterator()})  # at most one row for each shingle of the block
+        shared.append(spark.sparkContext.broadcast(index))
+    return shared
 
 
 FOUND = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
