@@ -232,11 +232,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = fps.groupBy("fp").agg(F.min("id").alias("least"))
     links = near_links(classes.select("fp")).checkpoint()
     members = connected_components(links)
-    ends = links.select("u").unionAll(links.select("v")).groupBy("u").agg(F.count("*").alias("n_links"))
-    linked = members.join(ends.withColumnRenamed("u", "node"), "node", "left").withColumnRenamed("node", "fp")
-    tagged = classes.join(linked, "fp", "left").withColumn("part", F.coalesce("component", "fp"))
-    least = tagged.groupBy("part").agg(F.min("least").alias("component_id"))
-    names = tagged.join(least, "part").select("fp", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    ends = links.select("u").unionAll(links.select("v")).groupBy("u").agg(F.count("*").alias("n_links")).withColumnRenamed("u", "node")
+    # Only fingerprints with links need their component's least id. Both sides of the join are cut off
+    # from what made them, so that a component that holds many of them can be split.
+    linked = members.join(ends, "node").withColumnRenamed("node", "fp").join(classes, "fp").checkpoint()
+    first = linked.groupBy("component").agg(F.min("least").alias("first")).checkpoint()
+    linked = linked.join(first, "component").select("fp", "first", "n_links")
+    names = classes.join(linked, "fp", "left").select("fp", F.coalesce("first", "least").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")).checkpoint()
     out = fps.join(names, "fp")
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
 
