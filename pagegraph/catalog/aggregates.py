@@ -150,10 +150,8 @@ def best_row_per_group(spark, d):
 @query("""with r as (select p_brand, p_partkey, row_number() over (partition by p_brand order by p_retailprice, p_partkey) as rn from part) select p_brand, string_agg(cast(p_partkey as varchar), ',' order by rn) as samples from r where rn <= 33 group by p_brand""")
 def first_samples(spark, d):
     """The first 33 ids of each group."""
-    p = table(spark, d, "part")
-    w = Window.partitionBy("p_brand").orderBy("p_retailprice", "p_partkey")
-    ranked = p.withColumn("rn", F.row_number().over(w)).where("rn <= 33")
-    return ranked.groupBy("p_brand").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "p_partkey"))), lambda x: x["p_partkey"].cast("string")), ",").alias("samples"))
+    ranked = A.first_k(table(spark, d, "part").select("p_brand", "p_partkey", "p_retailprice"), ["p_brand"], [F.col("p_retailprice"), F.col("p_partkey")], 33)
+    return ranked.groupBy("p_brand").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "p_partkey"))), lambda x: x["p_partkey"].cast("string")), ",").alias("samples"))
 
 
 @query(with_model("page", then=r"select page_id, page_title, reverse(upper(regexp_replace(page_title, '_\([0-9]{4}\)$', ''))) as sort_key from page order by sort_key, page_id"))

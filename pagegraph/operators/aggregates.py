@@ -31,9 +31,10 @@ def best_row(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
     return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
-def first_k(value: Column, order: Column, k: int) -> Column:
-    """An aggregate: the values of the k least rows in order."""
-    return F.transform(F.slice(F.array_sort(F.collect_list(F.struct(order.alias("o"), value.alias("v")))), 1, k), lambda x: x["v"])
+def first_k(rows: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
+    """The first k rows of each group; the planner keeps k rows a group before it shuffles."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).withColumnRenamed("_rn", "place")
 
 
 def share_of_total(rows: DataFrame, keys: list[str], value: str, name: str = "share") -> DataFrame:

@@ -57,6 +57,27 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(f"{tmp_path}/j").first().h[0].a == 1
 
 
+def test_table_swap_and_buckets(spark):
+    try:
+        for n in (3, 5):
+            W.rebuild(spark, spark.range(n), "swap_test")
+            assert spark.table("swap_test").count() == n
+        assert [t.name for t in spark.catalog.listTables() if t.name.startswith("swap_test")] == ["swap_test"]
+        W.clustered(spark.range(20).withColumnRenamed("id", "k"), "bucket_test", "k", 2)
+        plan = spark.table("bucket_test").groupBy("k").count()._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan
+    finally:
+        for t in ("swap_test", "bucket_test"):
+            spark.sql(f"drop table if exists {t}")
+
+
+def test_first_k_limits_groups_before_the_shuffle(spark):
+    df = spark.createDataFrame([(g, x) for g in "ab" for x in range(50)], "g string, x long")
+    top = A.first_k(df, ["g"], [F.desc("x")], 2)
+    assert sorted((r.g, r.x, r.place) for r in top.collect()) == [("a", 48, 2), ("a", 49, 1), ("b", 48, 2), ("b", 49, 1)]
+    assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
+
+
 def test_merges(spark):
     rows = spark.createDataFrame([(1, 1, "a", None), (1, 2, None, "x"), (1, 3, "c", None), (2, 1, None, None)], "k long, seq long, v string, w string")
     got = {r.k: (r.v, r.w) for r in K.upsert_last_non_null(rows, ["k"], "seq", ["v", "w"]).collect()}
