@@ -47,6 +47,26 @@ def fitting_rule(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
+def match_rules(pairs: DataFrame, rules: DataFrame) -> DataFrame:
+    """(host, path, fit) of the pairs (host, path) that a row (verdict, host, path) of a rule table of any size fits.
+
+    Hosts meet rules in an equi-join on their suffixes, as many as a host has labels.
+    """
+    labels = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    r = rules.select(F.col("host").alias("_s"), F.col("path").alias("_p"), F.col("verdict").alias("_v"))
+    found = pairs.select("host", "path").distinct().withColumn("_s", F.explode(suffixes)).join(r, "_s").where(F.startswith("path", F.col("_p")))
+    best = F.max(F.struct(F.length(F.concat("_s", "_p")).alias("n"), (F.col("_v") == "block").alias("b"), F.col("_s"), F.col("_p"), F.col("_v"))).alias("m")
+    return found.groupBy("host", "path").agg(best).select("host", "path", F.struct(F.concat("m._s", "m._p").alias("rule"), F.col("m._v").alias("verdict")).alias("fit"))
+
+
+def with_fit(df: DataFrame, rules) -> DataFrame:
+    """df, which has host and path, with the struct fit; rules: (verdict, host, path) tuples or a table of them."""
+    if isinstance(rules, DataFrame):
+        return df.join(match_rules(df, rules), ["host", "path"], "left")
+    return df.withColumn("fit", fitting_rule(F.col("host"), F.col("path"), rules))
+
+
 def url_node(url: Column) -> Column:
     """The URL without fragment and with A-Z of scheme and host lower-cased; null without '://'."""
     head = F.regexp_extract(url, "(?s)^(.*?://[^/?#]*)", 1)
@@ -78,18 +98,18 @@ def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html")
 
 
 def filter_urls(pages: DataFrame, redirects: DataFrame | None = None, rules=RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per page: id, host, path, rule, verdict, by ('rule', 'alias' or 'default'). redirects: optional (src, dst) URLs."""
+    """One row per page: id, host, path, rule, verdict, by ('rule', 'alias' or 'default'). redirects: optional (src, dst) URLs; rules: tuples or a table (verdict, host, path)."""
     ready_checkpoints(pages.sparkSession)
     edges = alias_edges(pages, url_col, html_col)
     if redirects is not None:
         edges = edges.unionAll(redirects.select(url_node(F.col("src")).alias("u"), url_node(F.col("dst")).alias("v")).where("u is not null and v is not null"))
     members = connected_components(edges)
-    own = fitting_rule(url_host(F.col("node")), url_path(F.col("node")), rules)["verdict"]
-    inherited = members.withColumn("own", own).groupBy("component").agg(F.max((F.col("own") == "allow").cast("int")).alias("allowed"), F.max((F.col("own") == "block").cast("int")).alias("blocked"))
+    judged = with_fit(members.select("component", url_host(F.col("node")).alias("host"), url_path(F.col("node")).alias("path")), rules)
+    inherited = judged.withColumn("own", F.col("fit.verdict")).groupBy("component").agg(F.max((F.col("own") == "allow").cast("int")).alias("allowed"), F.max((F.col("own") == "block").cast("int")).alias("blocked"))
     blocked = members.join(inherited.where("blocked = 1 and coalesce(allowed, 0) = 0"), "component").select("node")
     few = pages.select(F.col(id_col), F.col(url_col).alias("url"))
     judged = few.select(id_col, url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"), url_node(F.col("url")).alias("node"))
-    judged = judged.withColumn("fit", fitting_rule(F.col("host"), F.col("path"), rules)).join(blocked.withColumn("alias", F.lit(True)), "node", "left")
+    judged = with_fit(judged, rules).join(blocked.withColumn("alias", F.lit(True)), "node", "left")
     return judged.select(
         id_col, "host", "path", F.col("fit.rule").alias("rule"),
         F.coalesce(F.col("fit.verdict"), F.when(F.col("alias"), "block"), F.lit("allow")).alias("verdict"),

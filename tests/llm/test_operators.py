@@ -264,6 +264,16 @@ def test_urls_and_aliases(spark):
     assert got[7].verdict == got[8].verdict == "allow"
 
 
+def test_rules_from_a_table(spark):
+    """The same verdicts whether rules are literals or a table."""
+    hosts = ["com", "a.com", "b.a.com", "example.com", "x.example.com", "net", "example.net", "q.org", "", "xcom"]
+    rows = [(i, f"http://{h}/{p}" if h else None, None) for i, (h, p) in enumerate((h, p) for h in hosts for p in ("en/1", "en/7", "de/8", "es/", "", "fr"))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    table_ = spark.createDataFrame([*url_filter.RULES, ("allow", "com", "/en/"), ("block", "a.com", "")], "verdict string, host string, path string")
+    literal = url_filter.filter_urls(pages, rules=[*url_filter.RULES, ("allow", "com", "/en/"), ("block", "a.com", "")])
+    assert sorted(map(tuple, url_filter.filter_urls(pages, rules=table_).select(literal.columns).collect()), key=str) == sorted(map(tuple, literal.collect()), key=str)
+
+
 def test_components_against_union_find(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(150)] + [(i, i + 1) for i in range(1000, 1100)] + [(5000, k) for k in range(5001, 5060)] + [(1, None), (None, None), (9, 9)]
