@@ -50,6 +50,13 @@ def features(text: bytes) -> tuple[set[bytes], list[float]]:
     return kinds, text_stats(text, ws, kinds)
 
 
+Kinds = set[bytes] | bytes  # a document's distinct words, or these joined by blanks, which takes far less memory
+
+
+def _kinds(k: Kinds) -> set[bytes]:
+    return set(k.split()) if isinstance(k, bytes) else k
+
+
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1.0, rounds: int = 25, center: float = 0.0) -> np.ndarray:
     """Weights, shrunk towards a centre, and the intercept, which is not, by Newton steps."""
     x = np.hstack([x, np.ones((len(x), 1))])
@@ -78,11 +85,11 @@ class TextView:
     scale: np.ndarray | None = None
     w: np.ndarray | None = None
 
-    def choose(self, kinds: list[set[bytes]], y: np.ndarray, stats: np.ndarray) -> None:
+    def choose(self, kinds: list[Kinds], y: np.ndarray, stats: np.ndarray) -> None:
         """Words whose presence depends on the class by a chi-square of 15 or more, the strongest first."""
         n, good = len(y), int(y.sum())
         all_of, of_good = Counter(), Counter()
-        for k, label in zip(kinds, y.tolist(), strict=True):
+        for k, label in zip(map(_kinds, kinds), y.tolist(), strict=True):
             all_of.update(k)
             if label:
                 of_good.update(k)
@@ -97,17 +104,17 @@ class TextView:
         self.chosen = {word: i for i, (_, word) in enumerate(sorted(scored)[: self.most])}
         self.mean, self.scale = stats.mean(axis=0), stats.std(axis=0) + 1e-6
 
-    def matrix(self, kinds: list[set[bytes]], stats: np.ndarray) -> np.ndarray:
+    def matrix(self, kinds: list[Kinds], stats: np.ndarray) -> np.ndarray:
         m = len(self.chosen)
         x = np.zeros((len(kinds), m + stats.shape[1]))
         own = self.chosen.keys()
         for i, k in enumerate(kinds):
-            for word in k & own:
+            for word in _kinds(k) & own:
                 x[i, self.chosen[word]] = 1.0
         x[:, m:] = np.clip((stats - self.mean) / self.scale, -6, 6)
         return x
 
-    def logit(self, kinds: list[set[bytes]], stats: np.ndarray) -> np.ndarray:
+    def logit(self, kinds: list[Kinds], stats: np.ndarray) -> np.ndarray:
         return self.matrix(kinds, stats) @ self.w[:-1] + self.w[-1]
 
 
@@ -143,7 +150,7 @@ class Model:
     calibrate: tuple[np.ndarray, np.ndarray]
     combine: np.ndarray
 
-    def score(self, kinds: list[set[bytes]], stats: np.ndarray, rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def score(self, kinds: list[Kinds], stats: np.ndarray, rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         def p(z):
             return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -152,7 +159,7 @@ class Model:
         return p(a), p(b), p(a * self.combine[0] + b * self.combine[1] + self.combine[2])
 
 
-def co_train(kinds: list[set[bytes]], stats: np.ndarray, meta: list[dict], y: np.ndarray, columns: list[str], rounds: int = 3, sure: float = 0.97, give: int = 300) -> Model:
+def co_train(kinds: list[Kinds], stats: np.ndarray, meta: list[dict], y: np.ndarray, columns: list[str], rounds: int = 3, sure: float = 0.97, give: int = 300) -> Model:
     """y: 1, 0 or -1 (unlabelled). Every fifth labelled row is held out for calibration."""
     known = np.flatnonzero(y >= 0)
     held, fit, pool = known[::5], np.setdiff1d(known, known[::5]), np.flatnonzero(y < 0)
@@ -206,7 +213,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     y = np.array([r.good for r in rows])
     if (y >= 0).sum() < 20 or not (y == 0).any() or not (y == 1).any() or len(set(y[y >= 0][::5])) < 2:
         return None
-    return co_train([set(bytes(r.kinds).split(b" ")) - {b""} for r in rows], np.array([r.stats for r in rows]), [{c: r[f"m_{c}"] for c in columns} for r in rows], y, columns)
+    return co_train([bytes(r.kinds) for r in rows], np.array([r.stats for r in rows]), [{c: r[f"m_{c}"] for c in columns} for r in rows], y, columns)
 
 
 def _scored(docs: DataFrame, model: Model | None, id_col: str, text_col: str, least: float) -> DataFrame:
