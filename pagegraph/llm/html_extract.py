@@ -12,8 +12,8 @@ pages, meet the pivots, votes are added up before and in the shuffle, and a
 host's wrapper is no larger than its pivot's tree. Pages meet wrappers in a
 broadcast join while the wrappers are small by measure, else in a plain join.
 
-Text is taken from the article (else main, else body); what an article holds
-is content even where a site repeats it. Character references are decoded, white space inside a block becomes one space, blocks are trimmed
+Text is taken from the article (else main, else body), without template nodes
+in any of them. Character references are decoded, white space inside a block becomes one space, blocks are trimmed
 and joined by one space in page order.
 
 Defined results: null and empty html have empty text; broken markup is read to
@@ -162,7 +162,7 @@ def content(root: Node, drop: set[int]) -> str:
             while work:  # in page order
                 x = work.pop()
                 if id(x) in ids:
-                    _gather(x, out, True, drop if tag != "article" else set())
+                    _gather(x, out, True, drop)
                     out.append("\0")
                 else:
                     work += [c for c in reversed(x.children) if isinstance(c, Node)]

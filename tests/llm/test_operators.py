@@ -214,6 +214,14 @@ def test_html_wrapper_drops_what_a_host_repeats(spark):
     assert got[0, "Story 0 is about x", 18] == 2 and got[20, "All rights belong to A", 22] == 1 and got[21, "lost", 4] == 1 and got[22, "", 0] == 1
 
 
+def test_html_wrapper_drops_what_a_host_repeats_in_articles(spark):
+    """Neither tag nor class tells the notice; what varies beside it stays, and so does the notice where too few pages share it."""
+    page = "<body><article><h1>Head {0}</h1><p>Story {0} goes on</p><div><p>Read more on our site</p></div></article></body>"
+    pages = [(i, f"http://a.org/{i}", page.format(i)) for i in range(8)] + [(20 + i, f"http://b.org/{i}", page.format(i)) for i in range(3)]
+    got = {r.page_id: r.text for r in html_extract.extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Head {i % 20} Story {i % 20} goes on" + (" Read more on our site" if i >= 20 else "") for i, _, _ in pages}
+
+
 def test_html_articles_of_all_pages(spark):
     """Held against another way to read these pages: what stands between the article's tags."""
     import html as h
