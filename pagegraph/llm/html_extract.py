@@ -7,7 +7,7 @@ all aligned pages, and there are enough of different text, is template; what
 varies is content. Besides, what markup itself names as menu, header, footer, sidebar, notice,
 advert, form, script, style or comment is never content.
 
-Every page becomes a small profile (its tree and text digests); profiles, not
+Every page becomes a profile (its whole tree and text digests); profiles, not
 pages, meet the pivots, votes are added up before and in the shuffle, and a
 host's wrapper is no larger than its pivot's tree. Pages meet wrappers in a
 broadcast join while the wrappers are small by measure, else in a plain join.
@@ -28,7 +28,9 @@ import json
 import re
 from collections import Counter
 from hashlib import blake2b
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -179,10 +181,12 @@ def content(root: Node, drop: set[int]) -> str:
 
 
 def skeleton(root: Node) -> tuple[list, list[list[Node]]]:
-    """(tree, groups): nested [sign, [children]] in which a long run of like siblings is one node; groups[i]: the DOM nodes of tree node i, in preorder."""
+    """(tree, groups): nested [sign, [children]] of the whole page, in which a long run of like siblings is one node; groups[i]: the DOM nodes of tree node i, in preorder."""
     groups: list[list[Node]] = []
-
-    def walk(nodes: list[Node]) -> list:
+    top: list = [root.sign, []]
+    work: list[tuple[list[Node], list]] = [([root], top)]
+    while work:
+        nodes, tree = work.pop()
         groups.append(nodes)
         runs: list[list[Node]] = []
         for c in (c for n in nodes for c in n.children if isinstance(c, Node) and c.tag not in ("script", "style", "br")):
@@ -191,42 +195,185 @@ def skeleton(root: Node) -> tuple[list, list[list[Node]]]:
             else:
                 runs.append([c])
         kids = [part for run in runs for part in ([run] if len(run) > 8 else [[c] for c in run])]
-        return [nodes[0].sign, [walk(k) for k in kids[:64]] if len(groups) < 2000 else []]
-
-    return walk([root]), groups
+        tree[1] = [[k[0].sign, []] for k in kids]
+        work += zip(reversed(kids), reversed(tree[1]), strict=True)
+    return top, groups
 
 
-def _size(tree: list) -> int:
-    return 1 + sum(map(_size, tree[1]))
+def flat(tree: list) -> tuple[list[str], list[int]]:
+    """Signs and numbers of children in preorder; JSON of any depth."""
+    signs, counts, work = [], [], [tree]
+    while work:
+        sign, kids = work.pop()
+        signs.append(sign)
+        counts.append(len(kids))
+        work += reversed(kids)
+    return signs, counts
+
+
+class Aligner:
+    """Simple tree matching of a tree with others, exact for trees of any width and depth.
+
+    Equal subtrees are one shape, and a pair of shapes is weighed once. Equal first
+    and last children are matched at once, as no largest match gains by another
+    choice; the rest takes one row of weights at a time, so time grows with the
+    product of the two rests and memory with their sum.
+    """
+
+    SMALL, TABLE = 64, 1 << 22
+
+    def __init__(self, signs: list[str], counts: list[int]):
+        self.known: dict[tuple, int] = {}
+        self.sign: list[str] = []
+        self.kids: list[tuple[int, ...]] = []
+        self.size: list[int] = []
+        self.height: list[int] = []
+        self.weights: dict[tuple[int, int], int] = {}
+        self.root = self._shape(signs, counts)
+
+    def _shape(self, signs: list[str], counts: list[int]) -> int:
+        stack: list[int] = []
+        for sign, n in zip(reversed(signs), reversed(counts), strict=True):
+            kids = tuple(reversed(stack[len(stack) - n :])) if n else ()
+            del stack[len(stack) - n :]
+            if (at := self.known.get((sign, kids))) is None:
+                at = self.known[sign, kids] = len(self.sign)
+                self.sign.append(sign)
+                self.kids.append(kids)
+                self.size.append(1 + sum(self.size[k] for k in kids))
+                self.height.append(1 + max((self.height[k] for k in kids), default=0))
+            stack.append(at)
+        return stack[0]
+
+    def _ends(self, a: int, b: int) -> tuple[int, int]:
+        """How many first and last children are equal."""
+        x, y = self.kids[a], self.kids[b]
+        n, lo, hi = min(len(x), len(y)), 0, 0
+        while lo < n and x[lo] == y[lo]:
+            lo += 1
+        while hi < n - lo and x[-1 - hi] == y[-1 - hi]:
+            hi += 1
+        return lo, hi
+
+    def _rest(self, a: int, b: int) -> tuple[int, int, tuple[int, ...], tuple[int, ...]]:
+        lo, hi = self._ends(a, b)
+        return lo, hi, self.kids[a][lo : len(self.kids[a]) - hi], self.kids[b][lo : len(self.kids[b]) - hi]
+
+    def _of(self, a: int, b: int) -> int:
+        return self.size[a] if a == b else self.weights.get((a, b), 0)
+
+    def _rows(self, x: tuple[int, ...], y: tuple[int, ...]):
+        """Row by row, the largest weights of a prefix of x and all prefixes of y."""
+        if len(x) * len(y) <= self.SMALL:
+            row = [0] * (len(y) + 1)
+            yield row
+            for a in x:
+                new = [0]
+                for j, b in enumerate(y):
+                    new.append(max(row[j + 1], new[j], row[j] + self._of(a, b)))
+                row = new
+                yield row
+            return
+        shapes, place = np.unique(np.array(y, np.int64), return_inverse=True)
+        shapes, weigh = shapes.tolist(), {}
+        row = np.zeros(len(y) + 1, np.int64)
+        yield row
+        for a in x:
+            if a not in weigh:
+                weigh[a] = np.array([self._of(a, b) for b in shapes], np.int64)
+            new = np.zeros_like(row)
+            np.maximum.accumulate(np.maximum(row[1:], row[:-1] + weigh[a][place]), out=new[1:])
+            row = new
+            yield row
+
+    def _last(self, x: tuple[int, ...], y: tuple[int, ...]):
+        for row in self._rows(x, y):
+            last = row
+        return last
+
+    def _weigh(self, a: int, b: int) -> None:
+        """Weights of all pairs of shapes that the pair needs, lower ones first."""
+        need, work = set(), [(a, b)]
+        while work:
+            pair = work.pop()
+            if pair in need or pair in self.weights:
+                continue
+            need.add(pair)
+            _, _, x, y = self._rest(*pair)
+            by_sign: dict[str, list[int]] = {}
+            for d in dict.fromkeys(y):
+                by_sign.setdefault(self.sign[d], []).append(d)
+            work += [(c, d) for c in dict.fromkeys(x) for d in by_sign.get(self.sign[c], ()) if c != d]
+        for p, q in sorted(need, key=lambda pair: self.height[pair[0]]):
+            lo, hi, x, y = self._rest(p, q)
+            kids = self.kids[p]
+            self.weights[p, q] = 1 + sum(self.size[k] for k in (*kids[:lo], *kids[len(kids) - hi :])) + (int(self._last(x, y)[-1]) if x and y else 0)
+
+    def _chosen(self, x: tuple[int, ...], y: tuple[int, ...]) -> list[tuple[int, int]]:
+        """Places in x and y of the children that a largest match pairs."""
+        out, work = [], [(0, len(x), 0, len(y))]
+        while work:
+            i0, i1, j0, j1 = work.pop()
+            if i0 == i1 or j0 == j1:
+                continue
+            if i1 - i0 > 1 and (i1 - i0) * (j1 - j0) > self.TABLE:  # halves, so that no whole table is held
+                mid = (i0 + i1) // 2
+                above = np.asarray(self._last(x[i0:mid], y[j0:j1]))
+                below = np.asarray(self._last(x[mid:i1][::-1], y[j0:j1][::-1]))[::-1]
+                cut = j0 + int(np.argmax(above + below))
+                work += [(i0, mid, j0, cut), (mid, i1, cut, j1)]
+                continue
+            rows = list(self._rows(x[i0:i1], y[j0:j1]))
+            i, j = i1 - i0, j1 - j0
+            while i and j:
+                if rows[i - 1][j] == rows[i][j]:
+                    i -= 1
+                elif rows[i][j - 1] == rows[i][j]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    out.append((i0 + i, j0 + j))
+        return out
+
+    def pairs(self, signs: list[str], counts: list[int]) -> list[tuple[int, int]]:
+        """Preorder numbers of the node pairs of a largest match with a tree."""
+        other = self._shape(signs, counts)
+        if self.sign[self.root] != self.sign[other]:
+            return []
+        if self.root != other:
+            self._weigh(self.root, other)
+        out: list[tuple[int, int]] = []
+        work = [(self.root, other, 0, 0)]
+        while work:
+            a, b, na, nb = work.pop()
+            if a == b:
+                out += [(na + i, nb + i) for i in range(self.size[a])]
+                continue
+            out.append((na, nb))
+            lo, hi, x, y = self._rest(a, b)
+            p, q = self.kids[a], self.kids[b]
+            at = [*accumulate((self.size[k] for k in p), initial=na + 1)]
+            bt = [*accumulate((self.size[k] for k in q), initial=nb + 1)]
+            same = [(i, i) for i in range(lo)] + [(len(p) - i, len(q) - i) for i in range(1, hi + 1)]
+            work += [(p[i], q[j], at[i], bt[j]) for i, j in same + [(lo + i, lo + j) for i, j in self._chosen(x, y)]]
+        return out
 
 
 def align(a: list, b: list) -> list[tuple[int, int]]:
     """Simple tree matching: preorder numbers of the node pairs of a largest match of two trees with equal roots."""
-    memo: dict[tuple[int, int], tuple[int, list]] = {}
-
-    def match(x: list, y: list, nx: int, ny: int) -> tuple[int, list]:
-        if x[0] != y[0]:
-            return 0, []
-        if (nx, ny) in memo:
-            return memo[nx, ny]
-        ax, by = [nx + 1], [ny + 1]
-        for c in x[1]:
-            ax.append(ax[-1] + _size(c))
-        for c in y[1]:
-            by.append(by[-1] + _size(c))
-        rows: list[list[tuple[int, list]]] = [[(0, [])] * (len(y[1]) + 1)]
-        for i, c in enumerate(x[1]):
-            row = [(0, [])]
-            for j, d in enumerate(y[1]):
-                n, pairs = match(c, d, ax[i], by[j])
-                best = max((rows[-1][j + 1], row[j]), key=lambda t: t[0])
-                row.append((rows[-1][j][0] + n, [*rows[-1][j][1], pairs]) if n and rows[-1][j][0] + n > best[0] else best)
-            rows.append(row)
-        n, below = rows[-1][-1]
-        memo[nx, ny] = (n + 1, [(nx, ny), *(p for ps in below for p in ps)])
-        return memo[nx, ny]
-
-    return match(a, b, 0, 0)[1]
+    return Aligner(*flat(a)).pairs(*flat(b))
+
+
+class Aligners:
+    """The aligner of the last pivot is kept, as pages of a host come together; a new one is made when it knows many shapes."""
+
+    def __init__(self):
+        self.pivot, self.aligner = None, None
+
+    def of(self, pivot: str) -> Aligner:
+        if self.pivot != pivot or len(self.aligner.known) + len(self.aligner.weights) > 1 << 17:
+            self.pivot, self.aligner = pivot, Aligner(*json.loads(pivot))
+        return self.aligner
 
 
 def _digest(nodes: list[Node]) -> str:
@@ -247,14 +394,14 @@ def _texts(batch: pa.RecordBatch, name: str) -> list[str]:
 
 
 def induce_wrappers(pages: DataFrame, id_col: str, host: str, html_col: str, share: float = 0.9, least: int = 4) -> DataFrame:
-    """(host, tree, template): the pivot's tree and a JSON map of its constant nodes to their text's digest. Only hosts with such nodes."""
+    """(host, tree, template): the pivot's tree (JSON of flat()) and a JSON map of its constant nodes to their text's digest. Only hosts with such nodes."""
 
     def profile(batches):
         for b in batches:
             trees, marks, wholes = [], [], []
             for t in _texts(b, "html"):
                 tree, groups = skeleton(parse(t))
-                trees.append(json.dumps(tree, separators=(",", ":")))
+                trees.append(json.dumps(flat(tree), separators=(",", ":")))
                 marks.append(json.dumps([_digest(g) for g in groups], separators=(",", ":")))
                 wholes.append(_digest(groups[0]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(trees, pa.string()), pa.array(marks, pa.string()), pa.array(wholes, pa.string())], names=["host", "id", "tree", "marks", "whole"])
@@ -265,11 +412,12 @@ def induce_wrappers(pages: DataFrame, id_col: str, host: str, html_col: str, sha
     pivots = profiles.groupBy("host").agg(F.min(F.struct("id", "tree")).alias("p"), F.count("*").alias("pages")).where(F.col("pages") >= least).select("host", F.col("p.tree").alias("pivot")).checkpoint()  # one row a host, so that the join below can split a hot host
 
     def vote(batches):
+        aligners = Aligners()
         for b in batches:
             votes: Counter = Counter()
             for host_, tree, marks, pivot in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 marks = json.loads(marks)
-                for at, own in align(json.loads(pivot), json.loads(tree)):
+                for at, own in aligners.of(pivot).pairs(*json.loads(tree)):
                     votes[host_, at, marks[own]] += 1
             rows = sorted(votes.items())
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.int64()), pa.array([k[2] for k, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], names=["host", "node", "mark", "n"])
@@ -293,6 +441,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     joined = few.join(F.broadcast(wrappers) if size <= broadcast_bytes else wrappers, "host", "left").select("id", "url", "html", "tree", "template")
 
     def extract(batches):
+        aligners = Aligners()
         for b in batches:
             out = []
             for source, tree, template in zip(_texts(b, "html"), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
@@ -300,7 +449,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
                 if template:
                     known = json.loads(template)
                     own, groups = skeleton(root)
-                    for at, mine in align(json.loads(tree), own):
+                    for at, mine in aligners.of(tree).pairs(*flat(own)):
                         if (mark := known.get(str(at))) and _digest(groups[mine]) == mark:
                             drop.update(map(id, groups[mine]))
                 out.append(content(root, drop))

@@ -222,6 +222,22 @@ def test_html_wrapper_drops_what_a_host_repeats_in_articles(spark):
     assert got == {i: f"Head {i % 20} Story {i % 20} goes on" + (" Read more on our site" if i >= 20 else "") for i, _, _ in pages}
 
 
+@pytest.mark.parametrize("sections", [13, 450])
+def test_html_wrapper_of_long_pages(spark, sections):
+    """The site's unnamed block stands behind the 64th run of siblings, or behind the 2,000th node."""
+    pages = []
+    for i in range(6):
+        parts = [f"<h2>Head {i} {k}</h2>" + "".join(f"<p>Story {i} {k} {j}</p>" for j in range(5)) for k in range(sections + i)]
+        pages.append((i, f"http://a.org/{i}", f"<body>{''.join(parts)}<div><p>All rights belong to A</p></div></body>"))
+    for r in html_extract.extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect():
+        assert r.text == " ".join(f"Head {r.page_id} {k} " + " ".join(f"Story {r.page_id} {k} {j}" for j in range(5)) for k in range(sections + r.page_id))
+
+
+def test_html_wrapper_of_deep_pages(spark):
+    pages = [(i, f"http://a.org/{i}", "<div>" * 1500 + f"<p>Story {i}</p><h2>All rights belong to A</h2>") for i in range(5)]
+    assert {r.text for r in html_extract.extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()} == {f"Story {i}" for i in range(5)}
+
+
 def test_html_articles_of_all_pages(spark):
     """Held against another way to read these pages: what stands between the article's tags."""
     import html as h
@@ -241,6 +257,43 @@ def test_align_is_a_largest_match():
     assert html_extract.align(a, ["other", []]) == []
 
 
+@pytest.mark.parametrize(("small", "table_"), [(64, 1 << 22), (0, 1 << 22), (64, 4), (0, 4)])
+def test_align_against_plain_recursion(monkeypatch, small, table_):
+    """Short and long rows, whole tables and halves pair as many nodes as the plain recursion, parents with parents and in order."""
+    monkeypatch.setattr(html_extract.Aligner, "SMALL", small)
+    monkeypatch.setattr(html_extract.Aligner, "TABLE", table_)
+    rng = random.Random(7)
+
+    def tree(depth):
+        return [rng.choice("abc"), [tree(depth - 1) for _ in range(rng.randint(0, 4))] if depth else []]
+
+    def largest(x, y):
+        if x[0] != y[0]:
+            return 0
+        rows = [[0] * (len(y[1]) + 1)]
+        for c in x[1]:
+            rows.append([0])
+            for j, d in enumerate(y[1]):
+                rows[-1].append(max(rows[-2][j + 1], rows[-1][j], rows[-2][j] + largest(c, d)))
+        return rows[-1][-1] + 1
+
+    def above(t, out, parent=-1):
+        out.append((t[0], parent))
+        at = len(out) - 1
+        for c in t[1]:
+            above(c, out, at)
+        return out
+
+    for _ in range(200):
+        a, b = tree(3), tree(3)
+        b[0] = a[0]
+        pairs = sorted(html_extract.align(a, b))
+        of, x, y = dict(pairs), above(a, []), above(b, [])
+        assert len(of) == len(pairs) == largest(a, b)
+        assert all(x[i][0] == y[j][0] and of.get(x[i][1], -1) == y[j][1] for i, j in pairs)
+        assert [j for _, j in pairs] == sorted({j for _, j in pairs})
+
+
 # ------------------------------------------------------------------ op5
 
 
