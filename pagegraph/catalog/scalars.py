@@ -85,6 +85,13 @@ def percent_decode(spark, d):
     return table(spark, d, "documents").select("doc_id", "source", F.replace(enc, F.lit("%7E"), F.lit("~")).alias("encoded"), F.when(F.replace(F.try_url_decode(enc), F.lit("_"), F.lit(" ")) == F.replace(head, F.lit("_"), F.lit(" ")), head).alias("back"))
 
 
+@query("select doc_id, source, url_encode(text) as encoded, text as back from documents")
+def percent_decode_whole(spark, d):
+    """Percent encoding and back, of whole texts."""
+    encoded = U.percent_encoded(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", "source", encoded.alias("encoded"), U.percent_decoded(encoded).alias("back"))
+
+
 @query(with_model("page", then=r"""select page_id, upper(substr(t, 1, 1)) || substr(t, 2) as title from (select page_id, trim(regexp_replace(regexp_replace(lower(page_title) || '#part', '#.*$', ''), '[_\s]+', ' ', 'g')) as t from page)"""))
 def title_canonical(spark, d):
     p = M.page(spark, d)

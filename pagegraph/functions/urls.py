@@ -45,6 +45,19 @@ def repaired_scheme(url: Column) -> Column:
     return F.regexp_replace(t, r"(?i)^(https?):/*(?=[^/])", "$1://")
 
 
+def percent_encoded(text: Column) -> Column:
+    """Every byte but letters, digits and _-.~ as %XX, of the whole text."""
+    t = F.url_encode(text)
+    for code, char in (("+", "%20"), ("*", "%2A"), ("%7E", "~")):
+        t = F.replace(t, F.lit(code), F.lit(char))
+    return t
+
+
+def percent_decoded(text: Column) -> Column:
+    """%XX as bytes, a plus sign as itself; null where that is no text."""
+    return F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
+
+
 def encoded_title(title: Column) -> Column:
     """Percent-encoded with underscores, keeping : / ( ) and comma."""
     t = F.url_encode(F.replace(title, F.lit(" "), F.lit("_")))

@@ -106,3 +106,23 @@ def test_tree_navigation(spark):
     assert markup.children(nodes, cell).first().text == "Blah"
     assert markup.siblings(nodes, markup.find_all(nodes, tag="p")).count() == 2
     assert markup.without_nodes(pages, ["table"]).first().html == "<p>z"
+
+
+def test_percent_coding_of_whole_texts(spark):
+    from urllib.parse import quote
+
+    for text in ("", "a b_c+d*e~f%20", "é世🙂 " * 500 + "end", "".join(map(chr, range(1, 300)))):
+        assert one(spark, urls.percent_encoded, text) == quote(text, safe="")
+        assert one(spark, lambda c: urls.percent_decoded(urls.percent_encoded(c)), text) == text
+    assert one(spark, urls.percent_decoded, "1+1%3D2") == "1+1=2"
+
+
+def test_percent_decode_whole_keeps_all_of_a_document(spark):
+    from conftest import DATA
+
+    from pagegraph import catalog
+
+    got = catalog.queries()["percent_decode_whole"](spark, DATA)
+    assert got.where("length(back) > 60").count() > 0
+    texts = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "source", "text")
+    assert got.select("doc_id", "source", "back").exceptAll(texts).count() == 0 and got.count() == texts.count()
