@@ -95,9 +95,9 @@ def ref_dedup(spark, d):
 
 @query("select o_orderkey, cast(o_orderdate as date) as found from orders")
 def date_extract(spark, d):
-    """The only date of a text that gives it in two forms."""
+    """The only date of a text that gives it in the six forms that every day has."""
     o = table(spark, d, "orders")
-    t = F.concat(F.lit("Printed "), F.date_format("o_orderdate", "d MMMM yyyy"), F.lit(", online "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("."))
+    t = F.concat(F.lit("Printed "), F.date_format("o_orderdate", "d MMMM yyyy"), F.lit(", online "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("; "), *(F.date_format("o_orderdate", f) for f in ("d-MMM-yyyy'; 'EEEE, d MMM. yyyy'; '", "MMMM d, yyyy'; 'yyyyMMdd'101500.'")))
     return o.select("o_orderkey", T.only_date(t).alias("found"))
 
 

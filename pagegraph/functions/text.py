@@ -109,17 +109,41 @@ def images(html: Column) -> Column:
     return F.transform(tags, one)
 
 
-#: English month names.
-MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
-
-
-def only_date(t: Column) -> Column:
-    """The only distinct date of a text (ISO, 1 January 2001 or January 1, 2001), else null."""
-    iso = F.regexp_extract_all(t, F.lit(r"\b(\d{4}-\d{2}-\d{2})\b"), 1)
-    dmy = F.transform(F.regexp_extract_all(t, F.lit(rf"\b(\d{{1,2}} (?:{MONTHS}) \d{{4}})\b"), 1), lambda x: F.try_to_timestamp(x, F.lit("d MMMM yyyy")).cast("date").cast("string"))
-    mdy = F.transform(F.regexp_extract_all(t, F.lit(rf"\b((?:{MONTHS}) \d{{1,2}}, \d{{4}})\b"), 1), lambda x: F.try_to_timestamp(x, F.lit("MMMM d, yyyy")).cast("date").cast("string"))
-    every = F.array_distinct(F.filter(F.concat(iso, dmy, mdy), lambda x: x.isNotNull()))
-    return F.when(F.size(every) == 1, F.element_at(every, 1).try_cast("date"))
+#: Month names and weekdays as pages write them, and the forms of a date with the order of their groups.
+_MONTH = "(January|February|March|April|May|June|July|August|September|October|November|December|jan|feb|mar|apr|may|june?|july?|aug|sept?|oct|nov|dec)"
+_WEEKDAY = "(?:mon|tues?|wed|thur|fri|sat|sun|thurs?|monday|tuesday|wednesday|thursday|friday|saturday|sunday)"
+_DAY, _PLAIN_DAY = (rf"({d}) *(?:st|nd|rd|th)?" for d in (r"0?[1-9]|[12]\d|3[01]", r"1?[3-9]|2\d|3[01]"))
+_MON, _YEAR = "(0?[1-9]|1[012])", r"(19\d\d|20[0-2]\d)"
+_DATES = (
+    ("dmy", rf"{_DAY}[/\-.]{_MONTH}[/\-.]{_YEAR}\b"),
+    ("dmy", rf"{_WEEKDAY}[.,]? +{_DAY} +{_MONTH}[.]? +{_YEAR}\b"),
+    ("dmy", rf"{_DAY} +{_MONTH}[., ]+{_YEAR}\b"),
+    ("mdy", rf"{_MONTH}[. ]+{_DAY}[., ]+{_YEAR}\b"),
+    ("ydm", rf"(?<!\d){_YEAR}[/\-.]{_PLAIN_DAY}[/\-.]{_MON}\b"),
+    ("ymd", rf"(?<!\d){_YEAR}[/\-.]{_MON}[/\-.]{_PLAIN_DAY}\b"),
+    ("mdy", rf"(?<!\d){_MON}[/\-.]{_PLAIN_DAY}[/\-.]{_YEAR}\b"),
+    ("dmy", rf"(?<!\d){_PLAIN_DAY}[/\-.]{_MON}[/\-.]{_YEAR}\b"),
+    ("ymd", rf"(?<!\d){_YEAR}-{_MON}-{_DAY}\b"),
+    ("ymd", rf"(?<!\d){_YEAR}{_MON}{_DAY}[01]\d[0-5]\d[0-5]\d\b"),
+)
+
+
+def only_date(t: Column, now: Column | None = None) -> Column:
+    """The only distinct date of a text in any of ten forms, of 1900 to 2029, else null. Dates under four days old do not count; a day that its month lacks counts, but is no date."""
+    latest = (F.current_timestamp() if now is None else now) - F.expr("interval 96 hours")
+
+    def one(order, pattern):
+        def date(x):
+            y, m, d = (F.regexp_extract(x, pattern, order.index(k) + 1) for k in "ymd")
+            month = F.when(m.rlike("^[0-9]"), m).otherwise(((F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), F.lower(F.left(m, F.lit(3)))) + 2) / 3).cast("int").cast("string"))
+            day = F.date_add(F.make_date(y.cast("int"), month.cast("int"), F.lit(1)), d.cast("int") - 1)
+            return F.when(day.cast("timestamp") < latest, F.concat_ws("-", y, F.lpad(month, 2, "0"), F.lpad(d, 2, "0")))
+
+        return F.transform(F.regexp_extract_all(t, F.lit(pattern), 0), date)
+
+    every = F.concat(*(one(order, rf"(?i)\b{pattern}") for order, pattern in _DATES))
+    single = F.transform(F.array(every), lambda e: F.array_distinct(F.filter(e, lambda x: x.isNotNull())))  # in an array, so that what follows names it twice and it is found once
+    return F.element_at(F.transform(single, lambda e: F.when(F.size(e) == 1, F.try_element_at(e, F.lit(1)).try_cast("date"))), 1)
 
 
 def byline(t: Column) -> Column:

@@ -126,3 +126,24 @@ def test_percent_decode_whole_keeps_all_of_a_document(spark):
     assert got.where("length(back) > 60").count() > 0
     texts = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "source", "text")
     assert got.select("doc_id", "source", "back").exceptAll(texts).count() == 0 and got.count() == texts.count()
+
+
+@pytest.mark.parametrize(
+    ("raw", "want"),
+    [
+        ("25-Sep-2008", "2008-09-25"), ("3/march/2008", "2008-03-03"), ("Friday, 7 Nov. 2008", "2008-11-07"), ("Sun 7 dec 2008", "2008-12-07"), ("3rd March 2008", "2008-03-03"), ("21 Sept, 2008", "2008-09-21"), ("Sept. 1st, 2008", "2008-09-01"), ("June 30 2008", "2008-06-30"),
+        ("2008/25/09", "2008-09-25"), ("2008.25.12", "2008-12-25"), ("2008/09/25", "2008-09-25"), ("2008.9.25", "2008-09-25"), ("09/25/2008", "2008-09-25"), ("25.09.2008", "2008-09-25"), ("2008-09-02", "2008-09-02"), ("20080925103059", "2008-09-25"),
+        ("2008-05-03, changed 3rd March 2008", None), ("2008-05-03, changed 25-Sep-2008", None), ("2008-09-25, that is 25/09/2008 or Thursday 25 September 2008", "2008-09-25"), ("2008/5/6", None), ("31 Feb 2008", None), ("31 Feb 2008 or 2008-03-01", None), ("120080925103059", None), ("1850-01-25", None), ("no date", None), ("", None), (None, None),
+        ("2020-06-14", "2020-06-14"), ("2020-06-16", None), ("2008-09-25, seen on 19 June 2020", "2008-09-25"), ("2025-01-01", None),
+    ],
+)
+def test_only_date(spark, raw, want):
+    got = one(spark, lambda c: text.only_date(c, F.lit("2020-06-19 12:00:00").cast("timestamp")), raw)
+    assert (got and got.isoformat()) == want
+
+
+def test_only_date_drops_dates_of_these_days(spark):
+    import datetime
+
+    today = datetime.date.today()
+    assert one(spark, text.only_date, f"{today}, first on 3rd March 2008").isoformat() == "2008-03-03"
