@@ -3,7 +3,9 @@
 One automaton holds the words of all licence templates. A text streams through
 it; at each word the automaton gives the longest template substring that ends
 there (matching statistics). Matches that cannot be extended and have at least
-`min_match` words are chained per template, in order in both text and template;
+`min_match` words are chained per template, in order in both text and template,
+at most `max_gap` words of text apart and counted without what they overlap; the
+best chain is found by dynamic programming over matches and all their places, and
 a template is reported where its best chain covers `min_cover` of its words.
 
 Besides, base phrases are counted exactly, at every word where one starts.
@@ -48,27 +50,28 @@ TEMPLATES = (
 
 
 class SuffixAutomaton:
-    """Substrings of several sequences of word ids; each state knows the sequences it occurs in and where it first ends there."""
+    """Substrings of several sequences of word ids; each state knows the sequences it occurs in, where it first ends there, and all places where it does."""
 
     def __init__(self, sequences: list[list[int]]):
         self.next: list[dict[int, int]] = [{}]
         self.link, self.len = [-1], [0]
-        self.ends: list[dict[int, int]] = [{}]
+        self.places: list[dict[int, set[int]]] = [{}]
         for k, seq in enumerate(sequences):
             last = 0
             for at, w in enumerate(seq):
                 last = self._extend(last, w)
-                self.ends[last].setdefault(k, at)
+                self.places[last].setdefault(k, set()).add(at)
         for s in sorted(range(1, len(self.len)), key=self.len.__getitem__, reverse=True):
-            up = self.ends[self.link[s]]
-            for k, at in self.ends[s].items():
-                up[k] = min(up.get(k, at), at)
+            up = self.places[self.link[s]]
+            for k, at in self.places[s].items():
+                up.setdefault(k, set()).update(at)
+        self.ends = [{k: min(at) for k, at in of.items()} for of in self.places]
 
     def _new(self, length: int, link: int, edges: dict[int, int]) -> int:
         self.next.append(edges)
         self.len.append(length)
         self.link.append(link)
-        self.ends.append({})
+        self.places.append({})
         return len(self.len) - 1
 
     def _split(self, p: int, q: int, w: int) -> int:
@@ -141,17 +144,21 @@ class Scanner:
         for a, b in zip(edge[::2], edge[1::2], strict=True):
             if b - a >= self.least:
                 for end, length, state in self.automaton.matches(ids[a:b].tolist(), self.least):
-                    for k, last in self.automaton.ends[state].items():
-                        found.setdefault(k, []).append((int(a) + end - length, last + 1 - length, length))
+                    for k, lasts in self.automaton.places[state].items():
+                        found.setdefault(k, []).extend((int(a) + end, last + 1, length) for last in sorted(lasts))
         out = []
         for k, parts in found.items():
-            best, chain = (0, 0, 0), None
-            for start, at, length in parts:
-                if chain and start >= chain[1] and at >= chain[2] and start - chain[1] <= self.gap:
-                    chain = (chain[0], start + length, at + length, chain[3] + length)
-                else:
-                    chain = (start, start + length, at + length, length)
-                best = max(best, (chain[3], -chain[0], -chain[1]))
+            best, chains = (0, 0, 0), []  # of each match, the most words of a chain that ends with it, and minus its first word
+            for i, (end, stop, length) in enumerate(parts):
+                chain = (length, length - end)
+                for j in range(i - 1, -1, -1):
+                    before, until, _ = parts[j]
+                    if end - length - before > self.gap:
+                        break
+                    if (new := length - max(0, before - end + length, until - stop + length)) > 0:
+                        chain = max(chain, (chains[j][0] + new, chains[j][1]))
+                chains.append(chain)
+                best = max(best, (*chain, -end))
             if best[0] >= self.cover * self.sizes[k]:
                 out.append((self.names[k], -best[1], -best[2], best[0] / self.sizes[k]))
         return sorted(out)

@@ -134,6 +134,19 @@ def test_license_template_with_gaps():
     assert got["labels"] == "mit" and got["n_base"] == 0 and 0.6 <= got["score"] < 1 and got["spans"][0]["start"] == 0
 
 
+def test_licence_chain_is_the_best_one():
+    """An echo of earlier words, a repeated passage of the template, and matches that overlap do not break a chain; a gap over max_gap words does."""
+    w = [f"w{i}" for i in range(20)]
+    once = license_scan.Scanner(templates=(("x", " ".join(w)),), base=())
+    assert once.spans(" ".join([*w[:10], "z", *w[3:7], "z", *w[12:18]]).encode().split()) == [("x", 0, 22, 0.8)]
+    assert once.spans(" ".join([*w[:8], *["z"] * 12, *w[8:16]]).encode().split()) == [("x", 0, 28, 0.8)]
+    assert once.spans(" ".join([*w[:8], *["z"] * 13, *w[8:16]]).encode().split()) == []
+    twice = license_scan.Scanner(templates=(("x", "a b c d e f g h a b c d i j"),), base=())  # the second place of a b c d is the one that fits
+    assert twice.spans(b"d e f g h z a b c d".split()) == [("x", 0, 10, 9 / 14)]
+    over = license_scan.Scanner(templates=(("x", "a b c d e f z a b e f g h i j"),), base=())
+    assert over.spans(b"a b c d e f g h i j".split()) == [("x", 0, 10, 10 / 15)]
+
+
 # ------------------------------------------------------------------ op3
 
 
