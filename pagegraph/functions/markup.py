@@ -367,9 +367,11 @@ def detected_text(body: pd.Series, header: pd.Series) -> pd.Series:
 
 @F.pandas_udf(_TEXT)
 def first_sentences(series: pd.Series) -> pd.Series:
-    """The first paragraph's sentences up to 250 characters; at least one."""
+    """The first paragraph's sentences up to 250 characters; at least one. None of disambiguation and set-index pages."""
 
     def one(t):
+        if re.search(r" id=\"(?:disambigbox|setindexbox)\"", t or ""):
+            return ""
         m = re.search(r"(?is)<p\b[^>]*>(.*?)(?=</p>|<p\b|\Z)", t or "")
         text = " ".join(html.unescape(re.sub(r"<[^>]*>", "", m[1])).split()) if m else ""
         out = ""

@@ -147,3 +147,9 @@ def test_only_date_drops_dates_of_these_days(spark):
 
     today = datetime.date.today()
     assert one(spark, text.only_date, f"{today}, first on 3rd March 2008").isoformat() == "2008-03-03"
+
+
+@pytest.mark.parametrize("box", ["disambigbox", "setindexbox"])
+def test_no_description_of_lists_of_meanings(spark, box):
+    assert one(spark, markup.first_sentences, f'<p>Foo may refer to:</p><table class="x" id="{box}"></table>') == ""
+    assert one(spark, markup.first_sentences, f"<p>A {box} is a box. It is small.</p>") == f"A {box} is a box. It is small."
