@@ -4,7 +4,9 @@ Alternating large-star and small-star steps: in each, every node is told the
 least node among its neighbours, by a partial aggregate, and its edges are
 re-hung on that node by an equi-join with one row per node. No step gathers a
 node's neighbours, so a hub of any degree is only a skewed join key, which the
-adaptive planner splits. Each round's edges are checkpointed, which cuts the
+adaptive planner splits: the table of least nodes is dealt out anew before each
+join, as a side that still lies as its aggregate left it could not be split.
+Each round's edges are checkpointed, which cuts the
 lineage and survives lost executors; the rounds needed grow with the logarithm
 of the longest path.
 """
@@ -19,7 +21,12 @@ from ..session import ready_checkpoints
 
 def _least(edges: DataFrame) -> DataFrame:
     """(u, m): the least of u and its neighbours v."""
-    return edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    return dealt(edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "u")
+
+
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Rows with one of each key, dealt out by a hash of it, so that both sides of a join on the key are plain exchanges and a hot key's partition can be split."""
+    return rows.repartition(F.xxhash64(key))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

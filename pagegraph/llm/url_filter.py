@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ready_checkpoints
-from .components import connected_components
+from .components import connected_components, dealt
 
 #: Fixed values: (verdict, host, path).
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
@@ -106,7 +106,7 @@ def filter_urls(pages: DataFrame, redirects: DataFrame | None = None, rules=RULE
     members = connected_components(edges)
     judged = with_fit(members.select("component", url_host(F.col("node")).alias("host"), url_path(F.col("node")).alias("path")), rules)
     inherited = judged.withColumn("own", F.col("fit.verdict")).groupBy("component").agg(F.max((F.col("own") == "allow").cast("int")).alias("allowed"), F.max((F.col("own") == "block").cast("int")).alias("blocked"))
-    blocked = members.join(inherited.where("blocked = 1 and coalesce(allowed, 0) = 0"), "component").select("node")
+    blocked = members.join(dealt(inherited.where("blocked = 1 and coalesce(allowed, 0) = 0"), "component"), "component").select("node")
     few = pages.select(F.col(id_col), F.col(url_col).alias("url"))
     judged = few.select(id_col, url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"), url_node(F.col("url")).alias("node"))
     judged = with_fit(judged, rules).join(blocked.withColumn("alias", F.lit(True)), "node", "left")

@@ -367,6 +367,25 @@ def test_components_against_union_find(spark):
     assert components.connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+@pytest.mark.parametrize("hub", [-1, 10**9])
+def test_a_hub_is_split(spark, hub):
+    """A node with very many neighbours, the least or the largest of them, is a skewed join key that the planner splits."""
+    low = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "32k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.shuffle.partitions": "16"}
+    was = {k: spark.conf.get(k) for k in low}
+    try:
+        for k, v in low.items():
+            spark.conf.set(k, v)
+        hung = spark.range(60_000).select(F.lit(hub).cast("long").alias("u"), F.col("id").alias("v"))
+        edges = hung.unionAll(spark.range(30_000).select((F.col("id") + 2 * 10**9).alias("u"), (F.col("id") + 3 * 10**9).alias("v"))).checkpoint()
+        step = (components._large_star if hub < 0 else components._small_star)(edges)
+        assert step.count() >= 90_000 - 1
+        step.collect()
+        assert "skew=true" in step._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+
+
 # ------------------------------------------------------------------ op6
 
 
