@@ -8,7 +8,9 @@ many documents there are. An individual is a set of bins with multiplicities.
 Crossover injects whole well-filled bins of one parent, takes from the other
 parent what the histogram still has (duplicates go) and puts displaced pieces
 where they fit best; leftovers open new bins. Islands run as tasks and exchange
-their elites between epochs; they stop early at the bound ceil(tokens / size).
+their elites between epochs; they start from random groupings and stop early at
+a bound that no packing can beat: ceil(tokens / size), or the pieces of over
+half a sequence.
 
 Pieces are then dealt to the bins by their rank among pieces of their length:
 ranks are counts per scan partition plus the place in it, so no length, however
@@ -23,6 +25,7 @@ from __future__ import annotations
 import bisect
 import json
 import random
+import re
 import zlib
 from functools import lru_cache
 
@@ -36,18 +39,48 @@ from ..session import bounded_batches, ready_checkpoints
 # ----------------------------------------------------------------- tokens
 
 
+class Classes:
+    """Whether the two libraries class a character alike, asked once a character.
+
+    A text's pieces depend on its characters' classes (letter, number, white space, other) only, so
+    texts of characters classed alike are split alike.
+    """
+
+    def __init__(self, pre_tokenizer):
+        import tiktoken
+
+        self.split = pre_tokenizer.pre_tokenize_str
+        bare = {bytes([i]): i for i in range(256)}
+        self.find = [(k, tiktoken.Encoding(k, pat_str=p, mergeable_ranks=bare, special_tokens={}).encode_ordinary) for k, p in (("letter", r"\p{L}"), ("number", r"\p{N}"), ("space", r"\s"))]
+        self.alike: set[str] = set()
+        self.other: set[str] = set()
+
+    def kinds(self, c: str) -> tuple[str, str]:
+        """The class that each library gives a character: one piece with a letter, a number or a mark before it, or with neither."""
+        mine = next((k for k, found in self.find if found(c)), "other")
+        return mine, next((k for k, before in (("letter", "a"), ("number", "1"), ("other", "!")) if len(self.split(before + c)) == 1), "space")
+
+    def __call__(self, text: str) -> bool:
+        if text.isascii():
+            return True
+        for c in (own := set(text)) - self.alike - self.other:
+            mine, theirs = self.kinds(c)
+            (self.alike if mine == theirs else self.other).add(c)
+        return not own & self.other
+
+
 @lru_cache(2)
 def _encoder(path: str):
-    """Encodes a batch of texts by a byte-level BPE file, special strings as ordinary text.
+    """Encodes a batch of texts by a byte-level BPE file, as tokenizers does without options.
 
-    The same merges run in tiktoken, which gives equal ids several times faster; texts with
-    characters whose classes could depend on a library's Unicode tables go to tokenizers.
+    The same merges run in tiktoken, which gives equal ids several times faster. Texts that hold a
+    special token's string, a character that the libraries class differently or a very long run of
+    white space go to tokenizers.
     """
     import tiktoken
     from tokenizers import Tokenizer
 
     exact = Tokenizer.from_file(path)
-    exact.encode_special_tokens = True
     spec = json.loads(exact.to_str())
     plain = spec["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": spec["pre_tokenizer"].get("trim_offsets"), "use_regex": True} and not spec.get("normalizer") and spec["model"]["type"] == "BPE"
     if not plain:
@@ -55,14 +88,19 @@ def _encoder(path: str):
     visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
     as_char = {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(visible))}
     as_byte = {c: b for b, c in as_char.items()}
-    special = {t["content"] for t in spec["added_tokens"] if t["special"]}
-    ranks = {bytes(as_byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
+    added = [t["content"] for t in spec["added_tokens"]]
+    ranks = {bytes(as_byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in added}
     #: Fixed value: the byte-level pre-tokeniser's pattern.
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     fast = tiktoken.Encoding("byte-level", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    classes = Classes(exact.pre_tokenizer)
+    blank = re.compile(r"\s{50000}")  # tiktoken's stack does not hold very long runs of white space
+
+    def slow(t: str) -> bool:
+        return any(x in t for x in added) or len(t) >= 50_000 and blank.search(t) is not None or not classes(t)
 
     def encode(texts: list[str]) -> list[np.ndarray]:
-        return [np.array(fast.encode_ordinary(t) if not t or t.isascii() or max(t) < "ɐ" else exact.encode(t, add_special_tokens=False).ids, dtype=np.uint32) for t in texts]
+        return [np.array(exact.encode(t, add_special_tokens=False).ids if slow(t) else fast.encode_ordinary(t), dtype=np.uint32) for t in texts]
 
     return encode
 
@@ -159,31 +197,43 @@ def crossover(giver: Bins, taker: Bins, histogram: dict[int, int], size: int, rn
             for x, k in need.items():
                 left[x] -= n * k
 
-    filled = sorted(giver, key=lambda b: (-sum(b), rng.random()))
-    for b in filled[: max(1, int(len(filled) * rng.uniform(0.3, 0.8)))]:
+    enough = size * (1 - 10 ** rng.uniform(-4, -1.5))  # what counts as well filled
+    few = rng.random() < 0.7  # bins of few pieces first, as many small pieces fill gaps better when dealt anew
+    filled = sorted((b for b in giver if sum(b) >= enough), key=lambda b: (len(b) * few, -sum(b), rng.random()))
+    for b in filled[: max(1, int(len(filled) * rng.uniform(0.3, 0.9)))]:
         take(b, giver[b] if rng.random() < 0.8 else max(1, giver[b] // 2))
-    for b in sorted(taker, key=lambda b: (-sum(b), rng.random())):
-        if sum(b) >= 0.95 * size or rng.random() < 0.7:
+    for b in sorted((b for b in taker if sum(b) >= enough), key=lambda b: (len(b) * few, -sum(b), rng.random())):
+        if rng.random() < (1.5 / len(b) if few else 0.8):
             take(b, taker[b])
-    order = sorted((x for x, n in left.items() if n), key=lambda x: -x * rng.uniform(0.95, 1.0))
+    jitter = rng.choice((0, 0, 0.05))
+    order = sorted((x for x, n in left.items() if n), key=lambda x: -x * rng.uniform(1 - jitter, 1))
     return best_fit(child, left, size, order)
 
 
-def evolve(histogram: dict[int, int], elites: list[Bins], size: int, seed: int, rounds: int = 6, crowd: int = 6) -> list[Bins]:
-    """One island's epoch: its best individuals, the best first."""
+def random_grouping(histogram: dict[int, int], size: int, rng: random.Random) -> Bins:
+    """Lengths in random order, each put where it fits best."""
+    order = sorted(histogram)
+    rng.shuffle(order)
+    return best_fit({}, histogram, size, order)
+
+
+def evolve(histogram: dict[int, int], came: list[Bins], size: int, seed: int, rounds: int = 30, crowd: int = 8) -> list[Bins]:
+    """One island's epoch from random groupings and those that came by migration: its two best individuals, the best first."""
     rng = random.Random(seed)
-    bound = -(-sum(x * n for x, n in histogram.items()) // size)
-    everyone = [best_fit({}, histogram, size, sorted(histogram, reverse=True)), *elites]
-    while len(everyone) < crowd:
-        jitter = rng.uniform(0.0, 0.15)
-        everyone.append(best_fit({}, histogram, size, sorted(histogram, key=lambda x: -x * rng.uniform(1 - jitter, 1))))
+    bound = least_bins(histogram, size)
+    everyone = sorted([*came, *(random_grouping(histogram, size, rng) for _ in range(crowd - len(came)))], key=lambda b: cost(b, size))
     for _ in range(rounds):
-        everyone.sort(key=lambda b: cost(b, size))
+        parents = everyone[: max(2, crowd // 2)]
+        children = [crossover(*rng.sample(parents, 2), histogram, size, rng) for _ in range(crowd - len(parents))]
+        everyone = sorted(parents + children, key=lambda b: cost(b, size))
         if sum(everyone[0].values()) <= bound:
             break
-        half = everyone[: max(2, crowd // 2)]
-        everyone = half + [crossover(*rng.sample(half, 2), histogram, size, rng) for _ in range(crowd - len(half))]
-    return sorted(everyone, key=lambda b: cost(b, size))[:2]
+    return everyone[:2]
+
+
+def least_bins(histogram: dict[int, int], size: int) -> int:
+    """No packing has fewer: bins for all tokens, or one for each piece of over half a bin."""
+    return max(-(-sum(x * n for x, n in histogram.items()) // size), sum(n for x, n in histogram.items() if 2 * x > size))
 
 
 def _pack_bins(bins: Bins) -> str:
@@ -194,28 +244,31 @@ def _read_bins(text: str) -> Bins:
     return {tuple(b): n for b, n in json.loads(text)}
 
 
-def pack_histogram(spark, histogram: dict[int, int], size: int, islands: int = 4, epochs: int = 2, seed: int = 7) -> Bins:
-    """The best bins that `islands` tasks find in `epochs` epochs with migration of elites along a ring."""
+def pack_histogram(spark, histogram: dict[int, int], size: int, islands: int = 4, epochs: int = 3, seed: int = 7) -> Bins:
+    """The best bins that `islands` tasks find in up to `epochs` epochs with migration of elites along a ring.
+
+    Before the last epoch, which only runs where the bound is still missed, best fit by decreasing
+    length joins each island, so that the outcome is never worse than that.
+    """
     if not histogram:
         return {}
-    bound = -(-sum(x * n for x, n in histogram.items()) // size)
+    bound = least_bins(histogram, size)
     elites: list[list[Bins]] = [[] for _ in range(islands)]
     counts = [[x, n] for x, n in sorted(histogram.items())]
 
     def island(rows):
         for pdf in rows:
-            for number, text in zip(pdf["island"], pdf["elites"], strict=True):
-                came = [_read_bins(t) for t in json.loads(text)]
-                best = evolve({x: n for x, n in counts}, came, size, int(number))
-                yield pdf.head(0).assign(island=[], elites=[]) if not best else type(pdf)({"island": [number], "elites": [json.dumps([_pack_bins(b) for b in best])]})
+            out = [[_pack_bins(b) for b in evolve({x: n for x, n in counts}, [_read_bins(t) for t in json.loads(text)], size, int(number))] for number, text in zip(pdf["island"], pdf["elites"], strict=True)]
+            yield type(pdf)({"island": pdf["island"], "elites": [json.dumps(o) for o in out]})
 
-    best: Bins | None = None
     for epoch in range(epochs):
+        if epoch and epoch == epochs - 1:
+            elites = [[best_fit({}, histogram, size, sorted(histogram, reverse=True)), *e] for e in elites]
         rows = [(seed + epoch * islands + i, json.dumps([_pack_bins(b) for b in elites[i]])) for i in range(islands)]
         frame = spark.createDataFrame(rows, "island long, elites string").repartitionByRange(islands, "island")
         found = sorted(frame.mapInPandas(island, "island long, elites string").collect(), key=lambda r: r.island)
         groups = [[_read_bins(t) for t in json.loads(r.elites)] for r in found]
-        best = min([*(b for g in groups for b in g), *([best] if best else [])], key=lambda b: cost(b, size))
+        best = min((b for g in groups for b in g), key=lambda b: cost(b, size))
         if sum(best.values()) <= bound:
             break
         elites = [[groups[i][0], groups[i - 1][0]] for i in range(len(groups))]
@@ -241,7 +294,7 @@ def _slots(bins: Bins) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     return out
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", size: int = 2048, separator: int = 0, islands: int = 4, epochs: int = 2) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", size: int = 2048, separator: int = 0, islands: int = 4, epochs: int = 3) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
     ready_checkpoints(spark)

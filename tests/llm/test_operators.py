@@ -600,7 +600,6 @@ def test_packing(spark, corpus):
     from tokenizers import Tokenizer
 
     encoder = Tokenizer.from_file(queries.vocabulary())
-    encoder.encode_special_tokens = True
     rows = packing.pack_documents(corpus, queries.vocabulary()).collect()
     want = collections.Counter()
     total = 0
@@ -622,15 +621,55 @@ def test_packing(spark, corpus):
     assert len(bins) <= -(-total // 2048) * 1.05 + 1
 
 
-@pytest.mark.parametrize("t", ["", "<|endoftext|>", "naïve café 'll 12 \n\n x", "日本語 text", "  lead", "a" * 5000, "Ünï…"])
+@pytest.mark.parametrize("t", ["", "<|endoftext|>", "hi <|endoftext|> there", "naïve café 'll 12 \n\n x", "日本語 text — “quoted” 😀😀 ½²", "  lead", "a" * 5000, "Ünï…", "x" + " " * 400_000 + "y", "\x85\u2028\u3000a", "e\u0301\u200d\ufeff"])
 def test_tokens_equal_tokenizers(t):
     from tokenizers import Tokenizer
 
     exact = Tokenizer.from_file(queries.vocabulary())
-    exact.encode_special_tokens = True
     assert packing._encoder(queries.vocabulary())([t])[0].tolist() == exact.encode(t, add_special_tokens=False).ids
 
 
+@given(st.text(max_size=80))
+@settings(max_examples=300, deadline=None)
+def test_tokens_of_any_text_equal_tokenizers(t):
+    test_tokens_equal_tokenizers(t)
+
+
+def test_classes_of_characters():
+    """The fast library is used only for characters that both class alike: checked for each of the basic plane, with the whole text's ids."""
+    from tokenizers import Tokenizer
+
+    exact = Tokenizer.from_file(queries.vocabulary())
+    alike = packing.Classes(exact.pre_tokenizer)
+    every = [c for c in map(chr, range(0x80, 0x10000)) if not "\ud800" <= c <= "\udfff"]
+    assert alike("".join(every)) == (not alike.other)
+    kept = "".join(f"a{c} {c}1{c}!{c}" for c in every if c not in alike.other)
+    assert packing._encoder(queries.vocabulary())([kept])[0].tolist() == exact.encode(kept, add_special_tokens=False).ids
+    alike.alike.discard("é")
+    alike.other.add("é")
+    assert not alike("é") and alike("e")
+
+
+def test_crossover_reaches_what_best_fit_misses():
+    """Best fit by decreasing length needs a bin more than the bound, no random grouping of the first crowd meets it, and the algorithm does."""
+    size, histogram = 20, {4: 4, 7: 3, 9: 4, 10: 3, 6: 2, 5: 1, 3: 4, 8: 1}
+    bound = packing.least_bins(histogram, size)
+    assert sum(packing.best_fit({}, histogram, size, sorted(histogram, reverse=True)).values()) == bound + 1
+    rng = random.Random(5)
+    assert min(sum(packing.random_grouping(histogram, size, rng).values()) for _ in range(8)) > bound
+    assert sum(packing.evolve(histogram, [], size, 5)[0].values()) == bound
+
+
+def test_packing_of_documents_by_crossover(spark):
+    """On the smallest table best fit and random groupings miss the bound; the query meets it."""
+    docs = table(spark, DATA, "documents")
+    histogram = {r.length: r.n for r in packing.token_pieces(docs, queries.vocabulary()).groupBy("length").agg(F.count("*").alias("n")).collect()}
+    bound, rng = packing.least_bins(histogram, 2048), random.Random(1)
+    assert sum(packing.best_fit({}, histogram, 2048, sorted(histogram, reverse=True)).values()) > bound
+    assert min(sum(packing.random_grouping(histogram, 2048, rng).values()) for _ in range(32)) > bound
+    assert queries.op9_best_fit_packing(spark, DATA).select("sequence_id").distinct().count() == bound
+
+
 def test_cuts():
     assert packing.cuts(1, 4) == [(0, 1)] and packing.cuts(4, 4) == [(0, 4)] and packing.cuts(9, 4) == [(0, 1), (1, 4), (5, 4)]
 
@@ -645,6 +684,7 @@ def test_evolution_keeps_every_piece(histogram, seed):
             for x in b:
                 got[x] += n
         assert got == collections.Counter(histogram)
+    assert sum(bins.values()) >= packing.least_bins(histogram, 20)
     start = packing.best_fit({}, histogram, 20, sorted(histogram, reverse=True))
     assert sum(packing.evolve(histogram, [start], 20, seed)[0].values()) <= sum(start.values())
 
