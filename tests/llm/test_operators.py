@@ -117,15 +117,76 @@ def test_license_phrases(t):
 @settings(max_examples=200, deadline=None)
 def test_automaton_matches(templates, seq):
     a = license_scan.SuffixAutomaton(templates)
-    subs = {tuple(t[i:j]) for t in templates for i in range(len(t)) for j in range(i + 1, len(t) + 1)}
-    longest = [max((n for n in range(e + 1) if n == 0 or tuple(seq[e - n : e]) in subs)) for e in range(len(seq) + 1)]
-    want = [(e, longest[e]) for e in range(1, len(seq) + 1) if longest[e] >= 2 and (e == len(seq) or longest[e + 1] <= longest[e])]
     got = list(a.matches(seq, 2))
-    assert [(e, n) for e, n, _ in got] == want
-    for e, n, state in got:
-        for k, last in a.ends[state].items():
-            assert templates[k][last + 1 - n : last + 1] == seq[e - n : e]
-        assert set(a.ends[state]) == {k for k, t in enumerate(templates) if any(t[i : i + n] == seq[e - n : e] for i in range(len(t)))}
+    assert sorted((e, n, k) for e, n, k, _ in got) == sorted((e, n, k) for k, t in enumerate(templates) for e, n, _ in brute_matches(t, seq, 2))
+    for e, n, k, state in got:
+        assert {last + 1 for last in a.places[state][k]} == {i + n for i in range(len(templates[k])) if templates[k][i : i + n] == seq[e - n : e]}
+
+
+def brute_matches(t, seq, least):
+    """(end, length, places in t) of the longest match with t that ends at a word and that the next word does not extend."""
+    subs = {tuple(t[i:j]) for i in range(len(t)) for j in range(i + 1, len(t) + 1)}
+    longest = [max(n for n in range(e + 1) if n == 0 or tuple(seq[e - n : e]) in subs) for e in range(len(seq) + 1)]
+    ends = [(e, longest[e]) for e in range(1, len(seq) + 1) if longest[e] >= least and (e == len(seq) or longest[e + 1] != longest[e] + 1)]
+    return [(e, n, [i + n for i in range(len(t)) if t[i : i + n] == seq[e - n : e]]) for e, n in ends]
+
+
+def brute_chain(parts, gap):
+    """(most words, first word, word after the last) over all chains of matches (end, stop, length), tried one by one."""
+    best = (0, 0, 0)
+
+    def extend(i, covered, first):
+        nonlocal best
+        end, stop, _ = parts[i]
+        best = max(best, (covered, -first, -end))
+        for j in range(i + 1, len(parts)):
+            later, until, n = parts[j]
+            new = n - max(0, end - later + n, stop - until + n)
+            if later - n - end <= gap and new > 0:
+                extend(j, covered + new, first)
+
+    for i, (end, _, n) in enumerate(parts):
+        extend(i, n, end - n)
+    return best[0], -best[1], -best[2]
+
+
+@given(st.lists(st.lists(st.sampled_from("abcd"), min_size=3, max_size=9), min_size=1, max_size=3), st.lists(st.sampled_from("abcdz"), max_size=14), st.integers(0, 3))
+@settings(max_examples=200, deadline=None)
+def test_license_spans_brute_force(templates, seq, gap):
+    """Labels, spans and score against all matches and all chains."""
+    scanner = license_scan.Scanner([(f"l{k}", " ".join(t)) for k, t in enumerate(templates)], (), 2, 0.6, gap)
+    want = []
+    for k, t in enumerate(templates):
+        parts = [(e, stop, n) for e, n, places in brute_matches(t, seq, 2) for stop in places]
+        covered, first, end = brute_chain(parts, gap)
+        if covered >= 0.6 * len(t):
+            want.append((f"l{k}", first, end, covered / len(t)))
+    got = scanner.scan(" ".join(seq).encode())
+    assert [(x["label"], x["start"], x["stop"], x["cover"]) for x in got["spans"]] == sorted(want)
+    assert got["labels"] == ",".join(sorted({w[0] for w in want})) and got["score"] == max((w[3] for w in want), default=0.0)
+
+
+def test_license_template_inside_another():
+    inner, outer = "one two three four five", "zero one two three four five six"
+    got = license_scan.Scanner((("a", inner), ("b", outer)), ()).scan(outer.encode())
+    assert got["labels"] == "a,b"
+
+
+def test_license_whole_texts_and_long_ones():
+    """Each template names itself, whole and amid other words; very many hits take time in proportion to their number."""
+    import time
+
+    for label, t in license_scan.TEMPLATES:
+        got = license_scan.Scanner().scan(f"some code {t} more code".encode())
+        assert label in got["labels"].split(",")
+    start = time.perf_counter()
+    assert license_scan.Scanner().scan(b"cc by nc " * 200_000)["n_base"] == 200_000
+    assert time.perf_counter() - start < 20
+
+
+def test_license_templates_as_parameter(spark):
+    rows = license_scan.scan_licenses(docs_of(spark, ["free as in beer and as in speech", None]), templates=[("own", "as in beer and as in")]).collect()
+    assert [(r.labels, r.score) for r in sorted(rows, key=lambda r: r.doc_id)] == [("own", 1.0), ("", 0.0)]
 
 
 def test_license_template_with_gaps():
