@@ -10,7 +10,8 @@ Reading goes by the file alone: RIFF lists and idx1 give the frames, each
 frame's own markers give its tables. Frames are decoded side by side, one block
 of all frames at a time. A cut lies where the difference of two neighbouring
 frames' histograms exceeds the running mean of the eight differences before by
-`factor` and the floor `least`.
+`factor` and the floor `least`. A text is coded, stored and read back some
+thousand frames at a time, so a long one needs memory for itself and its file.
 
 Defined results: null is the empty text (192 spaces, one frame, one clip);
 repeated rows and equal texts have equal values; other columns are ignored.
@@ -21,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -79,60 +81,100 @@ def encode_frames(samples: np.ndarray) -> list[bytes]:
     return out
 
 
-def write_avi(frames: list[bytes]) -> bytes:
-    """A RIFF AVI file with an index."""
-    sizes = [len(f) for f in frames]
-    chunks, index, at = [], [], 4
-    for f, n in zip(frames, sizes, strict=True):
-        chunks += (b"00dc", struct.pack("<I", n), f, b"\0" * (n & 1))
-        index.append(struct.pack("<4sIII", b"00dc", 0x10, at, n))
-        at += 8 + n + (n & 1)
+def _chunk(tag: bytes, body: bytes) -> bytes:
+    return tag + struct.pack("<I", len(body)) + body
 
-    def chunk(tag: bytes, body: bytes) -> bytes:
-        return tag + struct.pack("<I", len(body)) + body
 
-    main = struct.pack("<14I", 1_000_000 // FPS, 0, 0, 0x10, len(frames), 0, 1, max(sizes, default=0), WIDTH, HEIGHT, 0, 0, 0, 0)
-    head = struct.pack("<4s4sIHHIIIIIIIIhhhh", b"vids", b"MJPG", 0, 0, 0, 0, 1, FPS, 0, len(frames), max(sizes, default=0), 0xFFFFFFFF, 0, 0, 0, WIDTH, HEIGHT)
+def _header(frames: int, largest: int) -> bytes:
+    """The header list; its length does not depend on the numbers."""
+    main = struct.pack("<14I", 1_000_000 // FPS, 0, 0, 0x10, frames, 0, 1, largest, WIDTH, HEIGHT, 0, 0, 0, 0)
+    head = struct.pack("<4s4sIHHIIIIIIIIhhhh", b"vids", b"MJPG", 0, 0, 0, 0, 1, FPS, 0, frames, largest, 0xFFFFFFFF, 0, 0, 0, WIDTH, HEIGHT)
     form = struct.pack("<IiiHH4sIiiII", 40, WIDTH, HEIGHT, 1, 24, b"MJPG", WIDTH * HEIGHT * 3, 0, 0, 0, 0)
-    stream = chunk(b"LIST", b"strl" + chunk(b"strh", head) + chunk(b"strf", form))
-    lists = chunk(b"LIST", b"hdrl" + chunk(b"avih", main) + stream) + chunk(b"LIST", b"movi" + b"".join(chunks)) + chunk(b"idx1", b"".join(index))
-    return chunk(b"RIFF", b"AVI " + lists)
+    return _chunk(b"LIST", b"hdrl" + _chunk(b"avih", main) + _chunk(b"LIST", b"strl" + _chunk(b"strh", head) + _chunk(b"strf", form)))
+
+
+def write_avi(frames: Iterable[bytes], most: int = 1 << 30) -> bytearray:
+    """A RIFF AVI file with an index. Its sizes have 32 bits, so frames beyond `most` bytes go to further RIFF parts, each with its own index."""
+    out, index, many, largest = bytearray(), bytearray(), 0, 0
+    head = movi = 0
+
+    def start() -> None:
+        nonlocal head, movi
+        head = len(out)
+        out.extend(b"RIFF\0\0\0\0AVIX" if head else b"RIFF\0\0\0\0AVI " + _header(0, 0))
+        movi = len(out) + 8
+        out.extend(b"LIST\0\0\0\0movi")
+
+    def finish() -> None:
+        struct.pack_into("<I", out, movi - 4, len(out) - movi)
+        out.extend(b"idx1" + struct.pack("<I", len(index)))
+        out.extend(index)
+        index.clear()
+        struct.pack_into("<I", out, head + 4, len(out) - head - 8)
+
+    start()
+    for f in frames:
+        n = len(f)
+        if index and len(out) - movi + n + 9 > most:
+            finish()
+            start()
+        index.extend(struct.pack("<4sIII", b"00dc", 0x10, len(out) - movi, n))
+        out.extend(b"00dc" + struct.pack("<I", n))
+        out.extend(f)
+        if n & 1:
+            out.append(0)
+        many, largest = many + 1, max(largest, n)
+    finish()
+    known = _header(many, largest)
+    out[12 : 12 + len(known)] = known
+    return out
 
 
-def read_avi(data: bytes) -> tuple[list[bytes], float]:
-    """Frames by idx1 (in a file without one: by walking movi) and seconds a frame."""
+def avi_index(data: bytes | bytearray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Places and sizes of the frames by the idx1 of each RIFF part (in one without: by walking its movi), and seconds a frame."""
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
-    end, at, movi, rows, step = min(len(data), 8 + struct.unpack_from("<I", data, 4)[0]), 12, None, None, 1 / FPS
-    while at + 8 <= end:
-        tag, size = struct.unpack_from("<4sI", data, at)
-        if tag == b"LIST" and data[at + 8 : at + 12] == b"movi":
-            movi = (at + 8, at + 8 + size)
-        elif tag == b"LIST" and data[at + 12 : at + 16] == b"avih":
-            step = struct.unpack_from("<I", data, at + 20)[0] / 1e6
-        elif tag == b"idx1":
-            rows = np.frombuffer(data, dtype="<u4", count=size // 16 * 4, offset=at + 8).reshape(-1, 4)
-        at += 8 + size + (size & 1)
-    if movi is None:
-        raise ValueError("no movi list")
-    if rows is not None:
-        video = rows[(rows[:, 0] >> 16 == 0x6364) | (rows[:, 0] >> 16 == 0x6264)]  # 'dc' and 'db'
+    places, sizes, step, part = [], [], 1 / FPS, 0
+    while part + 12 <= len(data) and data[part : part + 4] == b"RIFF" and data[part + 8 : part + 12] in (b"AVI ", b"AVIX"):
+        end, at, movi, rows = min(len(data), part + 8 + struct.unpack_from("<I", data, part + 4)[0]), part + 12, None, None
+        while at + 8 <= end:
+            tag, size = struct.unpack_from("<4sI", data, at)
+            if tag == b"LIST" and data[at + 8 : at + 12] == b"movi":
+                movi = (at + 8, min(end, at + 8 + size))
+            elif tag == b"LIST" and data[at + 12 : at + 16] == b"avih":
+                step = struct.unpack_from("<I", data, at + 20)[0] / 1e6
+            elif tag == b"idx1":
+                rows = np.frombuffer(data, dtype="<u4", count=min(size, end - at - 8) // 16 * 4, offset=at + 8).reshape(-1, 4)
+            at += 8 + size + (size & 1)
+        if movi is None:
+            raise ValueError("no movi list")
+        video = rows[(rows[:, 0] >> 16 == 0x6364) | (rows[:, 0] >> 16 == 0x6264)] if rows is not None else []  # 'dc' and 'db'
         if len(video):
-            start = video[:, 2].astype(np.int64) + (movi[0] if video[0, 2] < movi[0] else 0) + 8
-            return [data[a : a + n] for a, n in zip(start.tolist(), video[:, 3].tolist(), strict=True)], step
-    frames, at = [], movi[0] + 4
-    while at + 8 <= movi[1]:
-        tag, size = struct.unpack_from("<4sI", data, at)
-        if tag[2:] in (b"dc", b"db"):
-            frames.append(data[at + 8 : at + 8 + size])
-        at += 8 + size + (size & 1)
-    return frames, step
+            offset = movi[0] - part if video[0, 2] < movi[0] - part else 0
+            places += (video[:, 2].astype(np.int64) + part + offset + 8).tolist()
+            sizes += video[:, 3].tolist()
+        else:
+            at = movi[0] + 4
+            while at + 8 <= movi[1]:
+                tag, size = struct.unpack_from("<4sI", data, at)
+                if tag[2:] in (b"dc", b"db"):
+                    places.append(at + 8)
+                    sizes.append(size)
+                at += 8 + size + (size & 1)
+        part = end + (end & 1)
+    return np.array(places, np.int64), np.array(sizes, np.int64), step
+
+
+def read_avi(data: bytes | bytearray) -> tuple[list[bytes], float]:
+    """Frames and seconds a frame."""
+    places, sizes, step = avi_index(data)
+    return [bytes(data[a : a + n]) for a, n in zip(places.tolist(), sizes.tolist(), strict=True)], step
 
 
 @lru_cache(64)
-def _tables(head: bytes) -> tuple[int, np.ndarray, np.ndarray, int, int]:
-    """(blocks, bits by code word, difference by code word, bits looked at, DC quantiser) of a frame's markers up to its scan."""
-    at, trees, quant, blocks = 2, {}, {}, 0
+def _tables(head: bytes) -> tuple[int, np.ndarray, np.ndarray, int, int] | str:
+    """(blocks, bits by code word, difference by code word, bits looked at, DC quantiser) of a frame's markers up to its scan, or why it can have no flat blocks of one grey part."""
+    at, trees, quant, blocks, q = 2, {}, {}, 0, 0
     while at < len(head):
         marker, size = head[at + 1], struct.unpack_from(">H", head, at + 2)[0]
         body = head[at + 4 : at + 2 + size]
@@ -141,11 +183,13 @@ def _tables(head: bytes) -> tuple[int, np.ndarray, np.ndarray, int, int]:
         elif marker == 0xC0:
             high, wide, parts = struct.unpack_from(">HHB", body, 1)
             if body[0] != 8 or parts != 1:
-                raise ValueError("only grey baseline frames of 8 bits can be read")
+                return "not grey with 8 bits"
             blocks, q = -(-high // 8) * -(-wide // 8), body[8]
-        elif marker in (0xC1, 0xC2, 0xC3):
-            raise ValueError("only baseline frames can be read")
+        elif marker in (0xC1, 0xC2, 0xC3, 0xDD):
+            return "not plain baseline"
         elif marker == 0xC4:
+            if len(body) != 17 + sum(body[1:17]):
+                return "several tables in one marker"
             code, k, tree = 0, 17, []
             for bits in range(1, 17):
                 for _ in range(body[bits]):
@@ -154,12 +198,12 @@ def _tables(head: bytes) -> tuple[int, np.ndarray, np.ndarray, int, int]:
                 code <<= 1
             trees[body[0]] = tree
         at += 2 + size
-    stop = next(((c, n) for c, n, v in trees[0x10] if v == 0), None)
-    if stop is None:
-        raise ValueError("no end of block")
+    stop = next(((c, n) for c, n, v in trees.get(0x10, ()) if v == 0), None)
+    if stop is None or 0 not in trees or q not in quant:
+        return "no end of block, or a table is missing"
     most = max(n + v for _, n, v in trees[0]) + stop[1]
     if most > 22:
-        raise ValueError("code words are too long")
+        return "code words are too long"
     length, value = np.zeros(1 << most, np.int64), np.zeros(1 << most, np.int64)
     for code, bits, cat in trees[0]:
         for extra in range(1 << cat):
@@ -170,16 +214,19 @@ def _tables(head: bytes) -> tuple[int, np.ndarray, np.ndarray, int, int]:
     return blocks, length, value, most, quant[q]
 
 
-def decode_frames(frames: list[bytes]) -> np.ndarray:
-    """(frames, blocks) flat blocks' samples; frames must share their markers, as those of one writer do."""
-    if not frames:
-        return np.empty((0, SAMPLES), np.uint8)
-    scan = frames[0].index(b"\xff\xda")
+def _flat(frames: list[bytes]) -> np.ndarray | str:
+    """(frames, blocks) samples of frames that share their markers and have flat blocks only, or why these have not."""
+    scan = frames[0].find(b"\xff\xda")
+    if scan < 0 or len(frames[0]) < scan + 4:
+        return "no scan"
     scan += 2 + struct.unpack_from(">H", frames[0], scan + 2)[0]
     head = frames[0][:scan]
     if not all(f.startswith(head) for f in frames):
-        raise ValueError("frames differ in their markers")
-    blocks, length, value, most, quant = _tables(head)
+        return "frames differ in their markers"
+    tables = _tables(head)
+    if isinstance(tables, str):
+        return tables
+    blocks, length, value, most, quant = tables
     parts = [f[scan:-2].replace(b"\xff\0", b"\xff") for f in frames]
     data = np.frombuffer(b"".join(parts) + b"\xff" * 8, dtype=np.uint8).astype(np.uint32)
     wide = (data[:-3] << 24) | (data[1:-2] << 16) | (data[2:-1] << 8) | data[3:]
@@ -191,15 +238,25 @@ def decode_frames(frames: list[bytes]) -> np.ndarray:
         word = (wide[np.minimum(at >> 3, len(wide) - 1)] >> (32 - most - (at & 7)).astype(np.uint32)) & np.uint32((1 << most) - 1)
         step = length[word]
         if not step.all():
-            raise ValueError("a block is not flat")
+            return "a block is not flat"
         level += value[word]
         at += step
         out[k] = np.clip(((level * quant + 4) >> 3) + 128, 0, 255)
     if (at > end).any():
-        raise ValueError("a frame ends early")
+        return "a frame ends early"
     return np.ascontiguousarray(out.T)
 
 
+def decode_frames(frames: list[bytes]) -> np.ndarray:
+    """(frames, blocks) flat blocks' samples; frames must share their markers, as those of one writer do."""
+    if not frames:
+        return np.empty((0, SAMPLES), np.uint8)
+    out = _flat(frames)
+    if isinstance(out, str):
+        raise ValueError(out)
+    return out
+
+
 _ZIGZAG = np.array(sorted(range(64), key=lambda k: (k // 8 + k % 8, k // 8 if (k // 8 + k % 8) % 2 else k % 8)))
 _COSINE = np.array([[np.sqrt((1 if u else 0.5) / 4) * np.cos((2 * x + 1) * u * np.pi / 16) for x in range(8)] for u in range(8)])
 
@@ -322,10 +379,8 @@ def decode_luma(frame: bytes) -> np.ndarray:
 
 def decode_any(frames: list[bytes]) -> np.ndarray:
     """(frames, samples) of any baseline motion-JPEG: flat frames of one writer side by side, others one by one."""
-    try:
-        return decode_frames(frames)
-    except (ValueError, KeyError, StopIteration):
-        return np.stack([decode_luma(f).ravel() for f in frames])
+    out = _flat(frames) if frames else np.empty((0, SAMPLES), np.uint8)
+    return np.stack([decode_luma(f).ravel() for f in frames]) if isinstance(out, str) else out
 
 
 def histogram_steps(samples: np.ndarray, bins: int = 32) -> np.ndarray:
@@ -344,7 +399,18 @@ def shots(steps: np.ndarray, factor: float = 1.8, least: float = 0.2, behind: in
     return [0, *np.flatnonzero((k > 0) & (steps > least) & (steps > factor * mean)).tolist()]
 
 
-def _clips(batch: list[bytes]) -> list[dict]:
+def _row(text: bytes, file: bytes | bytearray, n: int, digest: str, tail: bytes, steps: np.ndarray, second: float) -> dict:
+    cuts = shots(steps)
+    return {
+        "n_bytes": len(text), "payload_bytes": n, "payload_sha256": digest, "tail_crc32": zlib.crc32(tail), "media_bytes": len(file), "media_sha256": hashlib.sha256(file).hexdigest(),
+        "feature": f"frames={len(steps)};shots={len(cuts)};motion={steps.mean():.4f}",
+        "clips": [{"shot": i, "start_s": round(a * second, 6), "end_s": round(b * second, 6), "motion": float(steps[a:b].mean())} for i, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(steps)], strict=True))],
+        "media": file,
+    }
+
+
+def _side_by_side(batch: list[bytes]) -> list[dict]:
+    """Rows of short texts, whose frames are coded and decoded together."""
     padded = [payload(t) for t in batch]
     counts = [len(p) // SAMPLES for p in padded]
     samples = np.frombuffer(b"".join(padded), dtype=np.uint8).reshape(-1, SAMPLES)
@@ -361,23 +427,66 @@ def _clips(batch: list[bytes]) -> list[dict]:
         data = back[at : at + len(fs)].tobytes()
         own = steps[at : at + len(fs)].copy()
         own[:1] = 0.0
-        cuts = shots(own)
         at += len(fs)
-        out.append({
-            "n_bytes": len(text), "payload_bytes": len(data), "payload_sha256": hashlib.sha256(data).hexdigest(), "tail_crc32": zlib.crc32(data[-16:]),
-            "media_bytes": len(file), "media_sha256": hashlib.sha256(file).hexdigest(), "feature": f"frames={len(fs)};shots={len(cuts)};motion={own.mean():.4f}",
-            "clips": [{"shot": i, "start_s": round(a * second, 6), "end_s": round(b * second, 6), "motion": float(own[a:b].mean())} for i, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(fs)], strict=True))],
-            "media": file,
-        })
+        out.append(_row(text, file, len(data), hashlib.sha256(data).hexdigest(), data[-16:], own, second))
     return out
 
 
+def _sliced(text: bytes, frames: int) -> dict:
+    """The row of a long text, coded and decoded some frames at a time: besides the text and its file only one slice is held."""
+    size = frames * SAMPLES
+
+    def coded() -> Iterator[bytes]:
+        for i in range(0, len(text), size):
+            part = text[i : i + size]
+            yield from encode_frames(np.frombuffer(payload(part), np.uint8).reshape(-1, SAMPLES))
+
+    file = write_avi(coded())
+    places, sizes, second = avi_index(file)
+    digest, n, last, steps = hashlib.sha256(), 0, None, []
+    for i in range(0, len(places), frames):
+        back = decode_frames([bytes(file[a : a + k]) for a, k in zip(places[i : i + frames].tolist(), sizes[i : i + frames].tolist(), strict=True)])
+        digest.update(back.data)
+        n += back.size
+        steps.append(histogram_steps(back) if last is None else histogram_steps(np.concatenate((last, back)))[1:])
+        last = back[-1:].copy()
+    return _row(text, file, n, digest.hexdigest(), last.tobytes()[-16:], np.concatenate(steps), second)
+
+
+def stored(batch: list[bytes], frames: int = 4096) -> Iterator[dict]:
+    """One row per text, in order; at most `frames` frames are coded at a time, whatever the texts' lengths."""
+    group, held = [], 0
+    for t in batch:
+        n = len(t) // SAMPLES + 1
+        if group and held + n > frames:
+            yield from _side_by_side(group)
+            group, held = [], 0
+        if n > frames:
+            yield _sliced(t, frames)
+        else:
+            group.append(t)
+            held += n
+    if group:
+        yield from _side_by_side(group)
+
+
 _KIND = {
     "n_bytes": ("long", pa.int64()), "payload_bytes": ("long", pa.int64()), "payload_sha256": ("string", pa.string()), "tail_crc32": ("long", pa.int64()), "media_bytes": ("long", pa.int64()), "media_sha256": ("string", pa.string()), "feature": ("string", pa.string()),
     "clips": ("array<struct<shot:long,start_s:double,end_s:double,motion:double>>", pa.list_(pa.struct([("shot", pa.int64()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("motion", pa.float64())]))), "media": ("binary", pa.binary()),
 }
 
 
+def _motion(data: bytes, frames: int = 4096) -> tuple[np.ndarray, float]:
+    """Histogram steps of a file's frames, and seconds a frame."""
+    places, sizes, second = avi_index(data)
+    last, steps = None, [np.zeros(0)]
+    for i in range(0, len(places), frames):
+        back = decode_any([data[a : a + n] for a, n in zip(places[i : i + frames].tolist(), sizes[i : i + frames].tolist(), strict=True)])
+        steps.append(histogram_steps(back) if last is None else histogram_steps(np.concatenate((last, back)))[1:])
+        last = back[-1:].copy()
+    return np.concatenate(steps), second
+
+
 def clip_rows(files: DataFrame, id_col: str, media_col: str = "media") -> DataFrame:
     """Timed clip rows of AVI files: id, shot, start_s, end_s, motion, error. A null or unreadable file has one row that says why."""
     bounded_batches(files.sparkSession, 64)
@@ -386,12 +495,12 @@ def clip_rows(files: DataFrame, id_col: str, media_col: str = "media") -> DataFr
     def run(batches):
         for b in batches:
             out = []
-            for key, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for i in range(b.num_rows):
+                key, data = b.column(0)[i].as_py(), b.column(1)[i].as_py()
                 try:
-                    frames, second = read_avi(data or b"")
-                    steps = histogram_steps(decode_any(frames))
-                    cuts = shots(steps) if frames else []
-                    out += [(key, i, round(a * second, 6), round(e * second, 6), float(steps[a:e].mean()), None) for i, (a, e) in enumerate(zip(cuts, [*cuts[1:], len(frames)], strict=True))]
+                    steps, second = _motion(data or b"")
+                    cuts = shots(steps) if len(steps) else []
+                    out += [(key, i, round(a * second, 6), round(e * second, 6), float(steps[a:e].mean()), None) for i, (a, e) in enumerate(zip(cuts, [*cuts[1:], len(steps)], strict=True))]
                 except (ValueError, KeyError, IndexError, struct.error) as e:
                     out.append((key, None, None, None, None, str(e)))
             kinds = [b.schema.field(0).type, pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.string()]
@@ -401,19 +510,25 @@ def clip_rows(files: DataFrame, id_col: str, media_col: str = "media") -> DataFr
     return few.mapInArrow(run, f"id {files.schema[id_col].dataType.simpleString()}, shot long, start_s double, end_s double, motion double, error string").withColumnRenamed("id", id_col)
 
 
-def store_as_avi(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", media: bool = False, group: int = 128) -> DataFrame:
-    """One row per document: sizes, digests, features and timed clips; with media=True also the file. No shuffle."""
+def store_as_avi(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", media: bool = False, frames: int = 4096) -> DataFrame:
+    """One row per document: sizes, digests, features and timed clips; with media=True also the file. No shuffle; `frames` bounds what is coded at a time."""
     bounded_batches(docs.sparkSession)
     names = [c for c in _KIND if media or c != "media"]
     kind = pa.schema([(c, _KIND[c][1]) for c in names])
 
     def run(batches):
         for b in batches:
-            for i in range(0, b.num_rows, group):
-                part = b.slice(i, group)
-                rows = _clips(texts(part, "text"))
-                t = pa.RecordBatch.from_pylist(rows if media else [{c: r[c] for c in names} for r in rows], schema=kind)
-                yield pa.RecordBatch.from_arrays([part.column(0), *t.columns], names=["id", *names])
+            rows, at = [], 0
+            for r in stored(texts(b, "text"), frames):
+                rows.append({c: bytes(r[c]) if c == "media" else r[c] for c in names})
+                if media and sum(len(x["media"]) for x in rows) > 32 << 20:  # files go on before they fill the worker
+                    yield _out(b, at, rows, kind, names)
+                    rows, at = [], at + len(rows)
+            yield _out(b, at, rows, kind, names)
 
     few = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     return few.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, " + ", ".join(f"{c} {_KIND[c][0]}" for c in names)).withColumnRenamed("id", id_col)
+
+
+def _out(b: pa.RecordBatch, at: int, rows: list[dict], kind: pa.Schema, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([b.column(0).slice(at, len(rows)), *pa.RecordBatch.from_pylist(rows, schema=kind).columns], names=["id", *names])

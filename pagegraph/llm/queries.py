@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import table
 from . import avi, chat_format, decontaminate, html_extract, license_scan, packing, quality, simhash, suffix_dedup, url_filter
@@ -42,7 +43,8 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return avi.store_as_avi(table(spark, sf_dir, "documents")).drop("clips")
+    rows = avi.store_as_avi(table(spark, sf_dir, "documents"))
+    return rows.withColumn("clips", F.to_json("clips"))
 
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,8 @@ import hashlib
 import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -479,7 +481,7 @@ def test_quality_edges(spark):
 @given(st.lists(st.binary(max_size=700), min_size=1, max_size=5))
 @settings(max_examples=60, deadline=None)
 def test_avi_round_trip(batch):
-    for t, r in zip(batch, avi._clips(batch), strict=True):
+    for t, r in zip(batch, avi.stored(batch), strict=True):
         data = avi.payload(t)
         assert len(data) % 192 == 0 and data and data.startswith(t)
         frames, second = avi.read_avi(r["media"])
@@ -488,6 +490,28 @@ def test_avi_round_trip(batch):
         assert r["clips"][0]["start_s"] == 0 and r["clips"][-1]["end_s"] == round(len(frames) / 25, 6)
 
 
+@given(st.lists(st.binary(max_size=3000), min_size=1, max_size=4), st.integers(1, 9))
+@settings(max_examples=30, deadline=None)
+def test_avi_in_slices(batch, frames):
+    """However few frames are coded at a time, rows are the same."""
+    assert [{**r, "media": bytes(r["media"])} for r in avi.stored(batch, frames)] == [{**r, "media": bytes(r["media"])} for r in avi.stored(batch)]
+
+
+def test_avi_parts_of_bounded_size():
+    """Frames beyond the size that a RIFF part may have go to a further part."""
+    frames = avi.encode_frames(np.random.default_rng(1).integers(0, 256, (50, 192)).astype(np.uint8))
+    whole, cut = avi.write_avi(frames), avi.write_avi(frames, 3000)
+    assert cut.count(b"AVIX") > 5 and whole.count(b"AVIX") == 0
+    assert avi.read_avi(cut) == avi.read_avi(whole) == (frames, 1 / 25)
+
+
+def test_avi_memory_of_a_long_text():
+    """A text of 40 MB needs less than 400 MB."""
+    code = "import resource\nfrom pagegraph.llm import avi\nr = next(avi.stored([b'some words of a text ' * 2_000_000]))\nprint(r['payload_bytes'], resource.getrusage(resource.RUSAGE_SELF).ru_maxrss)"
+    size, peak = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split())
+    assert size >= 42_000_000 and peak < 400_000
+
+
 def test_avi_without_index_and_shots():
     rng = np.random.default_rng(0)
     scenes = np.concatenate([np.full((10, 192), 40) + rng.integers(0, 3, (10, 192)), np.full((10, 192), 180) + rng.integers(0, 3, (10, 192))]).astype(np.uint8)
