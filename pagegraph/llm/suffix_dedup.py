@@ -6,30 +6,33 @@ anchor, its 16-byte gram of least hash (ties: the first), so equal windows have
 equal anchors and only windows whose anchor's hash occurs in two documents can
 be equal. The rest never leaves its document.
 
-1. Documents are packed into batches of about a megabyte (compressed rows,
-   checkpointed once).
-2. Each batch sends its distinct anchor hashes to buckets; a bucket answers
+1. Documents are put into blobs of about a megabyte, and these into packs
+   (compressed rows, checkpointed once).
+2. Each pack sends its blobs' distinct anchor hashes to buckets; a bucket answers
    with one bit a hash: seen in two documents or not.
-3. Runs of windows with such an anchor are pieces of at most 84 bytes. Each
-   batch sends its distinct pieces, with the least id that has them, to buckets.
+3. Runs of windows with such an anchor are pieces of at most 84 bytes. Each pack
+   sends its blobs' distinct pieces, with the least id that has them, to buckets.
 4. A bucket sorts the windows of its pieces as suffixes: mergesort, in which two
    suffixes are compared by prefix polynomial hashes and a binary search for
-   their common extension. Neighbours with a common extension of a whole window
-   are verified byte by byte. It answers with one bit a window: does a smaller
-   id than the batch's own have it?
-5. Each batch applies the answers to its documents.
+   their common extension. The order of all neighbours is verified by their bytes.
+   It answers with one bit a window: does a smaller id than the blob's own have it?
+5. Each pack applies the answers to its documents.
 
-What a batch sends is distinct within it, so a passage that a third of all
-documents share reaches its bucket once a batch. Buckets and batches grow in
-number, not in size, with the input; no text is shipped but pieces.
+A row goes from a pack to a bucket, for all of the pack's blobs, and buckets are
+sized by what they get, so rows stay few: packs times buckets, and never more
+than one a hash or piece. What a blob sends is distinct within it; where packs are
+many, buckets answer in two steps, first within groups of `fan` packs, so that a
+passage that every document has never comes together in one task.
 
-Whole copies of a document with a smaller id send no pieces: their texts'
-SHA-256 and the shuffle of those digests decide.
+Equal pieces, and documents whose whole text a smaller id has, are found by hashes
+verified byte by byte, before the sort; the sort decides what different pieces share.
 
 Defined results: null is the empty text; texts shorter than a window keep
-everything; documents of equal id do not count against each other, repeated
-rows stay; a null id is larger than all others and removes nothing from anyone;
-an empty table gives no rows; other columns are ignored or kept as they are.
+everything; ids of any type that can be ordered; documents of equal id do not
+count against each other, repeated rows stay; a null id is larger than all others
+and removes nothing from anyone; an empty table gives no rows; other columns are
+ignored or kept as they are. A long text is worked on in parts, with a few bytes
+of memory for each of its own.
 """
 
 from __future__ import annotations
@@ -41,102 +44,147 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as Ty
 
 from ..session import bounded_batches, ready_checkpoints
 from .words import texts
 
 GRAM = 16
-HASH_BITS = np.uint64(40)
-SLICE = 1 << 15  # places worked on at a time: arrays stay in the processor's cache
+SLICE = 1 << 15  # windows whose anchors are found at a time: arrays stay in the processor's cache
+PART = 1 << 16  # runs worked on at a time
+PAD = 256  # bytes behind a text, so that words can be read up to its end
+FLUSH = 24 << 20  # bytes that a pack holds before it sends them
 NO_ID = np.iinfo(np.int64).max
+MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9))
 
 
 # ----------------------------------------------------------------- anchors
 
 
-def gram_hashes(x: np.ndarray) -> np.ndarray:
-    """40 bits of a hash of the 16 bytes from each place on."""
-    a = x.astype(np.uint64)
-    for step in (1, 2, 4):
-        a = a[:-step] | (a[step:] << np.uint64(8 * step))
-    low, high = a[:-8], a[8:]
-    h = (low * np.uint64(0x9E3779B97F4A7C15)) ^ (high * np.uint64(0xC2B2AE3D27D4EB4F) + (low >> np.uint64(31)))
+def words_at(text: np.ndarray, order: str = "<") -> np.ndarray:
+    """The eight bytes from each place on, as a view."""
+    return np.ndarray((max(0, len(text) - 7),), f"{order}u8", text, strides=(1,))
+
+
+def gram_hashes(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """A hash of 16 bytes."""
+    h = (low * MIX[0]) ^ (high * MIX[1] + (low >> np.uint64(31)))
     h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    return h >> (np.uint64(64) - HASH_BITS)
+    h *= MIX[2]
+    return h
 
 
-def anchors(blob: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, place) of the anchor of the window at each place of a blob."""
-    if len(blob) < length:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    hashes, places = [], []
+def anchor_places(text: np.ndarray, length: int) -> np.ndarray:
+    """The place of the anchor of the window at each place of a text of less than 2^24 bytes; hashes count by their upper 40 bits."""
+    w = words_at(text)
     span = length - GRAM + 1
-    for start in range(0, len(blob) - length + 1, SLICE):
-        x = np.frombuffer(blob, np.uint8, min(SLICE + length - 1, len(blob) - start), start)
-        low = (gram_hashes(x) << np.uint64(24)) | np.arange(len(x) - GRAM + 1, dtype=np.uint64)
-        width = 1
-        while 2 * width <= span:
-            low = np.minimum(low[:-width], low[width:])
-            width *= 2
-        if span > width:
-            low = np.minimum(low[: len(low) - (span - width)], low[span - width :])
-        hashes.append(low >> np.uint64(24))
-        places.append((low & np.uint64((1 << 24) - 1)).astype(np.int64) + start)
-    return np.concatenate(hashes), np.concatenate(places)
-
-
-class Batch:
-    """A batch's documents and their windows' anchors."""
-
-    def __init__(self, ids: bytes, ends: bytes, blob: bytes, length: int):
-        self.ids, self.ends, self.length = np.frombuffer(ids, np.int64), np.frombuffer(ends, np.int64), length
-        self.blob = zstandard.ZstdDecompressor().decompress(blob, max_output_size=max(1, int(self.ends[-1])))
-        self.starts = np.concatenate(([0], self.ends[:-1]))
-        hashes, place = anchors(self.blob, length)
-        new = np.ones(len(place), bool)
-        np.not_equal(place[1:], place[:-1], out=new[1:])
-        for edge in (self.starts, self.ends - length + 1):  # where windows begin or cease to lie in one document
-            new[edge[(edge >= 0) & (edge < len(new))]] = True
-        # Runs of windows with one anchor in one document: hash, document, first window, window after the last.
-        first = np.flatnonzero(new)
-        stop = np.append(first[1:], len(new))
-        doc = np.searchsorted(self.ends, first, side="right")
-        whole = first + length <= self.ends[np.minimum(doc, len(self.ends) - 1)]
-        self.first, self.stop, self.doc, self.hash = first[whole], stop[whole], doc[whole], hashes[first[whole]]
-
-    def anchor_hashes(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct hashes, and whether documents of different ids have them here."""
-        who = self.ids[self.doc]
-        by = np.argsort(self.hash, kind="stable")
-        h, who = self.hash[by], who[by]
-        start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.empty(0, np.int64)
-        if not len(start):
-            return h, np.zeros(0, bool)
-        return h[start], np.minimum.reduceat(who, start) != np.maximum.reduceat(who, start)
-
-    def pieces(self, shared: np.ndarray, copies: np.ndarray) -> dict[tuple[int, bytes], list[tuple[int, int]]]:
-        """(anchor hash, bytes) -> (document, start) of each run of windows with an anchor in `shared` (sorted); copies send none."""
-        if not len(shared):
-            return {}
-        near = shared[np.minimum(np.searchsorted(shared, self.hash), len(shared) - 1)]
-        use = np.flatnonzero((near == self.hash) & ~copies[self.doc])
-        out: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
-        blob, more = self.blob, self.length - 1
-        for h, d, a, b in zip(self.hash[use].tolist(), self.doc[use].tolist(), self.first[use].tolist(), self.stop[use].tolist(), strict=True):
-            key = (h, blob[a : b + more])
-            if key in out:
-                out[key].append((d, a))
-            else:
-                out[key] = [(d, a)]
-        return out
+    low = gram_hashes(w[:-8].astype(np.uint64), w[8:].astype(np.uint64))
+    low &= ~np.uint64((1 << 24) - 1)
+    low |= np.arange(len(low), dtype=np.uint64)
+    width = 1
+    while 2 * width <= span:
+        low = np.minimum(low[:-width], low[width:])
+        width *= 2
+    if span > width:
+        low = np.minimum(low[: len(low) - (span - width)], low[span - width :])
+    return (low & np.uint64((1 << 24) - 1)).astype(np.int64)
+
+
+class Blob:
+    """Documents' texts one behind the other, and the runs of windows of a document that have one anchor: hash, document, first window, window after the last."""
+
+    def __init__(self, ids: np.ndarray, ends: np.ndarray, text: bytes, length: int):
+        self.ids, self.ends, self.length = ids, ends, length
+        self.size = len(text) - PAD
+        self.text = np.frombuffer(text, np.uint8)
+        self.words = words_at(self.text)
+        self.starts = np.concatenate((np.zeros(1, np.int64), ends[:-1]))
+        n = max(0, self.size - length + 1)
+        edges = np.concatenate((self.starts, ends - length + 1))  # where windows begin or cease to lie in one document
+        edges = np.unique(edges[(edges >= 0) & (edges < n)])
+        firsts, places, last = [np.empty(0, np.int64)], [np.empty(0, np.int64)], -1
+        for a in range(0, n, SLICE):
+            place = anchor_places(self.text[a : min(a + SLICE + length - 1, self.size)], length) + a
+            new = np.empty(len(place), bool)
+            new[0] = place[0] != last
+            np.not_equal(place[1:], place[:-1], out=new[1:])
+            new[edges[np.searchsorted(edges, a) : np.searchsorted(edges, a + len(place))] - a] = True
+            at = np.flatnonzero(new)
+            firsts.append(at + a)
+            places.append(place[at])
+            last = place[-1]
+        first, place = np.concatenate(firsts), np.concatenate(places)
+        stop = np.append(first[1:], n)
+        doc = np.searchsorted(ends, first, side="right")
+        whole = first + length <= ends[np.minimum(doc, len(ends) - 1)] if len(first) else np.zeros(0, bool)
+        self.first, self.stop, self.doc, place = first[whole], stop[whole], doc[whole], place[whole]
+        self.hash = gram_hashes(self.words[place].astype(np.uint64), self.words[place + 8].astype(np.uint64))
+
+    def parts(self):
+        """The runs in slices."""
+        for a in range(0, len(self.first), PART):
+            yield slice(a, a + PART)
+
+    def anchor_hashes(self, part: slice, buckets: int) -> tuple[list[tuple[int, int, int]], np.ndarray, np.ndarray]:
+        """A part's distinct hashes in order of bucket, the stretch of each bucket, and whether documents of different ids have a hash here."""
+        h, who = self.hash[part], self.ids[self.doc[part]]
+        by = np.argsort(h, kind="stable")
+        h, who = h[by], who[by]
+        start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        h, many = h[start], np.minimum.reduceat(who, start) != np.maximum.reduceat(who, start)
+        stretches, order = in_buckets(h, buckets)
+        return stretches, h[order], many[order]
+
+
+def in_buckets(h: np.ndarray, buckets: int, then: np.ndarray | None = None) -> tuple[list[tuple[int, int, int]], np.ndarray]:
+    """((bucket, from, to), order): places of h in order of bucket, then of `then` or of h's places."""
+    b = (h % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(b, kind="stable") if then is None else np.lexsort((then, b))
+    b = b[order]
+    cut = np.flatnonzero(np.diff(b)) + 1
+    return [(int(b[i]), i, j) for i, j in zip([0, *cut.tolist()], [*cut.tolist(), len(b)], strict=True)] if len(b) else [], order
 
 
-def in_buckets(h: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
-    """(bucket, places in h) in order of bucket, then of h's order."""
-    b = (h % np.uint64(buckets)).astype(np.int64)
-    by = np.argsort(b, kind="stable")
-    return [(int(b[rows[0]]), rows) for rows in np.split(by, np.flatnonzero(np.diff(b[by])) + 1)] if len(h) else []
+# ----------------------------------------------------------------- equal pieces
+
+
+class CollisionError(Exception):
+    """Two different texts had equal hashes."""
+
+
+def piece_hashes(words: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    h = size.astype(np.uint64) * MIX[1]
+    for j in range(0, int(size.max(initial=0)), 8):
+        h = (h ^ (words[start + j] & MASK[np.clip(size - j, 0, 8)])) * MIX[0]
+        h ^= h >> np.uint64(29)
+    return h * MIX[2]
+
+
+def distinct(text: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, new): pieces in an order that puts equal ones together and does not depend on the given one, and where a new one begins."""
+    words = words_at(text)
+    h = piece_hashes(words, start, size)
+    by = np.argsort(h, kind="stable")
+    new = np.ones(len(by), bool)
+    new[1:] = h[by][1:] != h[by][:-1]
+    rest = np.flatnonzero(~new)
+    own, other = by[rest], by[new][np.cumsum(new)[rest] - 1]
+    same = size[own] == size[other]
+    for j in range(0, int(size.max(initial=0)), 8):
+        mask = MASK[np.clip(size[own] - j, 0, 8)]
+        same &= (words[start[own] + j] & mask) == (words[start[other] + j] & mask)
+    if same.all():
+        return by, new
+    plain = [text[a : a + n].tobytes() for a, n in zip(start.tolist(), size.tolist(), strict=True)]  # hashes collide
+    by = np.array(sorted(range(len(plain)), key=plain.__getitem__))
+    new[1:] = [plain[a] != plain[b] for a, b in zip(by[1:], by[:-1], strict=True)]
+    return by, new
+
+
+def stretch(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places of stretches, one behind the other."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
 # ----------------------------------------------------------------- suffix sort
@@ -155,6 +203,7 @@ class Suffixes:
         self.up = power[::-1]
         self.prefix = np.zeros(n + 1, np.uint64)
         np.cumsum((text.astype(np.uint64) + np.uint64(1)) * power[:n], out=self.prefix[1:])
+        self.word = words_at(np.concatenate((text, np.zeros(7, np.uint8))), ">").astype(np.uint64)
 
     def hash(self, at: np.ndarray, n: np.ndarray | int) -> np.ndarray:
         """Hash of n bytes from each place on, shifted to the same power wherever they stand."""
@@ -183,10 +232,7 @@ class Suffixes:
         """The places in suffix order: by the leading 24 bytes, then mergesort within equal ones, all runs of a level at once."""
         if not len(at):
             return at
-        word = np.zeros(len(self.text), np.uint64)  # the eight bytes from each place on
-        for j in range(min(8, len(self.text))):
-            word[: len(self.text) - j] |= self.text[j:].astype(np.uint64) << np.uint64(56 - 8 * j)
-        lead = [word[at + j] for j in range(0, max(1, min(24, self.length - 7)), 8)]
+        lead = [self.word[at + j] for j in range(0, max(1, min(24, self.length - 7)), 8)]
         by = np.lexsort(lead[::-1])
         at, lead = at[by], [k[by] for k in lead]
         first = np.flatnonzero(np.concatenate(([True], np.logical_or.reduce([k[1:] != k[:-1] for k in lead]))))
@@ -221,33 +267,31 @@ class Suffixes:
             width *= 2
         return at
 
-    def same(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether whole windows are equal: by common extension, verified byte by byte."""
-        equal = self.common(a, b) >= self.length
-        rows = np.flatnonzero(equal)
-        for j in range(self.length):
-            wrong = self.text[a[rows] + j] != self.text[b[rows] + j]
-            if wrong.any():
+    def equal(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether whole windows are equal, by their bytes; an error if one of a is greater than its neighbour of b, as then a hash has led the sort astray."""
+        n, out, rows = self.length, np.zeros(len(a), bool), np.arange(len(a))
+        keys = [(self.word, j) for j in range(0, n - 7, 8)] + ([(self.word, n - 8)] if n >= 8 else [(self.text, j) for j in range(n)])
+        for key, j in keys:
+            x, y = key[a[rows] + j], key[b[rows] + j]
+            if (x > y).any():
                 raise CollisionError
-        return equal
-
-
-class CollisionError(Exception):
-    """Two different windows had equal hashes."""
+            rows = rows[x == y]
+        out[rows] = True
+        return out
 
 
-def least_owner(text: bytes, starts: np.ndarray, owner: np.ndarray, length: int, suffixes: Suffixes | None = None) -> np.ndarray:
+def least_owner(text: bytes | np.ndarray, starts: np.ndarray, owner: np.ndarray, length: int, suffixes: Suffixes | None = None) -> np.ndarray:
     """For each window start the least owner of an equal window."""
     if not len(starts):
         return owner
-    s = suffixes or Suffixes(np.frombuffer(text, np.uint8), length)
+    text = np.frombuffer(text, np.uint8) if isinstance(text, bytes) else text
+    s = suffixes or Suffixes(text, length)
     try:
-        order = np.arange(len(starts))
         back = np.empty(int(starts.max()) + 1, np.int64)
-        back[starts] = order
+        back[starts] = np.arange(len(starts))
         sorted_at = s.sort(starts.copy())
         order = back[sorted_at]
-        group = np.concatenate(([0], np.cumsum(~s.same(sorted_at[:-1], sorted_at[1:]))))
+        group = np.concatenate(([0], np.cumsum(~s.equal(sorted_at[:-1], sorted_at[1:]))))
         first = np.flatnonzero(np.concatenate(([True], np.diff(group) > 0)))
         least = np.minimum.reduceat(owner[order], first)
         out = np.empty_like(owner)
@@ -255,235 +299,417 @@ def least_owner(text: bytes, starts: np.ndarray, owner: np.ndarray, length: int,
         return out
     except CollisionError:  # plain comparison for this bucket
         known: dict[bytes, int] = {}
-        windows = [text[a : a + length] for a in starts.tolist()]
+        windows = [text[a : a + length].tobytes() for a in starts.tolist()]
         for w, o in zip(windows, owner.tolist(), strict=True):
             known[w] = min(known.get(w, NO_ID), o)
         return np.array([known[w] for w in windows])
 
 
+def least_owners(text: np.ndarray, start: np.ndarray, size: np.ndarray, owner: np.ndarray, length: int) -> np.ndarray:
+    """For each window of distinct pieces, one behind the other in a text, the least owner of a piece that has it."""
+    many = size - length + 1
+    window = np.cumsum(many) - many
+    best = np.repeat(owner, many)
+    suffixes = Suffixes(text, length)
+    # Equal windows have equal anchors, and with them equal bytes on the anchor's left or on its right:
+    # a window whose side no other piece has needs no comparison.
+    place = np.empty(len(start), np.int64)
+    for a in range(0, len(text) - length + 1, SLICE):
+        rows = slice(np.searchsorted(start, a), np.searchsorted(start, a + SLICE))
+        if rows.start < rows.stop:
+            place[rows] = anchor_places(text[a : a + SLICE + length - 1], length)[start[rows] - a] + a
+    side = (length - GRAM) // 2
+    left, right = place - side >= start, place + GRAM + side <= start + size
+    met = []
+    for ok, at in ((left, place - side), (right, place)):
+        key = np.where(ok, suffixes.hash(np.where(ok, at, 0), GRAM + side), 0)
+        _, of, pieces = np.unique(key, return_inverse=True, return_counts=True)
+        met.append(ok & (pieces[of] > 1))
+    mixed = np.flatnonzero(met[0] | met[1])
+    rows, starts = stretch(window[mixed], many[mixed]), stretch(start[mixed], many[mixed])
+    use = np.where(np.repeat(place[mixed], many[mixed]) - starts >= side, np.repeat(met[0][mixed], many[mixed]), np.repeat(met[1][mixed], many[mixed]))
+    rows, starts = rows[use], starts[use]
+    best[rows] = least_owner(text, starts, best[rows], length, suffixes)
+    return best
+
+
 # ----------------------------------------------------------------- the job
 
 
-def _batches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(batch, ids, ends, blob, digests, id_list, bytes): about `size` bytes of documents a row."""
+def _numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """(id, text) with ids as numbers in their order, and the table (id, number) if they are not such numbers themselves."""
+    few = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    if isinstance(docs.schema[id_col].dataType, Ty.IntegralType) and few.agg(F.max(F.col("id").cast("long"))).first()[0] != NO_ID:
+        return few.select(F.col("id").cast("long"), "text"), None
+    numbers = few.select("id").where("id is not null").distinct().orderBy("id").withColumn("number", F.monotonically_increasing_id()).checkpoint()
+    return few.join(numbers, "id", "left").select(F.col("number").alias("id"), "text"), numbers
+
+
+def _packs(docs: DataFrame, blob_bytes: int, pack_bytes: int) -> DataFrame:
+    """(pack, ids, ends, counts, blobs, digests, id_list, bytes): about `pack_bytes` of documents a row, in blobs of about `blob_bytes`."""
 
     def run(batches):
         import pyspark
 
         part = pyspark.TaskContext.get().partitionId()
-        number, ids, got = 0, [], []
+        number, ids, ends, counts, blobs, digests, size = 0, [], [], [], [], [], 0
+        texts_, filled = [], 0
+
+        def close():
+            nonlocal filled, size
+            ends.extend(np.cumsum([len(t) for t in texts_], dtype=np.int64).tolist())
+            counts.append(len(texts_))
+            blobs.append(zstandard.ZstdCompressor(level=3).compress(b"".join([*texts_, bytes(PAD)])))
+            digests.extend(hashlib.sha256(t).digest() for t in texts_)
+            size += sum(map(len, texts_))
+            texts_.clear()
+            filled = 0
 
         def row():
-            nonlocal number
-            out = pa.RecordBatch.from_arrays(
-                [
-                    pa.array([(part << 32) + number], pa.int64()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([np.cumsum([len(t) for t in got], dtype=np.int64).tobytes()], pa.binary()),
-                    pa.array([zstandard.ZstdCompressor(level=3).compress(b"".join(got))], pa.binary()), pa.array([[hashlib.sha256(t).digest() for t in got]], pa.list_(pa.binary())), pa.array([ids], pa.list_(pa.int64())), pa.array([sum(map(len, got))], pa.int64()),
-                ], names=["batch", "ids", "ends", "blob", "digests", "id_list", "bytes"])
-            number += 1
-            ids.clear()
-            got.clear()
+            nonlocal number, size
+            out = pa.RecordBatch.from_arrays([
+                pa.array([(part << 32) + number], pa.int64()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([np.array(ends, np.int64).tobytes()], pa.binary()), pa.array([counts], pa.list_(pa.int32())),
+                pa.array([blobs], pa.list_(pa.binary())), pa.array([digests], pa.list_(pa.binary())), pa.array([ids], pa.list_(pa.int64())), pa.array([size], pa.int64()),
+            ], names=["pack", "ids", "ends", "counts", "blobs", "digests", "id_list", "bytes"])
+            number, size = number + 1, 0
+            for x in (ids, ends, counts, blobs, digests):
+                x.clear()
             return out
 
-        filled = 0
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), texts(b), strict=True):
                 ids.append(NO_ID if i is None else i)
-                got.append(t)
+                texts_.append(t)
                 filled += len(t) + 64
-                if filled >= size:
+                if filled >= blob_bytes:
+                    close()
+                if size >= pack_bytes:
                     yield row()
-                    filled = 0
-        if got:
+        if texts_:
+            close()
+        if ids:
             yield row()
 
-    few = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return few.mapInArrow(run, "batch long, ids binary, ends binary, blob binary, digests array<binary>, id_list array<long>, bytes long")
+    return docs.mapInArrow(run, "pack long, ids binary, ends binary, counts array<int>, blobs array<binary>, digests array<binary>, id_list array<long>, bytes long")
 
 
-def _copies(batches: DataFrame) -> DataFrame:
-    """(batch, copies): numbers of a batch's documents whose text a smaller id has."""
-    rows = batches.select("batch", F.posexplode(F.arrays_zip("id_list", "digests")).alias("at", "x")).select("batch", "at", F.col("x.id_list").alias("id"), F.col("x.digests").alias("digest"))
+def _copies(packs: DataFrame) -> DataFrame:
+    """(pack, copies): numbers of a pack's documents whose text a smaller id has."""
+    rows = packs.select("pack", F.posexplode(F.arrays_zip("id_list", "digests")).alias("at", "x")).select("pack", "at", F.col("x.id_list").alias("id"), F.col("x.digests").alias("digest"))
     # Cut off from the rows, so that the join can split a digest that many documents share.
     least = rows.groupBy("digest").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("digest", "least").checkpoint()
-    return rows.join(least, "digest").where("id > least").groupBy("batch").agg(F.collect_list(F.col("at").cast("int")).alias("copies"))  # at most a batch's documents
-
-
-def _shared_anchors(batches: DataFrame, length: int, buckets: int) -> DataFrame:
-    """(batch, shared): for each bucket the bits of a batch's distinct anchor hashes that occur in two documents."""
-
-    def send(rows):
-        for b in rows:
-            for i in range(b.num_rows):
-                number, ids, ends, blob = (b.column(c)[i].as_py() for c in range(4))
-                h, many = Batch(ids, ends, blob, length).anchor_hashes()
-                part = in_buckets(h, buckets)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([k for k, _ in part], pa.int64()), pa.array([number] * len(part), pa.int64()),
-                    pa.array([((h[at] // np.uint64(buckets)) & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() for _, at in part], pa.binary()), pa.array([np.packbits(many[at]).tobytes() for _, at in part], pa.binary()),
-                ], names=["bucket", "batch", "hashes", "many"])
-
-    def answer(t: pa.Table) -> pa.Table:
-        own = [np.frombuffer(x, np.uint32) for x in t.column("hashes").to_pylist()]
-        many = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(o)) for x, o in zip(t.column("many").to_pylist(), own, strict=True)]).astype(bool)
-        _, inverse, n = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+    return rows.join(least, "digest").where("id > least").groupBy("pack").agg(F.collect_list(F.col("at").cast("int")).alias("copies"))  # at most a pack's documents
+
+
+def _blobs(row: dict, length: int):
+    """(number of the first document, blob) of each blob of a pack, one at a time."""
+    ids, ends, at = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["ends"], np.int64), 0
+    for n, raw in zip(row["counts"], row["blobs"], strict=True):
+        size = int(ends[at + n - 1]) + PAD
+        yield at, Blob(ids[at : at + n], ends[at : at + n], zstandard.ZstdDecompressor().decompress(raw, max_output_size=size), length)
+        at += n
+
+
+class Answers:
+    """A pack's bits by bucket, in the order in which the pack asked."""
+
+    def __init__(self, rows: list[dict] | None):
+        self.bits: dict[int, list[np.ndarray]] = {}
+        for r in sorted(rows or [], key=lambda r: r["seq"]):
+            self.bits.setdefault(r["bucket"], []).append(np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=r["n"]).view(bool))
+        self.whole = {k: np.concatenate(v) for k, v in self.bits.items()}
+        self.at = dict.fromkeys(self.whole, 0)
+
+    def take(self, bucket: int, n: int) -> np.ndarray:
+        at = self.at[bucket]
+        self.at[bucket] = at + n
+        return self.whole[bucket][at : at + n]
+
+
+class Pieces:
+    """A part's distinct pieces with a shared anchor, in order of bucket and place, and the runs that are such a piece."""
+
+    def __init__(self, blob: Blob, part: slice, shared: Answers, copies: np.ndarray, anchor_buckets: int, buckets: int):
+        stretches, h, _ = blob.anchor_hashes(part, anchor_buckets)
+        hot = np.sort(h[np.concatenate([shared.take(k, b - a) for k, a, b in stretches])]) if shared.whole else h[:0]
+        own = blob.hash[part]
+        use = np.flatnonzero((hot[np.minimum(np.searchsorted(hot, own), len(hot) - 1)] == own) & ~copies[blob.doc[part]]) + part.start if len(hot) else np.empty(0, np.int64)
+        first = blob.first[use]
+        size = blob.stop[use] - first + blob.length - 1
+        by, new = distinct(blob.text, first, size)
+        head = by[new]
+        owners = np.minimum.reduceat(blob.ids[blob.doc[use[by]]], np.flatnonzero(new)) if len(by) else np.empty(0, np.int64)
+        self.stretches, order = in_buckets(blob.hash[use[head]], buckets, first[head])
+        self.start, self.size, self.owner = first[head][order], size[head][order], owners[order]
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.runs, self.of = use[by], rank[np.cumsum(new) - 1]
+
+
+def _sender(joined, names: list[str], kinds: list[pa.DataType]):
+    """Collects what a pack sends to each bucket, part by part, and yields a row for each bucket when there is much of it."""
+    held: dict[int, list[list]] = {}
+    size = seq = 0
+
+    def flush(pack: int):
+        nonlocal size, seq
+        keys = sorted(held)
+        cols = [[joined(j, [row[j] for row in held[k]]) for k in keys] for j in range(len(names))]
+        out = pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([pack] * len(keys), pa.int64()), pa.array([seq] * len(keys), pa.int64()), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["bucket", "pack", "seq", *names])
+        held.clear()
+        size, seq = 0, seq + 1
+        return out
+
+    def add(bucket: int, row: list, n: int) -> bool:
+        nonlocal size
+        held.setdefault(bucket, []).append(row)
+        size += n
+        return size > FLUSH
+
+    return add, flush
+
+
+def _each(batches):
+    for b in batches:
+        names = b.schema.names
+        for i in range(b.num_rows):
+            yield {n: b.column(c)[i].as_py() for c, n in enumerate(names)}
+
+
+def _resolve(sent: DataFrame, packs: int, fan: int, actions, merged: str) -> DataFrame:
+    """(pack, seq, bucket, n, yes, bits): each row's answer from its bucket.
+
+    Of the actions, merge makes one row of a bucket's rows, tell adds to such rows what all of them together say, and
+    finish applies that to the first ones. With more than `fan` packs a bucket's rows are merged in
+    groups, so that no task holds more than about `fan` rows of a bucket.
+    """
+    answer = "pack long, seq long, bucket long, n long, yes long, bits binary"
+    if packs <= fan:
+
+        def direct(t: pa.Table) -> pa.Table:
+            merge, tell, finish = actions()
+            return finish(t, tell(merge(t)))
+
+        return sent.groupBy("bucket").applyInArrow(direct, answer)
+    grouped = sent.withColumn("part", F.pmod(F.xxhash64("pack"), F.lit(-(-packs // fan)))).checkpoint()
+    merge, tell, finish = actions()
+    few = grouped.groupBy("bucket", "part").applyInArrow(merge, merged)
+    told = few.groupBy("bucket").applyInArrow(tell, "bucket long, part long, said binary").checkpoint()
+    return grouped.groupBy("bucket", "part").cogroup(told.groupBy("bucket", "part")).applyInArrow(finish, answer)
+
+
+def _one(t: pa.Table, **more) -> pa.Table:
+    """A row for the rows of a bucket or of one of its groups."""
+    part = t.column("part")[0].as_py() if "part" in t.schema.names else 0
+    return pa.table({"bucket": pa.array([t.column("bucket")[0].as_py()], pa.int64()), "part": pa.array([part], pa.int64()), **{k: pa.array([v], pa.binary()) for k, v in more.items()}})
+
+
+def _bits(t: pa.Table, flags: np.ndarray, counts: list[int]) -> pa.Table:
+    own = np.split(flags, np.cumsum(counts)[:-1])
+    return pa.table({"pack": t.column("pack"), "seq": t.column("seq"), "bucket": t.column("bucket"), "n": pa.array(counts, pa.int64()), "yes": pa.array([int(x.sum()) for x in own], pa.int64()), "bits": pa.array([np.packbits(x).tobytes() for x in own], pa.binary())})
+
+
+def _arrays(t: pa.Table, name: str, kind) -> list[np.ndarray]:
+    return [np.frombuffer(x, kind) for x in t.column(name).to_pylist()]
+
+
+class _Last:
+    """A function of a table that need not run again for the table it was last given."""
+
+    def __init__(self, f):
+        self.f, self.t, self.out = f, None, None
+
+    def __call__(self, t: pa.Table):
+        if t is not self.t:
+            self.t, self.out = t, self.f(t)
+        return self.out
+
+
+def _shared_anchors(packs: DataFrame, many_packs: int, fan: int, length: int, buckets: int) -> DataFrame:
+    """(pack, shared, n_shared): the bits of a pack's anchor hashes that occur in two documents, by bucket, and how many these are."""
+
+    def send(batches):
+        for row in _each(batches):
+            add, flush = _sender(lambda j, xs: b"".join(xs) if j == 0 else np.packbits(np.concatenate(xs)).tobytes(), ["hashes", "many"], [pa.binary(), pa.binary()])
+            for _, blob in _blobs(row, length):
+                for part in blob.parts():
+                    stretches, h, many = blob.anchor_hashes(part, buckets)
+                    h = ((h // np.uint64(buckets)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)  # a bucket has few hashes beside these: 32 bits rule most others out
+                    if any([add(k, [h[a:b].tobytes(), many[a:b]], 5 * (b - a)) for k, a, b in stretches]):
+                        yield flush(row["pack"])
+            yield flush(row["pack"])
+
+    def seen_in(t: pa.Table) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+        own = _arrays(t, "hashes", np.uint32)
+        many = np.concatenate([np.unpackbits(x, count=len(o)) for x, o in zip(_arrays(t, "many", np.uint8), own, strict=True)]).astype(bool)
+        known, inverse, n = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
         hot = n > 1
         hot[inverse[many]] = True
-        bits = np.split(hot[inverse], np.cumsum([len(o) for o in own])[:-1])
-        return pa.table({"batch": t.column("batch"), "bucket": t.column("bucket"), "bits": pa.array([np.packbits(x).tobytes() for x in bits], pa.binary())})
+        return [len(o) for o in own], known, inverse, hot
 
-    sent = batches.select("batch", "ids", "ends", "blob").mapInArrow(send, "bucket long, batch long, hashes binary, many binary")
-    bits = sent.groupBy("bucket").applyInArrow(answer, "batch long, bucket long, bits binary")
-    return bits.groupBy("batch").agg(F.collect_list(F.struct("bucket", "bits")).alias("shared"))  # at most one entry a bucket
+    def actions():
+        seen = _Last(seen_in)
 
+        def merge(t: pa.Table) -> pa.Table:
+            _, known, _, hot = seen(t)
+            return _one(t, hashes=known.tobytes(), many=np.packbits(hot).tobytes())
 
-def _pieces(row: dict, length: int, buckets: int):
-    """A batch, its copies and its pieces by bucket, the same whenever they are asked for."""
-    b = Batch(row["ids"], row["ends"], row["blob"], length)
-    copies = np.zeros(len(b.ids), bool)
-    copies[row["copies"] or []] = True
-    if not row["shared"]:
-        return b, copies, []
-    h, _ = b.anchor_hashes()
-    bits = {x["bucket"]: x["bits"] for x in row["shared"]}
-    shared = [h[at][np.unpackbits(np.frombuffer(bits[k], np.uint8), count=len(at)).astype(bool)] for k, at in in_buckets(h, buckets)]
-    found = b.pieces(np.sort(np.concatenate(shared)), copies)
-    keys = list(found)  # in order of place
-    part = in_buckets(np.array([k[0] for k in keys], dtype=np.uint64), buckets)
-    return b, copies, [(k, [(keys[i][1], found[keys[i]]) for i in at.tolist()]) for k, at in part]
+        def tell(t: pa.Table) -> pa.Table:
+            counts, _, inverse, hot = seen_in(t)
+            said = np.split(hot[inverse], np.cumsum(counts)[:-1])
+            return pa.table({"bucket": t.column("bucket"), "part": t.column("part"), "said": pa.array([np.packbits(x).tobytes() for x in said], pa.binary())})
 
+        def finish(t: pa.Table, told: pa.Table) -> pa.Table:
+            counts, known, inverse, _ = seen(t)
+            hot = np.unpackbits(_arrays(told, "said", np.uint8)[0], count=len(known)).astype(bool)
+            return _bits(t, hot[inverse], counts)
 
-def _rows(b: pa.RecordBatch):
-    names = b.schema.names
-    for i in range(b.num_rows):
-        yield {n: b.column(c)[i].as_py() for c, n in enumerate(names)}
+        return merge, tell, finish
 
+    sent = packs.select("pack", "ids", "ends", "counts", "blobs").mapInArrow(send, "bucket long, pack long, seq long, hashes binary, many binary")
+    bits = _resolve(sent, many_packs, fan, actions, "bucket long, part long, hashes binary, many binary")
+    return bits.groupBy("pack").agg(F.collect_list(F.struct("seq", "bucket", "n", "bits")).alias("shared"), F.sum("yes").alias("n_shared"))
 
-def _answers(joined: DataFrame, length: int, buckets: int) -> DataFrame:
-    """(batch, answers): for each bucket the bits of a batch's piece windows that a smaller id than its own has."""
+
+def _answers(joined: DataFrame, many_packs: int, fan: int, length: int, anchor_buckets: int, buckets: int) -> DataFrame:
+    """(pack, answers): the bits of a pack's piece windows that a smaller id than the piece's own has, by bucket."""
 
     def send(batches):
-        for b in batches:
-            for row in _rows(b):
-                own, _, part = _pieces(row, length, buckets)
-                ids = own.ids.tolist()
-                pack = zstandard.ZstdCompressor(level=1)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([k for k, _ in part], pa.int64()), pa.array([row["batch"]] * len(part), pa.int64()),
-                    pa.array([np.array([len(t) for t, _ in ps], np.int32).tobytes() for _, ps in part], pa.binary()),
-                    pa.array([np.array([min(ids[d] for d, _ in where) for _, where in ps], np.int64).tobytes() for _, ps in part], pa.binary()),
-                    pa.array([pack.compress(b"".join(t for t, _ in ps)) for _, ps in part], pa.binary()),
-                ], names=["bucket", "batch", "sizes", "owners", "text"])
-
-    def answer(t: pa.Table) -> pa.Table:
+        pack = zstandard.ZstdCompressor(level=1)
+        for row in _each(batches):
+            add, flush = _sender(lambda j, xs: pack.compress(b"".join(xs)) if j == 2 else b"".join(xs), ["sizes", "owners", "text"], [pa.binary()] * 3)
+            shared, copied = Answers(row["shared"]), _copied(row)
+            for at, blob in _blobs(row, length):
+                for part in blob.parts():
+                    p = Pieces(blob, part, shared, copied[at : at + len(blob.ids)], anchor_buckets, buckets)
+                    text, end = blob.text[stretch(p.start, p.size)].tobytes(), np.concatenate(([0], np.cumsum(p.size))).tolist()
+                    size = p.size.astype(np.uint16)
+                    if any([add(k, [size[a:b].tobytes(), p.owner[a:b].tobytes(), text[end[a] : end[b]]], end[b] - end[a] + 10 * (b - a)) for k, a, b in p.stretches]):
+                        yield flush(row["pack"])
+            yield flush(row["pack"])
+
+    def pool(t: pa.Table):
+        """Sizes and owners by row; the distinct pieces with their least owners; of each piece its number among these."""
         unpack = zstandard.ZstdDecompressor()
-        sizes = [np.frombuffer(x, np.int32).astype(np.int64) for x in t.column("sizes").to_pylist()]
-        every = np.concatenate(sizes)
-        text = b"".join(unpack.decompress(x) for x in t.column("text").to_pylist())
-        own = np.concatenate([np.frombuffer(x, np.int64) for x in t.column("owners").to_pylist()])
-        # Batches send equal pieces: each is sorted once, for its least owner.
-        end = np.cumsum(every)
-        number: dict[bytes, int] = {}
-        which = np.array([number.setdefault(text[a:b], len(number)) for a, b in zip((end - every).tolist(), end.tolist(), strict=True)])
-        least = np.full(len(number), NO_ID)
-        np.minimum.at(least, which, own)
-        size = np.array([len(x) for x in number], np.int64)
-        many = size - length + 1
-        window = np.cumsum(many) - many
+        sizes = [x.astype(np.int64) for x in _arrays(t, "sizes", np.uint16)]
+        own = np.concatenate(_arrays(t, "owners", np.int64))
+        size = np.concatenate(sizes)
+        text = np.frombuffer(b"".join([*(unpack.decompress(x) for x in t.column("text").to_pylist()), bytes(PAD)]), np.uint8)
         start = np.cumsum(size) - size
-        text = b"".join(number)
-        best = np.repeat(least, many)
-        suffixes = Suffixes(np.frombuffer(text, np.uint8), length)
-        # Equal windows have equal anchors, and with them equal bytes on the anchor's left or on its right:
-        # a window whose side no other piece has needs no comparison.
-        place = anchors(text, length)[1][start]
-        side = (length - GRAM) // 2
-        left, right = place - side >= start, place + GRAM + side <= start + size
-        keys = [np.where(ok, suffixes.hash(np.where(ok, at, 0), GRAM + side), 0) for ok, at in ((left, place - side), (right, place))]
-        met = []
-        for ok, key in zip((left, right), keys, strict=True):
-            _, of, pieces = np.unique(key, return_inverse=True, return_counts=True)
-            met.append(ok & (pieces[of] > 1))
-        mixed = np.flatnonzero(met[0] | met[1])
-        if len(mixed):
-            steps = np.arange(many[mixed].sum()) - np.repeat(np.cumsum(many[mixed]) - many[mixed], many[mixed])
-            rows, starts = np.repeat(window[mixed], many[mixed]) + steps, np.repeat(start[mixed], many[mixed]) + steps
-            use = np.where(np.repeat(place[mixed], many[mixed]) - starts >= side, np.repeat(met[0][mixed], many[mixed]), np.repeat(met[1][mixed], many[mixed]))
-            rows, starts = rows[use], starts[use]
-            best[rows] = least_owner(text, starts, best[rows], length, suffixes)
-        sent = every - length + 1
-        at = np.repeat(window[which], sent) + np.arange(sent.sum()) - np.repeat(np.cumsum(sent) - sent, sent)
-        smaller = best[at] < np.repeat(own, sent)
-        cut = np.cumsum([int((s - length + 1).sum()) for s in sizes])[:-1]
-        return pa.table({"batch": t.column("batch"), "bucket": t.column("bucket"), "bits": pa.array([np.packbits(x).tobytes() for x in np.split(smaller, cut)], pa.binary())})
-
-    bits = joined.mapInArrow(send, "bucket long, batch long, sizes binary, owners binary, text binary").groupBy("bucket").applyInArrow(answer, "batch long, bucket long, bits binary")
-    return bits.groupBy("batch").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers"))  # at most one entry a bucket
-
-
-def _removed(row: dict, length: int, buckets: int) -> tuple[Batch, np.ndarray]:
-    """A batch and which of its bytes go."""
-    b, copies, part = _pieces(row, length, buckets)
-    ids = b.ids.tolist()
-    window = np.zeros(len(b.blob) + 1, bool)
-    bits = {x["bucket"]: x["bits"] for x in row["answers"] or []}
-    for k, pieces in part:
-        flags = np.unpackbits(np.frombuffer(bits[k], np.uint8)).view(bool)
-        at = 0
-        for t, where in pieces:
-            n = len(t) - length + 1
-            least = min(ids[d] for d, _ in where) if len(where) > 1 else ids[where[0][0]]
-            for d, start in where:
-                window[start : start + n] = True if ids[d] > least else flags[at : at + n]
-            at += n
-    edge = np.diff(window.view(np.int8), prepend=0)
-    cover = np.zeros(len(b.blob) + length + 1, np.int32)
-    cover[np.flatnonzero(edge == 1)] += 1
-    cover[np.flatnonzero(edge == -1) + length - 1] -= 1
-    gone = np.cumsum(cover)[: len(b.blob)] > 0
-    for d in np.flatnonzero(copies):
-        if b.ends[d] - b.starts[d] >= length:
-            gone[b.starts[d] : b.ends[d]] = True
-    return b, gone
-
-
-def _judged(docs: DataFrame, id_col: str, text_col: str, length: int, batch_bytes: int, bucket_bytes: int) -> tuple[DataFrame, int]:
-    """Batches with all that is needed to apply the answers, and the number of buckets."""
-    spark = docs.sparkSession
-    bounded_batches(spark, 256)
-    ready_checkpoints(spark)
-    batches = _batches(docs, id_col, text_col, batch_bytes).checkpoint()
-    buckets = max(8, -(-(batches.agg(F.sum("bytes")).first()[0] or 0) // bucket_bytes))
-    told = _shared_anchors(batches, length, buckets).join(_copies(batches), "batch", "full").checkpoint()
-    joined = batches.select("batch", "ids", "ends", "blob").join(told, "batch", "left")
-    answers = _answers(joined, length, buckets).checkpoint()
-    return joined.join(answers, "batch", "left"), buckets
-
-
-def _outcomes(judged: DataFrame, length: int, buckets: int, texts_too: bool) -> DataFrame:
+        by, new = distinct(text, start, size)
+        least = np.minimum.reduceat(own[by], np.flatnonzero(new)) if len(by) else own
+        which = np.empty(len(by), np.int64)
+        which[by] = np.cumsum(new) - 1
+        head = by[new]
+        return sizes, own, text[stretch(start[head], size[head])], size[head], least, which
+
+    def windows(many: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """Of pieces, the numbers of their windows among those of the distinct pieces."""
+        return stretch((np.cumsum(many) - many)[which], many[which])
+
+    def actions():
+        pooled = _Last(pool)
+
+        def merge(t: pa.Table) -> pa.Table:
+            _, _, text, size, least, _ = pooled(t)
+            return _one(t, sizes=size.astype(np.uint16).tobytes(), owners=least.tobytes(), text=zstandard.ZstdCompressor(level=1).compress(text.tobytes()))
+
+        def tell(t: pa.Table) -> pa.Table:
+            sizes, _, text, size, least, which = pool(t)
+            best = least_owners(text, np.cumsum(size) - size, size, least, length)[windows(size - length + 1, which)]
+            cut = np.cumsum([int((s - length + 1).sum()) for s in sizes])[:-1]
+            return pa.table({"bucket": t.column("bucket"), "part": t.column("part"), "said": pa.array([x.tobytes() for x in np.split(best, cut)], pa.binary())})
+
+        def finish(t: pa.Table, told: pa.Table) -> pa.Table:
+            sizes, own, _, size, _, which = pooled(t)
+            best = _arrays(told, "said", np.int64)[0][windows(size - length + 1, which)]
+            smaller = best < np.repeat(own, (size - length + 1)[which])
+            return _bits(t, smaller, [int((s - length + 1).sum()) for s in sizes])
+
+        return merge, tell, finish
+
+    sent = joined.mapInArrow(send, "bucket long, pack long, seq long, sizes binary, owners binary, text binary")
+    bits = _resolve(sent, many_packs, fan, actions, "bucket long, part long, sizes binary, owners binary, text binary")
+    return bits.groupBy("pack").agg(F.collect_list(F.struct("seq", "bucket", "n", "bits")).alias("answers"))
+
+
+def _copied(row: dict) -> np.ndarray:
+    out = np.zeros(sum(row["counts"]), bool)
+    out[row["copies"] or []] = True
+    return out
+
+
+def _removed(row: dict, length: int, anchor_buckets: int, buckets: int):
+    """A pack's blobs and which of their bytes go."""
+    shared, answers, copied = Answers(row["shared"]), Answers(row["answers"]), _copied(row)
+    for at, blob in _blobs(row, length):
+        window = np.zeros(blob.size + 1, bool)
+        own = copied[at : at + len(blob.ids)]
+        for part in blob.parts():
+            p = Pieces(blob, part, shared, own, anchor_buckets, buckets)
+            if not len(p.start):
+                continue
+            many = p.size - length + 1
+            end = np.concatenate(([0], np.cumsum(many)))
+            flags = np.concatenate([answers.take(k, int(end[b] - end[a])) for k, a, b in p.stretches])
+            # What the least id that has a piece here may keep, documents of larger ids here may not.
+            said = flags[stretch(end[:-1][p.of], many[p.of])] | np.repeat(blob.ids[blob.doc[p.runs]] > p.owner[p.of], many[p.of])
+            window[stretch(blob.first[p.runs], many[p.of])] = said
+        edge = np.diff(window.view(np.int8), prepend=np.int8(0))
+        start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) + length - 1
+        gap = np.flatnonzero(start[1:] > stop[:-1])  # spans that overlap or touch are one
+        gone = np.zeros(blob.size + 1, np.int8)
+        if len(start):
+            gone[start[np.concatenate(([0], gap + 1))]] = 1
+            gone[stop[np.concatenate((gap, [len(stop) - 1]))]] = -1
+            np.cumsum(gone, dtype=np.int8, out=gone)
+        gone = gone[: blob.size].view(bool)
+        for d in np.flatnonzero(own):
+            if blob.ends[d] - blob.starts[d] >= length:
+                gone[blob.starts[d] : blob.ends[d]] = True
+        yield blob, gone
+
+
+def _outcomes(judged: DataFrame, length: int, anchor_buckets: int, buckets: int, texts_too: bool) -> DataFrame:
     names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["text_sha256", "kept"] if texts_too else [])]
 
     def run(batches):
-        for rb in batches:
-            for row in _rows(rb):
-                b, gone = _removed(row, length, buckets)
+        for row in _each(batches):
+            for blob, gone in _removed(row, length, anchor_buckets, buckets):
                 out = []
-                for i, a, e in zip(b.ids.tolist(), b.starts.tolist(), b.ends.tolist(), strict=True):
-                    g = gone[a:e]
-                    raw = np.frombuffer(b.blob, np.uint8, e - a, a)
-                    kept = raw[~g].tobytes()
-                    spans = int(np.count_nonzero(np.diff(g.astype(np.int8), prepend=0) == 1))
-                    out.append((None if i == NO_ID else i, e - a, int(g.sum()), spans, hashlib.sha256(kept).hexdigest(), *([hashlib.sha256(raw.tobytes()).hexdigest(), kept.decode("utf-8", "ignore")] if texts_too else [])))
+                for i, a, e in zip(blob.ids.tolist(), blob.starts.tolist(), blob.ends.tolist(), strict=True):
+                    g, raw = gone[a:e], blob.text[a:e]
+                    n = int(np.count_nonzero(g))
+                    kept = (raw[~g] if n else raw).tobytes()
+                    spans = int(np.count_nonzero(np.diff(g.view(np.int8), prepend=np.int8(0)) == 1)) if n else 0
+                    out.append((None if i == NO_ID else i, e - a, n, spans, hashlib.sha256(kept).hexdigest(), *([hashlib.sha256(raw.tobytes()).hexdigest(), kept.decode("utf-8", "ignore")] if texts_too else [])))
                 kinds = [pa.int64()] * 4 + [pa.string()] * 3
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=False)], names=names)
 
     return judged.mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", text_sha256 string, kept string" if texts_too else ""))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, batch_bytes: int = 1 << 20, bucket_bytes: int = 8 << 20, texts_too: bool = False) -> DataFrame:
-    """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256; with texts_too also the remaining text (bytes that a cut leaves as broken characters go)."""
-    judged, buckets = _judged(docs, id_col, text_col, length, batch_bytes, bucket_bytes)
-    return _outcomes(judged, length, buckets, texts_too).withColumnRenamed("id", id_col)
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, blob_bytes: int = 1 << 20, pack_bytes: int = 16 << 20, anchor_bytes: int = 64 << 20, piece_bytes: int = 16 << 20, fan: int = 4096, texts_too: bool = False) -> DataFrame:
+    """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256; with texts_too also the remaining text (bytes that a cut leaves as broken characters go).
+
+    anchor_bytes and piece_bytes are what a bucket gets: texts whose anchors it compares, and pieces it sorts.
+    """
+    spark = docs.sparkSession
+    bounded_batches(spark, 256)
+    ready_checkpoints(spark)
+    few, numbers = _numbered(docs, id_col, text_col)
+    packs = _packs(few, blob_bytes, pack_bytes).checkpoint()
+    size, many = packs.agg(F.sum("bytes"), F.count("*")).first()
+    anchor_buckets = max(8, -(-(size or 0) // anchor_bytes))
+    told = _shared_anchors(packs, many, fan, length, anchor_buckets).join(_copies(packs), "pack", "full").checkpoint()
+    n_shared = told.agg(F.sum("n_shared")).first()[0] or 0
+    buckets = max(8, -(-n_shared * 2 * length // piece_bytes))  # a hash stands for a piece or two of less than 2 x length bytes
+    joined = packs.select("pack", "ids", "ends", "counts", "blobs").join(told.drop("n_shared"), "pack", "left")
+    answers = _answers(joined, many, fan, length, anchor_buckets, buckets).checkpoint()
+    out = _outcomes(joined.join(answers, "pack", "left"), length, anchor_buckets, buckets, texts_too)
+    if numbers is not None:
+        out = out.join(numbers.withColumnsRenamed({"id": "_id", "number": "id"}), "id", "left").select(F.col("_id").alias("id"), *out.columns[1:])
+    return out.withColumn("id", F.col("id").cast(docs.schema[id_col].dataType)).withColumnRenamed("id", id_col)
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", length: int = 50) -> DataFrame:
@@ -491,8 +717,8 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names = docs.columns
     inner = docs.toDF(*[f"c{i}" for i in range(len(names))])
     own, text = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
-    kept = remove_repeats(inner, own, text, length, texts_too=True).select(F.col(own).cast("long").alias("k"), F.col("text_sha256").alias("digest"), "kept").dropDuplicates(["k", "digest"])
+    kept = remove_repeats(inner, own, text, length, texts_too=True).select(F.col(own).alias("k"), F.col("text_sha256").alias("digest"), "kept").dropDuplicates(["k", "digest"])
     rest = inner.withColumn("digest", F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)).withColumn("null_text", F.col(text).isNull()).drop(text)
-    both = rest.join(kept, F.col(own).cast("long").eqNullSafe(F.col("k")) & (rest["digest"] == kept["digest"]))
+    both = rest.join(kept, F.col(own).eqNullSafe(F.col("k")) & (rest["digest"] == kept["digest"]))
     new = F.when(~F.col("null_text"), F.col("kept"))
     return both.select(*[new.alias(c) if c == text_col else F.length(new).cast(docs.schema[c].dataType).alias(c) if c == chars_col else F.col(f"c{i}").alias(c) for i, c in enumerate(names)])

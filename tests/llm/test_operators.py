@@ -637,11 +637,68 @@ def brute_repeats(rows, size=50):
     return out
 
 
-def test_repeats_brute_force(corpus):
-    got = collections.Counter(map(tuple, suffix_dedup.remove_repeats(corpus, batch_bytes=1 << 15, bucket_bytes=1 << 15).collect()))
+@pytest.mark.parametrize("fan", [4096, 3])
+def test_repeats_brute_force(corpus, fan):
+    """Many small blobs, packs and buckets, answered at once and by groups of packs."""
+    got = collections.Counter(map(tuple, suffix_dedup.remove_repeats(corpus, blob_bytes=1 << 14, pack_bytes=1 << 16, anchor_bytes=1 << 15, piece_bytes=1 << 14, fan=fan).collect()))
     assert got == brute_repeats(texts_of(corpus))
 
 
+@pytest.mark.parametrize("part", [7, 1 << 16])
+def test_repeats_in_parts(spark, monkeypatch, part):
+    """Blobs, slices and parts of any size hold each window of each document once."""
+    monkeypatch.setattr(suffix_dedup, "PART", part)
+    monkeypatch.setattr(suffix_dedup, "SLICE", 100)
+    rng = random.Random(3)
+    pool_ = ["".join(rng.choices("abcde ", k=70)) for _ in range(9)]
+    rows = [(i, "".join(rng.choice([*pool_, "".join(rng.choices("abcde ", k=30))]) for _ in range(rng.choice([0, 1, 8])))) for i in range(40)]
+    docs, names = [], ["pack", "ids", "ends", "counts", "blobs", "digests", "id_list", "bytes"]
+    few = spark.createDataFrame(rows, "id long, text string").coalesce(1)
+    packs = [r.asDict() for r in suffix_dedup._packs(few, 900, 2500).collect()]
+    assert len(packs) >= 3 and set(packs[0]) == set(names)
+    blobs = [(p["pack"], at, b) for p in packs for at, b in suffix_dedup._blobs(p, 50)]
+    for _, _, b in blobs:
+        runs = [(int(b.first[i]), int(b.stop[i])) for s in b.parts() for i in range(*s.indices(len(b.first)))]
+        assert [w for a, e in runs for w in range(a, e)] == [w for a, e in zip(b.starts.tolist(), b.ends.tolist(), strict=True) for w in range(a, e - 49)]
+        docs += [(int(i), bytes(b.text[a:e]).decode()) for i, a, e in zip(b.ids, b.starts, b.ends, strict=True)]
+    assert sorted(docs) == sorted(rows)
+
+
+def test_repeats_of_a_text_of_several_parts(spark):
+    rng = random.Random(4)
+    long = "".join(rng.choices("abcdefgh ", k=1_500_000))
+    rows = [(3, long), (4, "".join(long[a : a + 200] + "#" * rng.randrange(60) for a in rng.sample(range(1_400_000), 300))), (1, long[700_000:700_300]), (2, long[-90:]), (5, long[:49])]
+    assert collections.Counter(map(tuple, suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == brute_repeats(rows)
+
+
+@pytest.mark.parametrize("kind", ["string", "decimal(20,0)", "date", "short"])
+def test_repeats_ids_of_any_type(spark, kind):
+    rows = [(1, "q" * 60), (2, "q" * 60 + "r"), (3, None), (None, "q" * 70)]
+    docs = spark.createDataFrame(rows, "n long, text string").withColumn("doc_id", F.expr("date_add(date'2020-01-01', cast(n as int))") if kind == "date" else F.col("n").cast(kind))
+    order = {r.doc_id: r.n for r in docs.select("doc_id", "n").collect()}
+    out = suffix_dedup.remove_repeats(docs)
+    assert out.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
+    assert {(order[r.doc_id], r.n_removed) for r in out.collect()} == {(1, 0), (2, 60), (3, 0), (None, 70)}
+
+
+def test_repeats_largest_id(spark):
+    """The largest number is an id like others, less than null."""
+    docs = spark.createDataFrame([(2**63 - 1, "q" * 60), (None, "q" * 60), (5, "z" * 60), (2**63 - 1, "z" * 50)], "doc_id long, text string")
+    assert {(r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.remove_repeats(docs).collect()} == {(2**63 - 1, 60, 0), (None, 60, 60), (5, 60, 0), (2**63 - 1, 50, 50)}
+
+
+def test_repeats_memory_of_a_long_text():
+    """The runs and removed bytes of a text of 40 MB in less than 700 MB."""
+    code = (
+        "import resource, numpy as np, zstandard\nfrom pagegraph.llm import suffix_dedup as s\nn = 40_000_000\n"
+        "t = np.random.default_rng(1).integers(97, 123, n, dtype=np.uint8).tobytes()\n"
+        "row = {'ids': np.array([1]).tobytes(), 'ends': np.array([n]).tobytes(), 'counts': [1], 'blobs': [zstandard.ZstdCompressor().compress(t + bytes(s.PAD))], 'shared': None, 'answers': None, 'copies': None}\ndel t\n"
+        "print([int(g.sum()) for b, g in s._removed(row, 50, 8, 8)][0], resource.getrusage(resource.RUSAGE_SELF).ru_maxrss)"
+    )
+    gone, peak = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split())
+    assert gone == 0 and peak < 700_000
+
+
 def test_repeats_edges(spark):
     docs = docs_of(spark, ["q" * 60, "q" * 60, None, "ab" * 40, "ba" * 40], [2, 2, None, 5, 9])
     got = {(r.doc_id, r.n_bytes): r.n_removed for r in suffix_dedup.remove_repeats(docs).collect()}
@@ -678,6 +735,26 @@ def test_collisions_are_verified(monkeypatch):
     assert suffix_dedup.least_owner(text, at, at.copy(), 6).tolist() == [want[text[a : a + 6]] for a in at.tolist()]
 
 
+def test_a_wrong_order_is_noticed(monkeypatch):
+    """Windows alike in their first bytes, which a hash that is always equal leaves in the wrong order."""
+    head = b"h" * 30
+    text = b"".join(head + bytes([c]) * 30 for c in b"zaymzbaz")
+    at = np.arange(0, len(text), 60)
+    monkeypatch.setattr(suffix_dedup.Suffixes, "hash", lambda self, at, n: np.zeros(len(at), np.uint64))
+    assert suffix_dedup.least_owner(text, at, at[::-1].copy(), 50).tolist() == [0, 60, 300, 240, 0, 120, 60, 0]
+
+
+def test_equal_pieces_are_verified(monkeypatch):
+    text = np.frombuffer(b"abcabcabdabcab" + bytes(suffix_dedup.PAD), np.uint8)
+    start, size = np.array([0, 3, 6, 9, 9, 0]), np.array([3, 3, 3, 3, 5, 2])
+    plain = [text[a : a + n].tobytes() for a, n in zip(start, size, strict=True)]
+    for hashed in (suffix_dedup.piece_hashes, lambda words, start, size: np.zeros(len(start), np.uint64)):
+        monkeypatch.setattr(suffix_dedup, "piece_hashes", hashed)
+        by, new = suffix_dedup.distinct(text, start, size)
+        got = [sorted(x.tolist()) for x in np.split(by, np.flatnonzero(new)[1:])]
+        assert sorted(got) == sorted([i for i, p in enumerate(plain) if p == q] for q in set(plain))
+
+
 # ------------------------------------------------------------------ op9
 
 
