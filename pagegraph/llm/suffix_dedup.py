@@ -18,6 +18,11 @@ be equal. The rest never leaves its document.
    It answers with one bit a window: does a smaller id than the blob's own have it?
 5. Each pack applies the answers to its documents.
 
+An anchor that very many documents have can have as many different pieces, all in
+one bucket. Such heavy anchors' windows are asked for one by one, as anchors are
+in step 2, and only those that two documents have are sent, each as a piece of its
+own, to buckets by the hash of the whole window.
+
 A row goes from a pack to a bucket, for all of the pack's blobs, and buckets are
 sized by what they get, so rows stay few: packs times buckets, and never more
 than one a hash or piece. What a blob sends is distinct within it; where packs are
@@ -126,15 +131,27 @@ class Blob:
         for a in range(0, len(self.first), PART):
             yield slice(a, a + PART)
 
-    def anchor_hashes(self, part: slice, buckets: int) -> tuple[list[tuple[int, int, int]], np.ndarray, np.ndarray]:
-        """A part's distinct hashes in order of bucket, the stretch of each bucket, and whether documents of different ids have a hash here."""
-        h, who = self.hash[part], self.ids[self.doc[part]]
-        by = np.argsort(h, kind="stable")
-        h, who = h[by], who[by]
-        start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        h, many = h[start], np.minimum.reduceat(who, start) != np.maximum.reduceat(who, start)
-        stretches, order = in_buckets(h, buckets)
-        return stretches, h[order], many[order]
+    def windows(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, document, hash) of each window of some runs."""
+        n = self.stop[runs] - self.first[runs]
+        start = stretch(self.first[runs], n)
+        return start, np.repeat(self.doc[runs], n), piece_hashes(self.words, start, np.full(len(start), self.length))
+
+
+def asked(h: np.ndarray, who: np.ndarray, buckets: int) -> tuple[list[tuple[int, int, int]], np.ndarray, np.ndarray, np.ndarray]:
+    """The stretch of each bucket, and in order of bucket the distinct hashes, whether different ids have one here, and how often it occurs."""
+    by = np.argsort(h, kind="stable")
+    h, who = h[by], who[by]
+    start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.empty(0, np.int64)
+    many = np.minimum.reduceat(who, start) != np.maximum.reduceat(who, start) if len(h) else np.zeros(0, bool)
+    h, n = h[start], np.diff(np.append(start, len(h)))
+    stretches, order = in_buckets(h, buckets)
+    return stretches, h[order], many[order], n[order]
+
+
+def among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether hashes are among some, sorted."""
+    return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h if len(known) else np.zeros(len(h), bool)
 
 
 def in_buckets(h: np.ndarray, buckets: int, then: np.ndarray | None = None) -> tuple[list[tuple[int, int, int]], np.ndarray]:
@@ -411,39 +428,63 @@ def _blobs(row: dict, length: int):
 
 
 class Answers:
-    """A pack's bits by bucket, in the order in which the pack asked."""
+    """A pack's answers by bucket, in the order in which the pack asked: bits, and which of the bits that are set stand for something heavy."""
 
     def __init__(self, rows: list[dict] | None):
-        self.bits: dict[int, list[np.ndarray]] = {}
+        found: dict[int, list[np.ndarray]] = {}
         for r in sorted(rows or [], key=lambda r: r["seq"]):
-            self.bits.setdefault(r["bucket"], []).append(np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=r["n"]).view(bool))
-        self.whole = {k: np.concatenate(v) for k, v in self.bits.items()}
+            bits = np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=r["n"])
+            if r["heavy"]:
+                at = np.flatnonzero(bits)
+                bits[at] += np.unpackbits(np.frombuffer(r["heavy"], np.uint8), count=len(at))
+            found.setdefault(r["bucket"], []).append(bits)
+        self.whole = {k: np.concatenate(v) for k, v in found.items()}
         self.at = dict.fromkeys(self.whole, 0)
 
-    def take(self, bucket: int, n: int) -> np.ndarray:
-        at = self.at[bucket]
-        self.at[bucket] = at + n
-        return self.whole[bucket][at : at + n]
+    def take(self, stretches: list[tuple[int, int, int]]) -> np.ndarray:
+        """0, 1 or, if heavy, 2 for each of the next places of some buckets."""
+        out = [np.empty(0, np.uint8)]
+        for k, a, b in stretches:
+            at = self.at[k]
+            self.at[k] = at + b - a
+            out.append(self.whole[k][at : at + b - a])
+        return np.concatenate(out)
+
+
+class Runs:
+    """A part's runs whose anchor another document has, and of these the ones with a heavy anchor."""
+
+    def __init__(self, blob: Blob, part: slice, shared: Answers, copies: np.ndarray, anchor_buckets: int):
+        h, who = blob.hash[part], blob.doc[part]
+        stretches, known, _, _ = asked(h, blob.ids[who], anchor_buckets)
+        said = shared.take(stretches)
+        use = np.flatnonzero(among(h, np.sort(known[said > 0])) & ~copies[who])
+        heavy = among(h[use], np.sort(known[said > 1]))
+        self.light, self.heavy = use[~heavy] + part.start, use[heavy] + part.start
 
 
 class Pieces:
-    """A part's distinct pieces with a shared anchor, in order of bucket and place, and the runs that are such a piece."""
-
-    def __init__(self, blob: Blob, part: slice, shared: Answers, copies: np.ndarray, anchor_buckets: int, buckets: int):
-        stretches, h, _ = blob.anchor_hashes(part, anchor_buckets)
-        hot = np.sort(h[np.concatenate([shared.take(k, b - a) for k, a, b in stretches])]) if shared.whole else h[:0]
-        own = blob.hash[part]
-        use = np.flatnonzero((hot[np.minimum(np.searchsorted(hot, own), len(hot) - 1)] == own) & ~copies[blob.doc[part]]) + part.start if len(hot) else np.empty(0, np.int64)
-        first = blob.first[use]
-        size = blob.stop[use] - first + blob.length - 1
+    """A part's distinct pieces with a shared anchor, in order of bucket and place, and all pieces that are one of these."""
+
+    def __init__(self, blob: Blob, part: slice, shared: Answers, heavy: Answers, copies: np.ndarray, sizes: tuple[int, int, int]):
+        anchor_buckets, window_buckets, buckets = sizes
+        runs = Runs(blob, part, shared, copies, anchor_buckets)
+        first, doc, key = blob.first[runs.light], blob.doc[runs.light], blob.hash[runs.light]
+        size = blob.stop[runs.light] - first + blob.length - 1
+        if len(runs.heavy):  # windows that another document has, each on its own
+            start, who, h = blob.windows(runs.heavy)
+            stretches, known, _, _ = asked(h, blob.ids[who], window_buckets)
+            use = among(h, np.sort(known[heavy.take(stretches) > 0]))
+            first, doc, key = (np.concatenate(x) for x in ((first, start[use]), (doc, who[use]), (key, h[use])))
+            size = np.concatenate((size, np.full(int(use.sum()), blob.length)))
         by, new = distinct(blob.text, first, size)
         head = by[new]
-        owners = np.minimum.reduceat(blob.ids[blob.doc[use[by]]], np.flatnonzero(new)) if len(by) else np.empty(0, np.int64)
-        self.stretches, order = in_buckets(blob.hash[use[head]], buckets, first[head])
+        owners = np.minimum.reduceat(blob.ids[doc[by]], np.flatnonzero(new)) if len(by) else np.empty(0, np.int64)
+        self.stretches, order = in_buckets(key[head], buckets, first[head])
         self.start, self.size, self.owner = first[head][order], size[head][order], owners[order]
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        self.runs, self.of = use[by], rank[np.cumsum(new) - 1]
+        self.first, self.doc, self.of = first[by], doc[by], rank[np.cumsum(new) - 1]
 
 
 def _sender(joined, names: list[str], kinds: list[pa.DataType]):
@@ -477,13 +518,13 @@ def _each(batches):
 
 
 def _resolve(sent: DataFrame, packs: int, fan: int, actions, merged: str) -> DataFrame:
-    """(pack, seq, bucket, n, yes, bits): each row's answer from its bucket.
+    """(pack, seq, bucket, n, yes, n_heavy, bits, heavy): each row's answer from its bucket.
 
     Of the actions, merge makes one row of a bucket's rows, tell adds to such rows what all of them together say, and
     finish applies that to the first ones. With more than `fan` packs a bucket's rows are merged in
     groups, so that no task holds more than about `fan` rows of a bucket.
     """
-    answer = "pack long, seq long, bucket long, n long, yes long, bits binary"
+    answer = "pack long, seq long, bucket long, n long, yes long, n_heavy long, bits binary, heavy binary"
     if packs <= fan:
 
         def direct(t: pa.Table) -> pa.Table:
@@ -504,9 +545,15 @@ def _one(t: pa.Table, **more) -> pa.Table:
     return pa.table({"bucket": pa.array([t.column("bucket")[0].as_py()], pa.int64()), "part": pa.array([part], pa.int64()), **{k: pa.array([v], pa.binary()) for k, v in more.items()}})
 
 
-def _bits(t: pa.Table, flags: np.ndarray, counts: list[int]) -> pa.Table:
-    own = np.split(flags, np.cumsum(counts)[:-1])
-    return pa.table({"pack": t.column("pack"), "seq": t.column("seq"), "bucket": t.column("bucket"), "n": pa.array(counts, pa.int64()), "yes": pa.array([int(x.sum()) for x in own], pa.int64()), "bits": pa.array([np.packbits(x).tobytes() for x in own], pa.binary())})
+def _bits(t: pa.Table, flags: np.ndarray, counts: list[int], heavy: np.ndarray | None = None) -> pa.Table:
+    cut = np.cumsum(counts)[:-1]
+    own = np.split(flags, cut)
+    big = [h[o] for h, o in zip(np.split(heavy, cut), own, strict=True)] if heavy is not None else [np.zeros(0, bool)] * len(own)
+    yes, n_heavy = ([int(x.sum()) for x in xs] for xs in (own, big))
+    return pa.table({
+        "pack": t.column("pack"), "seq": t.column("seq"), "bucket": t.column("bucket"), "n": pa.array(counts, pa.int64()), "yes": pa.array(yes, pa.int64()), "n_heavy": pa.array(n_heavy, pa.int64()),
+        "bits": pa.array([np.packbits(x).tobytes() for x in own], pa.binary()), "heavy": pa.array([np.packbits(x).tobytes() if n else b"" for x, n in zip(big, n_heavy, strict=True)], pa.binary()),
+    })
 
 
 def _arrays(t: pa.Table, name: str, kind) -> list[np.ndarray]:
@@ -525,63 +572,93 @@ class _Last:
         return self.out
 
 
-def _shared_anchors(packs: DataFrame, many_packs: int, fan: int, length: int, buckets: int) -> DataFrame:
-    """(pack, shared, n_shared): the bits of a pack's anchor hashes that occur in two documents, by bucket, and how many these are."""
+def _shared(rows: DataFrame, many_packs: int, fan: int, length: int, buckets: int, name: str, keys, heavy: int) -> DataFrame:
+    """(pack, name, n_name, n_heavy): the bits of a pack's hashes that occur in two documents, by bucket; heavy are those of more than `heavy` places.
+
+    keys(row) yields each part's hashes with the ids that have them.
+    """
 
     def send(batches):
+        def joined(j, xs):
+            return np.packbits(np.concatenate(xs)).tobytes() if j == 1 else b"".join(xs)
+
         for row in _each(batches):
-            add, flush = _sender(lambda j, xs: b"".join(xs) if j == 0 else np.packbits(np.concatenate(xs)).tobytes(), ["hashes", "many"], [pa.binary(), pa.binary()])
-            for _, blob in _blobs(row, length):
-                for part in blob.parts():
-                    stretches, h, many = blob.anchor_hashes(part, buckets)
-                    h = ((h // np.uint64(buckets)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)  # a bucket has few hashes beside these: 32 bits rule most others out
-                    if any([add(k, [h[a:b].tobytes(), many[a:b]], 5 * (b - a)) for k, a, b in stretches]):
-                        yield flush(row["pack"])
+            add, flush = _sender(joined, ["hashes", "many", "places"], [pa.binary()] * 3)
+            for h, who in keys(row):
+                stretches, h, many, n = asked(h, who, buckets)
+                h = ((h // np.uint64(buckets)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)  # a bucket has few hashes beside these: 32 bits rule most others out
+                n = np.minimum(n, 65535).astype(np.uint16)  # sums beyond any bound for heavy ones
+                if any([add(k, [h[a:b].tobytes(), many[a:b], n[a:b][many[a:b]].tobytes()], 5 * (b - a)) for k, a, b in stretches]):
+                    yield flush(row["pack"])
             yield flush(row["pack"])
 
-    def seen_in(t: pa.Table) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+    def seen_in(t: pa.Table):
+        """By row how many hashes; the distinct ones, which of them each is, which occur in two documents, and in how many places."""
         own = _arrays(t, "hashes", np.uint32)
         many = np.concatenate([np.unpackbits(x, count=len(o)) for x, o in zip(_arrays(t, "many", np.uint8), own, strict=True)]).astype(bool)
         known, inverse, n = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
-        hot = n > 1
-        hot[inverse[many]] = True
-        return [len(o) for o in own], known, inverse, hot
+        hot, which = n > 1, inverse[many]
+        hot[which] = True
+        np.add.at(n, which, np.concatenate(_arrays(t, "places", np.uint16)).astype(np.int64) - 1)
+        return [len(o) for o in own], known, inverse, hot, n
 
     def actions():
         seen = _Last(seen_in)
 
         def merge(t: pa.Table) -> pa.Table:
-            _, known, _, hot = seen(t)
-            return _one(t, hashes=known.tobytes(), many=np.packbits(hot).tobytes())
+            _, known, _, hot, n = seen(t)
+            return _one(t, hashes=known.tobytes(), many=np.packbits(hot).tobytes(), places=np.minimum(n, 65535).astype(np.uint16)[hot].tobytes())
 
         def tell(t: pa.Table) -> pa.Table:
-            counts, _, inverse, hot = seen_in(t)
-            said = np.split(hot[inverse], np.cumsum(counts)[:-1])
-            return pa.table({"bucket": t.column("bucket"), "part": t.column("part"), "said": pa.array([np.packbits(x).tobytes() for x in said], pa.binary())})
+            counts, _, inverse, hot, n = seen_in(t)
+            said = np.split((hot.astype(np.uint8) + (hot & (n > heavy)))[inverse], np.cumsum(counts)[:-1])
+            return pa.table({"bucket": t.column("bucket"), "part": t.column("part"), "said": pa.array([x.tobytes() for x in said], pa.binary())})
 
         def finish(t: pa.Table, told: pa.Table) -> pa.Table:
-            counts, known, inverse, _ = seen(t)
-            hot = np.unpackbits(_arrays(told, "said", np.uint8)[0], count=len(known)).astype(bool)
-            return _bits(t, hot[inverse], counts)
+            counts, _, inverse, _, _ = seen(t)
+            said = _arrays(told, "said", np.uint8)[0][inverse]
+            return _bits(t, said > 0, counts, said > 1)
 
         return merge, tell, finish
 
-    sent = packs.select("pack", "ids", "ends", "counts", "blobs").mapInArrow(send, "bucket long, pack long, seq long, hashes binary, many binary")
-    bits = _resolve(sent, many_packs, fan, actions, "bucket long, part long, hashes binary, many binary")
-    return bits.groupBy("pack").agg(F.collect_list(F.struct("seq", "bucket", "n", "bits")).alias("shared"), F.sum("yes").alias("n_shared"))
+    kinds = "hashes binary, many binary, places binary"
+    bits = _resolve(rows.mapInArrow(send, f"bucket long, pack long, seq long, {kinds}"), many_packs, fan, actions, f"bucket long, part long, {kinds}")
+    return bits.groupBy("pack").agg(F.collect_list(F.struct("seq", "bucket", "n", "bits", "heavy")).alias(name), F.sum("yes").alias(f"n_{name}"), F.sum("n_heavy").alias("n_heavy"))
+
+
+def _all_anchors(length: int):
+    def keys(row: dict):
+        for _, blob in _blobs(row, length):
+            for part in blob.parts():
+                yield blob.hash[part], blob.ids[blob.doc[part]]
+
+    return keys
+
+
+def _heavy_windows(length: int, anchor_buckets: int):
+    def keys(row: dict):
+        shared, copied = Answers(row["shared"]), _copied(row)
+        for at, blob in _blobs(row, length):
+            for part in blob.parts():
+                runs = Runs(blob, part, shared, copied[at : at + len(blob.ids)], anchor_buckets).heavy
+                if len(runs):
+                    _, who, h = blob.windows(runs)
+                    yield h, blob.ids[who]
+
+    return keys
 
 
-def _answers(joined: DataFrame, many_packs: int, fan: int, length: int, anchor_buckets: int, buckets: int) -> DataFrame:
+def _answers(joined: DataFrame, many_packs: int, fan: int, length: int, sizes: tuple[int, int, int]) -> DataFrame:
     """(pack, answers): the bits of a pack's piece windows that a smaller id than the piece's own has, by bucket."""
 
     def send(batches):
         pack = zstandard.ZstdCompressor(level=1)
         for row in _each(batches):
             add, flush = _sender(lambda j, xs: pack.compress(b"".join(xs)) if j == 2 else b"".join(xs), ["sizes", "owners", "text"], [pa.binary()] * 3)
-            shared, copied = Answers(row["shared"]), _copied(row)
+            shared, windows_, copied = Answers(row["shared"]), Answers(row["windows"]), _copied(row)
             for at, blob in _blobs(row, length):
                 for part in blob.parts():
-                    p = Pieces(blob, part, shared, copied[at : at + len(blob.ids)], anchor_buckets, buckets)
+                    p = Pieces(blob, part, shared, windows_, copied[at : at + len(blob.ids)], sizes)
                     text, end = blob.text[stretch(p.start, p.size)].tobytes(), np.concatenate(([0], np.cumsum(p.size))).tolist()
                     size = p.size.astype(np.uint16)
                     if any([add(k, [size[a:b].tobytes(), p.owner[a:b].tobytes(), text[end[a] : end[b]]], end[b] - end[a] + 10 * (b - a)) for k, a, b in p.stretches]):
@@ -630,7 +707,7 @@ def _answers(joined: DataFrame, many_packs: int, fan: int, length: int, anchor_b
 
     sent = joined.mapInArrow(send, "bucket long, pack long, seq long, sizes binary, owners binary, text binary")
     bits = _resolve(sent, many_packs, fan, actions, "bucket long, part long, sizes binary, owners binary, text binary")
-    return bits.groupBy("pack").agg(F.collect_list(F.struct("seq", "bucket", "n", "bits")).alias("answers"))
+    return bits.groupBy("pack").agg(F.collect_list(F.struct("seq", "bucket", "n", "bits", "heavy")).alias("answers"))
 
 
 def _copied(row: dict) -> np.ndarray:
@@ -639,22 +716,20 @@ def _copied(row: dict) -> np.ndarray:
     return out
 
 
-def _removed(row: dict, length: int, anchor_buckets: int, buckets: int):
+def _removed(row: dict, length: int, sizes: tuple[int, int, int]):
     """A pack's blobs and which of their bytes go."""
-    shared, answers, copied = Answers(row["shared"]), Answers(row["answers"]), _copied(row)
+    shared, windows, answers, copied = Answers(row["shared"]), Answers(row["windows"]), Answers(row["answers"]), _copied(row)
     for at, blob in _blobs(row, length):
         window = np.zeros(blob.size + 1, bool)
         own = copied[at : at + len(blob.ids)]
-        for part in blob.parts():
-            p = Pieces(blob, part, shared, own, anchor_buckets, buckets)
-            if not len(p.start):
-                continue
+        for part in blob.parts() if shared.whole else ():
+            p = Pieces(blob, part, shared, windows, own, sizes)
             many = p.size - length + 1
             end = np.concatenate(([0], np.cumsum(many)))
-            flags = np.concatenate([answers.take(k, int(end[b] - end[a])) for k, a, b in p.stretches])
+            flags = answers.take([(k, int(end[a]), int(end[b])) for k, a, b in p.stretches]).view(bool)
             # What the least id that has a piece here may keep, documents of larger ids here may not.
-            said = flags[stretch(end[:-1][p.of], many[p.of])] | np.repeat(blob.ids[blob.doc[p.runs]] > p.owner[p.of], many[p.of])
-            window[stretch(blob.first[p.runs], many[p.of])] = said
+            said = flags[stretch(end[:-1][p.of], many[p.of])] | np.repeat(blob.ids[p.doc] > p.owner[p.of], many[p.of])
+            window[stretch(p.first, many[p.of])] = said
         edge = np.diff(window.view(np.int8), prepend=np.int8(0))
         start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) + length - 1
         gap = np.flatnonzero(start[1:] > stop[:-1])  # spans that overlap or touch are one
@@ -670,12 +745,12 @@ def _removed(row: dict, length: int, anchor_buckets: int, buckets: int):
         yield blob, gone
 
 
-def _outcomes(judged: DataFrame, length: int, anchor_buckets: int, buckets: int, texts_too: bool) -> DataFrame:
+def _outcomes(judged: DataFrame, length: int, sizes: tuple[int, int, int], texts_too: bool) -> DataFrame:
     names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["text_sha256", "kept"] if texts_too else [])]
 
     def run(batches):
         for row in _each(batches):
-            for blob, gone in _removed(row, length, anchor_buckets, buckets):
+            for blob, gone in _removed(row, length, sizes):
                 out = []
                 for i, a, e in zip(blob.ids.tolist(), blob.starts.tolist(), blob.ends.tolist(), strict=True):
                     g, raw = gone[a:e], blob.text[a:e]
@@ -689,7 +764,7 @@ def _outcomes(judged: DataFrame, length: int, anchor_buckets: int, buckets: int,
     return judged.mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", text_sha256 string, kept string" if texts_too else ""))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, blob_bytes: int = 1 << 20, pack_bytes: int = 16 << 20, anchor_bytes: int = 64 << 20, piece_bytes: int = 16 << 20, fan: int = 4096, texts_too: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, blob_bytes: int = 1 << 20, pack_bytes: int = 16 << 20, anchor_bytes: int = 64 << 20, piece_bytes: int = 16 << 20, fan: int = 4096, heavy: int = 8192, texts_too: bool = False) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256; with texts_too also the remaining text (bytes that a cut leaves as broken characters go).
 
     anchor_bytes and piece_bytes are what a bucket gets: texts whose anchors it compares, and pieces it sorts.
@@ -700,13 +775,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     few, numbers = _numbered(docs, id_col, text_col)
     packs = _packs(few, blob_bytes, pack_bytes).checkpoint()
     size, many = packs.agg(F.sum("bytes"), F.count("*")).first()
+    texts_of = packs.select("pack", "ids", "ends", "counts", "blobs")
     anchor_buckets = max(8, -(-(size or 0) // anchor_bytes))
-    told = _shared_anchors(packs, many, fan, length, anchor_buckets).join(_copies(packs), "pack", "full").checkpoint()
-    n_shared = told.agg(F.sum("n_shared")).first()[0] or 0
-    buckets = max(8, -(-n_shared * 2 * length // piece_bytes))  # a hash stands for a piece or two of less than 2 x length bytes
-    joined = packs.select("pack", "ids", "ends", "counts", "blobs").join(told.drop("n_shared"), "pack", "left")
-    answers = _answers(joined, many, fan, length, anchor_buckets, buckets).checkpoint()
-    out = _outcomes(joined.join(answers, "pack", "left"), length, anchor_buckets, buckets, texts_too)
+    told = _shared(texts_of, many, fan, length, anchor_buckets, "shared", _all_anchors(length), heavy).join(_copies(packs), "pack", "full").checkpoint()
+    n_shared, n_heavy = (x or 0 for x in told.agg(F.sum("n_shared"), F.sum("n_heavy")).first())
+    joined = texts_of.join(told.drop("n_shared", "n_heavy"), "pack", "left")
+    window_buckets, n_windows = max(8, -(-n_heavy * length // (anchor_bytes // 16))), 0
+    if n_heavy:
+        told = _shared(joined, many, fan, length, window_buckets, "windows", _heavy_windows(length, anchor_buckets), NO_ID).drop("n_heavy").checkpoint()
+        n_windows = told.agg(F.sum("n_windows")).first()[0] or 0
+        joined = joined.join(told.drop("n_windows"), "pack", "left")
+    else:
+        joined = joined.withColumn("windows", F.lit(None).cast(told.schema["shared"].dataType))
+    buckets = max(8, -(-(n_shared * 2 + n_windows) * length // piece_bytes))  # a hash stands for a piece or two of less than 2 x length bytes
+    sizes = (anchor_buckets, window_buckets, buckets)
+    answers = _answers(joined, many, fan, length, sizes).checkpoint()
+    out = _outcomes(joined.join(answers, "pack", "left"), length, sizes, texts_too)
     if numbers is not None:
         out = out.join(numbers.withColumnsRenamed({"id": "_id", "number": "id"}), "id", "left").select(F.col("_id").alias("id"), *out.columns[1:])
     return out.withColumn("id", F.col("id").cast(docs.schema[id_col].dataType)).withColumnRenamed("id", id_col)

@@ -637,10 +637,10 @@ def brute_repeats(rows, size=50):
     return out
 
 
-@pytest.mark.parametrize("fan", [4096, 3])
-def test_repeats_brute_force(corpus, fan):
-    """Many small blobs, packs and buckets, answered at once and by groups of packs."""
-    got = collections.Counter(map(tuple, suffix_dedup.remove_repeats(corpus, blob_bytes=1 << 14, pack_bytes=1 << 16, anchor_bytes=1 << 15, piece_bytes=1 << 14, fan=fan).collect()))
+@pytest.mark.parametrize(("fan", "heavy"), [(4096, 8192), (3, 8192), (4096, 1), (3, 2)])
+def test_repeats_brute_force(corpus, fan, heavy):
+    """Many small blobs, packs and buckets, answered at once and by groups of packs, with and without heavy anchors."""
+    got = collections.Counter(map(tuple, suffix_dedup.remove_repeats(corpus, blob_bytes=1 << 14, pack_bytes=1 << 16, anchor_bytes=1 << 15, piece_bytes=1 << 14, fan=fan, heavy=heavy).collect()))
     assert got == brute_repeats(texts_of(corpus))
 
 
@@ -692,8 +692,8 @@ def test_repeats_memory_of_a_long_text():
     code = (
         "import resource, numpy as np, zstandard\nfrom pagegraph.llm import suffix_dedup as s\nn = 40_000_000\n"
         "t = np.random.default_rng(1).integers(97, 123, n, dtype=np.uint8).tobytes()\n"
-        "row = {'ids': np.array([1]).tobytes(), 'ends': np.array([n]).tobytes(), 'counts': [1], 'blobs': [zstandard.ZstdCompressor().compress(t + bytes(s.PAD))], 'shared': None, 'answers': None, 'copies': None}\ndel t\n"
-        "print([int(g.sum()) for b, g in s._removed(row, 50, 8, 8)][0], resource.getrusage(resource.RUSAGE_SELF).ru_maxrss)"
+        "row = {'ids': np.array([1]).tobytes(), 'ends': np.array([n]).tobytes(), 'counts': [1], 'blobs': [zstandard.ZstdCompressor().compress(t + bytes(s.PAD))], 'shared': None, 'windows': None, 'answers': None, 'copies': None}\ndel t\n"
+        "print([int(g.sum()) for b, g in s._removed(row, 50, (8, 8, 8))][0], resource.getrusage(resource.RUSAGE_SELF).ru_maxrss)"
     )
     gone, peak = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split())
     assert gone == 0 and peak < 700_000
