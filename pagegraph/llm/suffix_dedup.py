@@ -780,16 +780,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     told = _shared(texts_of, many, fan, length, anchor_buckets, "shared", _all_anchors(length), heavy).join(_copies(packs), "pack", "full").checkpoint()
     n_shared, n_heavy = (x or 0 for x in told.agg(F.sum("n_shared"), F.sum("n_heavy")).first())
     joined = texts_of.join(told.drop("n_shared", "n_heavy"), "pack", "left")
-    window_buckets, n_windows = max(8, -(-n_heavy * length // (anchor_bytes // 16))), 0
+    # From here on one query: the packs' exchange is made once and serves all three joins.
+    window_buckets = max(8, -(-n_heavy * length // (anchor_bytes // 16)))
     if n_heavy:
-        told = _shared(joined, many, fan, length, window_buckets, "windows", _heavy_windows(length, anchor_buckets), NO_ID).drop("n_heavy").checkpoint()
-        n_windows = told.agg(F.sum("n_windows")).first()[0] or 0
-        joined = joined.join(told.drop("n_windows"), "pack", "left")
+        windows = _shared(joined, many, fan, length, window_buckets, "windows", _heavy_windows(length, anchor_buckets), NO_ID).select("pack", "windows")
+        joined = joined.join(windows, "pack", "left")
     else:
         joined = joined.withColumn("windows", F.lit(None).cast(told.schema["shared"].dataType))
-    buckets = max(8, -(-(n_shared * 2 + n_windows) * length // piece_bytes))  # a hash stands for a piece or two of less than 2 x length bytes
+    buckets = max(8, -(-(n_shared + n_heavy) * 2 * length // piece_bytes))  # a hash stands for a piece or two of less than 2 x length bytes
     sizes = (anchor_buckets, window_buckets, buckets)
-    answers = _answers(joined, many, fan, length, sizes).checkpoint()
+    answers = _answers(joined, many, fan, length, sizes)
     out = _outcomes(joined.join(answers, "pack", "left"), length, sizes, texts_too)
     if numbers is not None:
         out = out.join(numbers.withColumnsRenamed({"id": "_id", "number": "id"}), "id", "left").select(F.col("_id").alias("id"), *out.columns[1:])
