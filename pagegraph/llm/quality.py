@@ -7,20 +7,26 @@ its confident decisions on unlabelled documents to the other view's training
 set. In the end both are calibrated on a fold of labels they never saw, a
 second logistic step combines them, and every document is scored.
 
-A good document has quality 1 and is not toxic. The fit uses bounded samples,
-`labelled` labelled and `pool` unlabelled rows, the least by a hash of the id;
-only their features reach the driver. All documents are scored, without a
-shuffle.
+A good document has quality 1 and is not toxic. The fit uses at most `labelled`
+labelled rows, the least by a hash of the id. Words are chosen by counts that are
+made where the documents are. One pass reduces every document to its vector (the
+chosen words it has, some shares, hashes of its metadata); each round scores the
+vectors of all unlabelled documents and draws from them, for each view and class,
+the `give` surest. Only those and the labelled rows' vectors, which have a bounded
+size whatever the texts' lengths, reach the driver. All documents are scored,
+without a shuffle.
 
 Defined results: null and empty texts are scored by their empty features; null
 metadata is a category of its own; of several labels for an id the worst
 counts, null labels none; with fewer than 20 labels, or one class only, all
-documents score 1 and are kept; repeated rows stay and have equal scores; an
-empty table gives no rows; other columns are ignored or kept as they are.
+documents score 1 and are kept; repeated rows stay and have equal scores (of an
+id's different rows one is learned from); an empty table gives no rows; other
+columns are ignored or kept as they are.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections import Counter
 from dataclasses import dataclass, field
@@ -50,13 +56,6 @@ def features(text: bytes) -> tuple[set[bytes], list[float]]:
     return kinds, text_stats(text, ws, kinds)
 
 
-Kinds = set[bytes] | bytes  # a document's distinct words, or these joined by blanks, which takes far less memory
-
-
-def _kinds(k: Kinds) -> set[bytes]:
-    return set(k.split()) if isinstance(k, bytes) else k
-
-
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1.0, rounds: int = 25, center: float = 0.0) -> np.ndarray:
     """Weights, shrunk towards a centre, and the intercept, which is not, by Newton steps."""
     x = np.hstack([x, np.ones((len(x), 1))])
@@ -77,166 +76,233 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, rid
     return w
 
 
+def probability(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
 @dataclass
 class TextView:
-    most: int = 400
-    chosen: dict[bytes, int] = field(default_factory=dict)
+    chosen: dict[bytes, int]
     mean: np.ndarray | None = None
     scale: np.ndarray | None = None
     w: np.ndarray | None = None
 
-    def choose(self, kinds: list[Kinds], y: np.ndarray, stats: np.ndarray) -> None:
-        """Words whose presence depends on the class by a chi-square of 15 or more, the strongest first."""
-        n, good = len(y), int(y.sum())
-        all_of, of_good = Counter(), Counter()
-        for k, label in zip(map(_kinds, kinds), y.tolist(), strict=True):
-            all_of.update(k)
-            if label:
-                of_good.update(k)
-        scored = []
-        for word, a in all_of.items():
-            if 3 <= a < n:
-                g = of_good[word]
-                d = g * (n - good) - (a - g) * good
-                chi = n * d * d / (a * (n - a) * good * (n - good))
-                if chi >= 15:
-                    scored.append((-chi, word))
-        self.chosen = {word: i for i, (_, word) in enumerate(sorted(scored)[: self.most])}
-        self.mean, self.scale = stats.mean(axis=0), stats.std(axis=0) + 1e-6
-
-    def matrix(self, kinds: list[Kinds], stats: np.ndarray) -> np.ndarray:
+    def places(self, kinds: set[bytes]) -> list[int]:
+        """Numbers of the chosen words among some."""
+        return sorted(self.chosen[k] for k in kinds & self.chosen.keys())
+
+    def matrix(self, places: list[list[int]], stats: np.ndarray) -> np.ndarray:
         m = len(self.chosen)
-        x = np.zeros((len(kinds), m + stats.shape[1]))
-        own = self.chosen.keys()
-        for i, k in enumerate(kinds):
-            for word in _kinds(k) & own:
-                x[i, self.chosen[word]] = 1.0
+        x = np.zeros((len(places), m + stats.shape[1]))
+        for i, at in enumerate(places):
+            x[i, at] = 1.0
         x[:, m:] = np.clip((stats - self.mean) / self.scale, -6, 6)
         return x
 
-    def logit(self, kinds: list[Kinds], stats: np.ndarray) -> np.ndarray:
-        return self.matrix(kinds, stats) @ self.w[:-1] + self.w[-1]
-
 
 @dataclass
 class MetaView:
-    columns: list[str]
-    codes: dict[tuple[str, str], int] = field(default_factory=dict)
+    codes: dict[int, int] = field(default_factory=dict)
     w: np.ndarray | None = None
 
-    def choose(self, rows: list[dict], most: int = 200) -> None:
-        seen = Counter((c, str(r[c])) for r in rows for c in self.columns if c != "n_chars")
-        self.codes = {k: i for i, (k, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:most])}
-
-    def matrix(self, rows: list[dict]) -> np.ndarray:
-        x = np.zeros((len(rows), len(self.codes) + 3))
-        for i, r in enumerate(rows):
-            for c in self.columns:
-                if c == "n_chars":
-                    v = r[c]
-                    x[i, -3], x[i, -2], x[i, -1] = (0, 0, 1) if v is None else (math.log1p(max(0, v)) / 10, (math.log1p(max(0, v)) / 10) ** 2, 0)
-                elif (at := self.codes.get((c, str(r[c])))) is not None:
-                    x[i, at] = 1.0
+    def matrix(self, marks: list[list[int]], sizes: list[float | None]) -> np.ndarray:
+        x = np.zeros((len(marks), len(self.codes) + 3))
+        for i, (own, v) in enumerate(zip(marks, sizes, strict=True)):
+            x[i, [self.codes[k] for k in own if k in self.codes]] = 1.0
+            x[i, -3:] = (0, 0, 1) if v is None else (math.log1p(max(0, v)) / 10, (math.log1p(max(0, v)) / 10) ** 2, 0)
         return x
 
-    def logit(self, rows: list[dict]) -> np.ndarray:
-        return self.matrix(rows) @ self.w[:-1] + self.w[-1]
+
+#: A document's vector: chosen words, shares, hashes of its metadata, characters.
+Vector = tuple[list[int], list[float], list[int], float | None]
 
 
 @dataclass
 class Model:
     text: TextView
     meta: MetaView
-    calibrate: tuple[np.ndarray, np.ndarray]
-    combine: np.ndarray
-
-    def score(self, kinds: list[Kinds], stats: np.ndarray, rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        def p(z):
-            return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-
-        a = self.text.logit(kinds, stats) * self.calibrate[0][0] + self.calibrate[0][1]
-        b = self.meta.logit(rows) * self.calibrate[1][0] + self.calibrate[1][1]
-        return p(a), p(b), p(a * self.combine[0] + b * self.combine[1] + self.combine[2])
-
-
-def co_train(kinds: list[Kinds], stats: np.ndarray, meta: list[dict], y: np.ndarray, columns: list[str], rounds: int = 3, sure: float = 0.97, give: int = 300) -> Model:
-    """y: 1, 0 or -1 (unlabelled). Every fifth labelled row is held out for calibration."""
-    known = np.flatnonzero(y >= 0)
-    held, fit, pool = known[::5], np.setdiff1d(known, known[::5]), np.flatnonzero(y < 0)
-    text, page = TextView(), MetaView(columns)
-    text.choose([kinds[i] for i in fit], y[fit], stats[fit])
-    page.choose([meta[i] for i in fit])
-    x, m = text.matrix(kinds, stats), page.matrix(meta)
-    given: list[dict[int, int]] = [{}, {}]  # pseudo-labels of the text view and of the metadata view
+    calibrate: tuple[np.ndarray, np.ndarray] | None = None
+    combine: np.ndarray | None = None
+
+    def matrices(self, rows: list[Vector]) -> tuple[np.ndarray, np.ndarray]:
+        return self.text.matrix([r[0] for r in rows], np.array([r[1] for r in rows])), self.meta.matrix([r[2] for r in rows], [r[3] for r in rows])
+
+    def logits(self, rows: list[Vector]) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(x @ v.w[:-1] + v.w[-1] for x, v in zip(self.matrices(rows), (self.text, self.meta), strict=True))
+
+    def score(self, rows: list[Vector]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a, b = (z * c[0] + c[1] for z, c in zip(self.logits(rows), self.calibrate, strict=True))
+        return probability(a), probability(b), probability(a * self.combine[0] + b * self.combine[1] + self.combine[2])
+
+
+def co_train(model: Model, fit: list[Vector], y: np.ndarray, held: list[Vector], t: np.ndarray, surest, rounds: int = 3) -> Model:
+    """Fits both views on labelled vectors and, round by round, on what surest(model) gives: (id, view that is sure, its label, vector)."""
+    data = model.matrices(fit)
+    given: list[dict] = [{}, {}]  # what the text view and the metadata view are taught: id -> (label, vector)
     for turn in range(rounds + 1):
-        for view, data, got in ((text, x, given[0]), (page, m, given[1])):
-            rows = np.concatenate([fit, np.array(sorted(got), dtype=np.int64)])
-            label = np.concatenate([y[fit], [got[i] for i in sorted(got)]])
-            weight = np.concatenate([np.ones(len(fit)), np.full(len(got), 0.3)])
-            view.w = logistic(data[rows], label, weight)
-        if turn == rounds or not len(pool):
+        for k, view in enumerate((model.text, model.meta)):
+            got = [given[k][i] for i in sorted(given[k])]
+            x = np.concatenate([data[k], model.matrices([v for _, v in got])[k]]) if got else data[k]
+            view.w = logistic(x, np.concatenate([y, [label for label, _ in got]]), np.concatenate([np.ones(len(y)), np.full(len(got), 0.3)]))
+        if turn == rounds:
             break
-        for view, data, to in ((text, x, given[1]), (page, m, given[0])):
-            p = 1 / (1 + np.exp(-np.clip(data[pool] @ view.w[:-1] + view.w[-1], -30, 30)))
-            order = np.argsort(p, kind="stable")
-            to.update({int(pool[i]): 1 for i in order[::-1][:give] if p[i] >= sure})
-            to.update({int(pool[i]): 0 for i in order[:give] if p[i] <= 1 - sure})
-    a, b = x[held] @ text.w[:-1] + text.w[-1], m[held] @ page.w[:-1] + page.w[-1]
-    t = y[held].astype(float)
+        for i, view, label, vector in surest(model):
+            given[1 - view][i] = label, vector
+    z = model.logits(held)
     # Few held-out labels leave slopes near one; a view is never turned round.
-    ca, cb = (np.maximum(logistic(z[:, None], t, ridge=5.0, center=1.0), [0.0, -np.inf]) for z in (a, b))
-    both = np.stack([a * ca[0] + ca[1], b * cb[0] + cb[1]], axis=1)
-    return Model(text, page, (ca, cb), np.maximum(logistic(both, t, ridge=5.0, center=1.0), [0.0, 0.0, -np.inf]))
+    model.calibrate = tuple(np.maximum(logistic(a[:, None], t, ridge=5.0, center=1.0), [0.0, -np.inf]) for a in z)
+    both = np.stack([a * c[0] + c[1] for a, c in zip(z, model.calibrate, strict=True)], axis=1)
+    model.combine = np.maximum(logistic(both, t, ridge=5.0, center=1.0), [0.0, 0.0, -np.inf])
+    return model
 
 
+# ----------------------------------------------------------------- the job
 
-def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = ("lang", "source", "n_chars"), labelled: int = 6000, pool: int = 2000) -> Model | None:
-    """The model, from at most `labelled` and `pool` rows; None with fewer than 20 labels or one class only."""
-    ready_checkpoints(docs.sparkSession)
-    bounded_batches(docs.sparkSession)
-    columns = [c for c in meta_cols if c in docs.columns]
-    judged = labels.select(F.col(id_col).alias("id"), ((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).cast("int").alias("good")).where("good is not null and id is not null").groupBy("id").agg(F.min("good").alias("good"))
-    few = docs.select(F.col(id_col).alias("id"))
-    known = few.join(judged, "id").distinct().orderBy(F.xxhash64("id"), "id").limit(labelled)
-    fresh = few.where("id is not null").join(judged, "id", "left_anti").distinct().orderBy(F.xxhash64("id"), "id").limit(pool).withColumn("good", F.lit(-1))
-    chosen = known.unionAll(fresh).checkpoint()  # at most labelled + pool rows, whatever the input
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"m_{c}") for c in columns]).join(F.broadcast(chosen), "id")
 
-    def run(batches):
+def _inputs(docs: DataFrame, text_col: str, meta_cols: tuple[str, ...]) -> list:
+    """Columns text, marks (a hash for each column of metadata and its value) and size."""
+    marks = [F.xxhash64(F.lit(c), F.col(c).cast("string")) for c in meta_cols if c in docs.columns and c != "n_chars"]
+    size = F.col("n_chars").cast("double") if "n_chars" in meta_cols and "n_chars" in docs.columns else F.lit(None).cast("double")
+    return [F.col(text_col).cast("string").alias("text"), F.array(*marks).cast("array<long>").alias("marks"), size.alias("size")]
+
+
+def _chosen_words(fit: DataFrame, most: int) -> dict[bytes, int]:
+    """Words whose presence depends on the class by a chi-square of 15 or more, the strongest first. fit: (text, good)."""
+
+    def count(batches):
+        totals: dict[bytes, list[int]] = {}
         for b in batches:
-            got = [features(t) for t in texts(b)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(b.schema.get_field_index("good")), pa.array([b" ".join(sorted(k)) for k, _ in got], pa.binary()), pa.array([s for _, s in got], pa.list_(pa.float64())), *[b.column(b.schema.get_field_index(f"m_{c}")) for c in columns]], names=["id", "good", "kinds", "stats", *[f"m_{c}" for c in columns]])
-
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    rows = source.mapInArrow(run, f"id {kinds[id_col]}, good int, kinds binary, stats array<double>" + "".join(f", m_{c} {kinds[c]}" for c in columns)).collect()
-    rows = list({r.id: r for r in sorted(rows, key=lambda r: (r.id, r.kinds))}.values())
-    y = np.array([r.good for r in rows])
-    if (y >= 0).sum() < 20 or not (y == 0).any() or not (y == 1).any() or len(set(y[y >= 0][::5])) < 2:
-        return None
-    return co_train([bytes(r.kinds) for r in rows], np.array([r.stats for r in rows]), [{c: r[f"m_{c}"] for c in columns} for r in rows], y, columns)
+            for t, good in zip(texts(b), b.column(1).to_pylist(), strict=True):
+                for w in set(words(t)):
+                    got = totals.setdefault(w, [0, 0])
+                    got[0] += 1
+                    got[1] += good
+            if len(totals) > 200_000:
+                yield rows(totals)
+                totals.clear()
+        yield rows(totals)
+
+    def rows(totals):
+        return pa.RecordBatch.from_arrays([pa.array(list(totals), pa.binary()), pa.array([v[0] for v in totals.values()], pa.int64()), pa.array([v[1] for v in totals.values()], pa.int64())], names=["word", "a", "g"])
+
+    n, good = fit.agg(F.count("*"), F.sum("good")).first()
+    a, g = F.col("a"), F.col("g")
+    d = (g * (n - good) - (a - g) * good).cast("double")
+    chi = n * d * d / (a * (n - a) * good * (n - good))
+    counts = fit.select("text", "good").mapInArrow(count, "word binary, a long, g long").groupBy("word").agg(F.sum("a").alias("a"), F.sum("g").alias("g"))
+    best = counts.where((a >= 3) & (a < n)).withColumn("chi", chi).where("chi >= 15").orderBy(F.desc("chi"), "word").limit(most).collect()
+    return {bytes(r.word): i for i, r in enumerate(best)}
+
+
+def _vectors(batch: pa.RecordBatch, text: TextView) -> list[Vector]:
+    got = []
+    for t in texts(batch):
+        ws = words(t)
+        kinds = set(ws)
+        got.append((text.places(kinds), text_stats(t, ws, kinds)))
+    marks, sizes = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("marks", "size"))
+    return [(*g, m, v) for g, m, v in zip(got, marks, sizes, strict=True)]
+
+
+_VECTOR = "places array<int>, stats array<double>, marks array<long>, size double"
+
+
+def _vector_arrays(rows: list[Vector]) -> list[pa.Array]:
+    return [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.float64()))]
+
 
+def _read_vectors(b: pa.RecordBatch) -> list[Vector]:
+    return list(zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("places", "stats", "marks", "size")), strict=True))
 
-def _scored(docs: DataFrame, model: Model | None, id_col: str, text_col: str, least: float) -> DataFrame:
+
+def _surest(fresh: DataFrame, kind: str, model: Model, sure: float, give: int) -> list[tuple]:
+    """(id, view, label, vector): of all unlabelled vectors the `give` surest of each view and class, by probability, then by a hash of the id."""
+    shared = fresh.sparkSession.sparkContext.broadcast(model)
+
+    def judge(batches):
+        best: dict[tuple[int, int], list] = {}
+        for b in batches:
+            rows = _read_vectors(b)
+            if not rows:
+                continue
+            ids, ties = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for view, z in enumerate(shared.value.logits(rows)):
+                p = probability(z)
+                for label, q in ((1, p), (0, 1 - p)):
+                    got = best.setdefault((view, label), [])
+                    for i in np.flatnonzero(q >= sure):
+                        entry = (q[i], ties[i], ids[i], rows[i])
+                        if len(got) < give:
+                            heapq.heappush(got, entry)
+                        elif entry[:2] > got[0][:2]:
+                            heapq.heapreplace(got, entry)
+        out = [(view, label, float(e[0]), *e[1:]) for (view, label), got in best.items() for e in got]
+        names = ["view", "label", "q", "tie", "id", "places", "stats", "marks", "size"]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.float64()), pa.array([r[3] for r in out], pa.int64()), pa.array([r[4] for r in out], kind_of), *_vector_arrays([r[5] for r in out])], names=names)
+
+    kind_of = pa.int64() if kind == "bigint" else pa.string()
+    some = fresh.mapInArrow(judge, f"view int, label int, q double, tie long, id {kind}, {_VECTOR}")
+    rows = []
+    some = some.checkpoint()  # at most 4 x give rows a task
+    for view in (0, 1):
+        for label in (0, 1):
+            rows += some.where((F.col("view") == view) & (F.col("label") == label)).orderBy(F.desc("q"), F.desc("tie")).limit(give).collect()
+    return [(r.id, r.view, r.label, (r.places, r.stats, r.marks, r.size)) for r in rows]
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = ("lang", "source", "n_chars"), labelled: int = 6000, rounds: int = 3, sure: float = 0.97, give: int = 300, most_words: int = 400, most_marks: int = 200) -> Model | None:
+    """The model, from at most `labelled` labelled rows and all unlabelled ones; None with fewer than 20 labels or one class only."""
+    ready_checkpoints(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
+    # Ids travel as integers or as text; every fifth, by a hash, is held out.
+    kind = "bigint" if docs.schema[id_col].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint") else "string"
+    own = F.col(id_col).cast(kind)
+    judged = labels.select(own.alias("id"), ((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).cast("int").alias("good")).where("good is not null and id is not null").groupBy("id").agg(F.min("good").alias("good"))
+    tie = F.xxhash64("id")
+    known = docs.select(own.alias("id")).join(judged, "id").distinct().orderBy(tie, "id").limit(labelled).withColumn("held", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(5)) == 0).checkpoint()  # at most `labelled` rows
+    n = {(r.good, r.held): r.n for r in known.groupBy("good", "held").agg(F.count("*").alias("n")).collect()}
+    if sum(n.values()) < 20 or len(n) < 4:
+        return None
+    every = docs.select(own.alias("id"), *_inputs(docs, text_col, meta_cols)).where("id is not null")
+    text = TextView(_chosen_words(every.join(F.broadcast(known.where("not held")), "id").select("text", "good"), most_words))
+
+    def reduce(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(b.schema.get_field_index("tie")), *_vector_arrays(_vectors(b, text))], names=["id", "tie", "places", "stats", "marks", "size"])
+
+    vectors = every.withColumn("tie", tie).mapInArrow(reduce, f"id {kind}, tie long, {_VECTOR}").checkpoint()
+    rows = {r.id: r for r in sorted(vectors.join(F.broadcast(known), "id").collect(), key=lambda r: (r.id, r.places, r.stats, str(r.marks)))}.values()
+    fresh = vectors.join(judged.select("id"), "id", "left_anti")
+    fit, held = ([r for r in rows if r.held == h] for h in (False, True))
+    as_vector = lambda r: (r.places, r.stats, r.marks, r.size)
+    stats = np.array([r.stats for r in fit])
+    text.mean, text.scale = stats.mean(axis=0), stats.std(axis=0) + 1e-6
+    seen = Counter(m for r in fit for m in r.marks)
+    model = Model(text, MetaView({m: i for i, (m, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:most_marks])}))
+    marks = [np.array([r.good for r in x], float) for x in (fit, held)]
+    return co_train(model, [as_vector(r) for r in fit], marks[0], [as_vector(r) for r in held], marks[1], lambda m: _surest(fresh, kind, m, sure, give), rounds)
+
+
+def _scored(docs: DataFrame, model: Model | None, text_col: str, meta_cols: tuple[str, ...], least: float) -> DataFrame:
     """docs' columns by place as c0, c1, ... (so that any names may occur) with p_text, p_meta, score and keep."""
     bounded_batches(docs.sparkSession)
     names = docs.columns
-    inner = docs.toDF(*[f"c{i}" for i in range(len(names))])
     if model is None:
-        return inner.select("*", *[F.lit(1.0).alias(c) for c in ("p_text", "p_meta", "score")], F.lit(True).alias("keep"))
-    columns = model.meta.columns
+        return docs.toDF(*[f"c{i}" for i in range(len(names))]).select("*", *[F.lit(1.0).alias(c) for c in ("p_text", "p_meta", "score")], F.lit(True).alias("keep"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = {c: names.index(c) for c in [text_col, *columns]}
+    # Texts that are strings already go to the workers once.
+    text = next((i for i, f in enumerate(docs.schema) if f.name == text_col and f.dataType.simpleString() == "string"), None)
+    inputs = _inputs(docs, text_col, meta_cols)
+    inner = docs.select(*[F.col(f"`{c}`").alias("text" if i == text else f"c{i}") for i, c in enumerate(names)], *(inputs if text is None else inputs[1:]))
 
     def run(batches):
         m = shared.value
         for b in batches:
-            if not b.num_rows:
-                continue
-            got = [features(t) for t in texts(b, f"c{at[text_col]}")]
-            meta = pa.RecordBatch.from_arrays([b.column(at[c]) for c in columns], names=columns).to_pylist() if columns else [{} for _ in got]
-            p = m.score([k for k, _ in got], np.array([s for _, s in got]), meta)
-            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(x) for x in p], pa.array(p[2] >= least)], names=[*b.schema.names, "p_text", "p_meta", "score", "keep"])
+            if b.num_rows:
+                p = m.score(_vectors(b, m.text))
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], *[pa.array(x) for x in p], pa.array(p[2] >= least)], names=out)
 
+    out = [*[f"c{i}" for i in range(len(names))], "p_text", "p_meta", "score", "keep"]
     kind = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema))
     return inner.mapInArrow(run, f"{kind}, p_text double, p_meta double, score double, keep boolean")
 
@@ -244,10 +310,10 @@ def _scored(docs: DataFrame, model: Model | None, id_col: str, text_col: str, le
 def classify_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = ("lang", "source", "n_chars"), least: float = 0.5) -> DataFrame:
     """One row per document: id, p_text, p_meta, score, keep."""
     few = docs.select(id_col, text_col, *[c for c in meta_cols if c in docs.columns])
-    return _scored(few, fit_quality(few, labels, id_col, text_col, meta_cols), id_col, text_col, least).select(F.col("c0").alias(id_col), "p_text", "p_meta", "score", "keep")
+    return _scored(few, fit_quality(few, labels, id_col, text_col, meta_cols), text_col, meta_cols, least).select(F.col("c0").alias(id_col), "p_text", "p_meta", "score", "keep")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = ("lang", "source", "n_chars"), least: float = 0.5) -> DataFrame:
     """docs, all columns, without the documents the classifier rejects."""
-    scored = _scored(docs, fit_quality(docs, labels, id_col, text_col, meta_cols), id_col, text_col, least)
+    scored = _scored(docs, fit_quality(docs, labels, id_col, text_col, meta_cols), text_col, meta_cols, least)
     return scored.where("keep").select(*[f"c{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)
