@@ -32,6 +32,7 @@ from ..session import bounded_batches, ready_checkpoints
 from .words import FOLD, texts
 
 SHINGLE = 3
+CODES = 1 << 63
 
 
 class Index:
@@ -41,6 +42,7 @@ class Index:
         split = [(item, text.translate(FOLD).split()) for item, text in items]
         self.vocabulary = {w: i + 1 for i, w in enumerate(sorted({w for _, ws in split for w in ws}))}
         self.base = len(self.vocabulary) + 1
+        self.most = SHINGLE if self.base**SHINGLE < CODES else 2  # words of a shingle: codes of more would not fit
         seen: dict[tuple[int, ...], set[str]] = defaultdict(set)
         for item, ws in split:
             ids = [self.vocabulary[w] for w in ws]
@@ -52,11 +54,11 @@ class Index:
         self.matrix = np.zeros((len(self.windows), window), dtype=np.int64)
         for i, w in enumerate(self.windows):
             self.matrix[i, : len(w)] = w
-        self.codes = {k: np.unique(np.concatenate([self.shingles(self.matrix[i, : self.size[i]], k) for i in np.flatnonzero(np.minimum(self.size, SHINGLE) == k)] or [np.empty(0, np.int64)])) for k in range(1, SHINGLE + 1)}
+        self.codes = {k: np.unique(np.concatenate([self.shingles(self.matrix[i, : self.size[i]], k) for i in np.flatnonzero(np.minimum(self.size, self.most) == k)] or [np.empty(0, np.int64)])) for k in range(1, self.most + 1)}
         self.anchors: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
 
     def shingles(self, ids: np.ndarray, k: int) -> np.ndarray:
-        """Exact codes of k consecutive word ids (no hash: base to the third fits for any block)."""
+        """Exact codes of k consecutive word ids (no hash)."""
         code = ids[: len(ids) - k + 1].astype(np.int64)
         for j in range(1, k):
             code = code * self.base + ids[j : len(ids) - k + 1 + j]
@@ -82,7 +84,7 @@ class Index:
         """Chooses each window's rarest shingle (ties: the first)."""
         chosen = defaultdict(list)
         for i, n in enumerate(self.size.tolist()):
-            k = min(n, SHINGLE)
+            k = min(n, self.most)
             place = np.searchsorted(self.codes[k], self.shingles(self.matrix[i, :n], k))
             rare = min(range(len(place)), key=lambda j: (counts.get((k, int(place[j])), 0), j))
             chosen[k].append((int(place[rare]), i, rare))
@@ -127,8 +129,12 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, blo
 
 
 def _load(shared, n: int, i: int):
-    """Block i of n: the only one is kept, of several each is read from the broadcast's file when needed."""
-    return shared[i].value if n == 1 else shared[i].load_from_path(shared[i]._path)
+    """Block i of n: the only one is kept; of several each is read when needed, by a twin of the broadcast that is forgotten with its value."""
+    if n == 1:
+        return shared[i].value
+    twin = object.__new__(type(shared[i]))
+    twin.__dict__.update(vars(shared[i]))
+    return twin.value
 
 
 def _split(batch) -> tuple[list[bytes], np.ndarray]:
@@ -169,7 +175,7 @@ def _indexes(few: DataFrame, benchmark: DataFrame, item_col: str, window: int, b
     counts = few.select("text").mapInArrow(count, "block long, k long, code long, n long").groupBy("block", "k", "code").agg(F.sum("n").alias("n")).checkpoint()
     shared = []
     for i in range(n):
-        index = raw[i].load_from_path(raw[i]._path)
+        index = _load(raw, 2, i)
         index.order({(r.k, r.code): r.n for r in counts.where(F.col("block") == i).toLocalIterator()})  # at most one row for each shingle of the block
         shared.append(spark.sparkContext.broadcast(index))
     return shared

@@ -272,7 +272,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
     vectors = every.withColumn("tie", tie).mapInArrow(reduce, f"id {kind}, tie long, {_VECTOR}").checkpoint()
     rows = {r.id: r for r in sorted(vectors.join(F.broadcast(known), "id").collect(), key=lambda r: (r.id, r.places, r.stats, str(r.marks)))}.values()
-    fresh = vectors.join(judged.select("id"), "id", "left_anti")
+    fresh = vectors.join(judged.select("id"), "id", "left_anti").checkpoint()  # each round reads it
     fit, held = ([r for r in rows if r.held == h] for h in (False, True))
     as_vector = lambda r: (r.places, r.stats, r.marks, r.size)
     stats = np.array([r.stats for r in fit])

@@ -260,6 +260,21 @@ def test_decontamination_brute_force(spark, block):
     assert collections.Counter(map(tuple, got)) == want
 
 
+def test_decontamination_of_many_words(monkeypatch):
+    """Where codes of three words would not fit, shingles of two words find the same."""
+    rng = random.Random(8)
+    items = [(f"i{k}", " ".join(rng.choices("abcdefg", k=rng.choice([1, 2, 5, 14]))).encode()) for k in range(20)]
+    text = [w.encode() for w in rng.choices("abcdefgh", k=3000)]
+    found = []
+    for limit in (decontaminate.CODES, 100):
+        monkeypatch.setattr(decontaminate, "CODES", limit)
+        index = decontaminate.Index(items, 5)
+        index.order({})
+        w, start = index.find(index.word_ids(text), np.zeros(len(text), np.int64))
+        found.append((index.most, sorted(zip(w.tolist(), start.tolist(), strict=True))))
+    assert found[0][0] == 3 and found[1][0] == 2 and found[0][1] == found[1][1] and len(found[0][1]) > 100
+
+
 def test_decontamination_empty(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     got = decontaminate.decontaminate(docs_of(spark, ["a b", None]), none).collect()
