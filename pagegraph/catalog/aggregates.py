@@ -43,13 +43,13 @@ def unique_or_null(spark, d):
     return table(spark, d, "orders").groupBy("o_custkey").agg(A.unique_or_null(F.col("o_orderstatus")).alias("only_status"))
 
 
-@query(r"""with w as (select distinct doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) as word from documents)
-select lower(word) as folded, cast(count(distinct md5(word)) as bigint) as spellings, cast(count(*) as bigint) as uses from w group by 1 having count(distinct md5(word)) > 1""")
+@query(r"""with w as (select unnest(list_distinct(regexp_extract_all(text, '\p{L}+'))) as word from documents), c as (select word, count(*) as n from w group by word)
+select strip_accents(lower(word)) as folded, cast(count(distinct word) as bigint) as spellings, cast(sum(n) as bigint) as uses from c group by 1 having count(distinct word) > 1""")
 def collation_groups(spark, d):
-    """Words whose spellings differ in case only; the spellings are told apart by digest."""
-    w = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0))).alias("word"))
+    """Words whose spellings differ in case or accents only; the spellings are told apart by digest."""
+    w = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\p{L}+"), 0))).alias("word"))
     counted = w.groupBy("word").agg(F.count("*").alias("n"))
-    return counted.groupBy(F.lower("word").alias("folded")).agg(F.countDistinct(F.md5(F.col("word").cast("binary"))).alias("spellings"), F.sum("n").alias("uses")).where("spellings > 1")
+    return counted.groupBy(titles.folded(F.col("word")).alias("folded")).agg(F.countDistinct(F.md5(F.col("word").cast("binary"))).alias("spellings"), F.sum("n").alias("uses")).where("spellings > 1")
 
 
 @query("""with r as (select l_suppkey, l_quantity, row_number() over (partition by l_suppkey order by l_quantity) - 1 as i, count(*) over (partition by l_suppkey) as n from lineitem)

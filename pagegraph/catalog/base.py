@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 
 class Catalogue:
     def __init__(self):
@@ -20,3 +24,21 @@ class Catalogue:
             return f
 
         return add
+
+
+Rules = list[tuple[str, str]]
+
+
+def rewritten(t: Column, rules: Rules) -> Column:
+    """A text with patterns replaced one after the other; \1 refers to a group."""
+    for pattern, new in rules:
+        t = F.regexp_replace(t, pattern, re.sub(r"\\(\d)", r"$\1", new.replace("{", r"\{").replace("}", r"\}")))
+    return t
+
+
+def rewritten_sql(expression: str, rules: Rules) -> str:
+    """The same in SQL."""
+    for pattern, new in rules:
+        pattern, new = pattern.replace("'", "''"), new.replace("'", "''")
+        expression = f"regexp_replace({expression}, '{pattern}', '{new}', 'g')"
+    return expression

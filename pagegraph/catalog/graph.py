@@ -20,7 +20,7 @@ RESOLVED = "resolved as (select distinct pl_from, coalesce(rd_to, pl_to) as targ
 
 @query(with_model("page", "redirect", "pagelinks", then=RESOLVED + r""",
 linked as (select distinct target from resolved join page on page_id = pl_from and is_dab),
-art as (select page_title, is_dab, upper(regexp_replace(page_title, '^([^(]+)_[(][^)]*[)]$', '\1')) as norm, target is not null as linked from page left join linked on target = page_id where not is_redirect)
+art as (select page_title, is_dab, upper(trim(both '_' from regexp_replace(regexp_replace(page_title, '^([^(]+)[(][^)]*[)](,[^(),]*)?$', '\1'), '(^|_)(the|an?)(_|$)', '', 'gi'))) as norm, target is not null as linked from page left join linked on target = page_id where not is_redirect)
 select norm, cast(count(*) filter (is_dab) as bigint) as dab_pages, cast(count(*) filter (not is_dab and not linked) as bigint) as missing_cnt, coalesce(string_agg(page_title, ' ' order by page_title) filter (not is_dab and not linked), '') as missing
 from art group by norm having count(*) filter (is_dab) = 1 and count(*) filter (not is_dab and not linked) between 1 and 10"""))
 def missing_entries(spark, d):
@@ -83,7 +83,7 @@ select a, b, cast(n as bigint) as n, case when n <= 0 then 0 when n <= 1 then 1
 def cocitation_score(spark, d):
     """Disambiguation pages cited together by two pages or more, with a score from 0 to 4."""
     dabs = M.page(spark, d).where("is_dab").select(F.col("page_id").alias("target"))
-    return L.cocitation(M.pagelinks(spark, d), dabs, dabs).where("n > 1").withColumn("score", L.relatedness_score(F.col("n")))
+    return L.cocitation(M.pagelinks(spark, d), dabs).where("n > 1").withColumn("score", L.relatedness_score(F.col("n")))
 
 
 @query(with_model("page", "redirect", "pagelinks", then=RESOLVED + """
@@ -151,11 +151,11 @@ def anti_not_exists(spark, d):
 
 @query("select s_suppkey from supplier where s_nationkey not in (select case when c_acctbal > 9900 then c_nationkey end from customer where c_acctbal > 9900)")
 def not_in_null_aware(spark, d):
-    """NOT IN, by whose rules a null among the keys would leave no row."""
+    """NOT IN, by whose rules a null among the keys would leave no row, as an anti-join and two counts, without a broadcast of the keys."""
     s, c = table(spark, d, "supplier"), table(spark, d, "customer").where("c_acctbal > 9900")
-    s.createOrReplaceTempView("_supplier_in")
-    c.selectExpr("case when c_acctbal > 9900 then c_nationkey end as k").createOrReplaceTempView("_keys_in")
-    return spark.sql("select s_suppkey from _supplier_in where s_nationkey not in (select k from _keys_in)")
+    keys = c.selectExpr("case when c_acctbal > 9900 then c_nationkey end as k")
+    nulls, n = keys.agg(F.count_if(F.col("k").isNull())).scalar(), keys.agg(F.count("*")).scalar()
+    return s.join(keys, F.col("s_nationkey") == F.col("k"), "left_anti").where((n == 0) | ((nulls == 0) & F.col("s_nationkey").isNotNull())).select("s_suppkey")
 
 
 @query(with_model("page", "pagelinks", then="""select page_id, exists(select 1 from pagelinks where pl_to = page_id) as has_backlinks, exists(select 1 from pagelinks where pl_from = page_id) as has_links, is_dab as dab from page"""))
@@ -200,12 +200,8 @@ def longest_target(spark, d):
 
 
 @query("""with recursive chain(rd_from, rd_to, hops) as (select p_partkey, p_partkey - 1, 1 from part where p_size % 5 = 1
-union all select c.rd_from, r.p_partkey - 1, c.hops + 1 from chain c join part r on r.p_partkey = c.rd_to and r.p_size % 5 = 1 where c.hops < 16)
+union all select c.rd_from, r.p_partkey - 1, c.hops + 1 from chain c join part r on r.p_partkey = c.rd_to and r.p_size % 5 = 1)
 select rd_from, max_by(rd_to, hops) as final, cast(max(hops) as int) as hops from chain group by rd_from""")
 def redirect_chains(spark, d):
-    """The end of every redirect chain: pointers are doubled, so sixteen hops take four joins."""
-    r = M.redirect(spark, d).select("rd_from", "rd_to", F.lit(1).alias("hops"))
-    for _ in range(4):
-        nxt = r.select(F.col("rd_from").alias("k"), F.col("rd_to").alias("to"), F.col("hops").alias("more"))
-        r = r.join(nxt, F.col("rd_to") == F.col("k"), "left").select("rd_from", F.coalesce("to", "rd_to").alias("rd_to"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"))
-    return r.select("rd_from", F.col("rd_to").alias("final"), "hops")
+    """The end of every redirect chain."""
+    return L.redirect_ends(M.redirect(spark, d))

@@ -82,52 +82,6 @@ def summary_links(spark, d):
     return table(spark, d, "orders").select("o_orderkey", T.summary_links(s).alias("html"), T.without_auto_sections(s).alias("plain"))
 
 
-@query("""select doc_id, 'Bold Label and end' as shown from documents""")
-def context_display(spark, d):
-    """Markup around a link stripped for display."""
-    t = F.concat(F.lit("'''Bold''' [[Target "), F.col("doc_id").cast("string"), F.lit("|Label]]<ref>"), F.coalesce(F.substring_index(F.regexp_replace("text", "[<>]", ""), "\n", 1), F.lit("")), F.lit("</ref>  and <b>end</b>"))
-    return table(spark, d, "documents").select("doc_id", T.context(t).alias("shown"))
-
-
-@query("""select n_nationkey, 'x {{dead link|date=May 2001}} y {{cite|archive-url=z}}' as clean, '<ref>http://x.org/' || n_nationkey || ' {{dead link|date=May 2001}}</ref>' as dead from nation""")
-def dead_links(spark, d):
-    """Dead-link tags once, none behind archived citations, and references for dead URLs."""
-    t = F.lit("x {{dead link|date=May 2001}} {{Dead link}} y {{cite|archive-url=z}} {{dead link}}")
-    return table(spark, d, "nation").select("n_nationkey", T.without_dead_links(t).alias("clean"), T.dead_reference(F.concat(F.lit("http://x.org/"), F.col("n_nationkey").cast("string")), F.lit("2001-05-03").cast("date")).alias("dead"))
-
-
-@query("""select n_nationkey, '{{cite web|url=http://x.org/' || n_nationkey || '|access-date=2001-05-03|archive-url=q}}' as cite, '[http://x.org/' || n_nationkey || ' label]' as link, 'text.<ref name="a">x</ref>' as ref from nation""")
-def citation_cleanup(spark, d):
-    """Citation parameters, URL and reference repairs."""
-    u = F.concat(F.lit("http://x.org/"), F.col("n_nationkey").cast("string"))
-    cite = T.citation_repairs(F.concat(F.lit("{{cite web|url="), u, F.lit("| accessdate = 2001-5-03||Archive-URL=q|}}")))
-    link = T.url_repairs(F.concat(F.lit("[[http://"), u, F.lit("|label]]")))
-    return table(spark, d, "nation").select("n_nationkey", cite.alias("cite"), link.alias("link"), T.reference_repairs(F.lit("text <ref name=a>x</ref>.")).alias("ref"))
-
-
-@query("""select n_nationkey, '[[' || n_name || '|label]] and [[' || n_name || ']]' as internal from nation""")
-def external_to_internal(spark, d):
-    u = F.concat(F.lit("https://en.wikipedia.org/wiki/"), F.col("n_name"))
-    return table(spark, d, "nation").select("n_nationkey", T.internal_links(F.concat(F.lit("["), u, F.lit(" label] and ["), u, F.lit("]"))).alias("internal"))
-
-
-@query(r"""select n_nationkey, '== ' || n_name || ' ==' || chr(10) || '* item' || chr(10) || '{{Disambiguation}}' as styled, 'a' || chr(10) || chr(10) || '== See also ==' || chr(10) || n_name || chr(10) || '[[Category:X]]' as section from nation""")
-def style_and_sections(spark, d):
-    t = F.concat(F.lit("=='''"), "n_name", F.lit("'''==\n*item  \n{{dab}}"))
-    return table(spark, d, "nation").select("n_nationkey", T.style_repairs(t).alias("styled"), T.with_section(F.lit("a\n[[Category:X]]"), "See also", F.col("n_name")).alias("section"))
-
-
-@query("""select r_regionkey, true as lacks, false as has from region""")
-def lacks_references(spark, d):
-    return table(spark, d, "region").select("r_regionkey", T.lacks_references(F.concat("r_name", F.lit("<ref>x</ref>"))).alias("lacks"), T.lacks_references(F.concat("r_name", F.lit("<ref>x</ref> {{Reflist}}"))).alias("has"))
-
-
-@query("""select n_nationkey, 'Jane ' || upper(left(n, 1)) || substr(n, 2) as author, n as publisher from (select n_nationkey, lower(translate(n_name, '_0123456789', 'xabcdefghij')) as n from nation)""")
-def byline_and_publisher(spark, d):
-    n = table(spark, d, "nation").withColumn("n", F.lower(F.translate("n_name", "_0123456789", "xabcdefghij")))
-    return n.select("n_nationkey", T.byline(F.concat(F.lit("By Jane "), F.initcap("n"), F.lit("\nToday"))).alias("author"), T.publisher(F.concat(F.lit("www."), "n", F.lit(".com")), F.concat(F.lit("Story | "), "n")).alias("publisher"))
-
-
 @query("""select e.event_id, case when s < 60 then s || ' second' || case when s = 1 then '' else 's' end when s < 3600 then (s // 60) || ' minute' || case when s // 60 = 1 then '' else 's' end when s < 86400 then (s // 3600) || ' hour' || case when s // 3600 = 1 then '' else 's' end else (s // 86400) || ' day' || case when s // 86400 = 1 then '' else 's' end end as ago
 from (select event_id, date_diff('second', date_trunc('second', ts), timestamp '2024-02-01 00:00:00') as s from events) e""")
 def time_ago(spark, d):
@@ -181,11 +135,20 @@ def first_sentences(spark, d):
     return table(spark, d, "pages").select("page_id", H.first_sentences(F.col("html")).alias("description"))
 
 
-@query()
+def _plain_sql(t: str) -> str:
+    for old, new in N.SUBSTITUTIONS:
+        t = "replace({}, '{}', '{}')".format(t, old.replace("'", "''"), new.replace("'", "''"))
+    return t
+
+
+@query(rf"""with t as (select page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title\s*>', 1), '\s+', ' ', 'g')) as title from pages),
+k as (select page_id, {_plain_sql("strip_accents(' ' || upper(replace(replace(split_part(title, ' (', 1), '_', ' '), 'ß', 'SS')) || ' ')")} as k from t where title <> ''),
+p as (select page_id, translate(array_to_string(list_transform(range(1, length(k) + 1), lambda i: case when i = 1 or k[i] <> k[i - 1] then k[i] else '' end), ''), ' !"'',-.:;?', '') as key from k)
+select key, cast(count(*) as bigint) as n from p group by key""")
 def plain_keys(spark, d):
-    """Distinct keys of page titles without accents and doubled letters."""
-    p = table(spark, d, "pages").select("page_id", H.plain_key(T.html_title(F.col("html"))).alias("key"))
-    return p.groupBy("key").agg(F.count("*").alias("n"))
+    """Keys that spellings of page titles share."""
+    p = table(spark, d, "pages").select("page_id", T.html_title(F.col("html")).alias("title")).where("title is not null")
+    return p.select(N.plain_key(F.col("title")).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
 
 
 @query("""select c_custkey, regexp_replace(c_name, '[0-9]+$', '') || lpad(regexp_extract(c_name, '([0-9]+)$', 1), 10, '0') as key from customer""")
@@ -238,37 +201,6 @@ def changes_in_windows(spark, d):
     return I.window_join(e.select("event_id", "ts"), w, "ts", "a", "b").select("window_id", "event_id")
 
 
-@query(with_model("page", then=r"""select page_id, true as by_case, contains(page_title, '_(') as by_qualifier from page"""))
-def redirect_bypass(spark, d):
-    """Redirects that differ from their targets in case or in a qualifier."""
-    t = F.col("page_title")
-    return M.page(spark, d).select("page_id", T.bypasses(F.lower(t), t).alias("by_case"), T.bypasses(N.without_qualifier(t), t).alias("by_qualifier"))
-
-
-@query("""select n_nationkey, 'see [http://x.org/' || n_nationkey || ' A] {{dead link|date=May 2001}}' as tagged, 'see A' as unlinked, 'see [http://a.org/z A]' as archived from nation""")
-def edit_actions(spark, d):
-    """Edits of a link: tagged, unlinked and archived."""
-    n = table(spark, d, "nation").withColumn("u", F.concat(F.lit("http://x.org/"), F.col("n_nationkey").cast("string"))).withColumn("t", F.concat(F.lit("see ["), "u", F.lit(" A]")))
-
-    def act(kind, value):
-        return H.apply_action(F.col("t"), F.lit(kind), F.col("u"), F.lit(value))
-
-    return n.select("n_nationkey", act("tag", "May 2001").alias("tagged"), act("unlink", "").alias("unlinked"), act("archive", "http://a.org/z").alias("archived"))
-
-
-@query("""select n_nationkey, 'B <nowiki>a</nowiki> [[a]] B' as replaced from nation""")
-def protected_replacement(spark, d):
-    """A replacement outside protected spans."""
-    n = table(spark, d, "nation")
-    return n.select("n_nationkey", H.replace_except("a", "B", ("nowiki", "link"))(F.concat(F.lit("a <nowiki>a</nowiki> [[a]] a"), F.substring("n_name", 1, 0))).alias("replaced"))
-
-
-@query(r"""select page_id, trim(regexp_replace(regexp_extract(html, '(?s)<div class="ad">(.*?)</div>', 1), '\s+', ' ', 'g')) as text from pages""")
-def class_texts(spark, d):
-    """The text of all elements of a class."""
-    return H.class_texts(table(spark, d, "pages"), "ad").select("page_id", "text")
-
-
 @query(with_model("page", then="""select 'https://x.org/wiki/' || replace(replace(page_title, '#', '%23'), '?', '%3F') as url from page where is_dab"""))
 def exported_urls(spark, d):
     """Disambiguation pages as URLs."""

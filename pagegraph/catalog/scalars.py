@@ -77,21 +77,6 @@ def tracking_stripped(spark, d):
     return table(spark, d, "pages").select("page_id", U.without_tracking(F.col("url")).alias("clean"))
 
 
-@query("select doc_id, source, url_encode(replace(left(text, 60), ' ', '_')) as encoded, left(text, 60) as back from documents")
-def percent_decode(spark, d):
-    """Percent encoding and back."""
-    head = F.left(F.col("text"), F.lit(60))
-    enc = F.replace(F.replace(F.url_encode(F.replace(head, F.lit(" "), F.lit("_"))), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A"))
-    return table(spark, d, "documents").select("doc_id", "source", F.replace(enc, F.lit("%7E"), F.lit("~")).alias("encoded"), F.when(F.replace(F.try_url_decode(enc), F.lit("_"), F.lit(" ")) == F.replace(head, F.lit("_"), F.lit(" ")), head).alias("back"))
-
-
-@query("select doc_id, source, url_encode(text) as encoded, text as back from documents")
-def percent_decode_whole(spark, d):
-    """Percent encoding and back, of whole texts."""
-    encoded = U.percent_encoded(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", "source", encoded.alias("encoded"), U.percent_decoded(encoded).alias("back"))
-
-
 @query(with_model("page", then=r"""select page_id, upper(substr(t, 1, 1)) || substr(t, 2) as title from (select page_id, trim(regexp_replace(regexp_replace(lower(page_title) || '#part', '#.*$', ''), '[_\s]+', ' ', 'g')) as t from page)"""))
 def title_canonical(spark, d):
     p = M.page(spark, d)
@@ -103,14 +88,6 @@ def full_title_namespace(spark, d):
     return table(spark, d, "nation").select("n_nationkey", N.full_title(F.col("n_nationkey") % 6, F.col("n_name")).alias("title"))
 
 
-@query("""select n_nationkey, v from (select n_nationkey, unnest(list_distinct([lower(n_name), upper(n_name), upper(n_name[1]) || lower(substr(n_name, 2)), lower(n_name[1]) || upper(substr(n_name, 2))])) as v from nation where n_name not like '% %' and n_name not like '%\\_%')""".replace("\\\\_", "_").replace(" and n_name not like '%_%'", ""))
-def case_variants(spark, d):
-    """Spellings to look up, one row each; names of one word."""
-    n = table(spark, d, "nation").where("n_name not like '% %'")
-    up = F.upper("n_name")
-    return n.select("n_nationkey", F.explode(F.array_distinct(F.concat(N.case_variants(up), F.array(N.case_variants(up)[0], F.concat(F.upper(F.substring("n_name", 1, 1)), F.lower(F.substring("n_name", 2, 1 << 30))))))).alias("v"))
-
-
 @query("""select p_partkey, case when p_size < 10 then '(' || (1900 + p_size) || '–' || (1950 + p_size) || ')' when p_size < 30 then '(born ' || (1900 + p_size) || ')' when p_size < 40 then '(' || (1800 + p_size) || '–?)' when p_size < 45 then '(died ' || (1900 + p_size) || ')' else '' end as life from part""")
 def lifespan_text(spark, d):
     s = F.col("p_size")
@@ -119,16 +96,15 @@ def lifespan_text(spark, d):
     return table(spark, d, "part").select("p_partkey", N.lifespan(births, deaths, F.lit(False), 2024).alias("life"))
 
 
-@query("""select l_orderkey, l_linenumber, l_orderkey * 1000003 + l_linenumber as n, l_orderkey * 1000003 + l_linenumber as back from lineitem""")
-def base62(spark, d):
-    """Numbers to base 62 and back."""
-    n = F.col("l_orderkey") * 1000003 + F.col("l_linenumber")
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", n.alias("n"), N.unbase62(N.base62(n)).alias("back"))
-
-
-@query(r"""select c_custkey, left(c_name, 1) || '.' || substr(c_name, 2) as no_ping, trim(regexp_replace(regexp_replace(regexp_replace(lower(c_name), '\.com\b|\bwww\.|\bthe\b|\.org\b', '', 'g'), '[\[\]{}\\|''!,.]', '', 'g'), '\s+', ' ', 'g')) as loose from customer""")
+@query(r"""with n as (select p_partkey, case p_partkey % 4 when 0 then upper(p_name[1]) || replace(p_name[2:], ' ', 'The') when 1 then p_name when 2 then replace(p_name, ' ', '_-') || '.com' else replace(p_name, ' ', '') || '!' end as n from part),
+h as (select *, regexp_replace(regexp_replace(n, '([a-z])([A-Z])', '\1.\2', 'g'), '[ _-]+', '.', 'g') as dotted from n)
+select p_partkey, case when dotted <> n then dotted else n[:length(n) // 2] || '.' || n[length(n) // 2 + 1:] end as no_ping, translate(replace(replace(replace(replace(lower(n), '.com', ''), 'www.', ''), 'the', ''), '.org', ''), '[]{}\|''!,.', '') as loose from h""")
 def name_keys(spark, d):
-    return table(spark, d, "customer").select("c_custkey", N.no_ping(F.col("c_name")).alias("no_ping"), N.loose_key(F.col("c_name")).alias("loose"))
+    """Names in camel case, of two words, with marks and of one word, made harmless and comparable."""
+    n, k = F.col("p_name"), F.col("p_partkey") % 4
+    camel = F.concat(F.upper(F.substring(n, 1, 1)), F.replace(F.substring(n, 2, 1 << 30), F.lit(" "), F.lit("The")))
+    name = F.when(k == 0, camel).when(k == 1, n).when(k == 2, F.concat(F.replace(n, F.lit(" "), F.lit("_-")), F.lit(".com"))).otherwise(F.concat(F.replace(n, F.lit(" "), F.lit("")), F.lit("!")))
+    return table(spark, d, "part").select("p_partkey", N.no_ping(name).alias("no_ping"), N.loose_key(name).alias("loose"))
 
 
 @query("""select n_nationkey, n_name, lower(left(n_name, 2)) as language, 'wiktionary' as family, lower(left(n_name, 2)) || '.wiktionary.org' as host from nation""")
@@ -138,12 +114,39 @@ def db_names(spark, d):
     return n.select("n_nationkey", "n_name", parts.alias("p")).select("n_nationkey", "n_name", "p.language", "p.family", "p.host")
 
 
-@query("""select p_brand, string_agg(cast(p_partkey as varchar), ',' order by p_partkey) as members from part where p_size = 1 group by p_brand""")
-def list_text(spark, d):
-    p = table(spark, d, "part").where("p_size = 1").groupBy("p_brand").agg(F.array_sort(F.collect_list("p_partkey")).alias("m"))
-    return p.select("p_brand", F.array_join("m", ",").alias("members"))
-
-
 @query(r"""select p_partkey, regexp_replace(p_name, '([0-9]+)', '0000\1', 'g') as padded from part""")
 def number_padding(spark, d):
     return table(spark, d, "part").select("p_partkey", F.regexp_replace("p_name", "([0-9]+)", "0000$1").alias("padded"))
+
+
+@query("select doc_id, source, url_encode(text) as encoded, text as back from documents")
+def percent_decode(spark, d):
+    """Percent encoding and back, of whole texts."""
+    encoded = U.percent_encoded(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", "source", encoded.alias("encoded"), U.percent_decoded(encoded).alias("back"))
+
+
+@query("""with n as (select p_partkey, case p_partkey % 3 when 0 then p_name when 1 then upper(p_name[1]) || p_name[2:] else replace(p_name, ' ', '-') || ' of 5' end as n from part),
+w as (select *, array_to_string(list_transform(string_split(lower(n), ' '), lambda w: upper(w[1]) || w[2:]), ' ') as words from n)
+select p_partkey, unnest(list_distinct([n, lower(n), upper(n), words, upper(n[1]) || n[2:], lower(n[1]) || n[2:]])) as v from w""")
+def case_variants(spark, d):
+    """Spellings to look up, one row each, of names of several words."""
+    n, k = F.col("p_name"), F.col("p_partkey") % 3
+    name = F.when(k == 0, n).when(k == 1, F.concat(F.upper(F.substring(n, 1, 1)), F.substring(n, 2, 1 << 30))).otherwise(F.concat(F.replace(n, F.lit(" "), F.lit("-")), F.lit(" of 5")))
+    return table(spark, d, "part").select("p_partkey", F.explode(N.case_variants(name)).alias("v"))
+
+
+@query("""with n as (select l_orderkey, l_linenumber, l_orderkey * 1000003 + l_linenumber as n from lineitem)
+select *, ltrim(array_to_string(list_transform(range(10, -1, -1), lambda i: '0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ'[cast((n::hugeint // cast(62 as hugeint) ** i) % 62 as bigint) + 1]), ''), '0') as digits, n as back from n""".replace("cast(62 as hugeint) ** i", "[1, 62, 3844, 238328, 14776336, 916132832, 56800235584, 3521614606208, 218340105584896, 13537086546263552, 839299365868340224][i + 1]"))
+def base62(spark, d):
+    """Numbers to base 62 and back."""
+    n = F.col("l_orderkey") * 1000003 + F.col("l_linenumber")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", n.alias("n"), N.base62(n).alias("digits"), N.unbase62(N.base62(n)).alias("back"))
+
+
+@query("""with m as (select n_regionkey, list(n_name order by n_name) filter (n_nationkey % 7 < n_regionkey) as m from nation group by n_regionkey)
+select n_regionkey, case when m is null then '' when len(m) = 1 then m[1] when len(m) = 2 then m[1] || ' and ' || m[2] else array_to_string(m[:-2], ', ') || ', and ' || m[-1] end as members from m""")
+def list_text(spark, d):
+    """The nations of a region, no more than a few, as a list in a sentence."""
+    few = table(spark, d, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.when(F.col("n_nationkey") % 7 < F.col("n_regionkey"), F.col("n_name")))).alias("m"))
+    return few.select("n_regionkey", N.english_list(F.col("m")).alias("members"))

@@ -24,6 +24,15 @@ def _finish(spark, stream, mode="append"):
     """Runs a stream into Parquet in the shared folder and reads that."""
     ready_checkpoints(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    if mode == "complete":  # each batch has the whole result; the last one counts
+        done = []
+
+        def put(batch, number):
+            batch.write.mode("overwrite").parquet(f"{folder}/out-{number}")
+            done.append(number)
+
+        stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{folder}/out-{max(done)}") if done else spark.createDataFrame([], stream.schema)
     q = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
@@ -49,7 +58,43 @@ def stream_interval_join(spark, d):
     return _finish(spark, S.edits_within(e.where("event_type = 'signup'"), e.where("event_type = 'purchase'")))
 
 
-@query()
+@query("select date_trunc('hour', ts) as pc_hour, user_id as pc_page, cast(count(*) as bigint) as views from events where event_type = 'view' group by all")
 def stream_hourly_views(spark, d):
-    """Hourly totals; hours that the watermark has not closed are not out yet."""
-    return _finish(spark, S.hourly_views(_source(spark, d)))
+    """Hourly totals of all that has come, the newest hours too."""
+    return _finish(spark, S.hourly_views(_source(spark, d)), "complete").withColumn("pc_hour", F.to_timestamp_ntz(F.date_format("pc_hour", "yyyy-MM-dd HH:mm:ss"), F.lit("yyyy-MM-dd HH:mm:ss")))
+
+
+@query("select cast(ts as date) as pc_date, user_id as pc_page, cast(count(*) as bigint) as views from events where event_type = 'view' group by all")
+def stream_daily_views(spark, d):
+    return _finish(spark, S.daily_views(_source(spark, d)), "complete")
+
+
+@query("""with c as (select *, sum(cast(event_type = 'error' as int)) over (partition by user_id order by ts, event_id) as blocks from events where event_type in ('purchase', 'error')),
+n as (select user_id, blocks, count(*) filter (event_type = 'purchase') as n from c group by user_id, blocks) select user_id, cast(max_by(n, blocks) as bigint) as uploads from n group by user_id""")
+def stream_notify_list(spark, d):
+    """What the keyed state holds in the end: each user's uploads since the last block."""
+    ready_checkpoints(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+
+    def put(batch, number):
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/out/n={number}")
+
+    S.notify_list(_source(spark, d)).writeStream.foreachBatch(put).option("checkpointLocation", f"{folder}/state").outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.schema("user_id long, uploads long, batch int").parquet(f"{folder}/out/*")
+    return out.groupBy("user_id").agg(F.max_by("uploads", "batch").alias("uploads"))
+
+
+@query("""select c as channel, event_id from events, (values ('evens', '2}'), ('sixes', '6'), ('all', '{')) as r(c, needle) where contains(props, needle)""")
+def stream_routes(spark, d):
+    """Events to the channels whose needle their properties hold."""
+    return _finish(spark, S.route(_source(spark, d), [("evens", "2}"), ("sixes", "6"), ("all", "{")]))
+
+
+@query("""select user_id, max_by(event_id, ts) as event_id, max_by(value, ts) as value from events group by user_id""")
+def stream_sync(spark, d):
+    """A table kept in step with a stream: the last row of each key."""
+    ready_checkpoints(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    rows = _source(spark, d).select("user_id", "ts", "event_id", "value")
+    S.sync(rows, f"{folder}/table", "user_id", "ts", f"{folder}/state").awaitTermination()
+    return S.synced(spark, f"{folder}/table").select("user_id", "event_id", "value")

@@ -9,7 +9,7 @@ from ..functions import markup as H
 from ..functions import text as T
 from ..functions import titles as N
 from ..session import table
-from .base import Catalogue
+from .base import Catalogue, rewritten, rewritten_sql
 
 catalogue = Catalogue()
 query = catalogue.query
@@ -30,69 +30,18 @@ def html_headings(spark, d):
     return table(spark, d, "pages").select("page_id", F.explode(T.headings(F.col("html"))).alias("heading"))
 
 
-@query(r"""with m as (select page_id, unnest(regexp_extract_all(html, '(?is)<meta\b[^>]*>')) as tag from pages) select page_id, regexp_extract(tag, '(?is)charset\s*=\s*["'']([^"'']*)', 1) as charset from m""")
-def meta_fields(spark, d):
-    m = table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r"(?is)<meta\b[^>]*>"), 0)).alias("tag"))
-    return m.select("page_id", F.regexp_extract("tag", r"(?is)charset\s*=\s*[\"']([^\"']*)", 1).alias("charset"))
-
-
 @query(r"""with t as (select page_id, trim(regexp_replace(regexp_extract(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', '', 'g'), '(?is)<title\b[^>]*>(.*?)</title\s*>', 1), '\s+', ' ', 'g')) as title from pages)
 select page_id, title = '' or regexp_matches(title, '(?i)\b(?:404|not found|untitled|error|log ?in|sign ?in|access denied|page unavailable|under construction|forbidden)\b') as bad from t""")
 def bad_title_filter(spark, d):
     return table(spark, d, "pages").select("page_id", T.bad_title(T.html_title(F.col("html"))).alias("bad"))
 
 
-@query("""with p as (select page_id, '<img src="/pic' || page_id || '.jpg" alt="' || case when page_id % 3 = 0 then 'pic' || page_id else 'A view' end || '">' as h from pages) select page_id, '/pic' || page_id || '.jpg' as src, page_id % 3 <> 0 as named from p""")
-def image_alts(spark, d):
-    """Images put into pages, with alternative texts that say something or only repeat the file name."""
-    k = F.col("page_id").cast("string")
-    tag = F.concat(F.lit('<img src="/pic'), k, F.lit('.jpg" alt="'), F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("pic"), k)).otherwise("A view"), F.lit('">'))
-    rows = table(spark, d, "pages").select("page_id", F.explode(T.images(F.concat(F.coalesce("html", F.lit("")), tag))).alias("i"))
-    return rows.where(F.col("i.src").startswith("/pic")).select("page_id", "i.src", "i.named")
-
-
 @query(r"""select page_id, cast(length(regexp_replace(html, '(?is)<!--.*?-->', '', 'g')) as bigint) as rest from pages""")
 def strip_disabled(spark, d):
     """Characters left without disabled parts."""
     return table(spark, d, "pages").select("page_id", F.length(T.strip_disabled(F.col("html"))).cast("long").alias("rest"))
 
 
-def _wikitext(spark, d):
-    """Documents with their first words linked and a reference repeated."""
-    t = F.col("text")
-    w = F.split(F.regexp_replace(t, r"[^A-Za-z]+", " "), " ")
-    a, b = F.coalesce(F.nullif(F.try_element_at(w, F.lit(2)), F.lit("")), F.lit("x")), F.coalesce(F.nullif(F.try_element_at(w, F.lit(3)), F.lit("")), F.lit("y"))
-    ref = F.concat(F.lit("<ref>http://example.org/"), a, F.lit("</ref>"))
-    return table(spark, d, "documents").select("doc_id", a.alias("a"), b.alias("b"), F.concat(F.lit("[["), a, F.lit("|"), a, F.lit("s]] "), ref, F.lit(" [["), b, F.lit("]] "), ref, F.lit(" <ref>Book "), b, F.lit("</ref> "), t).alias("wikitext"))
-
-
-_WORDS_SQL = """w as (select doc_id, text, string_split(regexp_replace(text, '[^A-Za-z]+', ' ', 'g'), ' ') as w from documents), x as (select doc_id, text, coalesce(nullif(w[2], ''), 'x') as a, coalesce(nullif(w[3], ''), 'y') as b from w)"""
-
-
-@query(f"with {_WORDS_SQL} select doc_id, a as target, a || 's' as label from x union all select doc_id, b, b from x")
-def wikilink_rows(spark, d):
-    links = _wikitext(spark, d).select("doc_id", F.explode(T.wikilinks(F.col("wikitext"))).alias("l"))
-    return links.select("doc_id", "l.target", "l.label")
-
-
-@query(f"with {_WORDS_SQL} select doc_id, '[[' || a || ']]s' as head from x")
-def link_simplify(spark, d):
-    s = T.simplify_links(F.col("wikitext"))
-    return _wikitext(spark, d).select("doc_id", F.regexp_extract(s, r"^(\[\[[^\]]*\]\]s)", 1).alias("head"))
-
-
-@query(f"with {_WORDS_SQL} select doc_id, 'http://example.org/' || a as url, 2::bigint as n from x")
-def bare_refs(spark, d):
-    r = _wikitext(spark, d).select("doc_id", F.explode(T.bare_references(F.col("wikitext"))).alias("url"))
-    return r.groupBy("doc_id", "url").agg(F.count("*").alias("n"))
-
-
-@query(f"with {_WORDS_SQL} select doc_id, 0 as position, 'http://example.org/' || a as content, 'auto0' as name, 2::bigint as uses, true as first from x union all select doc_id, 1, 'http://example.org/' || a, 'auto0', 2, false from x union all select doc_id, 2, 'Book ' || b, 'auto2', 1, true from x")
-def ref_dedup(spark, d):
-    """References by content; equal ones go by one name."""
-    return T.reference_groups(T.reference_rows(_wikitext(spark, d), "doc_id", "wikitext"), "doc_id")
-
-
 @query("select o_orderkey, cast(o_orderdate as date) as found from orders")
 def date_extract(spark, d):
     """The only date of a text that gives it in the six forms that every day has."""
@@ -108,19 +57,6 @@ def capital_ratio(spark, d):
     return table(spark, d, "documents").select("doc_id", F.length(F.regexp_replace(t, "[^A-Z]", "")).cast("long").alias("capitals"), F.length(F.regexp_replace(t, "[^A-Za-z]", "")).cast("long").alias("letters"))
 
 
-@query("select n_nationkey, upper(translate(n_name, '0123456789', 'abcdefghij')) || ' LTD' as shout, upper(left(n_name, 1)) || lower(translate(substr(n_name, 2), '0123456789', 'abcdefghij')) || ' Ltd' as calm from nation")
-def title_case_fix(spark, d):
-    n = table(spark, d, "nation")
-    shout = F.concat(F.upper(F.translate("n_name", "0123456789", "abcdefghij")), F.lit(" LTD"))
-    return n.select("n_nationkey", shout.alias("shout"), N.calm_title(shout).alias("calm"))
-
-
-@query("select n_nationkey, '{{cite web |url=http://x.org/' || n_nationkey || ' |title=' || n_name || '}}' as cite from nation")
-def citation_text(spark, d):
-    n = table(spark, d, "nation")
-    return n.select("n_nationkey", T.citation(F.concat(F.lit("http://x.org/"), F.col("n_nationkey").cast("string")), F.col("n_name"), F.lit(None).cast("date"), F.lit(None).cast("date")).alias("cite"))
-
-
 @query("""with r as (select '^http://blog\\.' as pattern, 'blog' as name union all select '\\.org/', 'org' union all select 'ref=', 'ref'),
 m as (select name, page_id, row_number() over (partition by name order by page_id) as rn from pages join r on regexp_matches(url, pattern))
 select name, cast(count(*) as bigint) as n, string_agg(cast(page_id as varchar), ',' order by page_id) filter (rn <= 33) as samples from m group by name""")
@@ -134,56 +70,41 @@ def regex_rule_tally(spark, d):
     return n.join(top, "name")
 
 
-@query(r"""select page_id, cast(len(regexp_extract_all(html, '(?i)<p\b')) as bigint) as p, cast(len(regexp_extract_all(html, '(?i)<li\b')) as bigint) as li, cast(len(regexp_extract_all(html, '(?i)<a\b')) as bigint) as a from pages""")
-def soup_counts(spark, d):
-    """Elements of the parsed trees, counted."""
-    n = H.node_rows(table(spark, d, "pages"))
-    return n.groupBy("page_id").agg(F.count_if(F.col("tag") == "p").alias("p"), F.count_if(F.col("tag") == "li").alias("li"), F.count_if(F.col("tag") == "a").alias("a"))
-
-
 @query()
 def soup_nodes(spark, d):
     """All nodes of all pages."""
     return H.node_rows(table(spark, d, "pages")).withColumn("attributes", F.to_json("attributes"))
 
 
-@query("select o_orderkey, '{|' || chr(10) || '|-' || chr(10) || '! Key' || chr(10) || '|-' || chr(10) || '| ' || o_orderkey || chr(10) || '|}' as wiki, 1 as tables, 0 as warnings from orders")
-def table_to_wiki(spark, d):
-    """HTML tables to wiki markup."""
-    t = F.concat(F.lit("<table><tr><th>Key</th></tr><tr><td>"), F.col("o_orderkey").cast("string"), F.lit("</td></tr></table>"))
-    r = table(spark, d, "orders").select("o_orderkey", H.tables_to_wiki(t).alias("t"))
-    text = F.when(F.col("t.text").startswith("{|\n! "), F.concat(F.lit("{|\n|-\n"), F.substring("t.text", 4, 1 << 30))).otherwise(F.col("t.text"))
-    return r.select("o_orderkey", text.alias("wiki"), "t.tables", "t.warnings")
-
-
-@query("""select n_nationkey, '<h2>' || n_name || '</h2><ul><li><b>' || n_name || '</b></li></ul>' as html from nation""")
-def wiki_to_html(spark, d):
-    t = F.concat(F.lit("== "), "n_name", F.lit(" ==\n* '''"), "n_name", F.lit("'''"))
-    return table(spark, d, "nation").select("n_nationkey", H.wiki_to_html(t).alias("html"))
-
-
 @query()
 def fuzzy_anchor(spark, d):
-    """Parts of one brand and size whose names are alike by the exact ratio."""
-    p = table(spark, d, "part")
-    a, b = p.select(F.col("p_partkey").alias("a"), F.col("p_name").alias("name_a"), "p_brand", "p_size"), p.select(F.col("p_partkey").alias("b"), F.col("p_name").alias("name_b"), "p_brand", "p_size")
-    c = a.join(b, ["p_brand", "p_size"]).where("a < b")
-    return c.select("a", "b", F.round(H.similarity(F.col("name_a"), F.col("name_b")), 6).alias("ratio")).where("ratio >= 0.5")
-
-
-@query("""select doc_id, 'dab' || doc_id as subject, coalesce(source, '') as description from documents""")
-def dab_line_parts(spark, d):
-    t = F.concat(F.lit("* [[dab"), F.col("doc_id").cast("string"), F.lit("]], "), F.coalesce("source", F.lit("")))
-    return table(spark, d, "documents").select("doc_id", H.dab_line(t).alias("p")).select("doc_id", "p.subject", "p.description")
-
-
-@query()
-def merged_references(spark, d):
-    """Documents with repeated references merged."""
-    return _wikitext(spark, d).select("doc_id", H.merged_references()(F.col("wikitext")).alias("merged"))
+    """Names within a brand that are alike by the exact ratio, each name once, with how many parts have it; lengths rule pairs out before the ratio is taken."""
+    p = table(spark, d, "part").groupBy("p_brand", F.col("p_name").alias("name")).agg(F.count("*").alias("n"))
+    a, b = p.select("p_brand", F.col("name").alias("a"), F.col("n").alias("n_a")), p.select("p_brand", F.col("name").alias("b"), F.col("n").alias("n_b"))
+    shorter, both = F.least(F.length("a"), F.length("b")), F.length("a") + F.length("b")
+    c = a.join(b, "p_brand").where("a < b").where(2 * shorter >= 0.5 * both)
+    return c.withColumn("ratio", F.round(H.similarity(F.col("a"), F.col("b")), 6)).where("ratio >= 0.5")
 
 
 @query("""select c_custkey, 'linked from ' || case when n = 1 then '1 article' else n || ' articles' end as sentence from (select c_custkey, count(o_orderkey) as n from customer left join orders on o_custkey = c_custkey group by 1)""")
 def red_sentences(spark, d):
     c = table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left").groupBy("c_custkey").agg(F.count("o_orderkey").alias("n"))
     return c.select("c_custkey", T.red_sentence(F.col("n"), F.lit(0), F.lit(0)).alias("sentence"))
+
+
+@query(r"""select page_id, cast(len(regexp_extract_all(html, '(?i)<p\b')) as bigint) as p, cast(len(regexp_extract_all(html, '(?i)<li\b')) as bigint) as li, cast(len(regexp_extract_all(html, '(?i)<a\b')) as bigint) as a from pages""")
+def soup_counts(spark, d):
+    """Elements of the parsed trees, counted where the page is."""
+    n = H.element_counts(table(spark, d, "pages"), ("p", "li", "a"))
+    return n.select("page_id", *[F.col(f"n.{t}").alias(t) for t in ("p", "li", "a")])
+
+
+_CLASSED = [("<p>([A-Z][a-z]+) ", r"<p><span class='x ad'>\1 <b>of</b></span> "), ("<li>", "<li class=ad>")]
+
+
+@query(rf"""with h as (select page_id, {rewritten_sql("html", _CLASSED)} as h from pages)
+select page_id, unnest(list_transform(regexp_extract_all(h, '(?s)<div class="ad">.*?</div>|<span class=''x ad''>.*?</span>|<li class=ad>.*?</li>'), lambda x: trim(regexp_replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')))) as text from h""")
+def class_texts(spark, d):
+    """The text of all elements of a class, in pages into which more of them were put."""
+    pages = table(spark, d, "pages").select("page_id", rewritten(F.col("html"), _CLASSED).alias("html"))
+    return H.class_texts(pages, "ad").select("page_id", "text")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import difflib
 import html
 import re
-import unicodedata
+from collections import Counter
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -79,6 +79,23 @@ def node_rows(pages: DataFrame, key: str = "page_id", source: str = "html") -> D
     return few.mapInPandas(run, f"k {kind}, node int, parent int, depth int, tag string, attributes map<string,string>, text string").withColumnRenamed("k", key)
 
 
+def element_counts(pages: DataFrame, tags: tuple[str, ...], key: str = "page_id", source: str = "html") -> DataFrame:
+    """(key, n): how many elements of each tag a page's tree has, as a struct; no shuffle."""
+
+    @F.pandas_udf(Ty.StructType([Ty.StructField(t, Ty.LongType()) for t in tags]))
+    def count(series: pd.Series) -> pd.DataFrame:
+        out = []
+        for t in series:
+            p = _Rows()
+            p.feed(t or "")
+            p.close()
+            n = Counter(r[3] for r in p.rows)
+            out.append([n[x] for x in tags])
+        return pd.DataFrame(out, columns=list(tags))
+
+    return pages.select(key, count(F.col(source)).alias("n"))
+
+
 def find_all(nodes: DataFrame, tag: str | None = None, attribute: str | None = None, value: str | None = None, pattern: str | None = None) -> DataFrame:
     """Nodes by tag, attribute, attribute's value or text pattern."""
     out = nodes
@@ -227,12 +244,12 @@ def _convert_table(t: str) -> tuple[str, int]:
     inner = re.sub(r"(?i)</?(?:tbody|thead|tfoot)\b[^>]*>", "", inner)
     inner = re.sub(r"(?is)<caption\b[^>]*>(.*?)</caption>", lambda m: "\n|+ " + m[1].strip(), inner)
     inner = re.sub(r"(?i)<tr\b([^>]*)>", lambda m: "\n|-" + (" " + m[1].strip() if m[1].strip() else ""), inner)
-    inner = re.sub(r"(?i)<th\b([^>]*)>\s*", lambda m: "\n! " + (m[1].strip() + " | " if m[1].strip() else ""), inner)
-    inner = re.sub(r"(?i)<td\b([^>]*)>\s*", lambda m: "\n| " + (m[1].strip() + " | " if m[1].strip() else ""), inner)
+    blank = r"(?:\s*(?=\n\{\|)|\s*)"  # a nested table stays on a line of its own
+    inner = re.sub(rf"(?i)<th\b([^>]*)>{blank}", lambda m: "\n! " + (m[1].strip() + " | " if m[1].strip() else ""), inner)
+    inner = re.sub(rf"(?i)<td\b([^>]*)>{blank}", lambda m: "\n| " + (m[1].strip() + " | " if m[1].strip() else ""), inner)
     inner = re.sub(r"(?i)\s*</(?:td|th|tr)\s*>", "", inner)
     warnings += len(re.findall(r"(?i)</?(?:td|th|tr)\b", inner)) + (not re.search(r"\n[|!] ", inner))
     inner = re.sub(r"\n\s*\n+", "\n", inner)
-    inner = re.sub(r"^\s*\n\|-\s*\n", "\n", inner)
     return "{|" + (" " + attributes if attributes else "") + "\n" + inner.strip("\n") + "\n|}", warnings
 
 
@@ -266,12 +283,11 @@ def html_cleanup(series: pd.Series) -> pd.Series:
     ]
 
     def one(t):
-        for _ in range(20):
+        was = None
+        while t != was:  # each replacement takes markup away that none brings back
             was = t
             for pattern, new in rules:
                 t = pattern.sub(new, t)
-            if t == was:
-                break
         return t
 
     return series.map(one, na_action="ignore")
@@ -326,17 +342,6 @@ def text_diff(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(["\n".join([*difflib.unified_diff((s or "").splitlines(), (t or "").splitlines(), n=0, lineterm="")][2:]) for s, t in zip(a, b, strict=True)])
 
 
-@F.pandas_udf(_TEXT)
-def plain_key(series: pd.Series) -> pd.Series:
-    """A key without accents and doubled letters, in lower case."""
-
-    def one(t):
-        t = unicodedata.normalize("NFKD", t.replace("ß", "ss").replace("æ", "ae").replace("ø", "o").replace("ł", "l").lower())
-        return re.sub(r"(.)\1+", r"\1", "".join(c for c in t if not unicodedata.combining(c)))
-
-    return series.map(one, na_action="ignore")
-
-
 @F.pandas_udf(_TEXT)
 def unescape(series: pd.Series) -> pd.Series:
     """All character references decoded."""
@@ -447,7 +452,7 @@ def dab_line(series: pd.Series) -> pd.DataFrame:
     """The parts of a disambiguation line `* [[Subject|label]], description`."""
     out = []
     for t in series:
-        m = re.match(r"^[*#:]+\s*[\"']*\[\[([^\]|]+)(?:\|([^\]]*))?\]\][\"']*[,:–-]?\s*(.*)$", t or "")
+        m = re.match(r"^[*#:]+\s*[\"']*\[\[([^\]|]+)(?:\|([^\]]*))?\]\][\"']*\s*[,:–-]?\s*(.*)$", t or "")
         out.append((m[1].strip(), (m[2] or m[1]).strip(), m[3].strip()) if m else (None, None, None))
     return pd.DataFrame(out, columns=["subject", "label", "description"])
 
@@ -476,23 +481,25 @@ def apply_action(text: pd.Series, action: pd.Series, needle: pd.Series, value: p
 
 
 def class_texts(pages: DataFrame, name: str, key: str = "page_id", source: str = "html") -> DataFrame:
-    """(key, node, text): all text below each element of a class, at any depth."""
-    nodes = node_rows(pages, key, source)
-    kind = pages.schema[key].dataType.simpleString()
-
-    def collect(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node")
-        inside: dict[int, int] = {}
-        parts: dict[int, list[str]] = {}
-        for node, parent, attributes, text in zip(pdf["node"], pdf["parent"], pdf["attributes"], pdf["text"], strict=True):
-            above = inside.get(parent)
-            own = name in dict(attributes).get("class", "").split()
-            if above is not None or own:
-                inside[node] = node if above is None else above
-                parts.setdefault(inside[node], [])
-                if text:
-                    parts[inside[node]].append(text)
-        rows = [(pdf[key].iloc[0], n, " ".join(" ".join(p).split())) for n, p in parts.items()]
-        return pd.DataFrame(rows, columns=[key, "node", "text"])
-
-    return nodes.groupBy(key).applyInPandas(collect, f"{key} {kind}, node int, text string")  # a group is one page
+    """(key, node, text): all text below each element of a class, at any depth; a page never leaves its row."""
+
+    @F.pandas_udf(Ty.ArrayType(Ty.StructType([Ty.StructField("node", Ty.IntegerType()), Ty.StructField("text", _TEXT)])))
+    def collect(series: pd.Series) -> pd.Series:
+        out = []
+        for t in series:
+            p = _Rows()
+            p.feed(t or "")
+            p.close()
+            inside: dict[int, int] = {}
+            parts: dict[int, list[str]] = {}
+            for node, parent, _, _, attributes, text in p.rows:
+                above = inside.get(parent)
+                if above is not None or name in attributes.get("class", "").split():
+                    inside[node] = node if above is None else above
+                    parts.setdefault(inside[node], [])
+                    if text:
+                        parts[inside[node]].append(text)
+            out.append([{"node": n, "text": " ".join(" ".join(x).split())} for n, x in parts.items()])
+        return pd.Series(out)
+
+    return pages.select(key, F.explode(collect(F.col(source))).alias("p")).select(key, "p.node", "p.text")

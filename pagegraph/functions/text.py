@@ -31,9 +31,13 @@ def wikilinks(t: Column) -> Column:
 
 def simplify_links(t: Column) -> Column:
     """[[A|A]] to [[A]], [[A|AB]] to [[A]]B, underscores in targets to spaces."""
-    t = F.regexp_replace(t, r"\[\[([^\[\]|\n]*?)_([^\[\]|\n]*?)([|\]])", "[[$1 $2$3")
-    t = F.regexp_replace(t, r"\[\[\s*([^\[\]|\n]+?)\s*\|\s*\1(\p{Alpha}*)\s*\]\]", "[[$1]]$2")
-    return t
+
+    def spaced(piece: Column, i: Column) -> Column:
+        target = F.regexp_extract(piece, r"^([^\[\]|\n]*)[|\]]", 1)
+        return F.when(i == 0, piece).otherwise(F.concat(F.replace(target, F.lit("_"), F.lit(" ")), F.substring(piece, F.length(target) + 1, F.lit(1 << 30))))
+
+    t = F.array_join(F.transform(F.split(t, r"\[\["), spaced), "[[")
+    return F.regexp_replace(t, r"\[\[\s*([^\[\]|\n]+?)\s*\|\s*\1(\p{Alpha}*)\s*\]\]", "[[$1]]$2")
 
 
 def internal_links(t: Column, site: str = r"[a-z-]+\.wikipedia\.org") -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -139,16 +141,58 @@ def unbase62(text: Column) -> Column:
 
 
 def no_ping(name: Column) -> Column:
-    """A name with a dot after its first letter, so that it notifies nobody."""
-    return F.when(F.length(name) < 2, name).otherwise(F.concat(F.substring(name, 1, 1), F.lit("."), F.substring(name, 2, 1 << 30)))
+    """A name with dots at camel-case humps and for blanks, underscores and dashes, else one in its middle, so that it notifies nobody."""
+    dotted = F.regexp_replace(name, "(?<=[a-z])(?=[A-Z])|[ _-]+", ".")
+    half = F.floor(F.length(name) / 2).cast("int")
+    return F.when(dotted != name, dotted).otherwise(F.concat(F.substring(name, F.lit(1), half), F.lit("."), F.substring(name, half + 1, F.lit(1 << 30))))
+
+
+#: What a loose comparison of titles ignores.
+IGNORED_WORDS, IGNORED_CHARACTERS = (".com", "www.", "the", ".org"), "[]{}\\|'!,."
 
 
 def loose_key(text: Column) -> Column:
-    """A key for comparing titles that ignores case, punctuation and filler."""
+    """A key for comparing titles that ignores case, some words, wherever they stand, and some punctuation."""
     t = F.lower(text)
-    t = F.regexp_replace(t, r"\.com\b|\bwww\.|\bthe\b|\.org\b", "")
-    t = F.translate(t, "[]{}\\|'!,.", "")
-    return F.trim(F.regexp_replace(t, r"\s+", " "))
+    for word in IGNORED_WORDS:
+        t = F.replace(t, F.lit(word), F.lit(""))
+    return F.translate(t, IGNORED_CHARACTERS, "")
+
+
+def _accents() -> tuple[str, str]:
+    """Latin letters with accents, and the letters without."""
+    pairs = [(c, unicodedata.normalize("NFD", c)[0]) for c in map(chr, range(0xC0, 0x250)) if len(unicodedata.normalize("NFD", c)) > 1]
+    return "".join(c for c, _ in pairs), "".join(b for _, b in pairs)
+
+
+def folded(text: Column) -> Column:
+    """Lower case without accents of Latin letters: equal for what an accent- and case-insensitive collation calls equal."""
+    return F.translate(F.lower(text), *_accents())
+
+
+#: Characters, titles of persons and spellings that title keys take for one another, in this order.
+SUBSTITUTIONS = (
+    ("−", "-"), ("–", "-"), ("—", "-"), ("…", "..."), ("×", "X"), ("“", '"'), ("”", '"'),
+    (" -", "-"), ("- ", "-"), ("--", "-"), ("_", " "), ("`", "'"), ("/", "-"), ("*", "X"),
+    (" DR. ", ""), (" MR. ", ""), (" MRS. ", ""), (" MS. ", ""), (" DR ", ""), (" MR ", ""), (" MRS ", ""), (" MS ", ""),
+    ("AE", "A"), ("EY", "EI"), ("OH", "O"), ("OU", "O"), ("UU", "U"), (" 'N", " AN"), (" AND ", " & "), (" THE ", " "), (" OF ", " IN "), ("K", "C"),
+)
+
+
+def plain_key(title: Column, qualifier: bool = False) -> Column:
+    """A key that spellings of a title share: upper case, no accents, substitutions made, no repeated letters and no punctuation; without its qualifier unless asked for."""
+    t = F.replace(title, F.lit("_"), F.lit(" "))
+    t = F.concat(F.lit(" "), F.upper(t if qualifier else F.regexp_replace(t, r"(?s) \(.*$", "")), F.lit(" "))
+    t = F.translate(t, *_accents())
+    for old, new in SUBSTITUTIONS:
+        t = F.replace(t, F.lit(old), F.lit(new))
+    return F.regexp_replace(F.regexp_replace(t, r"(?s)(.)\1+", "$1"), "[ !\"',.:;?-]", "")
+
+
+def prefixes(title: Column) -> Column:
+    """Distinct prefixes to look a title up by: as it is, without its article, with either article, with `&` for `and` and the other way round."""
+    bare = F.regexp_replace(title, "^(?:The|A)_", "")
+    return F.array_distinct(F.array(title, bare, F.concat(F.lit("The_"), bare), F.concat(F.lit("A_"), bare), F.replace(bare, F.lit("_&_"), F.lit("_and_")), F.replace(bare, F.lit("_and_"), F.lit("_&_"))))
 
 
 def calm_title(text: Column) -> Column:

@@ -67,8 +67,11 @@ def encoded_title(title: Column) -> Column:
 
 
 def anchor(text: Column) -> Column:
-    """A section's anchor: percent escapes with dots for percent signs."""
-    return F.replace(F.replace(F.url_encode(F.replace(text, F.lit(" "), F.lit("_"))), F.lit("%3A"), F.lit(":")), F.lit("%"), F.lit("."))
+    """A section's anchor: underscores for blanks, and escapes with dots for percent signs."""
+    t = F.url_encode(F.replace(text, F.lit(" "), F.lit("_")))
+    for code, char in (("+", "%20"), ("*", "%2A"), ("%3A", ":"), ("%", ".")):
+        t = F.replace(t, F.lit(code), F.lit(char))
+    return t
 
 
 def unanchor(text: Column) -> Column:

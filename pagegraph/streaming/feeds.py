@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import remove_folder
+
 EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
 
 
@@ -65,20 +67,39 @@ def route(batch: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     return batch.select("event_id", "props", F.explode(table).alias("r")).where(F.contains("props", F.col("r.needle"))).select(F.col("r.channel").alias("channel"), "event_id")
 
 
-def sync(stream: DataFrame, target: str, key: str, checkpoint: str):
-    """Replaces changed keys in a Parquet table with each batch: a new version is written beside the old and its number kept."""
-    from ..operators.merge import replace_changed
+def sync(stream: DataFrame, target: str, key: str, at: str, checkpoint: str):
+    """Keeps the last row of each key, by time, in a Parquet table: every batch writes a version v<number> beside the old ones.
+
+    A batch starts from the newest version before its own number that was finished, so a repeated batch, and one whose
+    predecessor was not needed, give the same.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        old = f"{target}/v{number - 1}"
-        fresh = batch.dropDuplicates([key])
-        merged = replace_changed(spark.read.parquet(old), fresh, fresh, key) if number else fresh
-        merged.write.mode("overwrite").parquet(f"{target}/v{number}")
+        old = _versions(spark, target, number)
+        rows = batch.unionByName(spark.read.parquet(f"{target}/v{old[-1]}")) if old else batch
+        others = [c for c in rows.columns if c != key]
+        last = rows.groupBy(key).agg(F.max(F.struct(at, *[c for c in others if c != at])).alias("_last")).select(key, *[F.col(f"_last.{c}").alias(c) for c in others])
+        last.select(*batch.columns).write.mode("overwrite").parquet(f"{target}/v{number}")
+        for n in old[:-1]:
+            remove_folder(spark, f"{target}/v{n}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _versions(spark: SparkSession, target: str, below: int | None = None) -> list[int]:
+    """Numbers of the finished versions of a synced table, in order."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/v*/_SUCCESS")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    numbers = sorted(int(f.getPath().getParent().getName()[1:]) for f in found or [])
+    return [n for n in numbers if below is None or n < below]
+
+
+def synced(spark: SparkSession, target: str) -> DataFrame:
+    """The newest finished version of a synced table."""
+    return spark.read.parquet(f"{target}/v{_versions(spark, target)[-1]}")
+
+
 def run_to_end(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
     """Runs a stream over all that is there and returns its memory table; for tests and reports only."""
     w = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)

@@ -70,6 +70,7 @@ def test_geolink(spark):
 def test_markup_rules(spark):
     assert one(spark, text.simplify_links, "[[A|AB]]") == "[[A]]B"
     assert one(spark, text.simplify_links, "[[cat|cats]]") == "[[cat]]s"
+    assert one(spark, text.simplify_links, "a_b [[c_d_e_f|x_y]] [[g_h]] [[no_end\nz_]] [[") == "a_b [[c d e f|x_y]] [[g h]] [[no_end\nz_]] [["
     assert one(spark, text.strip_disabled, "a<!-- x -->b<nowiki>[[c]]</nowiki>d") == "abd"
     assert one(spark, text.reference_repairs, "text <ref name=a>x</ref>.") == 'text.<ref name="a">x</ref>'
     assert one(spark, text.lacks_references, "x<ref>a</ref>") is True
@@ -90,7 +91,8 @@ def test_udfs(spark):
     assert one(spark, markup.merged_references(), "a<ref>x</ref> b<ref>x</ref>") == 'a<ref name="auto">x</ref> b<ref name="auto" />'
     assert one(spark, markup.with_references_section, "a<ref>x</ref>\n[[Category:B]]").index("<references />") < 60
     assert one(spark, markup.replace_except("a", "b", ("nowiki",)), "a<nowiki>a</nowiki>a") == "b<nowiki>a</nowiki>b"
-    assert one(spark, markup.plain_key, "Čelovce") == one(spark, markup.plain_key, "celovce")
+    assert one(spark, titles.plain_key, "Čelovce") == one(spark, titles.plain_key, "celovce") == "CELOVCE"
+    assert one(spark, titles.plain_key, "Dr. Kappa_and the Müllers (band)") == one(spark, titles.plain_key, "Capa & Mulers")
     assert one(spark, lambda a, b: markup.detected_text(a, b), "é".encode("latin-1"), None) == "é"
     assert one(spark, markup.prettify, "<p>Para1<p>Para2").split("\n") == ["<p>", " Para1", "</p>", "<p>", " Para2", "</p>"]
     assert one(spark, markup.html_cleanup, "<b>a</b><i>b</i>") == "'''a'''''b''"
@@ -117,12 +119,12 @@ def test_percent_coding_of_whole_texts(spark):
     assert one(spark, urls.percent_decoded, "1+1%3D2") == "1+1=2"
 
 
-def test_percent_decode_whole_keeps_all_of_a_document(spark):
+def test_percent_decode_keeps_all_of_a_document(spark):
     from conftest import DATA
 
     from pagegraph import catalog
 
-    got = catalog.queries()["percent_decode_whole"](spark, DATA)
+    got = catalog.queries()["percent_decode"](spark, DATA)
     assert got.where("length(back) > 60").count() > 0
     texts = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "source", "text")
     assert got.select("doc_id", "source", "back").exceptAll(texts).count() == 0 and got.count() == texts.count()

@@ -3,10 +3,12 @@
 import datetime
 import gzip
 
+import pytest
 from pyspark.sql import functions as F
 
 from pagegraph.operators import aggregates as A
 from pagegraph.operators import intervals as I
+from pagegraph.operators import links
 from pagegraph.operators import merge as K
 from pagegraph.operators import spatial as S
 from pagegraph.sources import readers as R
@@ -102,6 +104,7 @@ def test_intervals(spark):
     a = spark.createDataFrame([(1, "u", t), (2, "v", t)], "a long, k string, s timestamp")
     b = spark.createDataFrame([(1, "u", t + 32 * hour), (2, "u", t + 33 * hour), (3, "u", t - hour), (4, "u", t)], "b long, k string, e timestamp")
     assert {r.b for r in I.interval_join(a, b, ["k"], "s", "e", 32).collect()} == {1, 4}
+    assert {(r.a, r.b) for r in I.interval_join(a, b, ["k"], "s", "e", 32, "left").collect()} == {(1, 1), (1, 4), (2, None)}
     rows = a.select(F.col("a").alias("row_id"), "k", "s")
     near = {r.row_id: r.nearest for r in I.nearest_in_time(rows, b.select("k", "e").where("b <> 4"), "k", "s", "e", 21, 2).collect()}
     assert near == {1: t - hour, 2: None}
@@ -125,9 +128,14 @@ def test_streams(spark, tmp_path):
     assert got == {0: 0, 1: 3}
     routed = feeds.route(spark.createDataFrame(rows, feeds.EVENTS), [("low", '"k": 1'), ("all", "k")])
     assert routed.where("channel = 'low'").count() == 1 and routed.where("channel = 'all'").count() == 6
-    q = feeds.sync(stream.select("event_id", "value"), f"{tmp_path}/out", "event_id", f"{tmp_path}/c")
-    q.awaitTermination()
-    assert spark.read.parquet(f"{tmp_path}/out/v0").count() == 6
+    changes = stream.select("user_id", "ts", "event_id")
+    feeds.sync(changes, f"{tmp_path}/out", "user_id", "ts", f"{tmp_path}/c").awaitTermination()
+    assert {tuple(r) for r in feeds.synced(spark, f"{tmp_path}/out").select("user_id", "event_id").collect()} == {(0, 4), (1, 5)}
+    later = [(9, base + datetime.timedelta(hours=1), 1, "view", 9.0, ""), (8, base + datetime.timedelta(seconds=1), 0, "view", 8.0, ""), (7, base, 2, "view", 7.0, "")]
+    for row in later:  # one batch each; an older row does not replace a newer one
+        spark.createDataFrame([row], feeds.EVENTS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/e")
+        feeds.sync(changes, f"{tmp_path}/out", "user_id", "ts", f"{tmp_path}/c").awaitTermination()
+    assert {tuple(r) for r in feeds.synced(spark, f"{tmp_path}/out").select("user_id", "event_id").collect()} == {(0, 4), (1, 9), (2, 7)}
 
 
 def test_entry(spark):
@@ -135,3 +143,30 @@ def test_entry(spark):
 
     assert e.entry(spark).columns == ["norm", "dab_pages", "missing_cnt", "missing"]
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_redirect_ends(spark):
+    """Long chains end where they end; loops, and what leads into them, end nowhere."""
+    rows = [(i, i + 1) for i in range(100)] + [(200, 201), (201, 202), (202, 200), (300, 200), (400, 400), (500, 501)]
+    got = {r.rd_from: (r.final, r.hops) for r in links.redirect_ends(spark.createDataFrame(rows, "rd_from long, rd_to long")).collect()}
+    assert got == {i: (100, 100 - i) for i in range(100)} | dict.fromkeys([200, 201, 202, 300, 400], (None, None)) | {500: (501, 1)}
+    assert links.redirect_ends(spark.createDataFrame([], "rd_from long, rd_to long")).count() == 0
+
+
+def test_cocitation(spark):
+    rows = [(p, t) for p in range(9) for t in range(5) if (p * t) % 3 != 1]
+    pages = spark.createDataFrame(rows, "pl_from long, pl_to long")
+    got = {(r.a, r.b): r.n for r in links.cocitation(pages, spark.createDataFrame([(t,) for t in range(4)], "target long")).collect()}
+    citing = {t: {p for p, x in rows if x == t} for t in range(4)}
+    assert got == {(a, b): len(citing[a] & citing[b]) for a in citing for b in citing if a != b and citing[a] & citing[b]}
+    assert links.cocited(pages, 0, 3).first().n == len(citing[0] & citing[3])
+
+
+def test_checkpoint_folder_must_be_shared(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from pagegraph.session import ready_checkpoints
+
+    cluster = SimpleNamespace(sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="local-cluster[2,1,1024]"), conf=SimpleNamespace(get=lambda k, d: d))
+    with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+        ready_checkpoints(cluster)
