@@ -219,7 +219,11 @@ class Suffixes:
         np.cumprod(power, out=power)
         self.up = power[::-1]
         self.prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum((text.astype(np.uint64) + np.uint64(1)) * power[:n], out=self.prefix[1:])
+        terms = text.astype(np.uint64)
+        terms += np.uint64(1)
+        terms *= power[:n]
+        np.cumsum(terms, out=self.prefix[1:])
+        del terms
         self.word = words_at(np.concatenate((text, np.zeros(7, np.uint8))), ">").astype(np.uint64)
 
     def hash(self, at: np.ndarray, n: np.ndarray | int) -> np.ndarray:
@@ -764,7 +768,7 @@ def _outcomes(judged: DataFrame, length: int, sizes: tuple[int, int, int], texts
     return judged.mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", text_sha256 string, kept string" if texts_too else ""))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, blob_bytes: int = 1 << 20, pack_bytes: int = 16 << 20, anchor_bytes: int = 64 << 20, piece_bytes: int = 16 << 20, fan: int = 4096, heavy: int = 8192, texts_too: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, blob_bytes: int = 1 << 20, pack_bytes: int = 16 << 20, anchor_bytes: int = 64 << 20, piece_bytes: int = 6 << 20, fan: int = 4096, heavy: int = 8192, texts_too: bool = False) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256; with texts_too also the remaining text (bytes that a cut leaves as broken characters go).
 
     anchor_bytes and piece_bytes are what a bucket gets: texts whose anchors it compares, and pieces it sorts.
