@@ -120,12 +120,13 @@ def result_formats(spark, d):
 @query("""select c_nationkey, cast(count(*) as bigint) as n from customer group by c_nationkey""")
 def table_swap(spark, d):
     """A table rebuilt under its name, twice; the second is read."""
-    name = f"swap_{uuid.uuid4().hex[:12]}"
+    ready_checkpoints(spark)
+    name = f"swap_{uuid.uuid4().hex[:12]}_t"
     c = table(spark, d, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"))
     K.rebuild(spark, c.limit(1), name)
     K.rebuild(spark, c, name)
-    out = spark.table(name).checkpoint() if spark.sparkContext.getCheckpointDir() else spark.table(name)
-    spark.sql(f"drop table {name}")
+    out = spark.table(name).checkpoint()
+    K.drop_rebuilt(spark, name)
     return out
 
 

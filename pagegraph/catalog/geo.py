@@ -116,3 +116,50 @@ def coord_warnings(spark, d):
     odd = _params(spark, d).withColumn("url", F.when(F.col("s_suppkey") % 5 == 0, F.replace("url", F.lit("type:city"), F.lit("type:nowhere"))).otherwise(F.col("url")))
     g = odd.select(F.explode_outer(G.geolink(F.col("url"))["warnings"]).alias("w"))
     return g.groupBy(F.coalesce("w", F.lit("none")).alias("warning")).agg(F.count("*").alias("n"))
+
+
+@query("""with c as (select c_custkey, c_custkey % 6 as k, c_nationkey % 8 as z from customer)
+select c_custkey, case k when 0 then 'adm2nd' when 1 then 'mountain' when 2 then 'waterbody' when 3 then 'railwaystation' when 4 then 'city' else 'adm1st' end as type, case k when 0 then 'GB' when 1 then 'RE' when 2 then 'PR' when 3 then 'DE' when 4 then 'SJ' else 'FI' end as region,
+cast(case z when 0 then 33.75 when 1 then 45.0 when 2 then 337.5 when 3 then 90.0 when 4 then 10.0 when 5 then 202.5 when 6 then 348.75 end as double) as heading,
+case when c_custkey % 3 = 0 then 12345 when c_custkey % 3 = 1 then cast(100000 * pow(2, 12 - z) as bigint) else case k when 0 then 300000 when 3 then 10000 when 5 then 1000000 else 100000 end end as scale,
+cast(case when c_custkey % 4 = 0 then 5000.0 when c_custkey % 4 = 1 then 1234.5 when c_custkey % 4 = 2 then 50000000.0 end as double) as dim,
+concat_ws(',', case when c_custkey % 7 = 0 then 'region on another globe' end, case when c_custkey % 4 = 2 then 'dim out of range' end, case when c_custkey % 3 = 0 and c_custkey % 4 in (0, 2) then 'dim beside another scale' end) as warnings from c""")
+def coord_corrections(spark, d):
+    """Misspelt types, regions with codes of their own, headings of all kinds, scales by zoom level and type, and diameters."""
+    c = F.col("c_custkey")
+
+    def pick(n, values):
+        out = F.lit(None).cast("string")
+        for i, v in enumerate(values):
+            out = F.when(n == i, v).otherwise(out)
+        return out
+
+    k, z = c % 6, F.col("c_nationkey") % 8
+    kinds = F.concat(F.lit("_type:"), pick(k, ("Admin2", "montain", "lake", "station", "city", "adm")), F.lit("_region:"), pick(k, ("UK", "fr-re", "US-PR", "DE", "NO-21", "SF")))
+    head = F.concat(F.lit("_heading:"), pick(z, ("NNEbE", "EN", "north-northwest", "O", "370", "SSW", "NNWbyN", "up")))
+    size = F.when(c % 3 == 0, "_scale:12345").when(c % 3 == 1, F.concat(F.lit("_zoom:"), z.cast("string"))).otherwise("")
+    wide = F.when(c % 4 == 0, "_dim:5km").when(c % 4 == 1, "_dim:1234.5").when(c % 4 == 2, "_dim:50000000m").otherwise("")
+    url = F.concat(F.lit("http://x.org/?params=1_N_2_E"), kinds, head, size, wide, F.when(c % 7 == 0, "_globe:moon").otherwise(""))
+    g = table(spark, d, "customer").select("c_custkey", G.geolink(url).alias("g"))
+    return g.select("c_custkey", "g.type", "g.region", "g.heading", "g.scale", "g.dim", F.array_join("g.warnings", ",").alias("warnings"))
+
+
+@query("""with w as (select 'wiki' || s_nationkey % 4 as wiki, case when s_suppkey % 5 = 0 then 'unknown type' end as w, s_suppkey from supplier), c as (select wiki, w, count(*) as n from w where w is not null group by 1, 2)
+select wiki, w as warning, cast(n as bigint) as n, n > 4 as suppressed, case when n <= 4 then (select string_agg(cast(s_suppkey as varchar), ',' order by s_suppkey) from w x where x.wiki = c.wiki and x.w = c.w) end as shown from c""")
+def suppressed_warnings(spark, d):
+    """Warnings counted by wiki; those of over four cases are suppressed, the others are shown with theirs."""
+    s = _params(spark, d).withColumn("url", F.when(F.col("s_suppkey") % 5 == 0, F.replace("url", F.lit("type:city"), F.lit("type:nowhere"))).otherwise(F.col("url")))
+    w = s.join(table(spark, d, "supplier").select("s_suppkey", "s_nationkey"), "s_suppkey").select("s_suppkey", F.concat(F.lit("wiki"), (F.col("s_nationkey") % 4).cast("string")).alias("wiki"), F.explode(G.geolink(F.col("url"))["warnings"]).alias("warning"))
+    counts = w.groupBy("wiki", "warning").agg(F.count("*").alias("n"))
+    few = w.join(counts.where("n <= 4"), ["wiki", "warning"], "left_semi").groupBy("wiki", "warning").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s_suppkey")), lambda x: x.cast("string")), ",").alias("shown"))
+    return counts.join(few, ["wiki", "warning"], "left").select("wiki", "warning", "n", (F.col("n") > 4).alias("suppressed"), "shown")
+
+
+@query(with_model("page", "categorylinks", "langlinks", "coord", then="""tagged as (select cl_from from categorylinks where cl_to in ('1905_births', '1911_births', '1920_births') and not exists (select 1 from coord where gc_from = cl_from and gc_primary))
+select page_id, page_title, ll_lang, c.gc_lat, c.gc_lon from tagged join page on page_id = cl_from join langlinks on ll_from = page_id join coord c on c.gc_from = ll_page and c.gc_primary"""))
+def interwiki_coords(spark, d):
+    """Pages of categories of missing coordinates, with those that their counterparts in other languages have."""
+    c = M.coord(spark, d).where("gc_primary")
+    tagged = M.categorylinks(spark, d).where(F.col("cl_to").isin("1905_births", "1911_births", "1920_births")).select(F.col("cl_from").alias("page_id")).join(c.select(F.col("gc_from").alias("page_id")), "page_id", "left_anti")
+    hop = tagged.join(M.page(spark, d), "page_id").join(M.langlinks(spark, d), F.col("page_id") == F.col("ll_from"))
+    return hop.join(c, F.col("ll_page") == F.col("gc_from")).select("page_id", "page_title", "ll_lang", "gc_lat", "gc_lon")

@@ -108,3 +108,13 @@ def class_texts(spark, d):
     """The text of all elements of a class, in pages into which more of them were put."""
     pages = table(spark, d, "pages").select("page_id", rewritten(F.col("html"), _CLASSED).alias("html"))
     return H.class_texts(pages, "ad").select("page_id", "text")
+
+
+@query(r"""with u as (select page_id, regexp_extract(url, '^(\w+://[^/]+)', 1) as site, url from pages where regexp_matches(url, '^\w+://[^/]+/[^/]'))
+select page_id, case page_id % 6 when 0 then 'root' when 1 then 'root' when 2 then 'error page' when 3 then 'error page' end as fault from u where not regexp_matches(url, '(?i)\D404(\D|$)|error|not.{0,3}found')""")
+def redirect_faults(spark, d):
+    """Links that end at their site's root or at an error page, elsewhere on it, or at another site's root."""
+    site, k = F.regexp_extract("url", r"^(\w+://[^/]+)", 1), F.col("page_id") % 6
+    final = F.when(k == 0, F.concat(site, F.lit("/"))).when(k == 1, F.concat(site, F.lit("/index.php"))).when(k == 2, F.concat(site, F.lit("/404.html"))).when(k == 3, F.concat(site, F.lit("/Not_Found"))).when(k == 4, F.concat(site, F.lit("/moved/here"))).otherwise("http://elsewhere.org/")
+    p = table(spark, d, "pages").where(F.col("url").rlike(r"^\w+://[^/]+/[^/]") & ~F.col("url").rlike(r"(?i)\D404(\D|$)|error|not.{0,3}found"))
+    return p.select("page_id", T.redirect_fault(F.col("url"), final).alias("fault"))

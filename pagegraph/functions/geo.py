@@ -11,13 +11,31 @@ from pyspark.sql import functions as F
 
 #: The scale of a map by type of place.
 SCALES = {
-    "country": 10_000_000, "satellite": 10_000_000, "state": 3_000_000, "adm1st": 1_000_000, "adm2nd": 300_000, "adm3rd": 100_000, "city": 100_000, "isle": 100_000, "mountain": 100_000, "river": 100_000, "waterbody": 100_000,
-    "event": 50_000, "forest": 50_000, "glacier": 50_000, "airport": 30_000, "railwaystation": 10_000, "edu": 10_000, "pass": 10_000, "camera": 10_000, "landmark": 10_000,
+    "country": 10_000_000, "satellite": 10_000_000, "state": 3_000_000, "adm1st": 1_000_000, "adm2nd": 300_000, "adm3rd": 100_000, "city": 100_000, "mountain": 100_000, "isle": 100_000, "river": 100_000, "waterbody": 100_000,
+    "forest": 50_000, "glacier": 50_000, "event": 50_000, "airport": 30_000, "railwaystation": 10_000, "edu": 10_000, "pass": 10_000, "camera": 10_000, "landmark": 10_000,
 }
 
 #: Points of the compass, clockwise from north.
 COMPASS = "N NBE NNE NEBN NE NEBE ENE EBN E EBS ESE SEBE SE SEBS SSE SBE S SBW SSW SWBS SW SWBW WSW WBS W WBN WNW NWBW NW NWBN NNW NBW".split()
 
+#: Points of the compass that are written wrongly, and what they mean.
+HEADINGS = {
+    "NNEBN": "NBE", "NNEBE": "NEBN", "ENEBN": "NEBE", "ENEBE": "EBN", "ESEBE": "EBS", "ESEBS": "SEBE", "SSEBE": "SEBS", "SSEBS": "SBE", "SSWBS": "SBW", "SSWBW": "SWBS", "WSWBS": "SWBW", "WSWBW": "WBS", "WNWBW": "WBN", "WNWBN": "NWBW", "NNWBW": "NWBN", "NNWBN": "NBW",
+    "NBNE": "NEBN", "EBNE": "NEBE", "EBSE": "SEBE", "SBSE": "SEBS", "SBSW": "SWBS", "WBSW": "SWBW", "WBNW": "NWBW", "NBNW": "NWBN",
+    "EN": "NE", "ES": "SE", "WS": "SW", "WN": "NW",
+}
+
+#: Types of places as they are misspelt, and regions that go by a code of their own.
+TYPES = {
+    "admin1st": "adm1st", "admin2nd": "adm2nd", "admin3rd": "adm3rd", "admin": "adm1st", "admin1": "adm1st", "admin2": "adm2nd", "admin3": "adm3rd", "adm": "adm1st", "adm1": "adm1st", "adm2": "adm2nd", "adm3": "adm3rd",
+    "adm2st": "adm2nd", "adm3st": "adm3rd", "adm1nd": "adm1st", "adm3nd": "adm3rd", "adm1rd": "adm1st", "adm2rd": "adm2nd",
+    "montain": "mountain", "buildings": "building", "railwaystationstation": "railwaystation", "station": "railwaystation", "lake": "waterbody", "water": "waterbody",
+}
+REGIONS = {
+    "CN-71": "TW", "CN-91": "HK", "CN-92": "MO", "FI-AL": "AX", "FR-BL": "BL", "FR-GF": "GF", "FR-GP": "GP", "FR-MF": "MF", "FR-MQ": "MQ", "FR-NC": "NC", "FR-PF": "PF", "FR-PM": "PM", "FR-RE": "RE", "FR-TF": "TF", "FR-WF": "WF", "FR-YT": "YT",
+    "NL-AW": "AW", "NL-BQ1": "BQ", "NL-BQ2": "BQ", "NL-BQ3": "BQ", "NL-CW": "CW", "NL-SX": "SX", "NO-21": "SJ", "NO-22": "SJ", "US-AS": "AS", "US-GU": "GU", "US-MP": "MP", "US-PR": "PR", "US-UM": "UM", "US-VI": "VI", "FX": "FR", "UK": "GB", "SF": "FI", "YU": "CS",
+}
+
 GLOBES = ("earth", "moon", "mars", "mercury", "venus", "ceres", "io", "europa", "ganymede", "callisto", "titan", "phobos", "deimos", "triton", "pluto", "charon", "vesta")
 
 _SIDE = r"(-?\d+(?:\.\d+)?)(?:_(\d+(?:\.\d+)?))?(?:_(\d+(?:\.\d+)?))?"
@@ -66,12 +84,19 @@ def attribute(params: Column, key: str) -> Column:
     return F.when(got != "", F.regexp_replace(got, "_+$", ""))
 
 
+def corrected(value: Column, corrections: dict[str, str]) -> Column:
+    """A value, or what it is corrected to."""
+    m = F.create_map(*[F.lit(x) for kv in corrections.items() for x in kv])
+    return F.coalesce(F.try_element_at(m, value), value)
+
+
 def place_type(params: Column) -> Column:
-    """struct(type, size): city(1000) has the size 1000, if that is up to 70 million."""
+    """struct(type, size): city(1000) has the size 1000, if that is up to 70 million; misspelt types are corrected."""
     raw = F.lower(attribute(params, "type"))
     size = F.regexp_extract(raw, r"\(([\d.,]+)\)", 1)
     number = F.regexp_replace(size, ",", "").try_cast("double")
-    return F.struct(F.regexp_replace(F.regexp_replace(raw, r"\(.*$", ""), r"\W.*$", "").alias("type"), F.when(number.between(0, 70e6), number).alias("size"))
+    kind = F.regexp_replace(F.regexp_replace(raw, r"\(.*$", ""), r"\W.*$", "")
+    return F.struct(corrected(kind, TYPES).alias("type"), F.when(number.between(0, 70e6), number).alias("size"))
 
 
 def metres(value: Column) -> Column:
@@ -82,13 +107,21 @@ def metres(value: Column) -> Column:
 
 
 def heading(value: Column) -> Column:
-    """Degrees of a number or of a point of the compass."""
+    """Degrees of a number or of a point of the compass, abbreviated, spelt out, with O for east or boxed wrongly."""
     up = F.upper(value)
-    at = F.array_position(F.array(*[F.lit(c) for c in COMPASS]), up)
+    for old, new in (("NORTH", "N"), ("SOUTH", "S"), ("EAST", "E"), ("WEST", "W"), ("BY", "B"), ("-", ""), ("O", "E")):
+        up = F.replace(up, F.lit(old), F.lit(new))
+    at = F.array_position(F.array(*[F.lit(c) for c in COMPASS]), corrected(up, HEADINGS))
     n = value.try_cast("double")
     return F.when(n.isNotNull(), F.pmod(n, F.lit(360.0))).when(at > 0, (at - 1) * 11.25)
 
 
+def scale(params: Column, kind: Column) -> Column:
+    """The scale given, else that of the zoom level, else that of the type of place."""
+    zoom = attribute(params, "zoom").try_cast("int")
+    return F.coalesce(attribute(params, "scale").try_cast("long"), (100_000 * F.pow(F.lit(2.0), 12 - zoom)).cast("long"), default_scale(kind).cast("long"))
+
+
 def default_scale(kind: Column) -> Column:
     m = F.create_map(*[F.lit(x) for kv in SCALES.items() for x in kv])
     return F.coalesce(F.try_element_at(m, kind), F.lit(50_000))
@@ -99,14 +132,16 @@ def geolink(url: Column) -> Column:
     p = params_of(url)
     at, kind = latlon(p), place_type(p)
     globe = F.coalesce(F.lower(attribute(p, "globe")), F.lit("earth"))
-    region = F.upper(attribute(p, "region"))
+    region = corrected(F.upper(attribute(p, "region")), REGIONS)
+    dim, given = metres(attribute(p, "dim")), attribute(p, "scale").try_cast("double")
     warnings = F.array_compact(F.array(
         F.when(p.isNull(), "no params"), F.when(p.isNotNull() & at["lat"].isNull(), "no coordinate"), F.when(~globe.isin(*GLOBES), "unknown globe"),
         F.when(region.isNotNull() & ~region.rlike(r"^[A-Z]{2}(?:-[A-Z0-9]{1,3})?$"), "odd region"), F.when(kind["type"].isNotNull() & ~kind["type"].isin(*SCALES), "unknown type"),
+        F.when(region.isNotNull() & (globe != "earth"), "region on another globe"), F.when((dim <= 0) | (dim >= 40_000_000), "dim out of range"), F.when(given != dim * 10, "dim beside another scale"),
     ))
     return F.struct(
         at["lat"].alias("lat"), at["lon"].alias("lon"), kind["type"].alias("type"), kind["size"].alias("size"), region.alias("region"), globe.alias("globe"), attribute(p, "source").alias("source"),
-        F.coalesce(attribute(p, "scale").try_cast("long"), default_scale(kind["type"]).cast("long")).alias("scale"), metres(attribute(p, "dim")).alias("dim"), heading(attribute(p, "heading")).alias("heading"), metres(F.coalesce(attribute(p, "alt"), attribute(p, "elevation"))).alias("elevation"),
+        scale(p, kind["type"]).alias("scale"), dim.alias("dim"), heading(attribute(p, "heading")).alias("heading"), metres(F.coalesce(attribute(p, "alt"), attribute(p, "elevation"))).alias("elevation"),
         digits(p).alias("digits"), warnings.alias("warnings"),
     )
 

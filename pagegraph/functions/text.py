@@ -84,6 +84,21 @@ def bad_title(title: Column) -> Column:
     return title.isNull() | title.rlike(r"(?i)\b(?:404|not found|untitled|error|log ?in|sign ?in|access denied|page unavailable|under construction|forbidden)\b")
 
 
+#: Addresses of error pages and of a site's root.
+_ERROR_PAGE = r"(?i)\D404(?:\D|\z)|error|errdoc|Not.{0,3}Found|sitedown|eventlog"
+_ROOT = r"(?i)^\w+://[^/]+/(?:(?:default|index)\.(?:asp|aspx|cgi|htm|html|phtml|mpx|mspx|php|shtml|var))?$"
+
+
+def redirect_fault(link: Column, final: Column) -> Column:
+    """Why the end of a link's redirects on its own site is not the page meant: error page or root; else null."""
+
+    def site(u):
+        return F.regexp_extract(u, r"^(?:\w+)://(?:www\.|)([^/]+)", 1)
+
+    moved = (link != final) & (site(link) == site(final))
+    return F.when(moved & final.rlike(_ERROR_PAGE) & ~link.rlike(_ERROR_PAGE), "error page").when(moved & final.rlike(_ROOT) & ~link.rlike(_ROOT), "root")
+
+
 def meta_fields(html: Column) -> Column:
     """array<struct<name, content>> of meta elements with a name or property."""
     tags = F.regexp_extract_all(html, F.lit(r"(?is)<meta\b[^>]*>"), 0)

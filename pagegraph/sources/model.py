@@ -51,6 +51,13 @@ def templatelinks(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select(F.col("l_partkey").alias("tl_from"), F.concat("l_returnflag", "l_linestatus").alias("tl_title")).distinct()
 
 
+def langlinks(spark: SparkSession, d: str) -> DataFrame:
+    """Two other languages' pages for each page: numbers stand for titles."""
+    p = table(spark, d, "part")
+    langs = F.explode(F.array(*[F.struct(F.lit(lang).alias("lang"), F.lit(i).alias("i")) for i, lang in ((1, "de"), (2, "fr"))]))
+    return p.select(F.col("p_partkey").alias("ll_from"), "p_size", langs.alias("l")).select("ll_from", F.col("l.lang").alias("ll_lang"), (F.col("ll_from") * F.col("l.i") + F.col("p_size")).alias("ll_page"))
+
+
 def coord(spark: SparkSession, d: str) -> DataFrame:
     """One coordinate per customer, in hundredths of a degree."""
     c = table(spark, d, "customer")
@@ -83,6 +90,7 @@ MODEL_SQL = {
     "wantedlinks": "wantedlinks as (select distinct o_custkey as pl_from, l_partkey + l_suppkey as pl_to from orders join lineitem on o_orderkey = l_orderkey)",
     "categorylinks": "categorylinks as (select p_partkey as cl_from, replace(p_type, ' ', '_') as cl_to from part union all select p_partkey, cast(p_size + 1900 as varchar) || '_births' from part)",
     "templatelinks": "templatelinks as (select distinct l_partkey as tl_from, l_returnflag || l_linestatus as tl_title from lineitem)",
+    "langlinks": "langlinks as (select p_partkey as ll_from, unnest(['de', 'fr']) as ll_lang, unnest([p_partkey + p_size, p_partkey * 2 + p_size]) as ll_page from part)",
     "coord": """coord as (select c_custkey as gc_from, ((c_custkey * 3701) % 18000) / 100.0::double - 90 as gc_lat, ((c_custkey * 9103) % 36000) / 100.0::double - 180 as gc_lon,
   lower(c_mktsegment) as gc_type, cast(c_nationkey as bigint) as gc_nation, c_acctbal > 0 as gc_primary from customer)""",
     "region_box": "region_box as (select cast(n_nationkey as bigint) as region_id, n_name as region, (n_nationkey % 5) * 72.0::double - 175 as x0, (n_nationkey // 5) * 36.0::double - 86 as y0 from nation)",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,13 +39,21 @@ def html_table(df: DataFrame, caption: str = "", most: int = 1000) -> str:
 
 
 def rebuild(spark: SparkSession, df: DataFrame, table: str) -> None:
-    """Writes under a new name, then swaps the names, so readers see the old or the new table."""
-    fresh, old = f"{table}_{uuid.uuid4().hex[:8]}", f"{table}_old_{uuid.uuid4().hex[:8]}"
+    """Writes a new version beside the old one and points the name, a view, to it in one step: readers see the old or the new table. The version before goes then."""
+    fresh = f"{table}_{uuid.uuid4().hex[:12]}"
     df.write.saveAsTable(fresh)
-    if spark.catalog.tableExists(table):
-        spark.sql(f"alter table {table} rename to {old}")
-    spark.sql(f"alter table {fresh} rename to {table}")
-    spark.sql(f"drop table if exists {old}")
+    old = [t.name for t in spark.catalog.listTables() if re.fullmatch(rf"{re.escape(table.lower())}_[0-9a-f]{{12}}", t.name) and t.name != fresh]
+    spark.sql(f"create or replace view {table} as select * from {fresh}")
+    for name in old:
+        spark.sql(f"drop table if exists {name}")
+
+
+def drop_rebuilt(spark: SparkSession, table: str) -> None:
+    """Drops a rebuilt table's name and versions."""
+    spark.sql(f"drop view if exists {table}")
+    for t in spark.catalog.listTables():
+        if re.fullmatch(rf"{re.escape(table.lower())}_[0-9a-f]{{12}}", t.name):
+            spark.sql(f"drop table if exists {t.name}")
 
 
 def clustered(df: DataFrame, table: str, key: str, buckets: int = 8) -> None:
