@@ -35,11 +35,12 @@ def daily_views(events: DataFrame, delay: str = "25 hours") -> DataFrame:
     return v.groupBy(F.window("ts", "1 day").alias("w"), "user_id").agg(F.count("*").alias("views")).select(F.col("w.start").cast("date").alias("pc_date"), F.col("user_id").alias("pc_page"), "views")
 
 
-def edits_within(starts: DataFrame, saves: DataFrame, hours: int = 32) -> DataFrame:
-    """Stream-stream join of a user's edit starts with the saves that follow within some hours."""
+def edits_within(starts: DataFrame, saves: DataFrame, hours: int = 32, how: str = "inner") -> DataFrame:
+    """Stream-stream join of a user's edit starts with the saves that follow within some hours; with how="left" also starts without a save, once the watermarks rule one out."""
     a = starts.select(F.col("event_id").alias("start_id"), F.col("user_id").alias("u"), F.col("ts").alias("started")).withWatermark("started", f"{hours} hours")
     b = saves.select(F.col("event_id").alias("save_id"), "user_id", F.col("ts").alias("saved")).withWatermark("saved", f"{hours} hours")
-    return a.join(b, (F.col("u") == F.col("user_id")) & (F.col("saved") >= F.col("started")) & (F.col("saved") <= F.col("started") + F.expr(f"interval {hours} hours"))).select("start_id", "save_id", "user_id")
+    within = (F.col("u") == F.col("user_id")) & (F.col("saved") >= F.col("started")) & (F.col("saved") <= F.col("started") + F.expr(f"interval {hours} hours"))
+    return a.join(b, within, how).select("start_id", "save_id", F.col("u").alias("user_id"))
 
 
 def distinct_events(events: DataFrame, delay: str = "25 hours") -> DataFrame:

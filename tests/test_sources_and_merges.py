@@ -140,6 +140,17 @@ def test_streams(spark, tmp_path):
     assert {tuple(r) for r in feeds.synced(spark, f"{tmp_path}/out").select("user_id", "event_id").collect()} == {(0, 4), (1, 9), (2, 7)}
 
 
+def test_stream_left_join(spark, tmp_path):
+    """A start without a save comes out once later events have moved the watermarks past its 32 hours."""
+    base, hour = datetime.datetime(2024, 1, 1), datetime.timedelta(hours=1)
+    rows = [(1, base, 7, "signup", 0.0, ""), (2, base + 31 * hour, 7, "purchase", 0.0, ""), (3, base, 8, "signup", 0.0, ""), (4, base + 33 * hour, 8, "purchase", 0.0, ""), (5, base + 400 * hour, 9, "signup", 0.0, ""), (6, base + 400 * hour, 9, "purchase", 0.0, "")]
+    spark.createDataFrame(rows, feeds.EVENTS).coalesce(1).write.parquet(f"{tmp_path}/e")
+    e = feeds.event_stream(spark, f"{tmp_path}/e")
+    joined = feeds.edits_within(e.where("event_type = 'signup'"), e.where("event_type = 'purchase'"), how="left")
+    got = {tuple(r) for r in feeds.run_to_end(joined, "left_edits").collect()}
+    assert got == {(1, 2, 7), (3, None, 8), (5, 6, 9)}
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
