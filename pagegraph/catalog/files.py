@@ -10,7 +10,7 @@ from ..functions import markup as H
 from ..functions import text as T
 from ..functions import titles as N
 from ..functions import urls as U
-from ..session import ready_checkpoints, table
+from ..session import ready_checkpoints, table, taken
 from ..sources import model as M
 from ..sources import readers as R
 from ..sources import sinks as K
@@ -34,7 +34,7 @@ def tsv_round_trip(spark, d):
     remark = F.concat("o_orderpriority", F.when(k == 0, "\ttab").when(k == 1, "\\back").when(k == 2, "").otherwise(' "quote"'))
     K.write_tsv(o.select("o_orderkey", F.when(F.col("o_custkey") % 3 > 0, remark).alias("remark"), "o_totalprice", "o_orderpriority"), path)
     back = R.read_tsv(spark, path, "o_orderkey bigint, remark string, o_totalprice double, o_orderpriority string", sets={"dear": "o_totalprice > 100000", "n": "cast(length(o_orderpriority) as bigint)"})
-    return back.select("o_orderkey", "remark", "dear", "n")
+    return taken(back.select("o_orderkey", "remark", "dear", "n"), path)
 
 
 @query("""select o_custkey, cast(count(*) as bigint) as orders, min(o_totalprice) as least, string_agg(o_orderstatus, '' order by o_orderkey) as states from orders where o_orderkey % 50 = 1 group by o_custkey""")
@@ -44,7 +44,7 @@ def json_round_trip(spark, d):
     few = table(spark, d, "orders").where("o_orderkey % 50 = 1").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus", "o_totalprice"))).alias("orders"))  # a customer's orders
     K.write_json(few, path)
     back = spark.read.schema(few.schema).json(path)
-    return back.select("o_custkey", F.size("orders").cast("long").alias("orders"), F.array_min(F.col("orders.o_totalprice")).alias("least"), F.array_join("orders.o_orderstatus", "").alias("states"))
+    return taken(back.select("o_custkey", F.size("orders").cast("long").alias("orders"), F.array_min(F.col("orders.o_totalprice")).alias("least"), F.array_join("orders.o_orderstatus", "").alias("states")), path)
 
 
 @query("""select 'ok' as kind, p_brand || ' ' || replace(p_name, ' ', '_') as line, cast(p_size as bigint) as views from part where p_partkey % 5 < 3 union all
@@ -57,7 +57,7 @@ def pagecount_files(spark, d):
     line = F.when(k < 3, good).when(k == 3, F.concat("p_brand", F.lit(" "), "p_name", F.lit(" x "), F.col("p_size").cast("string"))).otherwise(F.concat_ws(" ", name, F.col("p_size").cast("string")))
     p.select(line.alias("value")).write.option("compression", "gzip").text(path)
     rows, bad = R.read_pagecounts(spark, path)
-    return rows.select(F.lit("ok").alias("kind"), F.concat_ws(" ", "project", "title").alias("line"), "views").unionAll(bad.select(F.lit("bad"), "value", F.lit(None).cast("long")))
+    return taken(rows.select(F.lit("ok").alias("kind"), F.concat_ws(" ", "project", "title").alias("line"), "views").unionAll(bad.select(F.lit("bad"), "value", F.lit(None).cast("long"))), path)
 
 
 @query("""select 'T ' || doc_id as title, cast(doc_id % 3 as int) as ns, doc_id as page_id, cast(length(text) as bigint) as n from documents where doc_id % 3 < 2""")
@@ -67,7 +67,7 @@ def xml_dump(spark, d):
     page = doc.select(F.concat(F.lit("T "), F.col("doc_id").cast("string")).alias("title"), (F.col("doc_id") % 3).cast("int").alias("ns"), F.col("doc_id").alias("id"), F.struct(F.concat(F.lit("|"), "text", F.lit("|")).alias("text")).alias("revision"))
     page.write.format("xml").option("rootTag", "mediawiki").option("rowTag", "page").save(path)
     back = R.read_xml_dump(spark, path, F.col("ns") < 2)
-    return back.select("title", "ns", "page_id", (F.length("text") - 2).cast("long").alias("n"))
+    return taken(back.select("title", "ns", "page_id", (F.length("text") - 2).cast("long").alias("n")), path)
 
 
 @query("""select strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S') as stamp, cast(user_id as varchar) as who, event_type as what from events where event_type <> 'error' order by 1 desc, 2, 3""")
@@ -77,7 +77,7 @@ def log_lines(spark, d):
     e = table(spark, d, "events")
     line = F.concat(F.lit("["), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("] user="), F.col("user_id").cast("string"), F.when(F.col("event_type") == "error", " failed ").otherwise(" did "), "event_type")
     K.write_lines(e, path, line)
-    return R.read_log(spark, path, r"^\[([^\]]+)\] user=(\d+) did (\w+)$", ["stamp", "who", "what"]).orderBy(F.desc("stamp"), "who", "what")
+    return taken(R.read_log(spark, path, r"^\[([^\]]+)\] user=(\d+) did (\w+)$", ["stamp", "who", "what"]), path).orderBy(F.desc("stamp"), "who", "what")
 
 
 @query("""select url, cast(page_id as varchar) as refId, cast(length(html) as varchar) as context, case when page_id % 2 = 0 then '200' else '404' end as status, case when page_id % 2 = 0 then null else 'Not Found' end as reason from pages where url is not null""")
@@ -86,7 +86,7 @@ def link_cache(spark, d):
     path, p = _folder(spark), table(spark, d, "pages").where("url is not null")
     ok = F.col("page_id") % 2 == 0
     K.write_tsv(p.select("url", "page_id", F.length("html"), F.when(ok, "200").otherwise("404").alias("s"), F.when(~ok, "Not Found").alias("r"), *[F.lit("").alias(x) for x in "abcde"]), path)
-    return R.read_link_cache(spark, path).select("url", "refId", "context", "status", "reason")
+    return taken(R.read_link_cache(spark, path).select("url", "refId", "context", "status", "reason"), path)
 
 
 @query("""select s_suppkey % 3 = 0 as archived, cast(s_suppkey as varchar) as webcite_id, 'http://x.org/?a=' || s_suppkey || '&b=<' as original_url from supplier""")
@@ -95,7 +95,7 @@ def archive_results(spark, d):
     path, k = _folder(spark), F.col("s_suppkey").cast("string")
     rows = table(spark, d, "supplier").select(F.when(F.col("s_suppkey") % 3 == 0, "success").otherwise("failure").alias("status"), k.alias("webcite_id"), F.concat(F.lit("http://x.org/?a="), k, F.lit("&b=<")).alias("original_url"))
     rows.write.format("xml").option("rootTag", "resultset").option("rowTag", "result").save(path)
-    return R.read_results_xml(spark, path).select((F.col("status") == "success").alias("archived"), "webcite_id", "original_url")
+    return taken(R.read_results_xml(spark, path).select((F.col("status") == "success").alias("archived"), "webcite_id", "original_url"), path)
 
 
 @query("""with s as (select page_id, unnest([page_id, page_id + 1]) as k from pages) select page_id, '2010' || lpad(cast(k as varchar), 10, '0') as stamp from s""")
@@ -130,13 +130,24 @@ def table_swap(spark, d):
     return out
 
 
+@query("select l_suppkey, cast(count(*) as bigint) as n, sum(l_quantity) as quantity from lineitem group by l_suppkey")
+def clustered_table(spark, d):
+    """A table bucketed and sorted by a key and grouped by it without a shuffle."""
+    ready_checkpoints(spark)
+    name = f"clustered_{uuid.uuid4().hex[:12]}"
+    K.clustered(table(spark, d, "lineitem").select("l_suppkey", "l_quantity"), name, "l_suppkey")
+    out = spark.table(name).groupBy("l_suppkey").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity")).checkpoint()
+    spark.sql(f"drop table {name}")
+    return out
+
+
 @query("""select 'http://x.org/' || min(page_id) as first, cast(count(*) as bigint) as n from pages where page_id % 10 = 3""")
 def first_file(spark, d):
     """The first file by name that holds a line, and how many hold one."""
     path, p = _folder(spark), table(spark, d, "pages")
     p.where("page_id % 10 = 3").select(F.concat(F.lit("http://x.org/"), F.col("page_id").cast("string")).alias("value"), F.lpad(F.col("page_id").cast("string"), 9, "0").alias("name")).write.partitionBy("name").text(path)
     file = R.first_file_with(spark, path, "x.org").select(F.concat(F.lit("http://x.org/"), F.regexp_replace(F.regexp_extract("file", "name=([0-9]+)", 1), "^0+(?=.)", "")).alias("first"))
-    return file.withColumn("n", spark.read.text(path).agg(F.count("*")).scalar())
+    return taken(file.withColumn("n", spark.read.text(path).agg(F.count("*")).scalar()), path)
 
 
 # ----------------------------------------------------------------- selectors, parameters, sets

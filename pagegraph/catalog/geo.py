@@ -163,3 +163,12 @@ def interwiki_coords(spark, d):
     tagged = M.categorylinks(spark, d).where(F.col("cl_to").isin("1905_births", "1911_births", "1920_births")).select(F.col("cl_from").alias("page_id")).join(c.select(F.col("gc_from").alias("page_id")), "page_id", "left_anti")
     hop = tagged.join(M.page(spark, d), "page_id").join(M.langlinks(spark, d), F.col("page_id") == F.col("ll_from"))
     return hop.join(c, F.col("ll_page") == F.col("gc_from")).select("page_id", "page_title", "ll_lang", "gc_lat", "gc_lon")
+
+
+@query("""select s_suppkey, '{{coord|' || (s_suppkey % 90) || '|' || case when s_suppkey % 2 = 0 then 'N' else 'S' end || '|' || (s_suppkey % 180) || '.5|E|' || case when s_suppkey % 3 = 0 then 'type:city' else 'type:city_region:DE' end || '|display=title}}' as template from supplier where s_suppkey % 90 > 0 or s_suppkey % 2 = 0""")
+def coord_templates(spark, d):
+    """Coordinates written as templates."""
+    k = F.col("s_suppkey")
+    lat = (k % 90).cast("double") * F.when(k % 2 == 0, 1).otherwise(-1)
+    s = table(spark, d, "supplier").where("s_suppkey % 90 > 0 or s_suppkey % 2 = 0")
+    return s.select("s_suppkey", G.template(lat, (k % 180) + F.lit(0.5), F.lit("city"), F.when(k % 3 != 0, "DE")).alias("template"))

@@ -107,11 +107,13 @@ def name_keys(spark, d):
     return table(spark, d, "part").select("p_partkey", N.no_ping(name).alias("no_ping"), N.loose_key(name).alias("loose"))
 
 
-@query("""select n_nationkey, n_name, lower(left(n_name, 2)) as language, 'wiktionary' as family, lower(left(n_name, 2)) || '.wiktionary.org' as host from nation""")
+@query("""with n as (select c_custkey, c_custkey % 6 as k, ['de', 'zh_min_nan', 'en', 'commons', 'fr', 'meta'][c_custkey % 6 + 1] as lang, ['wiktionary', 'wiki', 'wikisource', 'wiki', 'wiki', 'wiki'][c_custkey % 6 + 1] as family from customer)
+select c_custkey, replace(lang, '_', '-') as language, case when k in (3, 5) then 'wikimedia' when family = 'wiki' then 'wikipedia' else family end as family, case when k in (3, 5) then lang || '.wikimedia.org' else replace(lang, '_', '-') || '.' || case when family = 'wiki' then 'wikipedia' else family end || '.org' end as host from n""")
 def db_names(spark, d):
-    n = table(spark, d, "nation")
-    parts = N.db_parts(F.concat(F.lower(F.left("n_name", F.lit(2))), F.lit("wiktionary_p")))
-    return n.select("n_nationkey", "n_name", parts.alias("p")).select("n_nationkey", "n_name", "p.language", "p.family", "p.host")
+    """Names of databases of several families, with long language codes and special sites, as language, family and host."""
+    names = F.array(*map(F.lit, ("dewiktionary_p", "zh_min_nanwiki_p", "enwikisource", "commonswiki_p", "frwiki_p", "metawiki")))
+    parts = N.db_parts(F.element_at(names, (F.col("c_custkey") % 6 + 1).cast("int")))
+    return table(spark, d, "customer").select("c_custkey", parts.alias("p")).select("c_custkey", "p.language", "p.family", "p.host")
 
 
 @query(r"""select p_partkey, regexp_replace(p_name, '([0-9]+)', '0000\1', 'g') as padded from part""")
@@ -150,3 +152,33 @@ def list_text(spark, d):
     """The nations of a region, no more than a few, as a list in a sentence."""
     few = table(spark, d, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.when(F.col("n_nationkey") % 7 < F.col("n_regionkey"), F.col("n_name")))).alias("m"))
     return few.select("n_regionkey", N.english_list(F.col("m")).alias("members"))
+
+
+_SPACES = ", ".join(f"({n}, '{name}')" for n, name in N.NAMESPACES.items())
+
+
+@query(f"""with ns(id, name) as (values {_SPACES}) select c_custkey, case when name is null then '{{ns:' || c_custkey % 130 || '}}:' || c_name when name = '' then c_name else replace(name, ' ', '_') || ':' || c_name end as title, case when name is not null and name <> '' then cast(id as bigint) else 0 end as ns, case when name is null then '{{ns:' || c_custkey % 130 || '}}:' || c_name else c_name end as rest from customer left join ns on id = c_custkey % 130""")
+def namespace_join(spark, d):
+    """Full titles by a join with the table of namespaces, unknown ones too, and split again."""
+    names = spark.createDataFrame(list(N.NAMESPACES.items()), "id long, name string")
+    c = table(spark, d, "customer").withColumn("id", F.col("c_custkey") % 130).join(names, "id", "left")
+    name = F.coalesce("name", F.concat(F.lit("{ns:"), F.col("id").cast("string"), F.lit("}")))
+    title = F.when(name == "", F.col("c_name")).otherwise(F.concat(F.replace(name, F.lit(" "), F.lit("_")), F.lit(":"), "c_name"))
+    return c.select("c_custkey", title.alias("title")).withColumn("p", N.split_namespace(F.col("title"))).select("c_custkey", "title", F.col("p.ns").cast("long").alias("ns"), "p.rest")
+
+
+@query("select max(ts) as newest, cast(date_diff('second', date_trunc('second', max(ts)), timestamp '2024-03-01 00:00:00') as bigint) as lag_s, date_diff('second', date_trunc('second', max(ts)), timestamp '2024-03-01 00:00:00') > 300 as stale from events")
+def freshness(spark, d):
+    """The newest row, how far it lies behind, and whether that is over five minutes."""
+    from ..sources import readers as R
+
+    return R.freshness(table(spark, d, "events"), "ts", "2024-03-01 00:00:00").withColumn("stale", F.col("lag_s") > 300)
+
+
+@query("""select p_partkey, p_name from part where p_name like 'red%' or p_name like '%\\_ring' escape '\\' or p_name like '% bolt' or p_name like 'The red%' or p_name like 'small%' or p_name like 'The small%' """)
+def title_likes(spark, d):
+    """Pages whose titles fit any of the patterns made of two titles, with and without an article, or of a suffix in which an underscore is itself."""
+    from ..operators import predicates as P
+
+    p = table(spark, d, "part")
+    return p.where(P.any_like("p_name", ["red", "small"], suffixes=["_ring", " bolt"])).select("p_partkey", "p_name")

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..session import ready_checkpoints, table
+from ..session import ready_checkpoints, table, taken
 from ..streaming import feeds as S
 from .base import Catalogue
 
@@ -32,10 +32,10 @@ def _finish(spark, stream, mode="append"):
             done.append(number)
 
         stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-        return spark.read.schema(stream.schema).parquet(f"{folder}/out-{max(done)}") if done else spark.createDataFrame([], stream.schema)
+        return taken(spark.read.schema(stream.schema).parquet(f"{folder}/out-{max(done)}") if done else spark.createDataFrame([], stream.schema), folder)
     q = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+    return taken(spark.read.schema(stream.schema).parquet(f"{folder}/out"), folder)
 
 
 @query("select event_id, user_id, value from events where event_type = 'purchase' and value > 90 and user_id in (select user_id from events where event_type = 'signup')")
@@ -81,7 +81,7 @@ def stream_notify_list(spark, d):
 
     S.notify_list(_source(spark, d)).writeStream.foreachBatch(put).option("checkpointLocation", f"{folder}/state").outputMode("update").trigger(availableNow=True).start().awaitTermination()
     out = spark.read.schema("user_id long, uploads long, batch int").parquet(f"{folder}/out/*")
-    return out.groupBy("user_id").agg(F.max_by("uploads", "batch").alias("uploads"))
+    return taken(out.groupBy("user_id").agg(F.max_by("uploads", "batch").alias("uploads")), folder)
 
 
 @query("""select c as channel, event_id from events, (values ('evens', '2}'), ('sixes', '6'), ('all', '{')) as r(c, needle) where contains(props, needle)""")
@@ -97,4 +97,4 @@ def stream_sync(spark, d):
     folder = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
     rows = _source(spark, d).select("user_id", "ts", "event_id", "value")
     S.sync(rows, f"{folder}/table", "user_id", "ts", f"{folder}/state").awaitTermination()
-    return S.synced(spark, f"{folder}/table").select("user_id", "event_id", "value")
+    return taken(S.synced(spark, f"{folder}/table").select("user_id", "event_id", "value"), folder)

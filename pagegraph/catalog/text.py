@@ -9,6 +9,7 @@ from ..functions import markup as H
 from ..functions import text as T
 from ..functions import titles as N
 from ..session import table
+from ..sources import readers as R
 from .base import Catalogue, rewritten, rewritten_sql
 
 catalogue = Catalogue()
@@ -57,12 +58,23 @@ def capital_ratio(spark, d):
     return table(spark, d, "documents").select("doc_id", F.length(F.regexp_replace(t, "[^A-Z]", "")).cast("long").alias("capitals"), F.length(F.regexp_replace(t, "[^A-Za-z]", "")).cast("long").alias("letters"))
 
 
-@query("""with r as (select '^http://blog\\.' as pattern, 'blog' as name union all select '\\.org/', 'org' union all select 'ref=', 'ref'),
+#: A page of rules, a name and a pattern a line.
+_RULES = """blog: ^http://blog\\.
+org: \\.org/
+ref: ref=
+digits: /[a-z]+/[0-9]{2,}
+secure: ^https
+none: ^ftp
+not a rule"""
+
+
+@query(r"""with r as (select split_part(x, ': ', 1) as name, split_part(x, ': ', 2) as pattern from (select unnest(string_split($rules$, chr(10))) as x) where contains(x, ':')),
 m as (select name, page_id, row_number() over (partition by name order by page_id) as rn from pages join r on regexp_matches(url, pattern))
-select name, cast(count(*) as bigint) as n, string_agg(cast(page_id as varchar), ',' order by page_id) filter (rn <= 33) as samples from m group by name""")
+select name, cast(count(*) as bigint) as n, string_agg(cast(page_id as varchar), ',' order by page_id) filter (rn <= 33) as samples from m group by name""".replace("$rules$", "'" + _RULES + "'"))
 def regex_rule_tally(spark, d):
-    """Links per rule, with 33 samples; the rules are an array of three, so pages are read once and nothing is crossed."""
-    rules = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(p).alias("pattern")) for n, p in (("blog", r"^http://blog\."), ("org", r"\.org/"), ("ref", "ref="))])
+    """Links per rule of a page of rules, with 33 samples; the rules, no more than a page's lines, are an array, so pages are read once and nothing is crossed."""
+    listed = R.rules(spark, _RULES).collect()
+    rules = F.array(*[F.struct(F.lit(r.name).alias("name"), F.lit(r.pattern).alias("pattern")) for r in listed])
     m = table(spark, d, "pages").select("page_id", "url", F.explode(rules).alias("r")).where(F.expr("url rlike r.pattern")).select(F.col("r.name").alias("name"), "page_id")
     n = m.groupBy("name").agg(F.count("*").alias("n"))
     w = Window.partitionBy("name").orderBy("page_id")
@@ -86,10 +98,13 @@ def fuzzy_anchor(spark, d):
     return c.withColumn("ratio", F.round(H.similarity(F.col("a"), F.col("b")), 6)).where("ratio >= 0.5")
 
 
-@query("""select c_custkey, 'linked from ' || case when n = 1 then '1 article' else n || ' articles' end as sentence from (select c_custkey, count(o_orderkey) as n from customer left join orders on o_custkey = c_custkey group by 1)""")
+@query("""with n as (select c_custkey, count(o_orderkey) filter (o_orderstatus <> 'P') as a, count(o_orderkey) filter (o_orderstatus = 'P') as t, c_custkey % 3 as d from customer left join orders on o_custkey = c_custkey group by 1)
+select c_custkey, 'linked from ' || case when a = 1 then '1 article' else a || ' articles' end || case when t = 0 then '' when t = 1 then ' and 1 template' else ' and ' || t || ' templates' end || case d when 0 then '' when 1 then '; deleted 1 time' else '; deleted 2 times' end as sentence from n""")
 def red_sentences(spark, d):
-    c = table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left").groupBy("c_custkey").agg(F.count("o_orderkey").alias("n"))
-    return c.select("c_custkey", T.red_sentence(F.col("n"), F.lit(0), F.lit(0)).alias("sentence"))
+    """What links to a missing page, by articles and templates, and how often it was deleted."""
+    c = table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left")
+    n = c.groupBy("c_custkey").agg(F.count_if(F.col("o_orderstatus") != "P").alias("a"), F.count_if(F.col("o_orderstatus") == "P").alias("t"))
+    return n.select("c_custkey", T.red_sentence(F.col("a"), F.col("t"), F.col("c_custkey") % 3).alias("sentence"))
 
 
 @query(r"""select page_id, cast(len(regexp_extract_all(html, '(?i)<p\b')) as bigint) as p, cast(len(regexp_extract_all(html, '(?i)<li\b')) as bigint) as li, cast(len(regexp_extract_all(html, '(?i)<a\b')) as bigint) as a from pages""")

@@ -21,6 +21,8 @@ COMPASS = "N NBE NNE NEBN NE NEBE ENE EBN E EBS ESE SEBE SE SEBS SSE SBE S SBW S
 #: Points of the compass that are written wrongly, and what they mean.
 HEADINGS = {
     "NNEBN": "NBE", "NNEBE": "NEBN", "ENEBN": "NEBE", "ENEBE": "EBN", "ESEBE": "EBS", "ESEBS": "SEBE", "SSEBE": "SEBS", "SSEBS": "SBE", "SSWBS": "SBW", "SSWBW": "SWBS", "WSWBS": "SWBW", "WSWBW": "WBS", "WNWBW": "WBN", "WNWBN": "NWBW", "NNWBW": "NWBN", "NNWBN": "NBW",
+    "NNEBNE": "NEBN", "ENEBNE": "NEBE", "ESEBSE": "SEBE", "SSEBSE": "SEBS", "SSWBSW": "SWBS", "WSWBSW": "SWBW", "WNWBNW": "NWBW", "NNWBNW": "NWBN", "NEBNNE": "NEBN", "NEBENE": "NEBE", "SEBESE": "SEBE", "SEBSSE": "SEBS", "SWBSSW": "SWBS", "SWBWSW": "SWBW", "NWBWNW": "NWBW", "NWBNNW": "NWBN",
+    "NEN": "NEBN", "NEE": "NEBE", "SEE": "SEBE", "SES": "SEBS", "SWS": "SWBS", "SWW": "SWBW", "NWW": "NWBW", "NWN": "NWBN",
     "NBNE": "NEBN", "EBNE": "NEBE", "EBSE": "SEBE", "SBSE": "SEBS", "SBSW": "SWBS", "WBSW": "SWBW", "WBNW": "NWBW", "NBNW": "NWBN",
     "EN": "NE", "ES": "SE", "WS": "SW", "WN": "NW",
 }
@@ -84,10 +86,15 @@ def attribute(params: Column, key: str) -> Column:
     return F.when(got != "", F.regexp_replace(got, "_+$", ""))
 
 
+def _once(value: Column, use) -> Column:
+    """use(value), where the value is worked out once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def corrected(value: Column, corrections: dict[str, str]) -> Column:
     """A value, or what it is corrected to."""
     m = F.create_map(*[F.lit(x) for kv in corrections.items() for x in kv])
-    return F.coalesce(F.try_element_at(m, value), value)
+    return _once(value, lambda v: F.coalesce(F.try_element_at(m, v), v))
 
 
 def place_type(params: Column) -> Column:
@@ -129,21 +136,27 @@ def default_scale(kind: Column) -> Column:
 
 def geolink(url: Column) -> Column:
     """All parts of a coordinate link, with warnings."""
-    p = params_of(url)
-    at, kind = latlon(p), place_type(p)
-    globe = F.coalesce(F.lower(attribute(p, "globe")), F.lit("earth"))
-    region = corrected(F.upper(attribute(p, "region")), REGIONS)
-    dim, given = metres(attribute(p, "dim")), attribute(p, "scale").try_cast("double")
-    warnings = F.array_compact(F.array(
-        F.when(p.isNull(), "no params"), F.when(p.isNotNull() & at["lat"].isNull(), "no coordinate"), F.when(~globe.isin(*GLOBES), "unknown globe"),
-        F.when(region.isNotNull() & ~region.rlike(r"^[A-Z]{2}(?:-[A-Z0-9]{1,3})?$"), "odd region"), F.when(kind["type"].isNotNull() & ~kind["type"].isin(*SCALES), "unknown type"),
-        F.when(region.isNotNull() & (globe != "earth"), "region on another globe"), F.when((dim <= 0) | (dim >= 40_000_000), "dim out of range"), F.when(given != dim * 10, "dim beside another scale"),
-    ))
-    return F.struct(
-        at["lat"].alias("lat"), at["lon"].alias("lon"), kind["type"].alias("type"), kind["size"].alias("size"), region.alias("region"), globe.alias("globe"), attribute(p, "source").alias("source"),
-        scale(p, kind["type"]).alias("scale"), dim.alias("dim"), heading(attribute(p, "heading")).alias("heading"), metres(F.coalesce(attribute(p, "alt"), attribute(p, "elevation"))).alias("elevation"),
-        digits(p).alias("digits"), warnings.alias("warnings"),
-    )
+
+    def parts(p: Column) -> Column:
+        return F.struct(
+            p.alias("p"), latlon(p).alias("at"), place_type(p).alias("kind"), corrected(F.upper(attribute(p, "region")), REGIONS).alias("region"), F.coalesce(F.lower(attribute(p, "globe")), F.lit("earth")).alias("globe"),
+            metres(attribute(p, "dim")).alias("dim"), attribute(p, "scale").try_cast("double").alias("given"),
+        )
+
+    def whole(a: Column) -> Column:
+        p, kind, region, globe, dim = a["p"], a["kind"]["type"], a["region"], a["globe"], a["dim"]
+        warnings = F.array_compact(F.array(
+            F.when(p.isNull(), "no params"), F.when(p.isNotNull() & a["at"]["lat"].isNull(), "no coordinate"), F.when(~globe.isin(*GLOBES), "unknown globe"),
+            F.when(region.isNotNull() & ~region.rlike(r"^[A-Z]{2}(?:-[A-Z0-9]{1,3})?$"), "odd region"), F.when(kind.isNotNull() & ~kind.isin(*SCALES), "unknown type"),
+            F.when(region.isNotNull() & (globe != "earth"), "region on another globe"), F.when((dim <= 0) | (dim >= 40_000_000), "dim out of range"), F.when(a["given"] != dim * 10, "dim beside another scale"),
+        ))
+        return F.struct(
+            a["at"]["lat"].alias("lat"), a["at"]["lon"].alias("lon"), kind.alias("type"), a["kind"]["size"].alias("size"), region.alias("region"), globe.alias("globe"), attribute(p, "source").alias("source"),
+            scale(p, kind).alias("scale"), dim.alias("dim"), heading(attribute(p, "heading")).alias("heading"), metres(F.coalesce(attribute(p, "alt"), attribute(p, "elevation"))).alias("elevation"),
+            digits(p).alias("digits"), warnings.alias("warnings"),
+        )
+
+    return _once(params_of(url), lambda p: _once(parts(p), whole))
 
 
 def emit(lat: Column, lon: Column, kind: Column, region: Column) -> Column:
@@ -155,3 +168,11 @@ def emit(lat: Column, lon: Column, kind: Column, region: Column) -> Column:
 
     parts = [side(lat, "_N", "_S"), side(lon, "_E", "_W"), F.when(kind.isNotNull(), F.concat(F.lit("type:"), kind)), F.when(region.isNotNull(), F.concat(F.lit("region:"), region))]
     return F.concat_ws("_", *parts)
+
+
+def template(lat: Column, lon: Column, kind: Column, region: Column, display: str = "title") -> Column:
+    """A place as a coordinate template."""
+    place = emit(lat, lon, kind, region)
+    sides = F.regexp_replace(F.regexp_extract(place, "^([^_]+_[NS]_[^_]+_[EW])", 1), "_", "|")
+    rest = F.regexp_replace(place, "^[^_]+_[NS]_[^_]+_[EW]_?", "")
+    return F.concat(F.lit("{{coord|"), sides, F.when(rest != "", F.concat(F.lit("|"), rest)).otherwise(""), F.lit(f"|display={display}}}}}"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import and_
 
@@ -31,3 +32,16 @@ def tagged(column: str, tag: str) -> Column:
     """A condition on a comma-separated list; a tag with a leading minus must be absent."""
     has = F.array_contains(F.split(F.coalesce(F.col(column), F.lit("")), ","), tag.removeprefix("-"))
     return ~has if tag.startswith("-") else has
+
+
+def any_like(column: str, titles: list[str], suffixes: list[str] = ()) -> Column:
+    """Whether a column starts with any of some titles, with or without an article, or ends with any of some suffixes; % and _ in these stand for themselves."""
+
+    def escaped(t: str) -> str:
+        return re.sub(r"([\\%_])", r"\\\1", t)
+
+    patterns = [f"{article}{escaped(t)}%" for t in titles for article in ("", "The ")] + [f"%{escaped(t)}" for t in suffixes]
+    out = F.lit(False)
+    for p in patterns:
+        out = out | F.col(column).like(p)
+    return out

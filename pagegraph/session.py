@@ -46,6 +46,13 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def taken(df: DataFrame, folder: str) -> DataFrame:
+    """A result checkpointed, so that the folder it was read from can go."""
+    out = df.checkpoint()
+    remove_folder(df.sparkSession, folder)
+    return out
+
+
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Keeps Arrow batches small enough for long texts on small executors."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
