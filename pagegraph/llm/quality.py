@@ -146,8 +146,11 @@ def co_train(model: Model, fit: list[Vector], y: np.ndarray, held: list[Vector],
             view.w = logistic(x, np.concatenate([y, [label for label, _ in got]]), np.concatenate([np.ones(len(y)), np.full(len(got), 0.3)]))
         if turn == rounds:
             break
+        fresh: list[dict] = [{}, {}]
         for i, view, label, vector in surest(model):
-            given[1 - view][i] = label, vector
+            fresh[1 - view].setdefault(i, (label, vector))  # of an id's different rows the surest
+        for k in (0, 1):
+            given[k] |= fresh[k]
     z = model.logits(held)
     # Few held-out labels leave slopes near one; a view is never turned round.
     model.calibrate = tuple(np.maximum(logistic(a[:, None], t, ridge=5.0, center=1.0), [0.0, -np.inf]) for a in z)
@@ -215,8 +218,17 @@ def _read_vectors(b: pa.RecordBatch) -> list[Vector]:
     return list(zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("places", "stats", "marks", "size")), strict=True))
 
 
+def _rank(entry: tuple) -> tuple:
+    """The surest first, then by the hash of the id; repeated ids by all that their vectors hold, nulls included."""
+    q, tie, i, (places, stats, marks, size) = entry
+    return -q, -tie, places, stats, repr((marks, size)), i
+
+
 def _surest(fresh: DataFrame, kind: str, model: Model, sure: float, give: int) -> list[tuple]:
-    """(id, view, label, vector): of all unlabelled vectors the `give` surest of each view and class, by probability, then by a hash of the id."""
+    """(id, view, label, vector): of all unlabelled vectors the `give` surest of each view and class, by probability, then by a hash of the id.
+
+    Tasks keep `give` of each, and a tree of merges keeps `give` of any two of them.
+    """
     shared = fresh.sparkSession.sparkContext.broadcast(model)
 
     def judge(batches):
@@ -229,25 +241,28 @@ def _surest(fresh: DataFrame, kind: str, model: Model, sure: float, give: int) -
             for view, z in enumerate(shared.value.logits(rows)):
                 p = probability(z)
                 for label, q in ((1, p), (0, 1 - p)):
-                    got = best.setdefault((view, label), [])
-                    for i in np.flatnonzero(q >= sure):
-                        entry = (q[i], ties[i], ids[i], rows[i])
-                        if len(got) < give:
-                            heapq.heappush(got, entry)
-                        elif entry[:2] > got[0][:2]:
-                            heapq.heapreplace(got, entry)
-        out = [(view, label, float(e[0]), *e[1:]) for (view, label), got in best.items() for e in got]
+                    got = best.get((view, label), [])
+                    least = got[-1][0] if len(got) == give else sure  # the surest come first
+                    new = [(float(q[i]), ties[i], ids[i], rows[i]) for i in np.flatnonzero(q >= least)]
+                    best[view, label] = heapq.nsmallest(give, got + new, key=_rank)
+        out = [(view, label, *e) for (view, label), got in best.items() for e in got]
         names = ["view", "label", "q", "tie", "id", "places", "stats", "marks", "size"]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.float64()), pa.array([r[3] for r in out], pa.int64()), pa.array([r[4] for r in out], kind_of), *_vector_arrays([r[5] for r in out])], names=names)
 
+    def add(best, r):
+        got = best.setdefault((r.view, r.label), [])
+        got.append((r.q, r.tie, r.id, (r.places, r.stats, r.marks, r.size)))
+        if len(got) > 4 * give:
+            got[:] = heapq.nsmallest(give, got, key=_rank)
+        return best
+
+    def merge(a, b):
+        return {k: heapq.nsmallest(give, a.get(k, []) + b.get(k, []), key=_rank) for k in a.keys() | b.keys()}
+
     kind_of = pa.int64() if kind == "bigint" else pa.string()
     some = fresh.mapInArrow(judge, f"view int, label int, q double, tie long, id {kind}, {_VECTOR}")
-    rows = []
-    some = some.checkpoint()  # at most 4 x give rows a task
-    for view in (0, 1):
-        for label in (0, 1):
-            rows += some.where((F.col("view") == view) & (F.col("label") == label)).orderBy(F.desc("q"), F.desc("tie")).limit(give).collect()
-    return [(r.id, r.view, r.label, (r.places, r.stats, r.marks, r.size)) for r in rows]
+    best = some.rdd.treeAggregate({}, add, merge, depth=2)
+    return [(i, view, label, vector) for (view, label), got in sorted(best.items()) for _, _, i, vector in heapq.nsmallest(give, got, key=_rank)]
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = ("lang", "source", "n_chars"), labelled: int = 6000, rounds: int = 3, sure: float = 0.97, give: int = 300, most_words: int = 400, most_marks: int = 200) -> Model | None:
@@ -271,7 +286,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(b.schema.get_field_index("tie")), *_vector_arrays(_vectors(b, text))], names=["id", "tie", "places", "stats", "marks", "size"])
 
     vectors = every.withColumn("tie", tie).mapInArrow(reduce, f"id {kind}, tie long, {_VECTOR}").checkpoint()
-    rows = {r.id: r for r in sorted(vectors.join(F.broadcast(known), "id").collect(), key=lambda r: (r.id, r.places, r.stats, str(r.marks)))}.values()
+    # One row an id, by aggregation, however often an id is repeated.
+    rows = vectors.join(F.broadcast(known), "id").groupBy("id", "good", "held").agg(F.max(F.struct("places", "stats", "marks", "size")).alias("v")).select("id", "good", "held", "v.*").collect()
+    rows.sort(key=lambda r: r.id)
     fresh = vectors.join(judged.select("id"), "id", "left_anti").checkpoint()  # each round reads it
     fit, held = ([r for r in rows if r.held == h] for h in (False, True))
     as_vector = lambda r: (r.places, r.stats, r.marks, r.size)
