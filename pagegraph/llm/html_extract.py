@@ -1,11 +1,13 @@
 """Main text of pages by wrapper induction.
 
 Pages of a host are aligned with the host's pivot (its page of least id) by
-simple tree matching over their DOM trees, in which a run of more than eight
-like siblings counts as one node. A pivot node whose text is the same on nearly
+simple tree matching over their DOM trees. A pivot node whose text is the same on nearly
 all aligned pages, and there are enough of different text, is template; what
 varies is content. Besides, what markup itself names as menu, header, footer, sidebar, notice,
-advert, form, script, style or comment is never content.
+advert, form, script, style or comment is never content: by tag or role, or by a
+class or id that as a whole is such a name (main-menu, but not has-sidebar; of a
+paragraph only names of adverts and the like). An article or main is never lost to
+the name of a block around it.
 
 Every page becomes a profile (its whole tree and text digests); profiles, not
 pages, meet the pivots, votes are added up before and in the shuffle, and a
@@ -27,6 +29,7 @@ import html
 import json
 import re
 from collections import Counter
+from functools import lru_cache
 from hashlib import blake2b
 from itertools import accumulate
 
@@ -49,7 +52,18 @@ _WORDS = frozenset(
 _CLOSES = {"p": frozenset(["p"]), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
 _ENDS_P = _BLOCK - {"body", "html", "option", "li", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "dt", "dd", "legend", "summary"}
 _SCOPE = frozenset("ul ol dl table div article section main body html nav header footer aside form blockquote td th".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_SHORT = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th span a b i em strong small q cite code pre blockquote figcaption".split())
+#: Of the words above, those that name a paragraph or a phrase too; others name blocks only, as a paragraph may well be about notices.
+_PLAIN = frozenset("ad ads advert adverts advertisement advertising sponsored breadcrumb breadcrumbs pagination".split())
+#: What a name may hold beside those words, as in main-menu or cookie-box; has-sidebar or comment-law are other names.
+_NEUTRAL = frozenset("site page main top bottom left right primary secondary global inner outer box bar block panel section area wrapper container wrap content list item items link links button buttons text".split())
+
+_SIMPLE = re.compile(r"<([A-Za-z][^\s/><]*+)([^<>\"'=]*+(?:=\s*+(?:\"[^\"<>]*+\"|'[^'<>]*+'|[^\s\"'<>=`]++)[^<>\"'=]*+)*+)>")
+_NAME = re.compile(r"[A-Za-z][^\s/>]*")
+_SPACE = re.compile(r"[\s/]*")
+_KEY = re.compile(r"=?[^\s/>=]*")
+_EQUALS = re.compile(r"\s*=\s*")
+_BARE = re.compile(r"[^\s>]*")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 
 
@@ -65,60 +79,133 @@ class Node:
         return f"{self.tag}.{self.name}" if self.name else self.tag
 
 
+class Reader:
+    """Tags of a page, one after the other, in time proportional to its length.
+
+    A quote opens a value only behind an equals sign; one that nothing closes belongs to a bare value.
+    When a tag has no end outside quotes it ends at the next `>`, and so does every later tag.
+    """
+
+    def __init__(self, source: str):
+        self.source, self.simple = source, True
+
+    def tag(self, at: int) -> tuple[str, dict[str, str], bool, int] | None:
+        """(name, attributes, closed at once, place behind it) of the start tag at a place; None if none ends."""
+        if m := _SIMPLE.match(self.source, at):
+            found = {k.lower(): (a or b or c) for k, a, b, c in reversed(_ATTRIBUTE.findall(m[2]))} if m[2] else {}
+            return m[1].lower(), found, m[2].endswith("/"), m.end()
+        source, pos, found = self.source, _NAME.match(self.source, at + 1).end(), {}
+        name, closed = source[at + 1 : pos].lower(), False
+        while self.simple and (pos := _SPACE.match(source, pos).end()) < len(source):
+            if source[pos] == ">":
+                return name, found, source[pos - 1] == "/", pos + 1
+            m = _KEY.match(source, pos)
+            key, pos, value = m[0].lower(), m.end(), ""
+            if m := _EQUALS.match(source, pos):
+                pos = m.end()
+                quote = source[pos : pos + 1]
+                end = source.find(quote, pos + 1) if quote in ("'", '"') else -1
+                if end >= 0:
+                    value, pos = source[pos + 1 : end], end + 1
+                else:
+                    m = _BARE.match(source, pos)
+                    value, pos = m[0], m.end()
+            found.setdefault(key, value)
+        self.simple = False
+        end = source.find(">", at)
+        return None if end < 0 else (name, {}, closed, end + 1)
+
+
 def parse(source: str) -> Node:
-    """A tree of any markup: unknown ends are ignored, missing ones implied."""
-    root = Node("#root")
-    stack, at, end = [root], 0, len(source)
-    while at < end:
-        m = _TOKEN.search(source, at)
-        start = m.start() if m else end
-        if start > at:
-            stack[-1].children.append(html.unescape(source[at:start]))
-        if not m:
-            break
-        at = m.end()
-        if m[0].startswith("<![CDATA["):
-            stack[-1].children.append(m[0][9:].removesuffix("]]>"))
-        if not m[2]:
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if tag in ("p", "b", "i", "em", "strong", "span", "a", "li") and stack[i].tag in _SCOPE:
-                    break
-            continue
-        shut = _CLOSES.get(tag, frozenset()) | (frozenset(["p"]) if tag in _ENDS_P else frozenset())
-        if shut:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in shut:
-                    del stack[i:]
-                    break
-                if stack[i].tag in _SCOPE:
-                    break
-        found = {k.lower(): (a or b or c) for k, a, b, c in _ATTRIBUTE.findall(m[3])} if m[3] else {}
-        node = Node(tag, " ".join(sorted(f"{found.get('class', '')} {found.get('id', '')}".lower().split())), found.get("role", "").lower())
-        stack[-1].children.append(node)
-        if tag in _VOID or m[3].endswith("/"):
-            continue
-        if tag in _RAW:
-            close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(source, at)
-            node.children.append(source[at : close.start() if close else end])
-            at = close.end() if close else end
+    """A tree of any markup: unknown ends are ignored, missing ones implied. Time is proportional to the length."""
+    root, reader = Node("#root"), Reader(source)
+    stack, at, text, end = [root], 0, 0, len(source)
+    places: dict[str, list[int]] = {}  # where in the stack nodes of a tag are open
+    scopes = [0]  # where in the stack nodes are that close what opens in them
+
+    def close(i: int) -> None:
+        while len(stack) > i:
+            places[stack.pop().tag].pop()
+            if scopes[-1] == len(stack):
+                scopes.pop()
+
+    def words(until: int) -> None:
+        if until > text:
+            stack[-1].children.append(html.unescape(source[text:until]))
+
+    while (at := source.find("<", at)) >= 0:
+        c = source[at + 1 : at + 2]
+        if c in ("!", "?") and c:
+            words(at)
+            if source.startswith("<!--", at):
+                stop = source.find("-->", at + 4)
+                at = end if stop < 0 else stop + 3
+            elif source.startswith("<![CDATA[", at):
+                stop = source.find("]]>", at)
+                stack[-1].children.append(source[at + 9 : end if stop < 0 else stop])
+                at = end if stop < 0 else stop + 3
+            else:
+                stop = source.find(">", at)
+                at = end if stop < 0 else stop + 1
+            text = at
+        elif c == "/" and (m := _NAME.match(source, at + 2)):
+            stop = source.find(">", m.end())
+            if stop < 0:
+                break
+            words(at)
+            at = text = stop + 1
+            tag = m[0].lower()
+            if (open_ := places.get(tag)) and (open_[-1] >= scopes[-1] or tag not in ("p", "b", "i", "em", "strong", "span", "a", "li")):
+                close(open_[-1])
+        elif c.isascii() and c.isalpha():
+            if (got := reader.tag(at)) is None:
+                break
+            words(at)
+            tag, found, closed, at = got
+            text = at
+            shut = _CLOSES.get(tag, frozenset()) | (frozenset(["p"]) if tag in _ENDS_P else frozenset())
+            if shut and (i := max((places[t][-1] for t in shut if places.get(t)), default=0)) >= scopes[-1] and i:
+                close(i)
+            node = Node(tag, " ".join(sorted(f"{found.get('class', '')} {found.get('id', '')}".lower().split())), found.get("role", "").lower())
+            stack[-1].children.append(node)
+            if tag in _VOID or closed:
+                continue
+            if tag in _RAW:
+                shut_tag = re.compile(rf"</{re.escape(tag)}\b", re.I).search(source, at)
+                stop = shut_tag.start() if shut_tag else end
+                node.children.append(source[at:stop])
+                behind = source.find(">", stop) if shut_tag else -1
+                at = text = end if behind < 0 else behind + 1
+            else:
+                places.setdefault(tag, []).append(len(stack))
+                if tag in _SCOPE:
+                    scopes.append(len(stack))
+                stack.append(node)
         else:
-            stack.append(node)
+            at += 1
+    words(end)
     return root
 
 
+def named(node: Node) -> bool:
+    """Whether a class or an id of a node, as a whole, names boilerplate."""
+    if not node.name or node.tag in ("html", "body", "article", "main"):
+        return False
+    for name in node.name.split():
+        parts = [p for p in re.split(r"[_\-]+", name) if p]
+        if node.tag in _SHORT:
+            if parts and all(p in _PLAIN for p in parts):
+                return True
+        elif any(p in _WORDS for p in parts) and all(p in _WORDS or p in _NEUTRAL for p in parts):
+            return True
+    return False
+
+
 def named_boilerplate(node: Node, inside: bool) -> bool:
     """Whether markup says that a node is not content. inside: of an article, where a header is the article's own."""
     if node.tag in _SKIP or node.role in _ROLES:
         return True
-    if node.tag == "header":
-        return not inside
-    return node.tag not in ("html", "body", "article", "main") and any(w in _WORDS for w in re.split(r"[\s_\-]+", node.name))
+    return not inside if node.tag == "header" else named(node)
 
 
 def _gather(node: Node, out: list[str], inside: bool, drop: set[int]) -> None:
@@ -143,15 +230,19 @@ def _gather(node: Node, out: list[str], inside: bool, drop: set[int]) -> None:
 
 
 def _outermost(root: Node, tag: str) -> list[Node]:
-    found, work = [], [(root, False)]
-    while work:
-        x, inside = work.pop()
-        for c in reversed(x.children):
-            if isinstance(c, Node) and not (c.tag not in (tag, "html", "body") and named_boilerplate(c, False)):
-                if c.tag != tag:
-                    work.append((c, inside))
-        found += [c for c in x.children if isinstance(c, Node) and c.tag == tag and not any(w in _WORDS for w in re.split(r"[\s_\-]+", c.name))]
-    return found
+    """Nodes of a tag outside boilerplate, and outside each other; where there are none, those in blocks that names alone call so."""
+
+    def search(skip) -> list[Node]:
+        found, work = [], [root]
+        while work:
+            for c in work.pop().children:
+                if isinstance(c, Node) and c.tag == tag and not any(w in _WORDS for w in c.name.split()):
+                    found.append(c)
+                elif isinstance(c, Node) and c.tag != tag and not skip(c):
+                    work.append(c)
+        return found
+
+    return search(lambda x: named_boilerplate(x, False)) or search(lambda x: x.tag in _SKIP or x.role in _ROLES)
 
 
 def content(root: Node, drop: set[int]) -> str:
@@ -180,24 +271,18 @@ def content(root: Node, drop: set[int]) -> str:
 # ----------------------------------------------------------------- wrappers
 
 
-def skeleton(root: Node) -> tuple[list, list[list[Node]]]:
-    """(tree, groups): nested [sign, [children]] of the whole page, in which a long run of like siblings is one node; groups[i]: the DOM nodes of tree node i, in preorder."""
-    groups: list[list[Node]] = []
+def skeleton(root: Node) -> tuple[list, list[Node]]:
+    """(tree, nodes): nested [sign, [children]] of the whole page; nodes[i]: the DOM node of tree node i, in preorder."""
+    nodes: list[Node] = []
     top: list = [root.sign, []]
-    work: list[tuple[list[Node], list]] = [([root], top)]
+    work: list[tuple[Node, list]] = [(root, top)]
     while work:
-        nodes, tree = work.pop()
-        groups.append(nodes)
-        runs: list[list[Node]] = []
-        for c in (c for n in nodes for c in n.children if isinstance(c, Node) and c.tag not in ("script", "style", "br")):
-            if runs and runs[-1][0].sign == c.sign:
-                runs[-1].append(c)
-            else:
-                runs.append([c])
-        kids = [part for run in runs for part in ([run] if len(run) > 8 else [[c] for c in run])]
-        tree[1] = [[k[0].sign, []] for k in kids]
+        node, tree = work.pop()
+        nodes.append(node)
+        kids = [c for c in node.children if isinstance(c, Node) and c.tag not in ("script", "style", "br")]
+        tree[1] = [[k.sign, []] for k in kids]
         work += zip(reversed(kids), reversed(tree[1]), strict=True)
-    return top, groups
+    return top, nodes
 
 
 def flat(tree: list) -> tuple[list[str], list[int]]:
@@ -376,17 +461,31 @@ class Aligners:
         return self.aligner
 
 
-def _digest(nodes: list[Node]) -> str:
-    parts, work = [], list(reversed(nodes))
+_PRIME, _BASE = (1 << 61) - 1, 1_000_003
+
+
+@lru_cache(1 << 16)
+def _word(word: str) -> int:
+    return int.from_bytes(blake2b(word.encode("utf-8", "replace"), digest_size=7).digest(), "big") + 1
+
+
+def digests(root: Node, nodes: list[Node]) -> list[str]:
+    """A digest of the words of each node, empty without any, from sums over the page's words; nodes may lie in each other at any depth."""
+    sums, powers, spans = [0], [1], {}
+    work: list[tuple[Node | str, int]] = [(root, -1)]
     while work:
-        x = work.pop()
+        x, start = work.pop()
         if isinstance(x, str):
-            parts.append(x)
+            for w in x.split():
+                sums.append((sums[-1] * _BASE + _word(w)) % _PRIME)
+                powers.append(powers[-1] * _BASE % _PRIME)
+        elif start < 0:
+            work.append((x, len(sums) - 1))
+            work += [(c, -1) for c in reversed(x.children)]
         else:
-            parts.append(" ")
-            work += reversed(x.children)
-    text = " ".join("".join(parts).split())
-    return blake2b(text.encode("utf-8", "replace"), digest_size=8).hexdigest() if text else ""
+            spans[id(x)] = start, len(sums) - 1
+    found = (spans[id(x)] for x in nodes)
+    return [f"{j - i:x}.{(sums[j] - sums[i] * powers[j - i]) % _PRIME:x}" if j > i else "" for i, j in found]
 
 
 def _texts(batch: pa.RecordBatch, name: str) -> list[str]:
@@ -400,10 +499,11 @@ def induce_wrappers(pages: DataFrame, id_col: str, host: str, html_col: str, sha
         for b in batches:
             trees, marks, wholes = [], [], []
             for t in _texts(b, "html"):
-                tree, groups = skeleton(parse(t))
+                tree, nodes = skeleton(parse(t))
                 trees.append(json.dumps(flat(tree), separators=(",", ":")))
-                marks.append(json.dumps([_digest(g) for g in groups], separators=(",", ":")))
-                wholes.append(_digest(groups[0]))
+                own = digests(nodes[0], nodes)
+                marks.append(json.dumps(own, separators=(",", ":")))
+                wholes.append(own[0])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(trees, pa.string()), pa.array(marks, pa.string()), pa.array(wholes, pa.string())], names=["host", "id", "tree", "marks", "whole"])
 
     few = pages.where(f"{host} <> '' and {html_col} is not null").select(F.col(host).alias("host"), F.col(id_col).alias("id"), F.col(html_col).alias("html"))
@@ -448,10 +548,11 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
                 root, drop = parse(source), set()
                 if template:
                     known = json.loads(template)
-                    own, groups = skeleton(root)
+                    own, nodes = skeleton(root)
+                    marks = digests(root, nodes)
                     for at, mine in aligners.of(tree).pairs(*flat(own)):
-                        if (mark := known.get(str(at))) and _digest(groups[mine]) == mark:
-                            drop.update(map(id, groups[mine]))
+                        if (mark := known.get(str(at))) and marks[mine] == mark:
+                            drop.add(id(nodes[mine]))
                 out.append(content(root, drop))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["id", "url", "text", "n_chars"])
 
