@@ -7,9 +7,9 @@ from __future__ import annotations
 
 
 def _all():
-    from . import activity, aggregates, files, geo, graph, merges, more, scalars, streams, text, wikitext
+    from . import activity, aggregates, files, geo, graph, merges, more, scalars, search, streams, text, wikitext
 
-    return [m.catalogue for m in (graph, aggregates, merges, activity, geo, scalars, text, wikitext, more, files, streams)]
+    return [m.catalogue for m in (graph, aggregates, merges, activity, geo, scalars, text, wikitext, more, files, search, streams)]
 
 
 def queries() -> dict:

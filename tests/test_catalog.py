@@ -156,3 +156,13 @@ def test_first_sentences(spark):
         ends = [m.end() for m in re.finditer(r"[.!?](?= )", text)] + [len(text)]
         fitting = [e for e in ends if e <= 250] or ends[:1]
         assert got.description == text[: fitting[-1]]
+
+
+def test_blame_words(spark):
+    import collections
+
+    from test_search import plain_blame
+
+    rows = [(r.conv_id, r.turn, r.text) for r in table(spark, DATA, "conversations").collect()]
+    got = collections.Counter((r.conv_id, r.place, r.word, r.revision) for r in QUERIES["blame_words"](spark, DATA).collect())
+    assert got == plain_blame(rows)
