@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..session import ready_checkpoints, table, taken
+from ..session import ready_checkpoints, remove_folder, table, taken
 from ..streaming import feeds as S
 from .base import Catalogue
 
@@ -38,11 +38,45 @@ def _finish(spark, stream, mode="append"):
     return taken(spark.read.schema(stream.schema).parquet(f"{folder}/out"), folder)
 
 
-@query("select event_id, user_id, value from events where event_type = 'purchase' and value > 90 and user_id in (select user_id from events where event_type = 'signup')")
+@query("""select event_id, user_id, value from events where event_type = 'purchase' and value > 90 and user_id in (select user_id from events where event_type = 'signup') and ts <= (select date_trunc('millisecond', max(ts)) - interval 3 minute from events)""")
 def stream_uploads(spark, d):
-    """Large uploads as a stream with a stream-static semi-join."""
+    """Large uploads as a stream, held back for three minutes of its time, with a stream-static semi-join."""
     users = table(spark, d, "events").where("event_type = 'signup'").select("user_id").distinct()
-    return _finish(spark, S.large_uploads(_source(spark, d), users, 90).select("event_id", "user_id", "value"))
+    return _finish(spark, S.large_uploads(_source(spark, d).select("event_id", "user_id", "event_type", "value", "ts"), users, 90).select("event_id", "user_id", "value"))
+
+
+@query("""select event_id, user_id, props from events a where event_type <> 'view' and ts <= (select date_trunc('millisecond', max(ts)) - interval 2 day from events)""")
+def stream_held_back(spark, d):
+    """All changes but the newest two days', which wait."""
+    return _finish(spark, S.held_back(_source(spark, d), "ts", "2 days", F.col("event_type") != "view").select("event_id", "user_id", "props"))
+
+
+@query("""select event_id, user_id from events a where event_type = 'click' and exists (select * from events b where b.event_type = 'error' and b.user_id = a.user_id and b.ts <= a.ts and b.ts > a.ts - interval 7 day)""")
+def stream_after_hits(spark, d):
+    """Reports by users whom a filter hit in the week before, as two streams."""
+    e = _source(spark, d)
+    return _finish(spark, S.after_recent(e.where("event_type = 'click'"), e.where("event_type = 'error'")).select("event_id", "user_id"))
+
+
+FEEDS = ["click", "error", "purchase", "signup", "view"]
+
+
+@query("""with n as (select max(ts) as now from events), f as (select event_type as feed, max(ts) as newest from events where event_type in ('click', 'error', 'purchase', 'signup', 'view') group by 1),
+l as (select feed, newest, cast(floor(epoch(now - newest)) as bigint) as lag_seconds from f, n)
+select feed, newest, lag_seconds, case when lag_seconds > 300 then 'changes of the last ' || lag_seconds // 60 || ' minutes may not be shown' end as warning from l""")
+def stream_staleness(spark, d):
+    """How far each kind of event in a running stream is behind the newest event, and what to warn of."""
+    ready_checkpoints(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    q = S.observed(_source(spark, d), FEEDS).writeStream.format("noop").option("checkpointLocation", folder).trigger(availableNow=True).start()
+    q.awaitTermination()
+    lag = S.Staleness(FEEDS)
+    for p in q.recentProgress:
+        lag.see(p.observedMetrics)
+    remove_folder(spark, folder)
+    seen = [at for at in lag.newest.values() if at is not None]
+    rows = spark.createDataFrame(lag.rows(max(seen)) if seen else [], S.LAG).where("newest_micros is not null")
+    return rows.select("feed", F.timestamp_micros("newest_micros").cast("timestamp_ntz").alias("newest"), "lag_seconds", "warning")
 
 
 @query("select distinct event_id, event_type from events")
@@ -96,5 +130,5 @@ def stream_sync(spark, d):
     ready_checkpoints(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
     rows = _source(spark, d).select("user_id", "ts", "event_id", "value")
-    S.sync(rows, f"{folder}/table", "user_id", "ts", f"{folder}/state").awaitTermination()
-    return taken(S.synced(spark, f"{folder}/table").select("user_id", "event_id", "value"), folder)
+    S.sync_buckets(rows, f"{folder}/table", "user_id", "ts", f"{folder}/state").awaitTermination()
+    return taken(spark.read.schema("user_id bigint, event_id bigint, value double").parquet(f"{folder}/table").drop("bucket"), folder)
