@@ -37,6 +37,22 @@ def tsv_round_trip(spark, d):
     return taken(back.select("o_orderkey", "remark", "dear", "n"), path)
 
 
+_HARD = "chr(9) || chr(10) || chr(13) || chr(8) || chr(22) || '\\' || chr(9) || '\\N\\t'"
+
+
+@query(f"""select doc_id, md5(coalesce(text, '-')) as first, md5({_HARD} || coalesce(text, '')) as middle, md5(case when doc_id % 3 > 0 then coalesce(text, '') || {_HARD} || case doc_id % 4 when 0 then '\\' when 1 then chr(9) when 2 then chr(10) else '' end else 'null' end) as last from documents""")
+def tsv_texts(spark, d):
+    """Whole texts, with every byte that needs an escape put in, as the first, a middle and the last field of a line."""
+    path, t = _folder(spark), F.col("text")
+    hard = F.lit("\t\n\r\b\x16\\\t\\N\\t")
+    k = F.col("doc_id") % 4
+    tail = F.when(k == 0, "\\").when(k == 1, "\t").when(k == 2, "\n").otherwise("")
+    text = F.coalesce(t, F.lit(""))
+    K.write_tsv(table(spark, d, "documents").select(t.alias("first"), F.concat(hard, text).alias("middle"), "doc_id", F.when(F.col("doc_id") % 3 > 0, F.concat(text, hard, tail)).alias("last")), path)
+    back = R.read_tsv(spark, path, "first string, middle string, doc_id bigint, last string")
+    return taken(back.select("doc_id", F.md5(F.coalesce("first", F.lit("-"))).alias("first"), F.md5("middle").alias("middle"), F.md5(F.coalesce("last", F.lit("null"))).alias("last")), path)
+
+
 @query("""select o_custkey, cast(count(*) as bigint) as orders, min(o_totalprice) as least, string_agg(o_orderstatus, '' order by o_orderkey) as states from orders where o_orderkey % 50 = 1 group by o_custkey""")
 def json_round_trip(spark, d):
     """Nested records, one object a line, written and read."""

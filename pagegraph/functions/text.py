@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -147,20 +149,29 @@ _DATES = (
 )
 
 
-def only_date(t: Column, now: Column | None = None) -> Column:
-    """The only distinct date of a text in any of ten forms, of 1900 to 2029, else null. Dates under four days old do not count; a day that its month lacks counts, but is no date."""
-    latest = (F.current_timestamp() if now is None else now) - F.expr("interval 96 hours")
+#: Where a text may hold a date: at the start of a word that begins one of the forms, up to six words on, as no form has more.
+_SPOT = r"(?i)\b(?=(?:" + "|".join(re.sub(r"\((?!\?)", "(?:", p) for _, p in _DATES) + r"))(?=((?:\w+\W+){0,5}\w+.?))"
 
-    def one(order, pattern):
-        def date(x):
-            y, m, d = (F.regexp_extract(x, pattern, order.index(k) + 1) for k in "ymd")
-            month = F.when(m.rlike("^[0-9]"), m).otherwise(((F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), F.lower(F.left(m, F.lit(3)))) + 2) / 3).cast("int").cast("string"))
-            day = F.date_add(F.make_date(y.cast("int"), month.cast("int"), F.lit(1)), d.cast("int") - 1)
-            return F.when(day.cast("timestamp") < latest, F.concat_ws("-", y, F.lpad(month, 2, "0"), F.lpad(d, 2, "0")))
 
-        return F.transform(F.regexp_extract_all(t, F.lit(pattern), 0), date)
+def only_date(t: Column, now: Column | None = None) -> Column:
+    """The only distinct date of a text in any of ten forms, of 1900 to 2029, else null. Dates under four days old do not count; a day that its month lacks counts, but is no date.
+
+    Texts without a year are passed over; of the others one pass finds the spots where any form
+    begins, and the forms are told apart on those few words.
+    """
+    latest = (F.current_timestamp() if now is None else now) - F.expr("interval 96 hours")
 
-    every = F.concat(*(one(order, rf"(?i)\b{pattern}") for order, pattern in _DATES))
+    def one(spot, order, pattern):
+        """The date that a spot begins with in one form, else null."""
+        own = rf"(?i)^(?:{pattern})"
+        y, m, d = (F.regexp_extract(spot, own, order.index(k) + 1) for k in "ymd")
+        month = F.when(m.rlike("^[0-9]"), m).otherwise(((F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), F.lower(F.left(m, F.lit(3)))) + 2) / 3).cast("int").cast("string"))
+        day = F.date_add(F.make_date(y.cast("int"), month.cast("int"), F.lit(1)), d.cast("int") - 1)
+        found = F.when(day.cast("timestamp") < latest, F.concat_ws("-", y, F.lpad(month, 2, "0"), F.lpad(d, 2, "0")))
+        return F.when(spot.rlike(own), found)
+
+    spots = F.when(t.rlike(r"19\d\d|20[0-2]\d"), F.regexp_extract_all(t, F.lit(_SPOT), F.lit(1))).when(t.isNotNull(), F.array().cast("array<string>"))
+    every = F.flatten(F.transform(spots, lambda x: F.array(*(one(x, order, pattern) for order, pattern in _DATES))))
     single = F.transform(F.array(every), lambda e: F.array_distinct(F.filter(e, lambda x: x.isNotNull())))  # in an array, so that what follows names it twice and it is found once
     return F.element_at(F.transform(single, lambda e: F.when(F.size(e) == 1, F.try_element_at(e, F.lit(1)).try_cast("date"))), 1)
 

@@ -4,13 +4,34 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from .sinks import ESCAPES
+
+
+def tsv_value(field: Column) -> Column:
+    """What a field stands for: null for \\N; a letter behind a backslash is its byte, any other character itself."""
+    pieces = F.split(field, r"\\\\")  # at escaped backslashes, from the left, so that every backslash left begins an escape
+
+    def piece(p):
+        for raw, letter in ESCAPES.items():
+            if raw != "\\":
+                p = F.replace(p, F.lit(f"\\{letter}"), F.lit(raw))
+        return F.regexp_replace(p, r"(?s)\\(.)", "$1")
+
+    return F.when(field != "\\N", F.array_join(F.transform(pieces, piece), "\\"))
 
 
 def read_tsv(spark: SparkSession, path: str, schema: str, header: bool = False, sets: dict[str, str] | None = None) -> DataFrame:
-    """Tab-separated rows with \\N for null and backslash escapes; sets: columns computed by SQL expressions."""
-    df = spark.read.schema(schema).option("sep", "\t").option("header", header).option("nullValue", "\\N").option("escape", "\\").option("quote", "").csv(path)
+    """Tab-separated lines with \\N for null and backslash escapes, cast to the schema; a missing or malformed field is null, further fields are left out. sets: columns computed by SQL expressions."""
+    fields = StructType.fromDDL(schema).fields
+    lines = spark.read.option("lineSep", "\n").text(path)
+    if header:
+        lines = lines.where(F.col("value") != "\t".join(f.name for f in fields))
+    parts = lines.select(F.split("value", "\t", -1).alias("f"))
+    df = parts.select(*[tsv_value(F.get("f", F.lit(i))).try_cast(f.dataType).alias(f.name) for i, f in enumerate(fields)])
     for name, expression in (sets or {}).items():
         df = df.withColumn(name, F.expr(expression))
     return df
