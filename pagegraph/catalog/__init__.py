@@ -7,9 +7,9 @@ from __future__ import annotations
 
 
 def _all():
-    from . import activity, aggregates, collation, files, geo, geometry, graph, merges, more, scalars, search, streams, text, wikitext
+    from . import activity, aggregates, collation, files, geo, geometry, graph, merges, more, scalars, search, spans, streams, text, wikitext
 
-    return [m.catalogue for m in (graph, aggregates, merges, activity, geo, scalars, text, wikitext, more, files, search, streams, geometry, collation)]
+    return [m.catalogue for m in (graph, aggregates, merges, activity, geo, scalars, text, wikitext, more, files, search, streams, geometry, collation, spans)]
 
 
 def queries() -> dict:

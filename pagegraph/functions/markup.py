@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
+from .spans import replace_outside
+
 # Types, not type strings: workers import this module too, and have no session to parse them.
 _TEXT = Ty.StringType()
 
@@ -178,34 +180,10 @@ def without_nodes(pages: DataFrame, tags: list[str], source: str = "html") -> Da
 
 # ----------------------------------------------------------------- protected spans
 
-#: Spans in which replacements must not happen, by name.
-PROTECTED = {
-    "comment": r"<!--.*?-->", "nowiki": r"<nowiki>.*?</nowiki>", "pre": r"<pre\b.*?</pre>", "source": r"<source\b.*?</source>", "math": r"<math\b.*?</math>", "ref": r"<ref\b[^>/]*>.*?</ref>", "gallery": r"<gallery\b.*?</gallery>", "timeline": r"<timeline>.*?</timeline>",
-    "link": r"\[\[[^\]]*\]\]", "hyperlink": r"https?://[^\s\]<>\"]+", "template": r"\{\{[^{}]*\}\}", "table": r"\{\|.*?\|\}", "header": r"(?m:^=+.*?=+\s*$)", "startspace": r"(?m:^ .*$)", "inputbox": r"<inputbox>.*?</inputbox>",
-}
-
 
 def replace_except(old: str, new: str, exceptions: tuple[str, ...]):
     """A UDF that replaces a pattern outside protected spans; `\\1` refers to groups."""
-    guard = re.compile("|".join(f"(?:{PROTECTED[e]})" for e in exceptions), re.S | re.I) if exceptions else None
-    pattern = re.compile(old)
-
-    @F.pandas_udf(_TEXT)
-    def run(series: pd.Series) -> pd.Series:
-        def one(t):
-            if t is None:
-                return None
-            if guard is None:
-                return pattern.sub(new, t)
-            out, at = [], 0
-            for m in guard.finditer(t):
-                out += [pattern.sub(new, t[at : m.start()]), m[0]]
-                at = m.end()
-            return "".join([*out, pattern.sub(new, t[at:])])
-
-        return series.map(one)
-
-    return run
+    return replace_outside(old, new, exceptions)
 
 
 def is_disabled(text, place):

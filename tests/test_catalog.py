@@ -166,3 +166,28 @@ def test_blame_words(spark):
     rows = [(r.conv_id, r.turn, r.text) for r in table(spark, DATA, "conversations").collect()]
     got = collections.Counter((r.conv_id, r.place, r.word, r.revision) for r in QUERIES["blame_words"](spark, DATA).collect())
     assert got == plain_blame(rows)
+
+
+def test_protected_spans(spark):
+    from test_spans import plain_spans
+
+    from pagegraph.catalog import spans as S
+
+    kinds = [k for k in S.P.KINDS if k not in ("header", "inputbox")]
+    want = [(r.doc_id, n, k, a, b - a) for r in S.marked(spark, DATA, S.KINDS).collect() for n, (k, a, b) in enumerate(plain_spans(r.wikitext, kinds)) if len(r.wikitext) < 20_000]
+    short = {r.doc_id for r in S.marked(spark, DATA, S.KINDS).collect() if len(r.wikitext) < 20_000}
+    got = [tuple(r) for r in QUERIES["protected_spans"](spark, DATA).collect() if r.doc_id in short]
+    assert len(kinds) == 15 and sorted(got) == sorted(want) and {k for _, _, k, _, _ in want} == set(kinds)
+
+
+def test_masked_edit(spark):
+    from pagegraph.catalog import spans as S
+
+    texts = {r.doc_id: r.wikitext for r in S.marked(spark, DATA, S.KINDS).collect()}
+    for r in QUERIES["masked_edit"](spark, DATA).collect():
+        t, out, at = texts[r.doc_id], [], 0
+        found = S.P.spans(t, ("nowiki", "comment", "template", "table", "link", "ref"))
+        for _, a, b in found:
+            out += [t[at:a].upper(), t[a:b]]
+            at = b
+        assert r.edited == "".join([*out, t[at:].upper()]) and r.parts == len(found)
