@@ -85,14 +85,18 @@ def cut_offsets(cut: DataFrame, block: int) -> DataFrame:
     """(key, prefix, until): code points before the first and the second cut. cut: (key, text, low, high)."""
     parts = F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{block}}}{_BLANK}*{_INK}*"), F.lit(0))
     blocks = cut.select("key", F.posexplode(parts).alias("place", "part"))
-    blocks = blocks.select("key", "place", F.transform(units(F.col("part")), F.length).alias("lengths")).distinct()
+    lengths = F.transform(units(F.col("part")), F.length)
+    # A byte a unit wherever that is enough, as these arrays cross two exchanges.
+    small = F.array_max("lengths") <= 127
+    blocks = blocks.select("key", "place", lengths.alias("lengths")).select("key", "place", F.when(small, F.col("lengths").cast("array<tinyint>")).alias("short"), F.when(~small, F.col("lengths")).alias("long")).distinct()
+    blocks = blocks.withColumn("lengths", F.coalesce(F.col("short").cast("array<int>"), "long"))
     earlier = Window.partitionBy("key").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     total = F.aggregate("lengths", F.lit(0).cast("bigint"), lambda a, x: a + x)
-    begins = blocks.withColumn("chars", total).select("key", "lengths", *[F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(c) for c, v in (("units_before", F.size("lengths").cast("bigint")), ("chars_before", F.col("chars")))])
+    begins = blocks.withColumn("chars", total).withColumn("units", F.size("lengths").cast("bigint")).select("key", "short", "long", "units", *[F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(c) for c, v in (("units_before", F.col("units")), ("chars_before", F.col("chars")))])
     # A cut stands behind the unit of its ordinal; before the first unit there is nothing to look for.
     requests = cut.select("key", F.explode(F.array_distinct(F.array("low", "high"))).alias("ordinal")).where("ordinal > 0").distinct()
-    here = (F.col("ordinal") > F.col("units_before")) & (F.col("ordinal") <= F.col("units_before") + F.size("lengths"))
-    wanted = begins.join(requests.withColumnRenamed("key", "of"), (F.col("key") == F.col("of")) & here).select("key", "ordinal", "units_before", "chars_before", F.posexplode("lengths").alias("place", "length"))
+    here = (F.col("ordinal") > F.col("units_before")) & (F.col("ordinal") <= F.col("units_before") + F.col("units"))
+    wanted = begins.join(requests.withColumnRenamed("key", "of"), (F.col("key") == F.col("of")) & here).select("key", "ordinal", "units_before", "chars_before", F.posexplode(F.coalesce(F.col("short").cast("array<int>"), "long")).alias("place", "length"))
     upto = Window.partitionBy("key", "ordinal").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ends = wanted.withColumn("end", F.col("chars_before") + F.sum("length").over(upto)).where("units_before + place + 1 = ordinal")
     return ends.groupBy("key").agg(F.min("end").alias("first"), F.max("end").alias("last"))
