@@ -35,7 +35,7 @@ def protected_spans(spark, d):
 @query()
 def masked_edit(spark, d):
     """Words in capitals outside all spans, by tokens: taken out, edited, put back."""
-    t = marked(spark, d, KINDS).withColumn("m", P.mask(F.col("wikitext"), P.protected("nowiki", "comment", "template", "table", "link", "ref")(F.col("wikitext"))))
+    t = marked(spark, d, KINDS).withColumn("m", P.mask("nowiki", "comment", "template", "table", "link", "ref")(F.col("wikitext")))
     return t.select("doc_id", F.size("m.parts").cast("bigint").alias("parts"), P.unmask(F.upper("m.masked"), F.col("m.parts")).alias("edited"))
 
 

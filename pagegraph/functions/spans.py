@@ -159,30 +159,31 @@ def span_rows(pages: DataFrame, key: str, text: str, *kinds: str) -> DataFrame:
 _BEGIN, _END = "\ue000", "\ue001"
 
 
-def mask(text: Column, found: Column) -> Column:
-    """struct<masked, parts>: each span, and each character that tokens are made of, is a token that stands for a part."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<between: string, span: string>>").alias("pieces"))
-
-    def add(a, s):
-        between = F.substring(text, a["at"] + 1, s["start"] - a["at"])
-        return F.struct((s["start"] + s["length"]).alias("at"), F.concat(a["pieces"], F.array(F.struct(between.alias("between"), F.substring(text, s["start"] + 1, s["length"]).alias("span")))).alias("pieces"))
-
-    def done(a):
-        rest = F.substring(text, a["at"] + 1, F.length(text))
-        return F.concat(a["pieces"], F.array(F.struct(rest.alias("between"), F.lit(None).cast("string").alias("span"))))
-
-    pieces = F.aggregate(found, start, add, done)
-    # A token's own character between spans is a part too.
-    fine = F.flatten(F.transform(pieces, lambda p: F.concat(_marks(p["between"]), F.when(p["span"].isNull(), F.array().cast("array<struct<text: string, part: boolean>>")).otherwise(F.array(F.struct(p["span"].alias("text"), F.lit(True).alias("part")))))))
-    parts = F.transform(F.filter(fine, lambda p: p["part"]), lambda p: p["text"])
-    masked = F.aggregate(fine, F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("out")), lambda a, p: F.when(p["part"], F.struct((a["n"] + 1).alias("n"), F.concat(a["out"], F.array(F.concat(F.lit(_BEGIN), a["n"].cast("string"), F.lit(_END)))).alias("out"))).otherwise(F.struct(a["n"].alias("n"), F.concat(a["out"], F.array(p["text"])).alias("out"))), lambda a: F.array_join(a["out"], ""))
-    return F.when(text.isNotNull(), F.struct(masked.alias("masked"), parts.alias("parts")))
-
-
-def _marks(between: Column) -> Column:
-    """A text in pieces: the tokens' characters one by one as parts, and what is between them."""
-    pieces = F.regexp_extract_all(between, F.lit(f"[{_BEGIN}{_END}]|[^{_BEGIN}{_END}]+"), F.lit(0))
-    return F.transform(pieces, lambda p: F.struct(p.alias("text"), p.isin(_BEGIN, _END).alias("part")))
+def mask(*kinds: str):
+    """A UDF: struct<masked, parts>: each span, and each character that tokens are made of, is a token that stands for a part."""
+    wanted = _known(kinds or tuple(KINDS))
+    marks = re.compile(f"[{_BEGIN}{_END}]")
+
+    def one(t):
+        if t is None:
+            return None
+        parts, out, at = [], [], 0
+
+        def token(part):
+            parts.append(part)
+            return f"{_BEGIN}{len(parts) - 1}{_END}"
+
+        for _, a, b in spans(t, wanted):
+            out += [marks.sub(lambda m: token(m[0]), t[at:a]), token(t[a:b])]
+            at = b
+        return {"masked": "".join([*out, marks.sub(lambda m: token(m[0]), t[at:])]), "parts": parts}
+
+    @F.pandas_udf("masked string, parts array<string>")
+    def run(series: pd.Series) -> pd.DataFrame:
+        rows = [one(t) or {"masked": None, "parts": None} for t in series]
+        return pd.DataFrame(rows, columns=["masked", "parts"])
+
+    return run
 
 
 def unmask(masked: Column, parts: Column) -> Column:

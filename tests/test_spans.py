@@ -86,7 +86,7 @@ def test_time_grows_with_length(unit):
 def test_masks_and_rows(spark):
     rng = random.Random(5)
     texts = ["".join(rng.choice(PARTS) for _ in range(rng.randrange(30))) for _ in range(150)] + [None, "", "\ue000\ue001", "{{a}}" * 300]
-    frame = spark.createDataFrame(list(enumerate(texts)), "id int, t string").withColumn("m", P.mask(F.col("t"), P.protected()(F.col("t"))))
+    frame = spark.createDataFrame(list(enumerate(texts)), "id int, t string").withColumn("m", P.mask()(F.col("t")))
     back = P.unmask(F.col("m.masked"), F.col("m.parts"))
     twice = P.unmask(F.concat("m.masked", "m.masked"), F.col("m.parts"))
     for r in frame.select("id", "m", back.alias("back"), twice.alias("twice")).collect():
