@@ -25,13 +25,13 @@ def interval_join_32h(spark, d):
     return I.interval_join(a, b, ["user_id"], "started", "saved", 32).select("start_id", "save_id", "user_id")
 
 
-@query("""select a.event_id as start_id, b.event_id as save_id, a.user_id from events a left join events b on a.user_id = b.user_id and b.event_type = 'purchase' and b.ts between a.ts and a.ts + interval 6 hour where a.event_type = 'signup'""")
+@query("""select a.event_id as start_id, b.event_id as save_id, a.user_id from events a left join events b on a.user_id = b.user_id and b.event_type = 'purchase' and b.ts between a.ts and a.ts + interval 32 hour where a.event_type = 'signup'""")
 def interval_left_join(spark, d):
-    """Edit starts with the saves of the same user within six hours, and those without any."""
+    """Edit starts with the saves of the same user within 32 hours, and those without any."""
     e = table(spark, d, "events")
     a = e.where("event_type = 'signup'").select(F.col("event_id").alias("start_id"), "user_id", F.col("ts").alias("started"))
     b = e.where("event_type = 'purchase'").select(F.col("event_id").alias("save_id"), "user_id", F.col("ts").alias("saved"))
-    return I.interval_join(a, b, ["user_id"], "started", "saved", 6, "left").select("start_id", "save_id", "user_id")
+    return I.interval_join(a, b, ["user_id"], "started", "saved", 32, "left").select("start_id", "save_id", "user_id")
 
 
 @query("""with a as (select event_id as row_id, user_id, date_trunc('second', ts) as seen from events where event_type = 'click'), b as (select user_id, date_trunc('second', ts) as other from events where event_type = 'view'),

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import markup as H
@@ -53,11 +55,11 @@ def tsv_texts(spark, d):
     return taken(back.select("doc_id", F.md5(F.coalesce("first", F.lit("-"))).alias("first"), F.md5("middle").alias("middle"), F.md5(F.coalesce("last", F.lit("null"))).alias("last")), path)
 
 
-@query("""select o_custkey, cast(count(*) as bigint) as orders, min(o_totalprice) as least, string_agg(o_orderstatus, '' order by o_orderkey) as states from orders where o_orderkey % 50 = 1 group by o_custkey""")
+@query("""select o_custkey, cast(count(*) as bigint) as orders, min(o_totalprice) as least, string_agg(o_orderstatus, '' order by o_orderkey) as states from orders group by o_custkey""")
 def json_round_trip(spark, d):
     """Nested records, one object a line, written and read."""
     path = _folder(spark)
-    few = table(spark, d, "orders").where("o_orderkey % 50 = 1").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus", "o_totalprice"))).alias("orders"))  # a customer's orders
+    few = table(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus", "o_totalprice"))).alias("orders"))  # a customer's orders
     K.write_json(few, path)
     back = spark.read.schema(few.schema).json(path)
     return taken(back.select("o_custkey", F.size("orders").cast("long").alias("orders"), F.array_min(F.col("orders.o_totalprice")).alias("least"), F.array_join("orders.o_orderstatus", "").alias("states")), path)
@@ -157,28 +159,55 @@ def clustered_table(spark, d):
     return out
 
 
-@query("""select 'http://x.org/' || min(page_id) as first, cast(count(*) as bigint) as n from pages where page_id % 10 = 3""")
+@query("""select 'f' || min(page_id % 16 + 10) as first, cast(count(*) as bigint) as n from pages where contains('http://x.org/' || page_id || '/', '7/')""")
 def first_file(spark, d):
-    """The first file by name that holds a line, and how many hold one."""
+    """The first of sixteen files by name that holds a line with some text, and how many lines hold it."""
     path, p = _folder(spark), table(spark, d, "pages")
-    p.where("page_id % 10 = 3").select(F.concat(F.lit("http://x.org/"), F.col("page_id").cast("string")).alias("value"), F.lpad(F.col("page_id").cast("string"), 9, "0").alias("name")).write.partitionBy("name").text(path)
-    file = R.first_file_with(spark, path, "x.org").select(F.concat(F.lit("http://x.org/"), F.regexp_replace(F.regexp_extract("file", "name=([0-9]+)", 1), "^0+(?=.)", "")).alias("first"))
-    return taken(file.withColumn("n", spark.read.text(path).agg(F.count("*")).scalar()), path)
+    line = F.concat(F.lit("http://x.org/"), F.col("page_id").cast("string"), F.lit("/"))
+    p.select(line.alias("value"), F.concat(F.lit("f"), (F.col("page_id") % 16 + 10).cast("string")).alias("name")).write.partitionBy("name").text(path)
+    file = R.first_file_with(spark, path, "7/").select(F.nullif(F.regexp_extract("file", "name=([a-z0-9]+)", 1), F.lit("")).alias("first"))
+    return taken(file.withColumn("n", spark.read.text(path).where(F.contains("value", F.lit("7/"))).agg(F.count("*")).scalar()), path)
+
+
+@query("""select 'orders_' || lower(o_orderstatus) as name, case when o_orderstatus <> 'P' then 'owner of ' || o_orderstatus end as owner, true as stored, false as stale, o_orderstatus = 'P' as orphan, false as missing from (select distinct o_orderstatus from orders) union all select 'gone', 'nobody', false, false, false, true""")
+def table_report(spark, d):
+    """Tables written by this query, one for each status of orders, beside a registry that lacks one and has one too many."""
+    path, o = _folder(spark), table(spark, d, "orders")
+    o.withColumn("t", F.concat(F.lit("orders_"), F.lower("o_orderstatus"))).write.partitionBy("t").parquet(f"{path}/tables")
+    registry = o.select("o_orderstatus").distinct().where("o_orderstatus <> 'P'").select(F.concat(F.lit("orders_"), F.lower("o_orderstatus")).alias("name"), F.concat(F.lit("owner of "), "o_orderstatus").alias("owner"))
+    registry = registry.unionByName(spark.createDataFrame([("gone", "nobody")], "name string, owner string"))
+    stored = R.stored_tables(spark, f"{path}/tables").withColumn("name", F.regexp_replace("name", "^t=", ""))
+    return taken(R.table_report(stored, registry).select("name", "owner", (F.col("bytes") > 0).alias("stored"), "stale", "orphan", "missing"), path)
 
 
 # ----------------------------------------------------------------- selectors, parameters, sets
 
 
-@query(with_model("page", "categorylinks", "pagelinks", "templatelinks", then="""picked as (select cl_from as id from categorylinks where cl_to = '1905_births' union select pl_from from pagelinks where pl_to = 3 union select pl_to from pagelinks where pl_from = 5 union select tl_from from templatelinks where tl_title = 'AF' and tl_from < 20
-  union select page_id from page where page_title like 'Topic\\_1\\_%' escape '\\' union (select page_id from page order by page_id desc limit 7))
-select page_id, page_title from page where page_id in (select id from picked)"""))
+@query(with_model("page", "categorylinks", "pagelinks", "templatelinks", then="""picked as (select 'category' as kind, cl_from as id from categorylinks where cl_to = '1905_births' union select 'backlinks', pl_from from pagelinks where pl_to = 3 union select 'links', pl_to from pagelinks where pl_from = 5 union select 'embedded', tl_from from templatelinks where tl_title = 'AF'
+  union select 'prefix', page_id from page where page_title like 'Topic\\_1\\_%' escape '\\' union (select 'newest', page_id from page order by page_id desc limit 7)
+  union select 'weblink', page_id from pages where url like 'http%/a%' union select 'contribs', l_partkey from lineitem where l_suppkey = 4 union select 'file', page_id from page where page_title like '%5)')
+select picked.kind, page_id, page_title from page join picked on page_id = id"""))
 def page_selectors(spark, d):
-    """Page sets by category, backlinks, links, template, prefix and age in one, each page once."""
-    p, links = M.page(spark, d), M.pagelinks(spark, d)
-    sets = [
-        R.select_pages("category", p, M.categorylinks(spark, d), "1905_births"), R.select_pages("backlinks", p, links, 3), R.select_pages("links_of", p, links, 5),
-        R.select_pages("embeddedin", p, M.templatelinks(spark, d).where("tl_from < 20"), "AF"), R.select_pages("prefixindex", p, "Topic_1_"), R.select_pages("newest", p, 7),
-    ]
+    """Page sets by category, backlinks, links, template, prefix, age, external links, contributions and a list in a file."""
+    p, links, path = M.page(spark, d), M.pagelinks(spark, d), _folder(spark)
+    p.where(F.col("page_title").endswith("5)")).select(F.concat(F.lit("* [["), "page_title", F.lit("|x]] and [[no such page]] [["), "page_title", F.lit("]]")).alias("value")).write.text(path)
+    sites = table(spark, d, "pages").select(F.col("page_id").alias("el_from"), F.col("url").alias("el_to"))
+    edits = table(spark, d, "lineitem").select(F.col("l_partkey").alias("rev_page"), F.col("l_suppkey").alias("rev_user"))
+    sets = {
+        "category": R.select_pages("category", p, M.categorylinks(spark, d), "1905_births"), "backlinks": R.select_pages("backlinks", p, links, 3), "links": R.select_pages("links_of", p, links, 5),
+        "embedded": R.select_pages("embeddedin", p, M.templatelinks(spark, d), "AF"), "prefix": R.select_pages("prefixindex", p, "Topic_1_"), "newest": R.select_pages("newest", p, 7),
+        "weblink": R.select_pages("weblink", p, sites, "http%/a%"), "contribs": R.select_pages("contribs", p, edits, 4), "file": R.select_pages("from_file", spark, p, path),
+    }
+    parts = [s.select(F.lit(k).alias("kind"), "page_id", "page_title") for k, s in sets.items()]
+    return taken(reduce(DataFrame.unionAll, parts), path)
+
+
+@query(with_model("page", "categorylinks", "pagelinks", then="""picked as (select cl_from as id from categorylinks where cl_to = '1905_births' union select pl_from from pagelinks where pl_to = 3 union (select page_id from page order by page_id desc limit 7))
+select page_id, page_title from page where page_id in (select id from picked)"""))
+def page_sets_in_one(spark, d):
+    """Several page sets in one, each page once."""
+    p = M.page(spark, d)
+    sets = [R.select_pages("category", p, M.categorylinks(spark, d), "1905_births"), R.select_pages("backlinks", p, M.pagelinks(spark, d), 3), R.select_pages("newest", p, 7)]
     return R.combined(*sets).select("page_id", "page_title")
 
 
@@ -252,11 +281,13 @@ def disabled_places(spark, d):
     return rows.select("doc_id", "spot", H.is_disabled(F.col("t"), (F.col("spot") + 6).cast("int")).alias("inside"), H.is_disabled(F.col("t"), F.lit(0)).alias("first"))
 
 
-@query("select doc_id, case when doc_id % 4 = 3 and regexp_matches(text, '[^\\x00-\\xFF]') then null else text end as text from documents")
+@query("select doc_id, text from documents")
 def charsets(spark, d):
-    """Whole texts from bytes: UTF-8 found by trial, by a header, UTF-16 by its mark, and Latin-1 by a meta element's claim."""
+    """Whole texts from bytes: UTF-8 found by trial, by a header, UTF-16 by its mark, and by a meta element's claim Latin-1, or UTF-8 where a text has other characters."""
     t, k = F.col("text"), F.col("doc_id") % 4
-    body = F.when(k < 2, F.encode(t, "UTF-8")).when(k == 2, F.encode(t, "UTF-16")).when(~t.rlike("[^\\x00-\\xFF]"), F.encode(F.concat(F.lit("<meta charset=iso-8859-1>"), t), "ISO-8859-1"))
+    latin = ~t.rlike("[^\\x00-\\xFF]")
+    claimed = F.when(latin, F.encode(F.concat(F.lit("<meta charset=iso-8859-1>"), t), "ISO-8859-1")).otherwise(F.encode(F.concat(F.lit("<meta charset=utf-8>     "), t), "UTF-8"))
+    body = F.when(k < 2, F.encode(t, "UTF-8")).when(k == 2, F.encode(t, "UTF-16")).otherwise(claimed)
     got = H.detected_text(body, F.when(k == 1, "text/html; charset=utf-8").otherwise(""))
     return table(spark, d, "documents").select("doc_id", F.when(k == 3, F.substring(got, 26, 1 << 30)).otherwise(got).alias("text"))
 

@@ -34,11 +34,11 @@ def fulltext_tokens(spark, d):
     return T.token_hits(table(spark, d, "documents"), "doc_id", "text", ["and", "der", "les", "idiot"])
 
 
-@query("""select c_custkey, c_name from customer order by lower(c_name) = 'customer_7' desc, lower(c_name), c_custkey""")
+@query("""select c_custkey, c_name from customer order by lower(c_name) = 'customer#000000007' desc, lower(c_name), c_custkey""")
 def exact_title_first(spark, d):
     """An exact title first, then without regard to case."""
     c = table(spark, d, "customer").select("c_custkey", "c_name")
-    return c.orderBy(F.desc(F.lower("c_name") == "customer_7"), F.lower("c_name"), "c_custkey")
+    return c.orderBy(F.desc(F.lower("c_name") == "customer#000000007"), F.lower("c_name"), "c_custkey")
 
 
 @query("""select l_suppkey, cast(count(*) filter (l_returnflag = 'R') as bigint) as fixed, cast(count(*) as bigint) as links from lineitem group by l_suppkey order by count(*) filter (l_returnflag = 'R') / count(*) desc, l_suppkey limit 50""")

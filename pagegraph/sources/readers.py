@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -100,6 +101,26 @@ def file_age(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("_metadata.file_path", "_metadata.file_modification_time").distinct()
 
 
+def stored_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, files, bytes, modified): tables that lie in a folder, each a folder of files, from what the file system says of them; no file is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(folder).select("path", "modificationTime", "length")
+    name = F.regexp_extract("path", rf"/{re.escape(folder.rstrip('/').rsplit('/', 1)[-1])}/([^/]+)/", 1)
+    return files.withColumn("name", name).where("name <> ''").groupBy("name").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"), F.max("modificationTime").alias("modified"))
+
+
+def table_report(stored: DataFrame, registry: DataFrame, now: Column | None = None, days: int = 30) -> DataFrame:
+    """(name, owner, files, bytes, modified, age_days, stale, orphan, missing): stored tables beside the registry (name, owner).
+
+    Stale is what has not changed for so many days; an orphan has files but no owner; missing is what
+    is registered and has no files. A name that is registered for several owners has a row for each.
+    """
+    both = stored.join(registry.select("name", "owner"), "name", "full")
+    age = F.timestamp_diff("DAY", F.col("modified"), F.current_timestamp() if now is None else now)
+    out = both.select("name", "owner", F.coalesce("files", F.lit(0)).alias("files"), F.coalesce("bytes", F.lit(0)).alias("bytes"), "modified", age.alias("age_days"))
+    missing = F.col("files") == 0
+    return out.withColumns({"stale": F.coalesce(F.col("age_days") >= days, F.lit(False)), "orphan": ~missing & F.col("owner").isNull(), "missing": missing})
+
+
 SELECTORS: dict[str, Callable[..., DataFrame]] = {}
 
 

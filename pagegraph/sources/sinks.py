@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-import uuid
+import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,22 +57,29 @@ def html_table(df: DataFrame, caption: str = "", most: int = 1000) -> str:
     return body.replace("<thead>", f"<caption>{caption}</caption>\n  <thead>", 1) if caption else body
 
 
+def _versions(spark: SparkSession, table: str) -> list[str]:
+    """Versions of a rebuilt table, the oldest first."""
+    return sorted(t.name for t in spark.catalog.listTables() if re.fullmatch(rf"{re.escape(table.lower())}_[0-9a-f]{{16}}", t.name))
+
+
 def rebuild(spark: SparkSession, df: DataFrame, table: str) -> None:
-    """Writes a new version beside the old one and points the name, a view, to it in one step: readers see the old or the new table. The version before goes then."""
-    fresh = f"{table}_{uuid.uuid4().hex[:12]}"
+    """Writes a new version beside the old one and points the name, a view, to it in one step: readers see the old or the new table.
+
+    The version before stays until the next rebuild, as readers that began before may still read it.
+    """
+    old = _versions(spark, table)
+    fresh = f"{table}_{time.time_ns() // 1000:016x}"
     df.write.saveAsTable(fresh)
-    old = [t.name for t in spark.catalog.listTables() if re.fullmatch(rf"{re.escape(table.lower())}_[0-9a-f]{{12}}", t.name) and t.name != fresh]
     spark.sql(f"create or replace view {table} as select * from {fresh}")
-    for name in old:
+    for name in old[:-1]:
         spark.sql(f"drop table if exists {name}")
 
 
 def drop_rebuilt(spark: SparkSession, table: str) -> None:
     """Drops a rebuilt table's name and versions."""
     spark.sql(f"drop view if exists {table}")
-    for t in spark.catalog.listTables():
-        if re.fullmatch(rf"{re.escape(table.lower())}_[0-9a-f]{{12}}", t.name):
-            spark.sql(f"drop table if exists {t.name}")
+    for name in _versions(spark, table):
+        spark.sql(f"drop table if exists {name}")
 
 
 def clustered(df: DataFrame, table: str, key: str, buckets: int = 8) -> None:

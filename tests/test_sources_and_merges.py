@@ -61,11 +61,13 @@ def test_sinks(spark, tmp_path):
 
 def test_table_swap_and_buckets(spark):
     try:
-        for n in (3, 5):
+        for n in (3, 5, 7):
+            reader = spark.table("swap_test") if n > 3 else None
             W.rebuild(spark, spark.range(n), "swap_test")
             assert spark.table("swap_test").count() == n
+            assert reader is None or reader.count() == n - 2  # who began before still reads the version before
         names = sorted(t.name for t in spark.catalog.listTables() if t.name.startswith("swap_test"))
-        assert len(names) == 2 and names[0] == "swap_test"  # the name and the newest version
+        assert len(names) == 3 and names[0] == "swap_test"  # the name and the two newest versions
         W.clustered(spark.range(20).withColumnRenamed("id", "k"), "bucket_test", "k", 2)
         plan = spark.table("bucket_test").groupBy("k").count()._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan
@@ -183,3 +185,23 @@ def test_checkpoint_folder_must_be_shared(spark, monkeypatch):
     cluster = SimpleNamespace(sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="local-cluster[2,1,1024]"), conf=SimpleNamespace(get=lambda k, d: d))
     with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
         ready_checkpoints(cluster)
+
+
+def test_stale_orphaned_and_missing_tables(spark, tmp_path):
+    import os
+
+    for name, n in (("a", 3), ("b", 0), ("c", 5)):
+        spark.range(n).write.parquet(f"{tmp_path}/all/{name}")
+    for d, _, files in os.walk(f"{tmp_path}/all/c"):
+        for f in files:
+            os.utime(os.path.join(d, f), (1_700_000_000, 1_700_000_000))
+    stored = R.stored_tables(spark, f"{tmp_path}/all")
+    registry = spark.createDataFrame([("a", "ann", 1), ("gone", "bob", 2)], "name string, owner string, files int")
+    got = {r.name: r for r in R.table_report(stored, registry).collect()}
+    assert {k: (r.owner, r.stale, r.orphan, r.missing) for k, r in got.items()} == {"a": ("ann", False, False, False), "b": (None, False, True, False), "c": (None, True, True, False), "gone": ("bob", False, False, True)}
+    size = sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(f"{tmp_path}/all/a") for f in files if f.startswith("part-"))
+    assert got["a"].bytes == size and got["a"].age_days == 0 and got["gone"].bytes == 0 and got["gone"].age_days is None
+    later = R.table_report(stored, registry, F.current_timestamp() + F.expr("interval 31 days")).where("stale").select("name").collect()
+    assert {r.name for r in later} == {"a", "b", "c"}
+    os.makedirs(f"{tmp_path}/none/x")
+    assert R.stored_tables(spark, f"{tmp_path}/none").count() == 0
