@@ -29,8 +29,6 @@ import html
 import json
 import re
 from collections import Counter
-from functools import lru_cache
-from hashlib import blake2b
 from itertools import accumulate
 
 import numpy as np
@@ -461,31 +459,33 @@ class Aligners:
         return self.aligner
 
 
-_PRIME, _BASE = (1 << 61) - 1, 1_000_003
-
-
-@lru_cache(1 << 16)
-def _word(word: str) -> int:
-    return int.from_bytes(blake2b(word.encode("utf-8", "replace"), digest_size=7).digest(), "big") + 1
+_PRIME = (1 << 61) - 1
 
 
 def digests(root: Node, nodes: list[Node]) -> list[str]:
-    """A digest of the words of each node, empty without any, from sums over the page's words; nodes may lie in each other at any depth."""
-    sums, powers, spans = [0], [1], {}
-    work: list[tuple[Node | str, int]] = [(root, -1)]
+    """A digest of the words of each node, empty without any; nodes may lie in each other at any depth.
+
+    The page's words, a space behind each, are the digits of one number, to the base of 256; a node's
+    digest is its part of that number modulo a prime, from the running values before and behind it.
+    """
+    n = total = 0
+    begun: dict[int, tuple[int, int]] = {}
+    found: dict[int, str] = {}
+    work: list[Node | str] = [root]
     while work:
-        x, start = work.pop()
+        x = work.pop()
         if isinstance(x, str):
-            for w in x.split():
-                sums.append((sums[-1] * _BASE + _word(w)) % _PRIME)
-                powers.append(powers[-1] * _BASE % _PRIME)
-        elif start < 0:
-            work.append((x, len(sums) - 1))
-            work += [(c, -1) for c in reversed(x.children)]
-        else:
-            spans[id(x)] = start, len(sums) - 1
-    found = (spans[id(x)] for x in nodes)
-    return [f"{j - i:x}.{(sums[j] - sums[i] * powers[j - i]) % _PRIME:x}" if j > i else "" for i, j in found]
+            if own := x.split():
+                data = f"{' '.join(own)} ".encode("utf-8", "replace")
+                n += len(data)
+                total = (total * pow(256, len(data), _PRIME) + int.from_bytes(data, "big")) % _PRIME
+        elif (start := begun.get(id(x))) is None:
+            begun[id(x)] = n, total
+            work.append(x)
+            work += x.children[::-1]
+        elif k := n - start[0]:
+            found[id(x)] = f"{k:x}.{(total - start[1] * pow(256, k, _PRIME)) % _PRIME:x}"
+    return [found.get(id(x), "") for x in nodes]
 
 
 def _texts(batch: pa.RecordBatch, name: str) -> list[str]:
