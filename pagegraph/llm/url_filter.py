@@ -74,26 +74,48 @@ def url_node(url: Column) -> Column:
     return F.when(head != "", F.concat(F.translate(head, UPPER, LOWER), F.when(rest == "", "/").otherwise(rest)))
 
 
+#: Character references that URLs in attributes may hold; the ampersand's own ones come last.
+_REFERENCES = (("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&#x27;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&#47;", "/"), ("&#x2f;", "/"), ("&#x2F;", "/"), ("&#58;", ":"), ("&#x3a;", ":"), ("&#x3A;", ":"), ("&#38;", "&"), ("&#x26;", "&"), ("&amp;", "&"))
+
+
+def without_dots(path: Column) -> Column:
+    """An absolute path without its segments `.` and `..`."""
+    segments = F.split(path, "/")
+    inner = F.slice(segments, F.lit(2), F.greatest(F.size(segments) - 1, F.lit(0)))
+    kept = F.aggregate(inner, F.array().cast("array<string>"), lambda a, x: F.when(x == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).when(x == ".", a).otherwise(F.concat(a, F.array(x))))
+    folder = F.element_at(segments, -1).isin(".", "..")
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(folder & (F.size(kept) > 0), "/").otherwise(""))
+
+
 def resolve(target: Column, base: Column) -> Column:
-    """An absolute URL for a link target on a page."""
-    t = F.trim(F.replace(target, F.lit("&amp;"), F.lit("&")))
+    """The absolute URL that a link target on a page means."""
+    t = target
+    for name, c in _REFERENCES:
+        t = F.replace(t, F.lit(name), F.lit(c))
+    t = F.trim(t)
+    path, rest = F.regexp_extract(t, "(?s)^([^?#]*)", 1), F.regexp_extract(t, "(?s)^[^?#]*(.*)$", 1)
     scheme = F.regexp_extract(base, "(?s)^(.*?:)//", 1)
     site = F.regexp_extract(base, "(?s)^(.*?://[^/?#]*)", 1)
-    folder = F.regexp_extract(url_path(base), "(?s)^(.*/)", 1)
+    own = url_path(base)
+    folder = F.regexp_extract(own, "(?s)^(.*/)", 1)
     return (
-        F.when(t.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), t).when(t.startswith("//"), F.concat(scheme, t)).when(t.startswith("/"), F.concat(site, t))
-        .when((t == "") | t.startswith("#"), base).otherwise(F.concat(site, F.when(folder == "", "/").otherwise(folder), t))
+        F.when(t.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), t).when(t.startswith("//"), F.concat(scheme, t)).when(t.startswith("/"), F.concat(site, without_dots(path), rest))
+        .when((t == "") | t.startswith("#"), base).when(path == "", F.concat(site, own, rest)).otherwise(F.concat(site, without_dots(F.concat(F.when(folder == "", "/").otherwise(folder), path)), rest))
     )
 
 
+#: What holds no tags, whatever it looks like.
+_UNREAD = r"(?is)<!--.*?(?:-->|\z)|<(script|style|textarea|title|template)\b.*?(?:</\1\s*>|\z)"
+
+
 def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(u, v): a page's node and those it redirects to or calls canonical."""
-    html = F.col(html_col)
-    canonical = F.filter(F.expr(f"regexp_extract_all({html_col}, '(?is)<link\\\\b[^>]*>', 0)"), lambda x: x.rlike(r"(?is)\brel\s*=\s*[\"']?\s*canonical\b"))
-    refresh = F.filter(F.expr(f"regexp_extract_all({html_col}, '(?is)<meta\\\\b[^>]*>', 0)"), lambda x: x.rlike(r"(?is)\bhttp-equiv\s*=\s*[\"']?\s*refresh\b"))
+    """(u, v): a page's node and those it redirects to or calls canonical, by tags outside comments and scripts."""
+    few = pages.where(F.col(html_col).rlike("(?i)canonical|http-equiv")).select(F.col(url_col).alias("url"), F.regexp_replace(html_col, _UNREAD, " ").alias("html"))
+    canonical = F.filter(F.regexp_extract_all("html", F.lit(r"(?is)<link\b[^>]*>"), F.lit(0)), lambda x: x.rlike(r"(?is)\brel\s*=\s*[\"']?[^\"'>]*\bcanonical\b"))
+    refresh = F.filter(F.regexp_extract_all("html", F.lit(r"(?is)<meta\b[^>]*>"), F.lit(0)), lambda x: x.rlike(r"(?is)\bhttp-equiv\s*=\s*[\"']?\s*refresh\b"))
     named = F.transform(canonical, lambda x: F.regexp_extract(x, r"(?is)\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)", 1))
     sent = F.transform(refresh, lambda x: F.regexp_extract(x, r"(?is)\burl\s*=\s*[\"']?\s*([^\"'\s>]+)", 1))
-    found = pages.where(html.rlike("(?i)canonical|http-equiv")).select(F.col(url_col).alias("url"), F.explode(F.concat(named, sent)).alias("target")).where("target <> ''")
+    found = few.select("url", F.explode(F.concat(named, sent)).alias("target")).where("target <> ''")
     return found.select(url_node(F.col("url")).alias("u"), url_node(resolve(F.col("target"), F.col("url"))).alias("v")).where("u is not null and v is not null")
 
 
