@@ -71,6 +71,20 @@ def merged_references(spark, d):
     return marked(spark, d).select("doc_id", H.merged_references()(F.col("wikitext")).alias("merged"))
 
 
+#: References that come again and again, each with another source of a name and a number.
+NAMED = [
+    (r" (in[a-z]*) ", r" \1<ref>{{cite book| last =Whitmore|first=Ann|title=On \1 things|page=12|accessdate=2 May 2009}}</ref> "), (r" (of) ", r" \1<ref>By John Harker, in a long report for year 1987 about it</ref> "), (r" (and) ", r" \1<ref>[http://www.example-news.co.uk/a/b A long enough title], p. 77</ref> "),
+    (r" (de) ", r" \1<ref>{{Harvnb|McCannon|1999|p=247|more text to make it long}}</ref> "), (r" (der) ", r" \1<ref>see Encyclopaedias about all things known, vol. xiv or more</ref> "), (r" (the) ", r" \1<ref>short</ref> "),
+]
+
+
+@query()
+def named_references(spark, d):
+    """Documents whose repeated references are named by what they hold and written once."""
+    t = rewritten(F.col("text"), NAMED)
+    return table(spark, d, "documents").select("doc_id", H.named_references()(t).alias("named"))
+
+
 @query(rf"""with t as (select doc_id, {rewritten_sql("text", LINKS + REFS + [(r" (re[a-z]*) ", r" <i>\1</i>  ")])} as t from documents)
 select doc_id, regexp_replace(regexp_replace(replace(replace(regexp_replace(regexp_replace(t, '<ref[^>]*>[^<]*</ref>', '', 'g'), '\[\[(?:[^|\]]*\|)?([^\]]*)\]\]', '\1', 'g'), '''''''', ''), '''''', ''), '</?i>', '', 'g'), '\s+', ' ', 'g') as shown from t""")
 def context_display(spark, d):

@@ -411,6 +411,73 @@ def merged_references():
     return run
 
 
+#: Where a reference's content has a word to name it by, in order of preference; words that are no names; where it has a number.
+_NAME_SOURCES = (
+    r"\|\s*last\s*=(\w+)",
+    r"[Bb][Yy] +[A-Z][a-z]+ +([A-Z][a-z]+)[.,'\"]",
+    r"^((?:Mc|)[A-Z][a-z])[,.]",
+    r"(?s)\w+://[a-z0-9\-\.]*?([a-z0-9\-]+)\.[a-z\.]{2,6}[ /|=!]",
+    r"(?s)^(?:\[\[[^][]+\|)?((?<![{])(?<=\W)\b\w+)[,. ].*?(\d{2,4}\b)",
+    r"(?si)\{\{.*?\|(\w*?)\|.*\}\}",
+)
+_NO_NAMES = frozenset("january february march april may june july august september october november december".split())
+_NUMBER_SOURCES = (r"\|\s*(?:pages|page|p|pp)\s*=\s*(\d+)", r"\b(?:pages|page|p|pp|pg)[.:= ]*(\d{1,4})\b[\w\s\.\-<&\]]*", r"\|\s*year\s*=\s*(\d{4})", r"\b(19\d\d|200[0-7])\b", r"\b([mclxvi]*[clxvi]{2,6})(?:\b|\.)")
+_DEFAULT_NAME = "autogenerated"
+
+
+def reference_name(content: str, text: str) -> str:
+    """A name for a reference that the text does not hold yet: a word of its content (author, site, first word, template), else its longest capitalised word; then a page, a year or a Roman number, else a count."""
+    plain = re.sub(r"accessdate\s*=[^{|}]*|Retrieved [\s\w\[\],]+", " ", content)
+    words = (m[1] for p in _NAME_SOURCES if (m := re.search(p, plain)))
+    name = next((w for w in words if len(w) > 4 and w.lower() not in _NO_NAMES), None)
+    if name is None:
+        bare = re.sub(r"\|[^{|}=]+=|\{\{[^{|}]+\||\[\[[^][|]+\|", " ", content)
+        name = max([_DEFAULT_NAME, *re.findall(r"\b(?:Mc)?[A-Z][a-z]+\b", bare)], key=len)
+    name = name.strip("\t\r\n 0123456789-").lower()
+    numbers = (m[1] for p in _NUMBER_SOURCES if (m := re.search(p, plain)))
+    if number := next((n for n in numbers if name + n not in text), None):
+        return name + number
+    k = 1
+    while f"{name}{k}" in text:
+        k += 1
+    return f"{name}{k}"
+
+
+def with_named_references(t: str) -> str:
+    """Unnamed references that occur again get a name and are written once, where that makes the text much shorter: a name and its tags have less than half the content's length."""
+    pattern = re.compile(r"(?si)<ref>(.*?)</ref>")
+    uses = Counter(m[0] for m in pattern.finditer(t))
+    named: dict[str, str] = {}
+    for whole, n in uses.items():  # in order of their first use
+        if n > 1:
+            content = pattern.fullmatch(whole)[1]
+            name = reference_name(content, "\n".join([t, *named.values()]))
+            if len(content) * 0.5 > len(name) + 8:
+                named[whole] = name
+    seen: set[str] = set()
+
+    def put(m):
+        name = named.get(m[0])
+        if name is None:
+            return m[0]
+        if m[0] in seen:
+            return f'<ref name="{name}"/>'
+        seen.add(m[0])
+        return f'<ref name="{name}">{m[1]}</ref>'
+
+    return pattern.sub(put, t)
+
+
+def named_references():
+    """A UDF of with_named_references."""
+
+    @F.pandas_udf(_TEXT)
+    def run(series: pd.Series) -> pd.Series:
+        return series.map(lambda t: None if t is None else with_named_references(t))
+
+    return run
+
+
 @F.pandas_udf(_TEXT)
 def with_references_section(series: pd.Series) -> pd.Series:
     """Adds a list of references before external links, categories or the end, if one is missing."""

@@ -191,3 +191,24 @@ def test_masked_edit(spark):
             out += [t[at:a].upper(), t[a:b]]
             at = b
         assert r.edited == "".join([*out, t[at:].upper()]) and r.parts == len(found)
+
+
+def test_named_references(spark):
+    """Contents written back for names give the text before; what is worth it stands once, and names are those of the sources."""
+    import re
+
+    from pagegraph.catalog.base import rewritten
+
+    before = {r.doc_id: r.t for r in table(spark, DATA, "documents").select("doc_id", rewritten(wikitext.F.col("text"), wikitext.NAMED).alias("t")).collect()}
+    names = set()
+    for r in QUERIES["named_references"](spark, DATA).collect():
+        full = {m[1]: m[2] for m in re.finditer(r'<ref name="([^"]*)">(.*?)</ref>', r.named)}
+        assert len(full) == len(re.findall('<ref name="[^"]*">', r.named))
+        back = re.sub(r'<ref name="([^"]*)"/>', lambda m, full=full: f"<ref>{full[m[1]]}</ref>", r.named)
+        assert re.sub(r'<ref name="[^"]*">', "<ref>", back) == before[r.doc_id]
+        uses = re.findall("<ref>(.*?)</ref>", before[r.doc_id])
+        left = re.findall("<ref>(.*?)</ref>", r.named)
+        assert all(left.count(c) == (0 if uses.count(c) > 1 and c in full.values() else uses.count(c)) for c in set(uses))
+        assert "short" not in full.values()
+        names |= {re.sub("[0-9]+$", "", n) for n in full}
+    assert {"whitmore", "harker", "example-news", "mccannon", "encyclopaediasxiv"} <= names
