@@ -18,7 +18,7 @@ from pagegraph.llm.quality import keep_good
 from pagegraph.llm.queries import vocabulary
 from pagegraph.llm.simhash import keep_one
 from pagegraph.llm.suffix_dedup import cut_repeats
-from pagegraph.session import ready_checkpoints, remove_folder, table
+from pagegraph.session import ready_checkpoints, remove_folder, table, taken
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each is written to the shared folder and reread, and removed when the next one is there."""
+    """All stages over documents; each is written to the shared folder and reread, and removed when the next one is there. The result is checkpointed."""
     ready_checkpoints(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
@@ -64,4 +64,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             docs = spark.read.parquet(f"{folder}/{k}-{name}")
             if k:
                 remove_folder(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
-    return docs
+    return taken(docs, folder)

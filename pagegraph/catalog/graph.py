@@ -65,14 +65,14 @@ def double_redirects(spark, d):
 @query(with_model("page", "wantedlinks", then="select pl_to, cast(count(*) as bigint) as wanted from wantedlinks where not exists (select 1 from page where page_id = pl_to) group by pl_to"))
 def red_links(spark, d):
     """Pages that do not exist, by how many pages want them."""
-    return L.red_links(M.wantedlinks(spark, d), M.page(spark, d)).groupBy("pl_to").agg(F.count("*").alias("wanted"))
+    return L.red_links(M.wantedlinks(spark, d, once=False), M.page(spark, d)).groupBy("pl_to").agg(F.count("*").alias("wanted"))
 
 
 @query(with_model("page", "wantedlinks", then="""red as (select pl_from, pl_to from wantedlinks where pl_to not in (select page_id from page))
 select substr(cast(pl_to as varchar), 1, 3) as prefix, cast(count(distinct pl_to) as bigint) as titles, min(pl_to) as example from red group by 1 order by titles desc, prefix limit 20"""))
 def red_links_by_prefix(spark, d):
     """The twenty prefixes with the most missing titles."""
-    red = L.red_links(M.wantedlinks(spark, d), M.page(spark, d)).withColumn("prefix", F.substring(F.col("pl_to").cast("string"), 1, 3))
+    red = L.red_links(M.wantedlinks(spark, d, once=False), M.page(spark, d)).withColumn("prefix", F.substring(F.col("pl_to").cast("string"), 1, 3))
     return red.groupBy("prefix").agg(F.countDistinct("pl_to").alias("titles"), F.min("pl_to").alias("example")).orderBy(F.desc("titles"), "prefix").limit(20)
 
 
@@ -125,7 +125,7 @@ def red_link_suggest(spark, d):
     """Wanted pages with an example and a grade by powers of five."""
     from ..operators.aggregates import log_gradation
 
-    red = L.red_links(M.wantedlinks(spark, d), M.page(spark, d)).groupBy("pl_to").agg(F.count("*").alias("n"), F.min("pl_from").alias("example"))
+    red = L.red_links(M.wantedlinks(spark, d, once=False), M.page(spark, d)).groupBy("pl_to").agg(F.count("*").alias("n"), F.min("pl_from").alias("example"))
     return red.withColumn("grade", log_gradation(F.col("n"), 5))
 
 

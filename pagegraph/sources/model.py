@@ -34,10 +34,11 @@ def pagelinks(spark: SparkSession, d: str) -> DataFrame:
     return o.join(li, o.o_orderkey == li.l_orderkey).select(F.col("o_custkey").alias("pl_from"), F.col("l_partkey").alias("pl_to")).distinct()
 
 
-def wantedlinks(spark: SparkSession, d: str) -> DataFrame:
+def wantedlinks(spark: SparkSession, d: str, once: bool = True) -> DataFrame:
     """Links some of which lead beyond the last page, so to pages that don't exist."""
     o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
-    return o.join(li, o.o_orderkey == li.l_orderkey).select(F.col("o_custkey").alias("pl_from"), (F.col("l_partkey") + F.col("l_suppkey")).alias("pl_to")).distinct()
+    links = o.join(li, o.o_orderkey == li.l_orderkey).select(F.col("o_custkey").alias("pl_from"), (F.col("l_partkey") + F.col("l_suppkey")).alias("pl_to"))
+    return links.distinct() if once else links
 
 
 def categorylinks(spark: SparkSession, d: str) -> DataFrame:
