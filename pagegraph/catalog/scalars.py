@@ -88,6 +88,30 @@ def full_title_namespace(spark, d):
     return table(spark, d, "nation").select("n_nationkey", N.full_title(F.col("n_nationkey") % 6, F.col("n_name")).alias("title"))
 
 
+@query("""with k as (select p_partkey as cl_from, p_partkey % 14 as k, 1500 + (p_partkey * 37) % 520 as y from part)
+select cl_from, case when k in (0, 1, 2, 12, 13) then cast(y as varchar) when k = 3 then '?' when k in (4, 5) then y % 90 + 10 || ' BC' when k = 6 then y // 10 * 10 || 's' end as birth,
+  case when k = 0 then cast(y + 50 as varchar) when k in (1, 12) then case when y > 1600 and y < 1899 then '?' else '' end when k = 2 then case when y > 1600 and y < 1899 then '?' end when k = 3 then cast(y as varchar) when k = 4 then '5 BC' when k = 5 then '12' when k = 7 then cast(y as varchar) when k = 8 then '?' when k = 13 then '?' end as death,
+  case when k = 0 then y || '–' || (y + 50) when k in (1, 2, 12) then case when y > 1600 and y < 1899 then y || '–?' else 'born ' || y end when k = 3 then case when y < 2014 then 'died ' || y else '?–' || y end when k = 4 then (y % 90 + 10) || '–5 BC' when k = 5 then (y % 90 + 10) || ' BC–12 AD'
+    when k = 6 then 'born ' || (y // 10 * 10) || 's' when k = 7 then 'died ' || y when k = 13 then y || '–?' else '' end as life,
+  case when k = 9 then y || ' ' || (y + 1) else '' end as debut from k where k not in (10, 11)""")
+def category_lifespans(spark, d):
+    """Lives and debuts read from categories: years, decades, centuries, eras, living, missing and unknown."""
+    k, y = F.col("p_partkey") % 14, (1500 + (F.col("p_partkey") * 37) % 520)
+    yt, early = y.cast("string"), (y % 90 + 10).cast("string")
+    born, died = (lambda t: F.concat(t, F.lit("_births"))), (lambda t: F.concat(t, F.lit("_deaths")))
+    none = F.lit("Towns_of_1875")
+    groups = [
+        (born(yt), died((y + 50).cast("string"))), (born(yt), F.lit("Living_people")), (born(yt), none), (F.lit("Year_of_birth_unknown"), died(yt)), (born(F.concat(early, F.lit("_BC"))), F.lit("5_BC_deaths")), (born(F.concat(early, F.lit("_BC"))), F.lit("12_deaths")),
+        (born(F.concat((F.floor(y / 10) * 10).cast("string"), F.lit("s"))), none), (died(yt), none), (F.lit("Year_of_death_missing"), F.lit("Articles_of_1875")), (F.concat(yt, F.lit("_albums")), F.concat((y + 1).cast("string"), F.lit("_live_albums"))), (F.lit("2nd-century_births"), none), (none, none),
+        (born(yt), F.lit("Missing_people")), (born(yt), F.lit("Year_of_death_unknown")),
+    ]
+    both = F.lit(None).cast("array<string>")
+    for i, g in enumerate(groups):
+        both = F.when(k == i, F.array(*g, F.lit("Some_place"))).otherwise(both)
+    links = table(spark, d, "part").select(F.col("p_partkey").alias("cl_from"), F.explode(both).alias("cl_to"))
+    return N.category_lifespans(links, 2024)
+
+
 @query("""select p_partkey, case when p_size < 10 then '(' || (1900 + p_size) || '–' || (1950 + p_size) || ')' when p_size < 30 then '(born ' || (1900 + p_size) || ')' when p_size < 40 then '(' || (1800 + p_size) || '–?)' when p_size < 45 then '(died ' || (1900 + p_size) || ')' else '' end as life from part""")
 def lifespan_text(spark, d):
     s = F.col("p_size")

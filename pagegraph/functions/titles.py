@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Namespace numbers and their English names.
@@ -219,3 +219,65 @@ def lifespan(births: Column, deaths: Column, living: Column, year: int) -> Colum
         .when(births.isNotNull() & (living | (F.lit(year) - births <= 125)), F.concat(F.lit("(born "), b, F.lit(")")))
         .when(births.isNotNull(), F.concat(F.lit("("), b, F.lit("–?)"))).when(deaths.isNotNull(), F.concat(F.lit("(died "), d, F.lit(")"))).otherwise("")
     )
+
+
+#: Categories that say something of a birth or a death other than its year; kinds of works whose year category is a debut.
+_BIRTH_UNKNOWN = ("Year_of_birth_missing", "Year_of_birth_unknown", "Year_of_birth_uncertain")
+_DEATH_UNKNOWN = ("Year_of_death_missing", "Year_of_death_unknown", "Year_of_death_uncertain")
+_LIVING = ("Living_people", "Possibly_living_people")
+_WORKS = (
+    "albums", "architecture", "books", "films", "live_albums", "musicals", "novels", "operas", "plays", "poems", "short_stories", "EPs", "songs", "singles", "soundtracks", "television_episodes", "television_films", "video_games", "works", "manga", "anime",
+    "paintings", "sculptures", "ships", "in_spaceflight", "audio_plays",
+)
+
+
+def category_year(category: Column) -> Column:
+    """The year, decade or century that a category begins with: 1867, 1860s, 2nd-century BC; null without one."""
+    t = F.replace(category, F.lit("_"), F.lit(" "))
+    pattern = r"^(\d+)(s(?= )|)((?:st|nd|rd|th)[ -]century|)( BC|)"
+    return F.when(t.rlike(r"^\d"), F.regexp_extract(t, pattern, 0))
+
+
+def year_range(birth: Column, death: Column) -> Column:
+    """Years of a life: 1900–1980, born 1950, died 47 BC, 47 BC–12 AD; early years have an era. Empty is not known, as null is."""
+
+    def part(c):
+        return F.regexp_replace(c, "(?s) BC.*$", "")
+
+    def era(c):
+        return F.when(F.contains(c, F.lit(" BC")), " BC").when((part(c) == "?") | (F.length(part(c)) >= 3), "").otherwise(" AD")
+
+    b, d = F.nullif(birth, F.lit("")), F.nullif(death, F.lit(""))
+    same = (F.contains(b, F.lit(" BC")) == F.contains(d, F.lit(" BC"))) | (b == "?")  # an unknown year has no era of its own
+    return (
+        F.when(b.isNotNull() & d.isNull(), F.concat(F.lit("born "), part(b), era(b)))
+        .when(b.isNotNull() & same, F.concat(part(b), F.lit("–"), part(d), era(d))).when(b.isNotNull(), F.concat(part(b), F.lit(" BC–"), part(d), F.when(d == "?", "").otherwise(" AD")))
+        .when(d.isNotNull(), F.concat(F.lit("died "), part(d), era(d))).otherwise("")
+    )
+
+
+def category_lifespans(categorylinks: DataFrame, year: int) -> DataFrame:
+    """(cl_from, birth, death, life, debut) of pages whose categories tell of a birth, a death or a work's year, as of a year.
+
+    Of several categories of a kind the last by name counts; the years of debut categories are sorted.
+    Births of 126 years ago and more, after 1600, have an unknown death; unknown years are left out
+    where nothing known is beside them, and an unknown birth beside a death of over ten years ago.
+    """
+    c = F.col("cl_to")
+    short = F.length(c) <= 12  # as long as 1570s_births
+    born = F.when(c.endswith("_births") & short, category_year(c)).when(c.isin(*_BIRTH_UNKNOWN), "?")
+    died = F.when(c.endswith("_deaths") & short, category_year(c)).when(c.isin(*_DEATH_UNKNOWN), "?").when(c.isin(*_LIVING), "")
+    work = F.when(F.substring_index(c, "_", 1).rlike(r"^\d+$") & F.expr("substring(cl_to, locate('_', cl_to) + 1)").isin(*_WORKS), F.substring_index(c, "_", 1))
+    told = categorylinks.select("cl_from", "cl_to", born.alias("b"), died.alias("d"), work.alias("w"), (c == "Missing_people").alias("m")).where("b is not null or d is not null or w is not null or m")
+    last = lambda v: F.max_by(v, F.when(F.col(v).isNotNull(), F.col("cl_to")))
+    page = told.groupBy("cl_from").agg(last("b").alias("b"), last("d").alias("d"), F.bool_or("m").alias("m"), F.array_join(F.array_sort(F.collect_set("w")), " ").alias("debut"))
+    page = page.withColumn("d", F.when(F.col("m") & F.col("d").isNull(), "").otherwise(F.col("d")))
+    b, d = F.col("b"), F.col("d")
+    number = b.try_cast("int")
+    page = page.withColumn("d", F.when(b.rlike(r"^\d+$") & (number > 1600) & (number < year - 125) & (F.coalesce(d, F.lit("")) == ""), "?").otherwise(d))
+    known = ~F.coalesce(d, F.lit("")).isin("", "?")
+    long_ago = F.regexp_extract(d, r"^\d+", 0).try_cast("int") < year - 10
+    none = (b == "?") & ~known
+    page = page.withColumn("b2", F.when(none | ((b == "?") & known & ~F.contains(d, F.lit("BC")) & F.coalesce(long_ago, F.lit(False))), "").otherwise(b)).withColumn("d2", F.when(none, "").otherwise(d))
+    page = page.withColumn("d2", F.when((F.coalesce("b2", F.lit("")) == "") & (F.col("d2") == "?"), "").otherwise(F.col("d2")))
+    return page.select("cl_from", b.alias("birth"), d.alias("death"), year_range(F.col("b2"), F.col("d2")).alias("life"), "debut")
