@@ -92,6 +92,16 @@ def stream_interval_join(spark, d):
     return _finish(spark, S.edits_within(e.where("event_type = 'signup'"), e.where("event_type = 'purchase'")))
 
 
+@query("""with a as (select event_id, user_id, ts from events where event_type = 'signup'), b as (select event_id, user_id, ts from events where event_type = 'purchase'),
+m as (select date_trunc('millisecond', least((select max(ts) from a), (select max(ts) from b))) - interval 32 hour as mark),
+j as (select a.event_id as start_id, b.event_id as save_id, a.user_id, a.ts from a left join b on a.user_id = b.user_id and b.ts between a.ts and a.ts + interval 32 hour)
+select start_id, save_id, user_id from j, m where save_id is not null or ts < mark - interval 32 hour""")
+def stream_interval_left(spark, d):
+    """Edit starts with saves within 32 hours, and, once the watermarks of both streams have passed these hours, the starts without."""
+    e = _source(spark, d)
+    return _finish(spark, S.edits_within(e.where("event_type = 'signup'"), e.where("event_type = 'purchase'"), how="left"))
+
+
 @query("select date_trunc('hour', ts) as pc_hour, user_id as pc_page, cast(count(*) as bigint) as views from events where event_type = 'view' group by all")
 def stream_hourly_views(spark, d):
     """Hourly totals of all that has come, the newest hours too."""
