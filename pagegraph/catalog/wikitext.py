@@ -208,6 +208,17 @@ def wiki_to_html(spark, d):
     return table(spark, d, "documents").select("doc_id", H.wiki_to_html(t).alias("html"))
 
 
+@query(r"""with p as (select doc_id, list_filter(list_transform(string_split(regexp_replace(text, '[^A-Za-z0-9 .,\n]', '', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') as lines from documents)
+select doc_id, '<p>before</p><table class="a" id="' || doc_id || '"><caption>' || len(lines) || ' lines</caption><tr><th>n</th><th scope="col"><b>text</b></th></tr>' || array_to_string(list_transform(lines, lambda x, i: '<tr style="x"><td>' || i || '</td><td class="c"><a href="/wiki/A">' || x || '</a>' || chr(10) || 'more' || case when i % 5 = 0 then '<table><tr><td>' || x || '</td></tr></table>' else '' end || '</td></tr>'), '') || '</table><p>behind</p>' as html from p""")
+def wiki_tables(spark, d):
+    """Whole documents as tables, a line a row, with attributes, links and tables in cells."""
+    lines = F.filter(F.transform(F.split(F.regexp_replace("text", "[^A-Za-z0-9 .,\n]", ""), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    inner = lambda x, i: F.when((i + 1) % 5 == 0, F.concat(F.lit("\n{|\n|"), x, F.lit("\n|}"))).otherwise("")
+    rows = F.transform(lines, lambda x, i: F.concat(F.lit("|- style='x' onclick=y\n| "), (i + 1).cast("string"), F.lit(" || class=c | [[A|"), x, F.lit("]]\nmore"), inner(x, i)))
+    t = F.concat(F.lit('before\n{| class=a id="'), F.col("doc_id").cast("string"), F.lit('"\n|+ '), F.size(lines).cast("string"), F.lit(" lines\n! n !! scope=col | '''text'''\n"), F.array_join(rows, "\n"), F.lit("\n|} behind"))
+    return table(spark, d, "documents").select("doc_id", H.wiki_to_html(t).alias("html"))
+
+
 @query(r"""with m as (select doc_id, regexp_replace(text, '\s+', ' ', 'g') as t from documents)
 select doc_id, case when doc_id % 4 < 3 then 'dab' || doc_id end as subject, case doc_id % 4 when 0 then 'dab' || doc_id when 1 then 'the dab' when 2 then 'dab' || doc_id end as label, case when doc_id % 4 < 3 then trim(t) end as description from m""")
 def dab_line_parts(spark, d):

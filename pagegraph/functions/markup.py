@@ -271,9 +271,93 @@ def html_cleanup(series: pd.Series) -> pd.Series:
     return series.map(one, na_action="ignore")
 
 
+_ATTRIBUTES = re.compile(r"([a-zA-Z][\w-]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'<>=]+))")
+
+
+def _attributes(t: str) -> str:
+    """Attributes of wikitext in HTML, without those that run scripts."""
+    found = ((k.lower(), a or b or c) for k, a, b, c in _ATTRIBUTES.findall(t))
+    return "".join(f' {k}="{html.escape(v)}"' for k, v in found if not k.startswith("on"))
+
+
+class TableWriter:
+    """Wikitext tables in HTML, line by line, nested in cells to any depth; what no mark closes is closed at the end."""
+
+    def __init__(self, out: list[str], inline):
+        self.out, self.inline = out, inline
+        self.open: list[list] = []  # of each open table: whether a row is open, and which cell
+
+    def cell_end(self) -> None:
+        if self.open[-1][1]:
+            self.out.append(f"</{self.open[-1][1]}>")
+            self.open[-1][1] = None
+
+    def row_end(self) -> None:
+        self.cell_end()
+        if self.open[-1][0]:
+            self.out.append("</tr>")
+            self.open[-1][0] = False
+
+    def row(self, attributes: str = "") -> None:
+        self.row_end()
+        self.out.append(f"<tr{_attributes(attributes)}>")
+        self.open[-1][0] = True
+
+    def cell(self, tag: str, text: str) -> None:
+        self.cell_end()
+        if not self.open[-1][0]:
+            self.row()
+        attributes, content = self.parts(text)
+        self.out.append(f"<{tag}{attributes}>{content}")
+        self.open[-1][1] = tag
+
+    def parts(self, text: str) -> tuple[str, str]:
+        """What stands before a single bar, unless that is in a link or a template, are attributes."""
+        before, bar, after = text.partition("|")
+        given = bar and "[[" not in before and "{{" not in before
+        return (_attributes(before), self.inline(after.strip())) if given else ("", self.inline(text.strip()))
+
+    def end(self) -> None:
+        self.row_end()
+        self.out.append("</table>")
+        self.open.pop()
+
+    def line(self, line: str) -> str | None:
+        """Takes a line; what it is not part of a table is given back."""
+        t = line.strip()
+        if t.startswith("{|"):
+            if self.open and not self.open[-1][1]:
+                self.cell("td", "")
+            self.out.append(f"<table{_attributes(t[2:])}>")
+            self.open.append([False, None])
+        elif not self.open:
+            return line
+        elif t.startswith("|}"):
+            self.end()
+            if rest := t[2:].strip():
+                return self.line(rest) if self.open else rest
+        elif t.startswith("|-"):
+            self.row(t[2:].lstrip("-"))
+        elif t.startswith("|+"):
+            self.row_end()
+            attributes, content = self.parts(t[2:])
+            self.out.append(f"<caption{attributes}>{content}</caption>")
+        elif t.startswith("!"):
+            for part in re.split(r"!!|\|\|", t[1:]):
+                self.cell("th", part)
+        elif t.startswith("|"):
+            for part in t[1:].split("||"):
+                self.cell("td", part)
+        elif t and self.open[-1][1]:
+            self.out.append("\n" + self.inline(t))
+        elif t:
+            self.cell("td", t)
+        return None
+
+
 @F.pandas_udf(_TEXT)
 def wiki_to_html(series: pd.Series) -> pd.Series:
-    """Headings, lists, bold, italics, links, references and paragraphs of wikitext in HTML."""
+    """Headings, lists, tables, bold, italics, links, references and paragraphs of wikitext in HTML."""
 
     def inline(t: str, refs: list[str]) -> str:
         def ref(m):
@@ -288,7 +372,15 @@ def wiki_to_html(series: pd.Series) -> pd.Series:
 
     def one(t):
         out, lists, refs = [], "", []
+        table = TableWriter(out, lambda x: inline(x, refs))
         for line in re.sub(r"(?s)<!--.*?-->", "", t or "").split("\n"):
+            if table.open or line.lstrip().startswith("{|"):
+                if not table.open:
+                    out += ["</ul>" if c == "*" else "</ol>" for c in reversed(lists)]
+                    lists = ""
+                line = table.line(line)
+                if line is None:
+                    continue
             marks = re.match(r"[*#]*", line)[0]
             same = len([1 for a, b in zip(marks, lists, strict=False) if a == b])
             out += ["</ul>" if c == "*" else "</ol>" for c in reversed(lists[same:])] + ["<ul>" if c == "*" else "<ol>" for c in marks[same:]]
@@ -300,6 +392,8 @@ def wiki_to_html(series: pd.Series) -> pd.Series:
                 out.append(f"<h{len(head[1])}>{inline(head[2], refs)}</h{len(head[1])}>")
             elif line.strip():
                 out.append(f"<p>{inline(line.strip(), refs)}</p>")
+        while table.open:
+            table.end()
         out += ["</ul>" if c == "*" else "</ol>" for c in reversed(lists)]
         if refs:
             out.append("<ol>" + "".join(f'<li id="cite{i + 1}">{r}</li>' for i, r in enumerate(refs)) + "</ol>")
