@@ -205,3 +205,45 @@ def changes_in_windows(spark, d):
 def exported_urls(spark, d):
     """Disambiguation pages as URLs."""
     return M.page(spark, d).where("is_dab").select(F.concat(F.lit("https://x.org/wiki/"), U.encoded_title(F.col("page_title"))).alias("url"))
+
+
+
+@query("""with p as (select page_id, page_id % 5 as k, '10.' || (1000 + page_id % 9000) || '/abc.def-' || (1000000 + page_id) as doi from pages)
+select page_id, case when k in (0, 1, 2) then doi end as doi from p""")
+def page_dois(spark, d):
+    """DOIs of whole pages: in a field, in a link, in the text; two of them or none give none."""
+    n, k = F.col("page_id"), F.col("page_id") % 5
+    doi = F.concat(F.lit("10."), (1000 + n % 9000).cast("string"), F.lit("/abc.def-"), (1000000 + n).cast("string"))
+    put = F.when(k == 0, F.concat(F.lit('<meta name="citation_doi" content="doi:'), doi, F.lit('">'))).when(k == 1, F.concat(F.lit('<a href="http://dx.doi.org/'), doi, F.lit('">x</a>'))).when(k == 2, F.concat(F.lit("<p>doi:"), doi, F.lit(" </p>")))
+    put = put.when(k == 3, F.concat(F.lit("<p>doi:"), doi, F.lit(" doi:"), doi, F.lit("0 </p>"))).otherwise("")
+    return table(spark, d, "pages").select("page_id", T.doi(F.concat(F.coalesce("html", F.lit("")), put)).alias("doi"))
+
+
+@query(r"""with t as (select p_partkey, case p_partkey % 11 when 0 then p_name when 1 then p_name || '#x' when 2 then ':' || p_name when 3 then '../' || p_name when 4 then p_name || '%20' when 5 then p_name || ' &amp; co' when 6 then repeat(p_name, 60) when 7 then 'Undefined' when 8 then 'File_talk:' || p_name when 9 then p_name || '/..' else '' end as title from part)
+select p_partkey, title, p_partkey % 11 = 0 and not starts_with(title, 'red') as allowed from t""")
+def title_blacklist(spark, d):
+    """Titles that are valid and on no blacklist."""
+    n, k = F.col("p_name"), F.col("p_partkey") % 11
+    made = [n, F.concat(n, F.lit("#x")), F.concat(F.lit(":"), n), F.concat(F.lit("../"), n), F.concat(n, F.lit("%20")), F.concat(n, F.lit(" &amp; co")), F.repeat(n, F.lit(60)), F.lit("Undefined"), F.concat(F.lit("File_talk:"), n), F.concat(n, F.lit("/..")), F.lit("")]
+    title = F.lit(None).cast("string")
+    for i, c in enumerate(made):
+        title = F.when(k == i, c).otherwise(title)
+    rows = table(spark, d, "part").select("p_partkey", title.alias("title"))
+    return rows.withColumn("allowed", N.allowed_title(F.col("title"), [r"^(?i:undefined|null)$", r"_talk:", r"^red"]))
+
+
+@query("""with f as (select l_orderkey, l_linenumber, cast(round(l_extendedprice * 1000) as bigint) as size, cast(l_quantity * 40 as bigint) as w, cast(l_quantity * 30 as bigint) as h, l_returnflag as k, 8 as bits, case when l_linestatus = 'O' then 3 else 4 end as c from lineitem)
+select l_orderkey, l_linenumber, size, case k when 'A' then 'jpeg' when 'N' then 'png' else 'gif' end as kind from f where (k = 'A' and size > 3 * w * h + 10485760) or (k = 'N' and size > 1.10::double * (10485760 + w * h * bits / 8 * c))""")
+def oversized_media(spark, d):
+    """Files with many more bytes than their pixels need, by kind."""
+    q, k = F.col("l_quantity"), F.col("l_returnflag")
+    f = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(F.col("l_extendedprice") * 1000).cast("bigint").alias("size"), (q * 40).cast("bigint").alias("w"), (q * 30).cast("bigint").alias("h"), F.when(k == "A", "jpeg").when(k == "N", "png").otherwise("gif").alias("kind"), F.when(F.col("l_linestatus") == "O", 3).otherwise(4).alias("c"))
+    return f.where(P.oversized(F.col("size"), F.col("w"), F.col("h"), F.col("kind"), F.lit(8), F.col("c"))).select("l_orderkey", "l_linenumber", "size", "kind")
+
+
+@query(r"""with t as (select doc_id, regexp_replace(text, '([^\n]+)', '<!--\1-->\1', 'g') as t from documents)
+select doc_id, array_to_string(list_transform(string_split(t, chr(10)), lambda x: case when starts_with(x, '<!--') and strpos(x, '-->') - 5 >= 250 then substr(x, strpos(x, '-->') + 3) else x end), chr(10)) as kept from t""")
+def long_hidden_comments(spark, d):
+    """Whole texts whose lines stand in comments before them; comments of 250 characters or more go."""
+    t = F.regexp_replace("text", r"([^\n]+)", "<!--$1-->$1")
+    return table(spark, d, "documents").select("doc_id", T.long_comments(t).alias("kept"))

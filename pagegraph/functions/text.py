@@ -311,6 +311,17 @@ def long_comments(t: Column) -> Column:
     return F.regexp_replace(t, r"(?s)<!--(?:(?!-->).){250,}?-->", "")
 
 
+#: Fixed value: how pages write a DOI that is no field.
+_DOI = r"(?:doi:|=\s*\"|dx.doi.org/|hdl.handle.net/)(10\.[0-9]{4}/[\w\-.]{10,})(?=[<>\"\s]|[^\w.\-])"
+
+
+def doi(html: Column) -> Column:
+    """The DOI that a page gives in its citation_doi field, else the only one that stands in it; null without one or with several."""
+    field = F.try_element_at(F.transform(F.filter(meta_fields(html), lambda p: (p["name"] == "citation_doi") & (p["content"] != "")), lambda p: p["content"]), F.lit(1))
+    found = F.regexp_extract_all(html, F.lit(_DOI), F.lit(1))
+    return F.coalesce(F.regexp_replace(field, r"^doi:\s*", ""), F.when(F.size(found) == 1, F.try_element_at(found, F.lit(1))))
+
+
 def without_auto_sections(t: Column) -> Column:
     """Edit summaries without their section mark."""
     return F.trim(F.regexp_replace(t, r"/\*.*?\*/", ""))

@@ -231,6 +231,14 @@ _WORKS = (
 )
 
 
+def allowed_title(title: Column, blacklist: list[str]) -> Column:
+    """Whether a title is valid (no characters that titles lack, no empty or relative parts, at most 255 bytes) and fits none of some patterns."""
+    bad = title.isNull() | (F.trim(title) == "") | title.rlike(r"[#<>\[\]{}|\x00-\x1F\x7F\uFFFD]") | title.rlike(r"^:|^\.{1,2}(?:/|$)|/\.{1,2}(?:/|$)|%[0-9A-Fa-f]{2}|&[#A-Za-z0-9]+;|~~~") | (F.octet_length(title) > 255)
+    for pattern in blacklist:
+        bad = bad | title.rlike(pattern)
+    return ~F.coalesce(bad, F.lit(True))
+
+
 def category_year(category: Column) -> Column:
     """The year, decade or century that a category begins with: 1867, 1860s, 2nd-century BC; null without one."""
     t = F.replace(category, F.lit("_"), F.lit(" "))

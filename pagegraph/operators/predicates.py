@@ -45,3 +45,10 @@ def any_like(column: str, titles: list[str], suffixes: list[str] = ()) -> Column
     for p in patterns:
         out = out | F.col(column).like(p)
     return out
+
+
+def oversized(size: Column, width: Column, height: Column, kind: Column, bits: Column, channels: Column) -> Column:
+    """Files with many more bytes than their pixels need, which may hold something else: over ten megabytes beyond three bytes a pixel for jpeg and xcf; for png over a tenth more than raw pixels and ten megabytes."""
+    spare = 10 * 1024 * 1024
+    pixels = width.cast("bigint") * height
+    return F.coalesce(F.when(kind.isin("jpeg", "x-xcf"), size > 3 * pixels + spare).when(kind == "png", size > 1.10 * (spare + pixels * bits / 8 * channels)), F.lit(False))
