@@ -106,6 +106,24 @@ def protected_replacement(spark, d):
     return table(spark, d, "documents").select("doc_id", H.replace_except("the", "THE", ("nowiki", "link", "comment"))(t).alias("replaced"))
 
 
+#: References as they are found, and as they should be; punctuation stands before most of them.
+_UNTIDY = [
+    (r" (la|is) ", r" \1.<Ref>Book A</REF> "), (r" (of) ", r' \1,<ref  Name = "b">c</ref>  <ref name= "b"/>'), (r" (the) ", r" \1<ref>www.example.org/a/b </ref>, k.<ref>x</ref> "), (r" (and) ", r" \1;<ref>example.org/x Some title</ref>; "), (r" (de) ", r" \1,<ref>[http://a.org/x] [http://b.org/y]</ref><ref> </ref> "),
+    (r" (by) ", r" \1,<sup>[http://c.org/z ]</sup>("), (r" (en) ", r" \1,<ref>. {{cite web|url=http://example.org/a|title=A long title}}. </ref> "),
+]
+_TIDY = [
+    (r" (la|is) ", r" \1.<ref>Book A</ref> "), (r" (of) ", r' \1,<ref name="b">c</ref><ref name="b"/>'), (r" (the) ", r" \1,<ref>http://www.example.org/a/b</ref> k.<ref>x</ref> "), (r" (and) ", r" \1;<ref>[http://example.org/x Some title]</ref> "), (r" (de) ", r" \1,<ref>[http://a.org/x]</ref><ref>[http://b.org/y]</ref> "),
+    (r" (by) ", r" \1,<ref>http://c.org/z</ref> ("), (r" (en) ", r" \1,<ref>{{cite web|url=http://example.org/a|title=A long title}} </ref> "),
+]
+
+
+@query(rf"""with t as (select doc_id, regexp_replace(text, '[^A-Za-z ]', '', 'g') || ' of x of y of z ' as t from documents) select doc_id, regexp_replace({rewritten_sql("t", _TIDY)}, '/>([A-Za-z])', '/> \1', 'g') as clean from t""")
+def reference_cleanup(spark, d):
+    """Words of whole texts with untidy references put in and tidied."""
+    t = F.concat(F.regexp_replace("text", "[^A-Za-z ]", ""), F.lit(" of x of y of z "))
+    return table(spark, d, "documents").select("doc_id", T.reference_cleanup(rewritten(t, _UNTIDY)).alias("clean"))
+
+
 _DEAD = [(r"\. ", ". {{dead link|date=May 2001}} {{Dead link}} "), (r", ", ", {{cite|archive-url=z}} {{dead link}} ")]
 _LIVE = [(r"\. ", ". {{dead link|date=May 2001}} "), (r", ", ", {{cite|archive-url=z}} ")]
 

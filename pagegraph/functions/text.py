@@ -63,6 +63,32 @@ def reference_repairs(t: Column) -> Column:
     return chain(t, (r"<ref\s+name\s*=\s*([^\s\"'>/]+)\s*(/?)>", "<ref name=\"$1\"$2>"), (r"(?is)<ref>\s*</ref>", ""), (r"\s+(<ref\b)", "$1"), (r"(<ref\b[^>]*/>|<ref\b[^>/]*>[^<]*</ref>)([.,;])", "$2$1"))
 
 
+#: A reference with content, or one by name; what stands in it is no tag of a reference.
+_INSIDE = r"[^<]*+(?:<(?!/?ref\b)[^<]*+)*+"
+_REFERENCE = rf"(?:<ref\b[^<>]*/>|<ref\b[^<>/]*>{_INSIDE}</ref>)"
+
+
+def reference_cleanup(t: Column) -> Column:
+    """References in one style, and punctuation before them where a text has it there more often than behind.
+
+    Tags and name= in small letters without blanks; no stray punctuation at a template that is all of a
+    reference; missing schemes; two links in one reference apart; links in <sup> as references; no empty
+    references. Then punctuation goes before a run of references and stands once, references
+    have no blanks between them, and one blank before a word or bracket that follows.
+    """
+    t = chain(
+        t, (r"<(?i:ref)\b([^<>]*)>", "<ref$1>"), (r"</(?i:ref)\s*>", "</ref>"), (r"<ref\s+(?i:name)\s*=\s*\"", "<ref name=\""), (r"(<ref\b[^<>/]*>\s*)[,.?:;~!]+\s*(?=\{\{)", "$1"), (r"(\{\{[^{}]{40,}\}\})\s*[,.?:;~!]+(?=\s*</ref>)", "$1"),
+        (r"<ref>\s*([a-z0-9\-.]*[a-z0-9\-]\.[a-z.]{2,6}/[^\]\[<>\s\"]+)\s*</ref>", "<ref>http://$1</ref>"), (r"<ref>\s*\[?(?:http://)?([a-z0-9\-.]*[a-z0-9\-]\.[a-z.]{2,6}/[^\]\[<>\s\"|]+) +([^\]\[{|}<>\n/]+?)\]?\s*</ref>", "<ref>[http://$1 $2]</ref>"),
+        (r"<ref>\s*(\[\w+://[^\]\[<>\"\s]+\s*\])\s*(\[\w+://[^\]\[<>\"\s]+\s*\])\s*</ref>", "<ref>$1</ref><ref>$2</ref>"), (r"(?i)<sup *>\s*\[(\w+://[^\]\[<>\"\s]+) *\]\s*</sup>", "<ref>$1</ref>"), (r"<ref> *</ref>", ""),
+    )
+    before, behind = F.regexp_count(t, F.lit(r"[.,;:]\s?<ref")), F.regexp_count(t, F.lit(rf"{_REFERENCE} ?[.,;:]"))
+    moved = chain(
+        t, (rf"(?<=[\w\")\]]) *(({_REFERENCE}\s?)*{_REFERENCE}) ?([.,;:])(?![.,;:])", "$3$1"), (rf"([.,;:])(\"?(?:{_REFERENCE}\s?)*{_REFERENCE}) ?\1(?![.,;:])", "$1$2"),
+        (rf"({_REFERENCE}) +(?=<ref\b)", "$1"), (rf"({_REFERENCE})(?=[\w(\[])", "$1 "),
+    )
+    return F.when(before > behind, moved).otherwise(t)
+
+
 def bare_references(t: Column) -> Column:
     """URLs of references that hold a URL only."""
     return F.regexp_extract_all(t, F.lit(r"(?i)<ref(?:\s[^>]*)?>\s*\[?(https?://[^\s\]<]+)\]?\s*</ref>"), 1)
