@@ -56,3 +56,30 @@ def test_a_column(spark):
     ref = f"<ref>{LONG}</ref>"
     got = spark.createDataFrame([(1, ref * 2), (2, None)], "k int, t string").select(markup.named_references()("t").alias("n")).collect()
     assert [r.n for r in got] == [f'<ref name="harker12">{LONG}</ref><ref name="harker12"/>', None]
+
+
+def clean(spark, raw):
+    from pyspark.sql import functions as F
+
+    from pagegraph.functions import text
+
+    return spark.createDataFrame([(raw,)], "t string").select(text.reference_cleanup(F.col("t")).alias("c")).first().c
+
+
+@pytest.mark.parametrize(
+    ("raw", "want"),
+    [
+        ("a.<REF>x</Ref> b", "a.<ref>x</ref> b"), ('a.<ref  name ="n">x</ref> b', 'a.<ref name="n">x</ref> b'), ("a.<ref> </ref> b", "a. b"), ("a.<ref>example.org/x</ref> b", "a.<ref>http://example.org/x</ref> b"), ("a.<ref>[http://example.org/x T t]</ref> b", "a.<ref>[http://example.org/x T t]</ref> b"),
+        ("a.<sup>[http://x.org/y]</sup> b", "a.<ref>http://x.org/y</ref> b"), ("a.<ref>x</ref><ref>y</ref>, c<ref>z</ref> d", "a.<ref>x</ref><ref>y</ref>, c<ref>z</ref> d"), ("a.<ref>x</ref> b.<ref>y</ref> c<ref>z</ref>, d", "a.<ref>x</ref> b.<ref>y</ref> c,<ref>z</ref> d"),
+        ("a.<ref>x</ref> b.<ref>y</ref>. c", "a.<ref>x</ref> b.<ref>y</ref> c"), ("a.<ref>x</ref> <ref name=q/>b", "a.<ref>x</ref><ref name=q/> b"), ("a.<ref>x <i>y</i></ref>b.<ref>x</ref> c <ref>z</ref>; d", "a.<ref>x <i>y</i></ref> b.<ref>x</ref> c;<ref>z</ref> d"),
+        ("a<ref>x</ref>, b<ref>y</ref>. c.<ref>z</ref>", "a<ref>x</ref>, b<ref>y</ref>. c.<ref>z</ref>"), ("<references /> a", "<references /> a"), ("", ""), (None, None), ("a.<ref>open", "a.<ref>open"),
+    ],
+)
+def test_cleanup(spark, raw, want):
+    assert clean(spark, raw) == want
+
+
+def test_cleanup_twice_and_of_long_texts(spark):
+    raw = "a.<ref>x</ref> b<ref>y</ref>, c;<REF name =\"q\">z <b>q</b></REF>; d" * 400 + "<ref>" + "<b>x</b> " * 5000 + "</ref>" + "<ref>" * 2000
+    once = clean(spark, raw)
+    assert clean(spark, once) == once and once.count("</ref>") == 1201
