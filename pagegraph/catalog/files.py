@@ -50,7 +50,7 @@ def tsv_texts(spark, d):
     k = F.col("doc_id") % 4
     tail = F.when(k == 0, "\\").when(k == 1, "\t").when(k == 2, "\n").otherwise("")
     text = F.coalesce(t, F.lit(""))
-    K.write_tsv(table(spark, d, "documents").select(t.alias("first"), F.concat(hard, text).alias("middle"), "doc_id", F.when(F.col("doc_id") % 3 > 0, F.concat(text, hard, tail)).alias("last")), path)
+    K.write_tsv(table(spark, d, "documents").select(t.alias("first"), F.concat(hard, text).alias("middle"), "doc_id", F.when(F.col("doc_id") % 3 > 0, F.concat(text, hard, tail)).alias("last")), path, compression="gzip")
     back = R.read_tsv(spark, path, "first string, middle string, doc_id bigint, last string")
     return taken(back.select("doc_id", F.md5(F.coalesce("first", F.lit("-"))).alias("first"), F.md5("middle").alias("middle"), F.md5(F.coalesce("last", F.lit("null"))).alias("last")), path)
 

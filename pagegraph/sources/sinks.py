@@ -22,14 +22,14 @@ def tsv_field(c: Column, kind: str) -> Column:
     return F.when(c.isNull(), "\\N").otherwise(text)
 
 
-def write_tsv(df: DataFrame, path: str, header: bool = False) -> None:
-    """A line a row, fields between tabs; with header each file begins with a line of names."""
+def write_tsv(df: DataFrame, path: str, header: bool = False, compression: str = "none") -> None:
+    """A line a row, fields between tabs; with header each file begins with a line of names. Readers know compressed files by their names."""
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     lines = df.select(F.concat_ws("\t", *[tsv_field(F.col(f"`{c}`"), k) for c, k in kinds.items()]).alias("value"))
     if header:
         first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0  # of each file
         lines = lines.withColumn("first", first).select(F.explode(F.when(F.col("first"), F.array(F.lit("\t".join(kinds)), "value")).otherwise(F.array("value"))).alias("value"))
-    lines.write.mode("overwrite").option("lineSep", "\n").text(path)
+    lines.write.mode("overwrite").option("lineSep", "\n").option("compression", compression).text(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:
