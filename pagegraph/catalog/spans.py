@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import spans as P
-from ..session import table
+from ..session import bounded_batches, table
 from .base import Catalogue, rewritten, rewritten_sql
 
 catalogue = Catalogue()
@@ -35,6 +35,7 @@ def protected_spans(spark, d):
 @query()
 def masked_edit(spark, d):
     """Words in capitals outside all spans, by tokens: taken out, edited, put back."""
+    bounded_batches(spark, 256)
     t = marked(spark, d, KINDS).withColumn("m", P.mask("nowiki", "comment", "template", "table", "link", "ref")(F.col("wikitext")))
     return t.select("doc_id", F.size("m.parts").cast("bigint").alias("parts"), P.unmask(F.upper("m.masked"), F.col("m.parts")).alias("edited"))
 

@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import bounded_batches
+
 #: Kinds of spans by name: how they begin, and how they end (nothing where the beginning is the whole span).
 KINDS: dict[str, tuple[str, str | None]] = {
     "comment": (r"<!--", r"-->"),
@@ -150,6 +152,7 @@ def replace_outside(old: str, new: str, kinds: tuple[str, ...]):
 
 def span_rows(pages: DataFrame, key: str, text: str, *kinds: str) -> DataFrame:
     """(key, n, kind, start, length, span): a row per span."""
+    bounded_batches(pages.sparkSession, 256)
     found = pages.select(key, text, F.posexplode(protected(*kinds)(F.col(text))).alias("n", "s"))
     return found.select(key, "n", "s.kind", "s.start", "s.length", F.substring(F.col(text), F.col("s.start") + 1, F.col("s.length")).alias("span"))
 
