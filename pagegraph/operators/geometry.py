@@ -31,6 +31,11 @@ _LIST = rf"\({_PLACE}(?:,{_PLACE})*+\)"
 # ----------------------------------------------------------------- text
 
 
+def once(value: Column, use) -> Column:
+    """use(value), where the value is worked out once, however often it is named: the planner doesn't share what stands in lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def place(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
@@ -54,8 +59,7 @@ def from_text(wkt: Column) -> Column:
     rings = F.regexp_extract_all(wkt, F.lit(r"\(([^()]*)\)"), F.lit(1))
 
     def one(p):
-        parts = F.split(F.trim(F.translate(p, "\t\r\n", "   ")), " +")
-        return place(F.get(parts, F.lit(0)), F.get(parts, F.lit(1)))
+        return once(F.split(F.trim(F.translate(p, "\t\r\n", "   ")), " +"), lambda parts: place(F.get(parts, F.lit(0)), F.get(parts, F.lit(1))))
 
     return F.when(kind_of_text(wkt).isNotNull(), F.transform(rings, lambda r: F.transform(F.split(r, ","), one)))
 
@@ -79,12 +83,12 @@ def _turned(h: Column, size: int) -> Column:
 
 
 def _int_hex(n: Column) -> Column:
-    return _turned(F.lpad(F.hex(n.cast("bigint")), 8, "0"), 4)
+    return once(F.lpad(F.hex(n.cast("bigint")), 8, "0"), lambda h: _turned(h, 4))
 
 
 def _double_hex(x: Column) -> Column:
     bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToRawLongBits"), x).cast("bigint")
-    return _turned(F.lpad(F.hex(bits), 16, "0"), 8)
+    return once(F.lpad(F.hex(bits), 16, "0"), lambda h: _turned(h, 8))
 
 
 def as_binary(rings: Column, kind: str = "POLYGON") -> Column:
@@ -94,45 +98,45 @@ def as_binary(rings: Column, kind: str = "POLYGON") -> Column:
         return F.array_join(F.transform(ring, lambda p: F.concat(_double_hex(p["x"]), _double_hex(p["y"]))), "")
 
     body = {
-        "POINT": lambda: places(F.get(rings, F.lit(0))),
-        "LINESTRING": lambda: F.concat(_int_hex(F.size(F.get(rings, F.lit(0)))), places(F.get(rings, F.lit(0)))),
-        "POLYGON": lambda: F.concat(_int_hex(F.size(rings)), F.array_join(F.transform(rings, lambda r: F.concat(_int_hex(F.size(r)), places(r))), "")),
-    }[kind]()
-    return F.unhex(F.concat(F.lit(f"01{_KINDS[kind]:02X}000000"), body))
+        "POINT": lambda r: places(F.get(r, F.lit(0))),
+        "LINESTRING": lambda r: F.concat(_int_hex(F.size(F.get(r, F.lit(0)))), places(F.get(r, F.lit(0)))),
+        "POLYGON": lambda r: F.concat(_int_hex(F.size(r)), F.array_join(F.transform(r, lambda x: F.concat(_int_hex(F.size(x)), places(x))), "")),
+    }[kind]
+    return F.unhex(F.concat(F.lit(f"01{_KINDS[kind]:02X}000000"), once(rings, body)))
 
 
 def from_binary(wkb: Column) -> Column:
-    """Rings of well-known binary of either byte order."""
-    h = F.hex(wkb)
-    little = F.substring(h, 1, 2) == "01"
+    """Rings of well-known binary of either byte order. Hex digits, counts and numbers are worked out once, then named."""
+    start = F.struct(F.lit(9).alias("at"), F.array().cast(RINGS).alias("rings"))
+
+    def rings(h, little):
+        def digits(at, size, use):  # at: a place in bytes, from 0
+            return once(F.substring(h, at * 2 + 1, F.lit(2 * size)), lambda own: once(F.when(little, _turned(own, size)).otherwise(own), use))
+
+        def number(at):
+            return digits(at, 4, lambda own: F.conv(own, 16, 10).cast("int"))
 
-    def digits(at, size):  # at: a place in bytes, from 0
-        own = F.substring(h, at * 2 + 1, F.lit(2 * size))
-        return F.when(little, _turned(own, size)).otherwise(own)
+        def value(own):
+            bits = F.conv(own, 16, -10).cast("bigint")  # to a negative base: with its sign
+            return F.java_method(F.lit("java.lang.Double"), F.lit("longBitsToDouble"), bits).cast("double")
 
-    def number(at):
-        return F.conv(digits(at, 4), 16, 10).cast("int")
+        def places(at, n):
+            return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda k: place(digits(at + k * 16, 8, value), digits(at + k * 16 + 8, 8, value)))).otherwise(F.array().cast("array<struct<x: double, y: double>>"))
 
-    def double(at):
-        own = digits(at, 8)
-        # The sign apart, as an unsigned number of 16 digits is no bigint.
-        low = F.conv(F.concat(F.conv(F.substring(own, 1, 1), 16, 10).cast("int").bitwiseAND(7).cast("string"), F.substring(own, 2, 15)), 16, 10).cast("bigint")
-        size = F.java_method(F.lit("java.lang.Double"), F.lit("longBitsToDouble"), low).cast("double")
-        return F.when(F.substring(own, 1, 1) >= "8", -size).otherwise(size)
+        def add(a, _):
+            return once(number(a["at"]), lambda n: F.struct((a["at"] + 4 + n * 16).alias("at"), F.concat(a["rings"], F.array(places(a["at"] + 4, n))).alias("rings")))
 
-    def places(at, n):
-        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda k: place(double(at + k * 16), double(at + k * 16 + 8)))).otherwise(F.array().cast("array<struct<x: double, y: double>>"))
+        def polygon(count):
+            return F.aggregate(F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>")), start, add)["rings"]
 
-    kind, nine, five = number(F.lit(1)), F.lit(9), F.lit(5)
-    start = F.struct(nine.alias("at"), F.array().cast(RINGS).alias("rings"))
+        def of_kind(kind):
+            five, nine = F.lit(5), F.lit(9)
+            line_ = once(number(five), lambda n: F.array(places(nine, n)))
+            return F.when(kind == 1, F.array(places(five, F.lit(1)))).when(kind == 2, line_).when(kind == 3, once(F.least(number(five), F.length(wkb)), polygon))
 
-    def add(a, _):
-        n = number(a["at"])
-        return F.struct((a["at"] + 4 + n * 16).alias("at"), F.concat(a["rings"], F.array(places(a["at"] + 4, n))).alias("rings"))
+        return F.when(F.substring(h, 1, 2).isin("00", "01"), once(number(F.lit(1)), of_kind))
 
-    count = F.least(number(five), F.length(wkb))
-    polygon = F.aggregate(F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>")), start, add)["rings"]
-    return F.when(~F.substring(h, 1, 2).isin("00", "01"), None).when(kind == 1, F.array(places(five, F.lit(1)))).when(kind == 2, F.array(places(nine, number(five)))).when(kind == 3, polygon)
+    return once(F.hex(wkb), lambda h: once(F.substring(h, 1, 2) == "01", lambda little: rings(h, little)))
 
 
 # ----------------------------------------------------------------- boxes
@@ -140,9 +144,12 @@ def from_binary(wkb: Column) -> Column:
 
 def envelope(rings: Column) -> Column:
     """struct<x0, x1, y0, y1> around all places."""
-    every = F.flatten(rings)
-    xs, ys = F.transform(every, lambda p: p["x"]), F.transform(every, lambda p: p["y"])
-    return F.when(F.size(every) > 0, F.struct(F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1")))
+
+    def around(every):
+        xs, ys = F.transform(every, lambda p: p["x"]), F.transform(every, lambda p: p["y"])
+        return F.when(F.size(every) > 0, F.struct(F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1")))
+
+    return once(F.flatten(rings), around)
 
 
 def box(x0: Column, x1: Column, y0: Column, y1: Column) -> Column:
@@ -171,8 +178,13 @@ def _edges(rings: Column) -> Column:
 
 def within(rings: Column, x: Column, y: Column) -> Column:
     """Even-odd rule over all rings: in the outer one and in no hole."""
-    crosses = F.filter(_edges(rings), lambda e: ((e["a"]["y"] > y) != (e["b"]["y"] > y)) & (x < (e["b"]["x"] - e["a"]["x"]) * (y - e["a"]["y"]) / F.nullif(e["b"]["y"] - e["a"]["y"], F.lit(0.0)) + e["a"]["x"]))
-    return F.size(crosses) % 2 == 1
+
+    def inside(p):
+        x, y = p["x"], p["y"]
+        crosses = F.filter(_edges(rings), lambda e: ((e["a"]["y"] > y) != (e["b"]["y"] > y)) & (x < (e["b"]["x"] - e["a"]["x"]) * (y - e["a"]["y"]) / F.nullif(e["b"]["y"] - e["a"]["y"], F.lit(0.0)) + e["a"]["x"]))
+        return F.size(crosses) % 2 == 1
+
+    return once(F.struct(x.alias("x"), y.alias("y")), inside)
 
 
 def distance(rings: Column, x: Column, y: Column) -> Column:
