@@ -56,21 +56,31 @@ def _number(t: Column, pattern: str, i: int) -> Column:
 
 
 def latlon(params: Column) -> Column:
-    """struct(lat, lon), both null where the string holds no place on a globe."""
+    """struct(lat, lon), both null where the string holds no place on a globe. Parts are worked out once, then named."""
     d = r"^_*(-?\d+(?:\.\d+)?);_*(-?\d+(?:\.\d+)?)(?:_|$)"
 
-    def side(first, letter, negative):
-        deg, minute, sec = (_number(params, _PAIR, first + i) for i in range(3))
-        size = F.abs(deg) + F.coalesce(minute, F.lit(0.0)) / 60 + F.coalesce(sec, F.lit(0.0)) / 3600
-        bad = (F.coalesce(minute, F.lit(0.0)) >= 60) | (F.coalesce(sec, F.lit(0.0)) >= 60)
-        sign = F.when(F.regexp_extract(params, _PAIR, letter).isin(*negative) != (deg < 0), -1).otherwise(1)
-        return F.when(~bad, F.round(sign * size, 9))
+    def size(s, negative):
+        parts = F.abs(s["deg"]) + s["minute"] / 60 + s["sec"] / 3600
+        bad = (s["minute"] >= 60) | (s["sec"] >= 60)
+        sign = F.when(s["letter"].isin(*negative) != (s["deg"] < 0), -1).otherwise(1)
+        return F.when(~bad, F.round(sign * parts, 9))
 
-    lat = F.when(params.rlike(_PAIR), side(1, 4, ("S", "Z"))).when(params.rlike(d), _number(params, d, 1))
-    lon = F.when(params.rlike(_PAIR), side(5, 8, ("W",))).when(params.rlike(d), _number(params, d, 2))
-    ok = (F.abs(lat) <= 90) & (F.abs(lon) <= 360)
-    lon = F.when(lon > 180, lon - 360).when(lon <= -180, lon + 360).otherwise(lon)
-    return F.struct(F.when(ok, lat).alias("lat"), F.when(ok, lon).alias("lon"))
+    def side(p, first, letter, negative):
+        deg, minute, sec = (_number(p, _PAIR, first + i) for i in range(3))
+        zero = F.lit(0.0)
+        return _once(F.struct(deg.alias("deg"), F.coalesce(minute, zero).alias("minute"), F.coalesce(sec, zero).alias("sec"), F.regexp_extract(p, _PAIR, letter).alias("letter")), lambda s: size(s, negative))
+
+    def sides(p):
+        pair = F.struct(side(p, 1, 4, ("S", "Z")).alias("lat"), side(p, 5, 8, ("W",)).alias("lon"))
+        return F.when(p.rlike(_PAIR), pair).when(p.rlike(d), F.struct(_number(p, d, 1).alias("lat"), _number(p, d, 2).alias("lon")))
+
+    def place(a):
+        lat, lon = a["lat"], a["lon"]
+        ok = (F.abs(lat) <= 90) & (F.abs(lon) <= 360)
+        lon = F.when(lon > 180, lon - 360).when(lon <= -180, lon + 360).otherwise(lon)
+        return F.struct(F.when(ok, lat).alias("lat"), F.when(ok, lon).alias("lon"))
+
+    return _once(params, lambda p: _once(sides(p), place))
 
 
 def digits(params: Column) -> Column:
@@ -83,7 +93,7 @@ def attribute(params: Column, key: str) -> Column:
     """The value behind `key:`, or null. A value ends at the next known key, so regions and sources may hold underscores."""
     keys = "type|region|globe|source|scale|dim|heading|alt|elevation|class|name|zoom"
     got = F.regexp_extract(params, rf"(?:^|_){key}:(.*?)(?=_(?:{keys}):|$)", 1)
-    return F.when(got != "", F.regexp_replace(got, "_+$", ""))
+    return _once(got, lambda g: F.when(g != "", F.regexp_replace(g, "_+$", "")))
 
 
 def _once(value: Column, use) -> Column:
@@ -99,28 +109,41 @@ def corrected(value: Column, corrections: dict[str, str]) -> Column:
 
 def place_type(params: Column) -> Column:
     """struct(type, size): city(1000) has the size 1000, if that is up to 70 million; misspelt types are corrected."""
-    raw = F.lower(attribute(params, "type"))
-    size = F.regexp_extract(raw, r"\(([\d.,]+)\)", 1)
-    number = F.regexp_replace(size, ",", "").try_cast("double")
-    kind = F.regexp_replace(F.regexp_replace(raw, r"\(.*$", ""), r"\W.*$", "")
-    return F.struct(corrected(kind, TYPES).alias("type"), F.when(number.between(0, 70e6), number).alias("size"))
+
+    def parts(raw):
+        size = F.regexp_extract(raw, r"\(([\d.,]+)\)", 1)
+        number = F.regexp_replace(size, ",", "").try_cast("double")
+        kind = F.regexp_replace(F.regexp_replace(raw, r"\(.*$", ""), r"\W.*$", "")
+        return F.struct(corrected(kind, TYPES).alias("type"), _once(number, lambda n: F.when(n.between(0, 70e6), n)).alias("size"))
+
+    return _once(F.lower(attribute(params, "type")), parts)
 
 
 def metres(value: Column) -> Column:
     """A length such as 5, 5m, 5km, 3mi or 100ft in metres."""
-    n = F.regexp_extract(value, r"^([\d.]+)", 1).try_cast("double")
-    unit = F.lower(F.regexp_extract(value, r"^[\d.]+\s*([A-Za-z]*)", 1))
-    return F.when(unit.isin("", "m"), n).when(unit == "km", n * 1000).when(unit == "mi", n * 1609.344).when(unit == "ft", n * 0.3048)
+
+    def by(length):
+        n, unit = length["n"], length["unit"]
+        return F.when(unit.isin("", "m"), n).when(unit == "km", n * 1000).when(unit == "mi", n * 1609.344).when(unit == "ft", n * 0.3048)
+
+    def read(v):
+        n = F.regexp_extract(v, r"^([\d.]+)", 1).try_cast("double")
+        return F.struct(n.alias("n"), F.lower(F.regexp_extract(v, r"^[\d.]+\s*([A-Za-z]*)", 1)).alias("unit"))
+
+    return _once(value, lambda v: _once(read(v), by))
 
 
 def heading(value: Column) -> Column:
     """Degrees of a number or of a point of the compass, abbreviated, spelt out, with O for east or boxed wrongly."""
-    up = F.upper(value)
-    for old, new in (("NORTH", "N"), ("SOUTH", "S"), ("EAST", "E"), ("WEST", "W"), ("BY", "B"), ("-", ""), ("O", "E")):
-        up = F.replace(up, F.lit(old), F.lit(new))
-    at = F.array_position(F.array(*[F.lit(c) for c in COMPASS]), corrected(up, HEADINGS))
-    n = value.try_cast("double")
-    return F.when(n.isNotNull(), F.pmod(n, F.lit(360.0))).when(at > 0, (at - 1) * 11.25)
+
+    def point(v):
+        up = F.upper(v)
+        for old, new in (("NORTH", "N"), ("SOUTH", "S"), ("EAST", "E"), ("WEST", "W"), ("BY", "B"), ("-", ""), ("O", "E")):
+            up = F.replace(up, F.lit(old), F.lit(new))
+        at = F.array_position(F.array(*[F.lit(c) for c in COMPASS]), corrected(up, HEADINGS))
+        return _once(at, lambda i: F.when(i > 0, (i - 1) * 11.25))
+
+    return _once(value, lambda v: _once(v.try_cast("double"), lambda n: F.when(n.isNotNull(), F.pmod(n, F.lit(360.0))).otherwise(point(v))))
 
 
 def scale(params: Column, kind: Column) -> Column:
