@@ -167,7 +167,7 @@ select *, ltrim(array_to_string(list_transform(range(10, -1, -1), lambda i: '012
 def base62(spark, d):
     """Numbers to base 62 and back."""
     n = F.col("l_orderkey") * 1000003 + F.col("l_linenumber")
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", n.alias("n"), N.base62(n).alias("digits"), N.unbase62(N.base62(n)).alias("back"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", n.alias("n"), N.base62(n).alias("digits")).withColumn("back", N.unbase62(F.col("digits")))
 
 
 @query("""with m as (select n_regionkey, list(n_name order by n_name) filter (n_nationkey % 7 < n_regionkey) as m from nation group by n_regionkey)

@@ -126,18 +126,23 @@ def db_parts(dbname: Column) -> Column:
     return F.struct(lang.alias("language"), F.when(special, "wikimedia").otherwise(site).alias("family"), host.alias("host"))
 
 
+_DIGITS62 = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
 def base62(number: Column) -> Column:
-    """A positive number in digits 0-9a-zA-Z."""
-    digits = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    steps = F.sequence(F.lit(0), F.lit(10))
-    text = F.aggregate(steps, F.struct(number.cast("long").alias("n"), F.lit("").alias("s")), lambda a, _: F.struct(F.floor(a["n"] / 62).alias("n"), F.when(a["n"] > 0, F.concat(F.substring(F.lit(digits), (a["n"] % 62 + 1).cast("int"), F.lit(1)), a["s"])).otherwise(a["s"]).alias("s")), lambda a: a["s"])
-    return F.when(number == 0, "0").otherwise(text)
+    """A positive number in digits 0-9a-zA-Z. Eleven digits hold every long, so they are written out and compiled."""
+    n = number.cast("long")
+    digits = [F.substring(F.lit(_DIGITS62), (F.call_function("div", n, F.lit(62**i)) % 62 + 1).cast("int"), F.lit(1)) for i in range(10, -1, -1)]
+    return F.when(number == 0, "0").when(n > 0, F.ltrim(F.concat(*digits), F.lit("0"))).otherwise("")
 
 
 def unbase62(text: Column) -> Column:
-    digits = F.lit("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    """The number of such digits; eleven of them, as base62 writes them, without a loop."""
+    digits = F.lit(_DIGITS62)
+    padded = F.lpad(text, 11, "0")
+    few = sum(((F.position(F.substring(padded, i, 1), digits) - 1).cast("long") * 62 ** (11 - i) for i in range(1, 12)), F.lit(0).cast("long"))
     places = F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.position(F.substring(text, i, F.lit(1)), digits))
-    return F.aggregate(places, F.lit(0).cast("long"), lambda a, c: a * 62 + c - 1)
+    return F.when(F.length(text) <= 11, few).otherwise(F.aggregate(places, F.lit(0).cast("long"), lambda a, c: a * 62 + c - 1))
 
 
 def no_ping(name: Column) -> Column:
