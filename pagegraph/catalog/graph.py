@@ -168,11 +168,20 @@ def exists_flags(spark, d):
 
 @query("select distinct c_custkey, s_suppkey from customer join supplier on (c_nationkey = s_nationkey and c_acctbal > 9000 and s_acctbal > 5000) or c_custkey = s_suppkey")
 def or_join_as_union(spark, d):
-    """A disjunctive join condition as the union of two equi-joins."""
+    """A disjunctive join condition as the union of two equi-joins that share no pair, so that the many pairs themselves need no distinct: only keys of several nations could repeat one."""
     c, s = table(spark, d, "customer"), table(spark, d, "supplier")
-    one = c.where("c_acctbal > 9000").join(s.where("s_acctbal > 5000"), F.col("c_nationkey") == F.col("s_nationkey"))
-    two = c.join(s, F.col("c_custkey") == F.col("s_suppkey"))
-    return one.select("c_custkey", "s_suppkey").union(two.select("c_custkey", "s_suppkey")).distinct()
+    pair = ["c_custkey", "s_suppkey"]
+    rich = c.where("c_acctbal > 9000").select("c_custkey", F.col("c_nationkey").alias("nation")).distinct().where("nation is not null")
+    able = s.where("s_acctbal > 5000").select("s_suppkey", F.col("s_nationkey").alias("nation")).distinct()
+    several = rich.groupBy("c_custkey").agg(F.count("*").alias("n")).where("n > 1").select("c_custkey")
+    # A nation has very many of both, so its customers are dealt to sixteen tasks, each with all of its suppliers.
+    left = rich.withColumn("part", F.pmod(F.xxhash64("c_custkey"), F.lit(16)).cast("int"))
+    right = able.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    plain = left.join(several, "c_custkey", "left_anti").join(right, ["nation", "part"]).select(pair)
+    mixed = left.join(several, "c_custkey", "left_semi").join(right, ["nation", "part"]).select(pair).distinct()
+    keys = c.select("c_custkey").distinct().join(s.select("s_suppkey").distinct(), F.col("c_custkey") == F.col("s_suppkey"))
+    found = rich.join(able, (F.col("c_custkey") == F.col("s_suppkey")) & (rich.nation == able.nation), "left_semi").select("c_custkey")
+    return plain.unionAll(mixed).unionAll(keys.join(found, "c_custkey", "left_anti").select(pair))
 
 
 @query(with_model("page", "categorylinks", then="""select cl_to, cast(count(*) as bigint) as members, cast(count(*) filter (is_dab) as bigint) as dabs from categorylinks join page on page_id = cl_from group by cl_to"""))
