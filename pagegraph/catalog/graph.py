@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import titles
@@ -203,9 +202,11 @@ known as (select o.pl_from, o.target, p.page_title, p.page_len, row_number() ove
 select pl_from, target, page_title, page_len from known where rn = 1"""))
 def longest_target(spark, d):
     """Of each page's resolved targets the longest."""
-    r = L.resolve_redirects(M.pagelinks(spark, d), M.redirect(spark, d)).join(M.page(spark, d), F.col("target") == F.col("page_id"))
-    w = Window.partitionBy("pl_from").orderBy(F.desc("page_len"), "page_id")
-    return r.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("pl_from", "target", "page_title", "page_len")
+    p = M.page(spark, d)
+    r = L.resolve_redirects(M.pagelinks(spark, d), M.redirect(spark, d), once=False).join(p.select("page_id", "page_len"), F.col("target") == F.col("page_id"))
+    first = r.groupBy("pl_from").agg(F.min(F.struct(F.col("page_len").isNull().alias("no"), (-F.col("page_len")).alias("len"), "target")).alias("m")).select("pl_from", "m.target", "m.len")
+    named = p.groupBy("page_id", "page_len").agg(F.min("page_title").alias("page_title"))  # one row, should a page come twice
+    return first.join(named, (F.col("target") == F.col("page_id")) & F.col("len").eqNullSafe(-F.col("page_len"))).select("pl_from", "target", "page_title", "page_len")
 
 
 @query("""with recursive chain(rd_from, rd_to, hops) as (select p_partkey, p_partkey - 1, 1 from part where p_size % 5 = 1
