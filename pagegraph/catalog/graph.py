@@ -94,9 +94,13 @@ def primary_topic(spark, d):
 @query(with_model("templatelinks", "pagelinks", then="""outer_ as (select distinct tl_title, tl_from from templatelinks)
 select tl_title, cast(count(distinct pl_to) as bigint) as reached from outer_ join pagelinks on pl_from = tl_from group by tl_title"""))
 def template_path_links(spark, d):
-    """How many pages are linked from pages with each template."""
-    t = M.templatelinks(spark, d)
-    return t.join(M.pagelinks(spark, d), F.col("tl_from") == F.col("pl_from")).groupBy("tl_title").agg(F.countDistinct("pl_to").alias("reached"))
+    """How many pages are linked from pages with each template.
+
+    A page's titles go with its links in one list and are parted where all links to a page meet, so that a task keeps only its own pages' titles.
+    """
+    t = M.templatelinks(spark, d).groupBy(F.col("tl_from").alias("pl_from")).agg(F.collect_list(F.struct("tl_title")).alias("titles"))
+    led = M.pagelinks(spark, d, once=False).join(t, "pl_from").select("pl_to", "titles").repartition("pl_to")
+    return led.select("pl_to", F.inline("titles")).distinct().groupBy("tl_title").agg(F.count("pl_to").alias("reached"))
 
 
 @query(with_model("page", "redirect", then="""select t.page_id, t.page_title, cast(count(*) as bigint) as n, string_agg(r.page_title, '|' order by r.page_title) as redirects
