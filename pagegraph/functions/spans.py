@@ -47,6 +47,8 @@ KINDS: dict[str, tuple[str, str | None]] = {
 #: How nested spans begin and end.
 NESTED = {"template": ((r"\{\{", r"\}\}"),), "table": ((r"^\{\|", r"^\|\}"), (r"<table\b[^<>]*>", r"</table\s*>"))}
 _FLAGS = re.I | re.M
+#: What any kind, and any beginning or end of nested spans, starts with: asked first, as few places have it.
+_FIRST, _BRACKETS = r"(?=[<{\[h]|^)", r"(?=[<{|}])"
 
 
 def matched(t: str, kind: str) -> dict[int, int]:
@@ -54,7 +56,7 @@ def matched(t: str, kind: str) -> dict[int, int]:
     ends: dict[int, int] = {}
     for begin, end in NESTED[kind]:
         open_: list[int] = []
-        for m in re.finditer(f"(?P<begin>{begin})|{end}", t, _FLAGS):
+        for m in re.finditer(f"{_BRACKETS}(?:(?P<begin>{begin})|{end})", t, _FLAGS):
             if m["begin"] is not None:
                 open_.append(m.start())
             elif open_:
@@ -64,7 +66,7 @@ def matched(t: str, kind: str) -> dict[int, int]:
 
 @lru_cache(32)
 def _openers(kinds: tuple[str, ...]) -> re.Pattern:
-    return re.compile("|".join(f"(?P<{k}>{KINDS[k][0]})" for k in kinds), _FLAGS)
+    return re.compile(f"{_FIRST}(?:{'|'.join(f'(?P<{k}>{KINDS[k][0]})' for k in kinds)})", _FLAGS)
 
 
 @lru_cache(32)
@@ -125,7 +127,7 @@ def protected(*kinds: str):
 
     @F.pandas_udf(SPANS)
     def run(series: pd.Series) -> pd.Series:
-        return series.map(lambda t: None if t is None else [{"kind": k, "start": a, "length": b - a} for k, a, b in spans(t, wanted)])
+        return series.map(lambda t: None if t is None else [(k, a, b - a) for k, a, b in spans(t, wanted)])
 
     return run
 
